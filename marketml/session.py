@@ -54,10 +54,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     ``monotonically_increasing_id`` so several later passes see one value.
     Parquet keeps the copy columnar, so later passes prune columns.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    return df.sparkSession.read.parquet(write_scratch(df, label))
+
+
+def write_scratch(df: DataFrame, label: str) -> str:
+    """Write ``df`` as Parquet to a fresh path in the shared folder."""
+    path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 def join_small(
