@@ -9,8 +9,11 @@ Plan (DataFrame API, Catalyst picks join strategies from table sizes):
   join), giving each order its region and period; ``lineitem`` then joins on
   the order key.  Both are equi-joins; AQE's skew handling splits a hot
   customer or order key.
-* additive columns are pre-aggregated per order (no extra shuffle: the join
-  output is already partitioned by order key), then per region x period;
+* the line-level join output ("facts") is written once to the shared
+  checkpoint folder: the sums, the range-partition sampling and the range
+  sort all read it (column-pruned Parquet) instead of re-running the join,
+  and a lost executor re-reads files rather than recomputing two shuffles;
+* additive columns are pre-aggregated per order, then per region x period;
 * medians use :mod:`marketml.operators.quantiles`, which never gathers one
   group into one task.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketml.operators.quantiles import exact_median
+from marketml.session import materialize
 from marketml.sources.tables import load
 
 KEYS = ["region_id", "period_begin"]
@@ -71,7 +75,9 @@ def market_facts(spark: SparkSession, sf_dir: str, grain: str = "month",
         "o_orderkey", "period_begin",
         F.col("_lv.lv").alias("region_level"), F.col("_lv.id").alias("region_id"),
     )
-    return li.join(order_region, li.l_orderkey == order_region.o_orderkey).select(
+    # Fact-to-fact join: both sides grow with the data, so pin a shuffle
+    # (sort-merge) join rather than let a small test file be broadcast.
+    return li.hint("merge").join(order_region, li.l_orderkey == order_region.o_orderkey).select(
         "region_level", "region_id", "period_begin",
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
     )
@@ -112,14 +118,15 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
 def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
                  level: str = "nation") -> DataFrame:
     """The market table at one level: ``region_id, period_begin`` + features + label."""
-    facts = market_facts(spark, sf_dir, grain, (level,))
+    facts = materialize(market_facts(spark, sf_dir, grain, (level,)), "market-facts")
     return aggregate_market(facts).drop("region_level")
 
 
 def build_market_levels(spark: SparkSession, sf_dir: str, grain: str = "month",
                         levels: Sequence[str] = LEVELS) -> DataFrame:
     """All levels in one pass over the facts, tagged by ``region_level``."""
-    return aggregate_market(market_facts(spark, sf_dir, grain, levels))
+    facts = materialize(market_facts(spark, sf_dir, grain, levels), "market-facts")
+    return aggregate_market(facts)
 
 
 # The same table as SQL text (Spark SQL and DuckDB both run it); used by the
