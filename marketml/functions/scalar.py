@@ -67,9 +67,9 @@ def elapsed_hms(seconds) -> Column:
     day count.  NULL stays NULL.
     """
     s = F.round(_col(seconds)).cast("long")
-    return F.format_string(
+    return F.when(s.isNotNull(), F.format_string(
         "%d:%02d:%02d", F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60
-    )
+    ))
 
 
 def zip_names(values, names: Sequence[str]) -> Column:
