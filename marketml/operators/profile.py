@@ -101,8 +101,8 @@ def summary(df: DataFrame, names: Sequence[str], probs: Sequence[float] = (0.25,
                      *[F.col(c)[i].alias(lab) for i, lab in enumerate(labels)])
             for c in names
         ])).alias("r")).select("r.*")
-    # Both sides have one row per column name.
-    out = desc.join(qw, "column_name", "left")
+    # Both sides have exactly one row per profiled column: a proven bound.
+    out = desc.join(F.broadcast(qw), "column_name", "left")
     return out.select("column_name", "count", "mean", "stddev", "min", *labels, "max")
 
 
