@@ -54,7 +54,10 @@ def stage_status(runs_df: DataFrame) -> DataFrame:
     return runs_df.select(
         F.col("model").alias("stage"),
         F.when(F.col("rmse").isNotNull(), F.lit("Completed")).otherwise(F.lit("Failed")).alias("status"),
-        "rmse", "r2", "elapsed",
+        "rmse", "r2",
+        F.format_string("%.4f", "rmse").alias("rmse_text"),
+        F.format_string("%.4f", "r2").alias("r2_text"),
+        "elapsed",
     )
 
 

@@ -58,6 +58,22 @@ def best_index(metrics: Sequence[float]) -> int:
     return min(range(len(metrics)), key=lambda i: (metrics[i], i))
 
 
+def candidate_table(spark, cv_model, param_maps) -> DataFrame:
+    """Per-candidate mean and spread of the fold RMSE (T6), which the
+    reference computed but never read: ``(point, params, avg_rmse,
+    std_rmse, is_best)``."""
+    rows = grid_rows(param_maps)
+    best = best_index(cv_model.avgMetrics)
+    std = list(getattr(cv_model, "stdMetrics", None) or [None] * len(rows))
+    data = [
+        (i, ", ".join(f"{k}={v}" for k, v in sorted(r.items())), float(cv_model.avgMetrics[i]),
+         None if std[i] is None else float(std[i]), i == best)
+        for i, r in enumerate(rows)
+    ]
+    return spark.createDataFrame(
+        data, "point int, params string, avg_rmse double, std_rmse double, is_best boolean")
+
+
 def fold_metrics(cv_model, df: DataFrame, fold_col: str, label: str) -> DataFrame:
     """RMSE of every (grid point, fold) sub-model on its held-out fold (T6),
     computed as one union and one aggregation: ``(point, fold, n, rmse)``.

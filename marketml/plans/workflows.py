@@ -105,13 +105,52 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
             cv_model, secs = _timed(lambda: tuning.cross_validate(
                 pipe, maps, train, label, "fold", folds, parallelism))
             m = metrics_dict(cv_model.transform(test), label)
-            best = rows[tuning.best_index(cv_model.avgMetrics)]
+            # Read the chosen values off the refitted best model.
+            best = models.param_values(cv_model.bestModel, list(grid))
             runs.append(RunRecord(f"{family}_cv", "test", m["n"], m["rmse"], m["r2"], secs, best))
             tvs, secs = _timed(lambda: tuning.train_validate(
                 pipe, maps, train, label, "is_validation", parallelism))
             m = metrics_dict(tvs.model.transform(test), label)
-            runs.append(RunRecord(f"{family}_tvs", "test", m["n"], m["rmse"], m["r2"], secs,
-                                  rows[tvs.best_index]))
+            best = models.param_values(tvs.model, list(grid))
+            runs.append(RunRecord(f"{family}_tvs", "test", m["n"], m["rmse"], m["r2"], secs, best))
         return FamilyRun(family, features, runs, base, cv_model, tvs, rows)
     finally:
         train.unpersist()
+
+
+def with_model_columns(df: DataFrame, key, folds: int = 3, train_pct: int = 80) -> DataFrame:
+    """Add ``row_key``, ``split``, ``fold`` and ``is_validation`` to any
+    table from a non-negative integer key below 2^31 (or a list of key
+    columns, hashed with ``xxhash64`` into that range)."""
+    if isinstance(key, (list, tuple)):
+        key = F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(2147483647))
+    df = df.withColumn("row_key", key)
+    df = with_split(df, F.col("row_key"), train_pct)
+    df = with_fold(df, F.col("row_key"), folds)
+    return with_validation(df, F.col("row_key"))
+
+
+def regression_report(spark: SparkSession, df: DataFrame, features: Sequence[str], label: str,
+                      family: str, keys: Sequence[str], grid: Mapping[str, list] | None = None,
+                      folds: int | None = None, tune: bool = True) -> dict[str, DataFrame]:
+    """The whole reference workflow for one family on any cleaned table
+    (see :func:`marketml.operators.clean.prepare`): returns ``comparison``
+    (O1, O2, O4), ``status`` (O5), ``importance`` (O3: importances for
+    trees, coefficients for linear) and ``candidates`` (T6)."""
+    from marketml.plans.report import comparison, stage_status
+
+    frame = with_model_columns(df, list(keys), folds or REFERENCE_FOLDS[family])
+    run = run_family(frame, family, features, label, grid, folds, tune=tune)
+    cmp_ = comparison(spark, run.runs)
+    if family == "linear":
+        train = frame.where(F.col("split") == "train")
+        imp = models.coefficients(spark, run.baseline_model, run.features,
+                                  models.feature_stddevs(train, run.features))
+        imp = imp.orderBy(F.desc("abs_coefficient"))
+    else:
+        imp = models.importances(spark, run.baseline_model, run.features, family)
+    out = {"comparison": cmp_, "status": stage_status(cmp_), "importance": imp}
+    if run.cv_model is not None:
+        maps = tuning.grid(models.regressor(run.baseline_model), grid or REFERENCE_GRIDS[family])
+        out["candidates"] = tuning.candidate_table(spark, run.cv_model, maps)
+    return out

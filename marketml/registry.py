@@ -538,6 +538,52 @@ def q_elapsed_format(spark, sf):
     return lag.select("o_orderkey", _r("seconds", 3), elapsed_hms("seconds").alias("elapsed"))
 
 
+def q_market_day(spark, sf):
+    return mk.build_market(spark, sf, "day")
+
+
+def q_linreg_cv_candidates(spark, sf):
+    cv, maps, _, _ = _linreg_cv(spark, sf)
+    cand = tuning.candidate_table(spark, cv, maps)
+    grid = F.array(*[
+        F.struct(F.lit(r["regParam"]).alias("reg_param"),
+                 F.lit(r["elasticNetParam"]).alias("elastic_net_param"))
+        for r in tuning.grid_rows(maps)
+    ])
+    g = F.element_at(grid, F.col("point") + 1)
+    return cand.select(g["reg_param"].alias("reg_param"), g["elastic_net_param"].alias("elastic_net_param"),
+                       _r("avg_rmse", R4), _r("std_rmse", R4), "is_best")
+
+
+def q_gbt_ablation(spark, sf):
+    """The reference's ablation on the boosted model: drop the dominant
+    feature, keep every other setting (iterations included) fixed."""
+    train, test = _train_test(spark, sf)
+    train = models.canonical(train, mk.KEYS)
+    parts = None
+    for name, feats in features.ablation_sets(ALL, [X1]):
+        m = models.fit(train, "gbt", feats, LABEL)
+        p = m.transform(test).select(F.lit(name).alias("feature_set"),
+                                     F.lit(len(feats)).alias("n_features"), LABEL, "prediction")
+        parts = p if parts is None else parts.unionByName(p)
+    met = evaluate.regression_metrics(parts, LABEL, group_cols=["feature_set", "n_features"])
+    full = F.max(F.when(F.col("feature_set") == "all", F.col("rmse"))).over(Window.partitionBy())
+    return met.select(
+        "feature_set", "n_features", _r("rmse", R4), _r("r2", R8),
+        F.round(F.col("rmse") - full, R4).alias("rmse_change"),
+        F.round((F.col("rmse") - full) / full * 100, R4).alias("rmse_change_pct"))
+
+
+def q_linreg_importance(spark, sf):
+    """Coefficients of the all-feature linear model ranked by |coefficient|
+    (the reference's linear 'importance'), with the scale-free
+    coefficient x stddev beside it."""
+    train, _ = _train_test(spark, sf)
+    model = models.fit(train, "linear", ALL, LABEL)
+    c = models.coefficients(spark, model, ALL, models.feature_stddevs(train, ALL))
+    return c.where(F.col("term") != "intercept").orderBy(F.desc("abs_coefficient"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
@@ -725,6 +771,7 @@ _STUMP = [
 
 ORACLE_SQL: dict[str, str] = {
     "market_base": mk.market_sql(),
+    "market_day": mk.market_sql("day"),
     "scan_select": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem",
     "csv_roundtrip": mk.market_sql(),
     "sql_view": mk.market_sql(),
@@ -800,6 +847,10 @@ SELECT b.reg_param AS best_reg_param, b.elastic_net_param AS best_elastic_net_pa
 FROM best b, (""" + _metrics_sql("pred") + ") m",
     "linreg_cv_fold_rmse": _with(*BASE, *_CV) + """
 SELECT reg_param, elastic_net_param, fold, n, round(rmse, 4) AS rmse FROM fold_rmse""",
+    "linreg_cv_candidates": _with(*BASE, *_CV) + """
+SELECT reg_param, elastic_net_param, round(cv_rmse, 4) AS avg_rmse, round(sd, 4) AS std_rmse,
+  point = (SELECT point FROM best) AS is_best
+FROM cv JOIN (SELECT point, stddev_pop(rmse) AS sd FROM fold_rmse GROUP BY point) s USING (point)""",
     "best_model": _with(*BASE, *_ENET) + """
 SELECT reg_param, elastic_net_param, round(rmse, 4) AS rmse, round(r2, 8) AS r2
 FROM enet ORDER BY rmse, reg_param, elastic_net_param LIMIT 1""",

@@ -117,3 +117,16 @@ def union_levels(frames: Mapping[str, DataFrame], level_col: str = "region_level
     if out is None:
         raise ValueError("no levels given")
     return out
+
+
+def load_levels(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv",
+                schema: T.StructType | str | None = None,
+                options: Mapping[str, str] | None = None,
+                level_col: str = "region_level") -> DataFrame:
+    """Read one file per region granularity (county, state, national, ...)
+    and stack them with :func:`union_levels` (S6)."""
+    opts = dict(options or ({"header": "true"} if fmt == "csv" else {}))
+    if fmt == "csv" and schema is None:
+        opts.setdefault("inferSchema", "true")
+    frames = {lv: read_table(spark, p, fmt, schema, opts) for lv, p in paths.items()}
+    return union_levels(frames, level_col)
