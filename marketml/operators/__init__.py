@@ -1 +1 @@
-
+"""DataFrame operators: cleaning, quantiles, profiling, splits, features, metrics."""

@@ -1 +1 @@
-
+"""Models, tuning, reports and end-to-end workflows."""

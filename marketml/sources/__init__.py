@@ -1 +1 @@
-
+"""Scans, the level union and the market table."""

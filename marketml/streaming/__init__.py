@@ -1 +1,7 @@
+"""Intentionally empty.
 
+The reference runs only batch reads; "real-time data" appears in its prose
+with no code behind it, so there is no streaming operator to rebuild.  A
+fitted ``PipelineModel`` from :mod:`marketml.plans.models` already applies
+to a streaming DataFrame with ``model.transform(stream_df)``.
+"""
