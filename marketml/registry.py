@@ -831,11 +831,12 @@ SELECT reg_param, elastic_net_param, round(slope, 8) AS slope, round(intercept,
   round(rmse, 4) AS rmse, round(r2, 8) AS r2 FROM enet""",
     "tree_stump": _with(*BASE, *_STUMP) + """
 SELECT 'median_list_price' AS feature, round(thr, 4) AS threshold, round(sl / nl, 4) AS left_mean,
-  round(sr / nr, 4) AS right_mean, nl AS n_left, nr AS n_right
+  round(sr / nr, 4) AS right_mean, CAST(nl AS BIGINT) AS n_left, CAST(nr AS BIGINT) AS n_right
 FROM cand ORDER BY sl * sl / nl + sr * sr / nr DESC, thr LIMIT 1""",
     "param_grid": _with(*BASE, GRID, "fc AS (SELECT fold, count(*) AS n_eval FROM train GROUP BY fold)",
                         "tot AS (SELECT sum(n_eval) AS n FROM fc)") + """
-SELECT g.point, g.reg_param, g.elastic_net_param, fc.fold, tot.n - fc.n_eval AS n_fit, fc.n_eval
+SELECT g.point, g.reg_param, g.elastic_net_param, fc.fold, CAST(tot.n - fc.n_eval AS BIGINT) AS n_fit,
+  fc.n_eval
 FROM grid g, fc, tot""",
     "linreg_cv": _with(*BASE, *_CV) + """
 SELECT b.reg_param AS best_reg_param, b.elastic_net_param AS best_elastic_net_param,

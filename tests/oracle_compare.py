@@ -40,16 +40,29 @@ def rows_of(df_pd):
     return cols, sorted(out, key=repr)
 
 
+SPARK_TO_SQL = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                "date": "DATE", "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT",
+                "timestamp_ntz": "TIMESTAMP"}
+
+
+def types_match(sdf, rel):
+    st = {n: SPARK_TO_SQL.get(t, t.upper()) for n, t in sdf.dtypes}
+    dt = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    return {k: (st.get(k), dt.get(k)) for k in set(st) | set(dt) if st.get(k) != dt.get(k)}
+
+
 def compare(spark, con, name, query, sql, sf_dir):
     t = time.time()
     sdf = query(spark, sf_dir)
     s = sdf.toPandas()
     secs = time.time() - t
-    o = con.sql(sql).df()
+    rel = con.sql(sql)
+    tdiff = types_match(sdf, rel)
+    o = rel.df()
     sc, sr = rows_of(s)
     oc, orr = rows_of(o)
-    ok = sc == oc and len(sr) == len(orr) and sr == orr
-    msg = ""
+    ok = sc == oc and len(sr) == len(orr) and sr == orr and not tdiff
+    msg = f"types {tdiff}" if tdiff else ""
     if sc != oc:
         msg = f"cols {sc} vs {oc}"
     elif len(sr) != len(orr):
