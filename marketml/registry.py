@@ -448,19 +448,21 @@ def q_linreg_cv_fold_rmse(spark, sf):
 _RUNS: dict[tuple, workflows.FamilyRun] = {}
 
 
-def family_run(spark, sf, family) -> workflows.FamilyRun:
-    """Baseline, CV and train-validation of one family on all six features,
-    once per session."""
-    key = (spark.sparkContext.applicationId, sf, family)
+def family_run(spark, sf, family, stage) -> workflows.FamilyRun:
+    """One stage (baseline, cv or tvs) of a family on all six features,
+    fitted once per session and shared by the queries that report it."""
+    key = (spark.sparkContext.applicationId, sf, family, stage)
     if key not in _RUNS:
-        _RUNS[key] = workflows.run_family(_frame(spark, sf), family, ALL, LABEL)
+        _RUNS[key] = workflows.run_family(_frame(spark, sf), family, ALL, LABEL, stages=[stage])
     return _RUNS[key]
 
 
+def family_records(spark, sf, family):
+    return [r for st in workflows.STAGES for r in family_run(spark, sf, family, st).runs]
+
+
 def _tuned(spark, sf, family, which):
-    run = family_run(spark, sf, family)
-    rec = [r for r in run.runs if r.model == f"{family}_{which}"]
-    df = report.comparison(spark, rec)
+    df = report.comparison(spark, family_run(spark, sf, family, which).runs)
     return df.select("model", "best_params", "best_max_depth", "best_max_iter", "n",
                      _r("rmse", R4), _r("r2", R8))
 
@@ -494,11 +496,11 @@ def q_gbt_tvs(spark, sf):
 
 
 def q_metric_comparison(spark, sf):
-    return report.comparison(spark, family_run(spark, sf, "linear").runs)
+    return report.comparison(spark, family_records(spark, sf, "linear"))
 
 
 def q_best_params(spark, sf):
-    df = report.comparison(spark, family_run(spark, sf, "gbt").runs)
+    df = report.comparison(spark, family_records(spark, sf, "gbt"))
     return df.select("model", "rmse", "r2", "seconds", "elapsed", "best_max_depth", "best_max_iter")
 
 
@@ -526,7 +528,7 @@ def q_ablation(spark, sf):
 
 
 def q_stage_status(spark, sf):
-    return report.stage_status(report.comparison(spark, family_run(spark, sf, "linear").runs))
+    return report.stage_status(report.comparison(spark, family_records(spark, sf, "linear")))
 
 
 def q_elapsed_format(spark, sf):
