@@ -57,11 +57,13 @@ def exact_quantiles_long(
     ``values`` is a list of column names or a ``{name: Column}`` mapping.
     ``tiebreak`` should be a deterministic per-row expression (for example a
     hash of the row's natural key); it defaults to a hash of all columns.
+    ``num_partitions`` fixes the range-partition count; by default the
+    session's shuffle settings decide (``spark.sql.shuffle.partitions`` or
+    AQE's initial partition number) and AQE merges small neighbours, which
+    keeps the global order.
     """
     keys = list(keys)
     exprs = _value_exprs(values)
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tb = tiebreak if tiebreak is not None else F.xxhash64(*[F.col(c) for c in df.columns])
 
     stacked = (
@@ -77,8 +79,10 @@ def exact_quantiles_long(
         .where(F.col("_v").isNotNull())
     )
     order = [*keys, "_m", "_v", "_t"]
+    spread = (stacked.repartitionByRange(num_partitions, *order) if num_partitions
+              else stacked.repartitionByRange(*order))
     ranked = materialize(
-        stacked.repartitionByRange(parts, *order)
+        spread
         .sortWithinPartitions(*order)
         .select(*keys, "_m", "_v", F.monotonically_increasing_id().alias("_rid")),
         "quantile-ranked",

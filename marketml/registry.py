@@ -532,11 +532,20 @@ def q_stage_status(spark, sf):
 
 
 def q_elapsed_format(spark, sf):
-    li = tables.load(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
-    od = tables.load(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    # Fact-to-fact join on the order key; the aggregation reuses its partitioning.
-    lag = li.hint("merge").join(od, li.l_orderkey == od.o_orderkey).groupBy("o_orderkey").agg(
-        F.avg(F.timestamp_diff("SECOND", F.col("o_orderdate"), F.col("l_shipdate"))).alias("seconds"))
+    """Mean order-to-shipment time per order, formatted H:MM:SS.
+
+    lineitem is pre-aggregated per order (sum of ship times, line count)
+    before the join, so a hot order collapses map-side and the join is 1:1
+    on the order key."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    per_order = tables.load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(F.timestamp_diff("SECOND", epoch, F.col("l_shipdate"))).alias("ship_s"),
+        F.count(F.lit(1)).alias("lines"))
+    od = tables.load(spark, sf, "orders").select(
+        "o_orderkey", F.timestamp_diff("SECOND", epoch, F.col("o_orderdate")).alias("order_s"))
+    lag = per_order.join(od, per_order.l_orderkey == od.o_orderkey).select(
+        "o_orderkey",
+        ((F.col("ship_s") - F.col("lines") * F.col("order_s")).cast("double") / F.col("lines")).alias("seconds"))
     return lag.select("o_orderkey", _r("seconds", 3), elapsed_hms("seconds").alias("elapsed"))
 
 

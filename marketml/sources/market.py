@@ -35,6 +35,7 @@ FEATURES = [
     "median_ppsf", "avg_sale_to_list",
 ]
 LABEL = "median_sale_price"
+MEDIANS = ["median_list_price", "median_ppsf", "median_sale_price"]
 GRAINS = ("month", "day")
 LEVELS = ("nation", "region", "all")
 
@@ -106,9 +107,12 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
         },
         tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
     )
-    # Both sides hold one row per group; the key equi-join is small.
-    return sums.join(medians, keys).select(
-        *keys,
+    # Both sides hold one row per group.  Left join, NULL-safe on the keys,
+    # so a group whose values are all NULL keeps its row (NULL medians).
+    m = medians.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *MEDIANS)
+    cond = [sums[k].eqNullSafe(m[f"_k_{k}"]) for k in keys]
+    return sums.join(m, cond, "left").select(
+        *[sums[k] for k in keys],
         "homes_sold", "new_listings", "inventory",
         "median_list_price", "median_ppsf", "median_sale_price",
         (1 - F.col("disc_pct").cast("double") / (100 * F.col("homes_sold"))).alias("avg_sale_to_list"),

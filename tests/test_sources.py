@@ -58,3 +58,30 @@ def test_fact_join_is_sort_merge_and_pruned(spark):
     # Scans read only the needed columns.
     assert ("ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,"
             "l_extendedprice:double,l_discount:double>") in plan
+
+
+def test_group_with_all_null_values_keeps_its_row(spark):
+    from marketml.sources.market import aggregate_market
+
+    rows = [("n", 1, "2020-01-01", 10, 1, 2.0, 100.0, 0.05),
+            ("n", 1, "2020-01-01", 10, 2, 4.0, 300.0, 0.05),
+            ("n", None, "2020-01-01", 11, 1, 1.0, None, 0.0)]
+    facts = spark.createDataFrame(
+        rows, "region_level string, region_id int, period_begin string, l_orderkey long, "
+              "l_linenumber int, l_quantity double, l_extendedprice double, l_discount double",
+    ).withColumn("period_begin", F.col("period_begin").cast("date"))
+    out = {r.region_id: r for r in aggregate_market(facts).collect()}
+    assert set(out) == {1, None}
+    assert out[1].median_list_price == 200.0 and out[1].homes_sold == 2 and out[1].new_listings == 1
+    assert out[None].median_list_price is None and out[None].homes_sold == 1
+
+
+def test_elapsed_format_aggregates_before_exchange(spark):
+    from marketml.registry import QUERIES
+
+    plan = plan_text(QUERIES["elapsed_format"](spark, "/root/testdata/sf0.001"))
+    tree = plan.split("\n\n")[0]
+    # lineitem's per-order partial aggregate sits below its exchange.
+    li_branch = [ln for ln in tree.splitlines()]
+    assert any("HashAggregate" in ln for ln in li_branch)
+    assert "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp_ntz>" in plan
