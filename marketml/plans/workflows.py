@@ -23,7 +23,7 @@ from marketml.operators.evaluate import metrics_dict
 from marketml.operators.split import market_key, with_fold, with_split, with_validation
 from marketml.plans import models, tuning
 from marketml.plans.report import RunRecord
-from marketml.session import write_scratch
+from marketml.session import scratch_path, scratch_scope
 from marketml.sources.market import FEATURES, KEYS, LABEL, build_market
 
 # The reference's tuning grids and fold counts per family.
@@ -48,7 +48,12 @@ def market_table(spark: SparkSession, sf_dir: str, grain: str = "month",
     key = (spark.sparkContext.applicationId, sf_dir, grain, level)
     path = _MARKETS.get(key)
     if path is None:
-        path = write_scratch(build_market(spark, sf_dir, grain, level), f"market-{grain}-{level}")
+        # Intermediate facts and sort tables are dropped once the market
+        # table itself is written.
+        with scratch_scope(spark):
+            market = build_market(spark, sf_dir, grain, level)
+            path = scratch_path(spark, f"market-{grain}-{level}")
+            market.write.mode("errorifexists").parquet(path)
         _MARKETS[key] = path
     return spark.read.parquet(path)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +58,42 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(write_scratch(df, label))
 
 
+_TRACKERS: list[list[str]] = []
+
+
 def write_scratch(df: DataFrame, label: str) -> str:
     """Write ``df`` as Parquet to a fresh path in the shared folder."""
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
+    for t in _TRACKERS:
+        t.append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Collect the scratch paths written inside the block and delete them
+    on exit.  Use it once nothing lazy still reads them (for example after
+    the final result has itself been written)."""
+    paths: list[str] = []
+    _TRACKERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _TRACKERS.remove(paths)
+        delete_paths(spark, paths)
+
+
+def delete_paths(spark: SparkSession, paths) -> None:
+    """Recursively delete paths through the Hadoop FileSystem API (works for
+    any cluster file system, not only the local one)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,

@@ -136,3 +136,42 @@ def test_grouped_metrics(spark, train):
     df = train.withColumn("prediction", F.col(LABEL) * 0.9)
     g = regression_metrics(df, LABEL, group_cols=["fold"]).collect()
     assert sum(r.n for r in g) == train.count()
+
+
+def test_reference_style_csv_workflow(spark, tmp_path):
+    """A reference user's path: dirty CSV with inferred schema -> guarded
+    cast -> drop -> report with a tuned model."""
+    from marketml.operators.clean import prepare
+    from marketml.sources.tables import read_csv, write_csv
+
+    market = workflows.market_table(spark, SF)
+    dirty = market.select(
+        "region_id", "period_begin",
+        F.when(F.col("homes_sold") % 17 == 0, F.lit("N/A"))
+         .otherwise(F.col("median_list_price").cast("string")).alias("median_list_price"),
+        F.col("homes_sold").cast("string").alias("homes_sold"),
+        F.col(LABEL).cast("string").alias(LABEL))
+    path = str(tmp_path / "tracker")
+    write_csv(dirty, path)
+    raw = read_csv(spark, path, infer_schema=True)
+    feats = ["median_list_price", "homes_sold"]
+    df = prepare(raw, feats, LABEL, keys=["region_id", "period_begin"], mode="digits_only")
+    assert df.count() == market.where(F.col("homes_sold") % 17 != 0).count()
+    out = workflows.regression_report(spark, df, feats, LABEL, "tree", ["region_id", "period_begin"],
+                                      grid={"maxDepth": [2, 4]}, folds=2)
+    assert out["comparison"].count() == 3
+    assert out["candidates"].where("is_best").count() == 1
+    imp = out["importance"].collect()
+    assert imp[0].feature == "median_list_price" and sum(r.importance for r in imp) == pytest.approx(1.0)
+
+
+def test_scratch_scope_deletes_intermediates(spark):
+    import os
+
+    from marketml.session import materialize, scratch_scope
+
+    with scratch_scope(spark) as paths:
+        materialize(spark.range(10), "scope-test").count()
+        local = [p.replace("file:", "") for p in paths]
+        assert all(os.path.exists(p) for p in local)
+    assert not any(os.path.exists(p) for p in local)
