@@ -8,6 +8,7 @@ canonical row placement before tree fits) and tables instead of printouts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -45,10 +46,22 @@ def estimator(family: str, label: str, features_col: str = "features",
     raise ValueError(f"family must be one of {FAMILIES}")
 
 
-def canonical(df: DataFrame, keys: Sequence[str], partitions: int = 8) -> DataFrame:
-    """Fixed row placement: hash-partition into a fixed count and sort within
+ROWS_PER_PARTITION = 200_000
+
+
+def canonical(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Fixed row placement: hash-partition on the keys and sort within
     partitions.  Seeded forests and boosted trees depend on where rows sit,
-    so this makes their output reproducible across input layouts."""
+    so this makes their output reproducible across input layouts.
+
+    The partition count follows the data (one count: about 200k rows per
+    partition, at most ``spark.sql.shuffle.partitions``), so a small table
+    is not spread over idle tasks and a large one keeps the cluster busy;
+    for a given table and configuration it is always the same."""
+    if partitions is None:
+        cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.count()
+        partitions = max(1, min(cap, math.ceil(rows / ROWS_PER_PARTITION)))
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 

@@ -386,6 +386,7 @@ def q_param_grid(spark, sf):
     pipe = models.pipeline("linear", LIN1, LABEL)
     rows = tuning.grid_rows(_linear_grid(pipe.getStages()[-1]))
     counts = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n_eval"))
+    # A window over the k fold counts (k rows), not over data rows.
     total = F.sum("n_eval").over(Window.partitionBy())
     counts = counts.select("fold", "n_eval", (total - F.col("n_eval")).alias("n_fit"))
     grid = F.array(*[
@@ -519,6 +520,7 @@ def q_ablation(spark, sf):
                                      F.lit(len(feats)).alias("n_features"), LABEL, "prediction")
         parts = p if parts is None else parts.unionByName(p)
     met = evaluate.regression_metrics(parts, LABEL, group_cols=["feature_set", "n_features"])
+    # A window over one metrics row per feature set, not over data rows.
     full = F.max(F.when(F.col("feature_set") == "all", F.col("rmse"))).over(
         Window.partitionBy())
     return met.select(
@@ -578,6 +580,7 @@ def q_gbt_ablation(spark, sf):
                                      F.lit(len(feats)).alias("n_features"), LABEL, "prediction")
         parts = p if parts is None else parts.unionByName(p)
     met = evaluate.regression_metrics(parts, LABEL, group_cols=["feature_set", "n_features"])
+    # A window over one metrics row per feature set, not over data rows.
     full = F.max(F.when(F.col("feature_set") == "all", F.col("rmse"))).over(Window.partitionBy())
     return met.select(
         "feature_set", "n_features", _r("rmse", R4), _r("r2", R8),
