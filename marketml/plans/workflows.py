@@ -168,3 +168,87 @@ def regression_report(spark: SparkSession, df: DataFrame, features: Sequence[str
         maps = tuning.grid(models.regressor(run.baseline_model), grid or REFERENCE_GRIDS[family])
         out["candidates"] = tuning.candidate_table(spark, run.cv_model, maps)
     return out
+
+
+def eda_report(df: DataFrame, numeric: Sequence[str], time_col: str | None = None,
+               label: str = LABEL, summary_cols: Sequence[str] | None = None,
+               head: int = 10) -> dict[str, DataFrame]:
+    """The profiling half of the boosted script as tables: schema with
+    non-NULL counts, describe, null profile, ordered series head, summaries
+    with exact quartiles and the correlation matrix (S13, G1-G4, G7, A1, A2)."""
+    from marketml.operators import profile
+
+    numeric = [c for c in numeric if c in df.columns]
+    out = {
+        "row_count": profile.row_count(df),
+        "describe": profile.describe(df, numeric),
+        "null_profile": profile.null_profile_long(df),
+        "summary": profile.summary(df, [c for c in (summary_cols or numeric) if c in df.columns]),
+        "correlation": profile.correlation_matrix(df, numeric),
+    }
+    if time_col and time_col in df.columns:
+        out["series_head"] = profile.series_head(df, time_col, [label], head)
+    return out
+
+
+def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "csv",
+                       keys: Sequence[str] | None = None, grid: Mapping[str, list] | None = None,
+                       tune: bool = True, options: Mapping[str, str] | None = None
+                       ) -> dict[str, DataFrame]:
+    """Repeat one of the reference's scripts (``linear``, ``tree``,
+    ``forest``, ``gbt``) on a file: scan with a header and inferred schema,
+    drop its listed columns, clean as that script did (guarded cast, cast,
+    impute or none), then baseline + CV + train-validation on one holdout,
+    and for ``gbt`` the ablation and the profiling tables.
+
+    ``keys`` name the columns whose hash splits rows; by default the model
+    columns themselves are hashed, which is still layout-independent.
+    """
+    from marketml.operators.clean import drop_missing, prepare
+    from marketml.plans.presets import HEATMAP_COLUMNS, PRESETS, SUMMARY_COLUMNS
+    from marketml.sources.tables import drop_columns, read_table
+
+    preset = PRESETS[script]
+    opts = {"header": "true", "inferSchema": "true"} if fmt == "csv" else {}
+    opts.update(options or {})
+    raw = drop_columns(read_table(spark, path, fmt, options=opts), preset.drop_columns)
+    feats, label = list(preset.features), preset.label
+    keys = [k for k in (keys or []) if k in raw.columns]
+    if preset.clean_mode is None:
+        df = drop_missing(raw.select(*keys, *feats, label))
+    else:
+        df = prepare(raw, feats, label, keys, preset.clean_mode, preset.policy)
+    out = regression_report(spark, df, feats, label, preset.family, keys or [*feats, label],
+                            grid or preset.grid, preset.folds, tune)
+    if script == "gbt":
+        out.update(eda_report(raw, list(HEATMAP_COLUMNS), "period_begin", label, SUMMARY_COLUMNS))
+        frame = with_model_columns(df, keys or [*feats, label], preset.folds)
+        out["ablation"] = ablation_report(spark, frame, preset.family, feats, label, preset.ablate)
+    return out
+
+
+def ablation_report(spark: SparkSession, frame: DataFrame, family: str, features: Sequence[str],
+                    label: str, drop: Sequence[str], **params) -> DataFrame:
+    """Refit without each feature in ``drop`` (everything else fixed) and
+    report holdout RMSE/R^2 with the change against the full set (M4)."""
+    from pyspark.sql import Window
+
+    from marketml.operators.evaluate import regression_metrics
+    from marketml.operators.features import ablation_sets
+
+    train = frame.where(F.col("split") == "train")
+    test = frame.where(F.col("split") == "test")
+    if family != "linear":
+        train = models.canonical(train, ["row_key"])
+    parts = None
+    for name, feats in ablation_sets(features, drop):
+        m = models.fit(train, family, feats, label, **params)
+        p = m.transform(test).select(F.lit(name).alias("feature_set"),
+                                     F.lit(len(feats)).alias("n_features"), label, "prediction")
+        parts = p if parts is None else parts.unionByName(p)
+    met = regression_metrics(parts, label, group_cols=["feature_set", "n_features"])
+    # A window over one metrics row per feature set, not over data rows.
+    full = F.max(F.when(F.col("feature_set") == "all", F.col("rmse"))).over(Window.partitionBy())
+    return met.select("feature_set", "n_features", "n", "rmse", "r2",
+                      (F.col("rmse") - full).alias("rmse_change"),
+                      ((F.col("rmse") - full) / full * 100).alias("rmse_change_pct"))

@@ -511,22 +511,15 @@ def q_best_model(spark, sf):
     return best.select("reg_param", "elastic_net_param", _r("rmse", R4), _r("r2", R8))
 
 
+def _ablation(spark, sf, family, feats):
+    met = workflows.ablation_report(spark, _frame(spark, sf), family, feats, LABEL, [X1])
+    return met.select("feature_set", "n_features", _r("rmse", R4), _r("r2", R8),
+                      _r("rmse_change", R4), _r("rmse_change_pct", R4))
+
+
 def q_ablation(spark, sf):
-    train, test = _train_test(spark, sf)
-    parts = None
-    for name, feats in features.ablation_sets(LIN2, [X1]):
-        m = models.fit(train, "linear", feats, LABEL)
-        p = m.transform(test).select(F.lit(name).alias("feature_set"),
-                                     F.lit(len(feats)).alias("n_features"), LABEL, "prediction")
-        parts = p if parts is None else parts.unionByName(p)
-    met = evaluate.regression_metrics(parts, LABEL, group_cols=["feature_set", "n_features"])
-    # A window over one metrics row per feature set, not over data rows.
-    full = F.max(F.when(F.col("feature_set") == "all", F.col("rmse"))).over(
-        Window.partitionBy())
-    return met.select(
-        "feature_set", "n_features", _r("rmse", R4), _r("r2", R8),
-        F.round(F.col("rmse") - full, R4).alias("rmse_change"),
-        F.round((F.col("rmse") - full) / full * 100, R4).alias("rmse_change_pct"))
+    """Linear model with and without the list price (closed-form oracle)."""
+    return _ablation(spark, sf, "linear", LIN2)
 
 
 def q_stage_status(spark, sf):
@@ -571,21 +564,7 @@ def q_linreg_cv_candidates(spark, sf):
 def q_gbt_ablation(spark, sf):
     """The reference's ablation on the boosted model: drop the dominant
     feature, keep every other setting (iterations included) fixed."""
-    train, test = _train_test(spark, sf)
-    train = models.canonical(train, mk.KEYS)
-    parts = None
-    for name, feats in features.ablation_sets(ALL, [X1]):
-        m = models.fit(train, "gbt", feats, LABEL)
-        p = m.transform(test).select(F.lit(name).alias("feature_set"),
-                                     F.lit(len(feats)).alias("n_features"), LABEL, "prediction")
-        parts = p if parts is None else parts.unionByName(p)
-    met = evaluate.regression_metrics(parts, LABEL, group_cols=["feature_set", "n_features"])
-    # A window over one metrics row per feature set, not over data rows.
-    full = F.max(F.when(F.col("feature_set") == "all", F.col("rmse"))).over(Window.partitionBy())
-    return met.select(
-        "feature_set", "n_features", _r("rmse", R4), _r("r2", R8),
-        F.round(F.col("rmse") - full, R4).alias("rmse_change"),
-        F.round((F.col("rmse") - full) / full * 100, R4).alias("rmse_change_pct"))
+    return _ablation(spark, sf, "gbt", ALL)
 
 
 def q_linreg_importance(spark, sf):

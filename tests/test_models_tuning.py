@@ -175,3 +175,45 @@ def test_scratch_scope_deletes_intermediates(spark):
         local = [p.replace("file:", "") for p in paths]
         assert all(os.path.exists(p) for p in local)
     assert not any(os.path.exists(p) for p in local)
+
+
+def _tracker_csv(spark, tmp_path, rename=None, extra=None):
+    from marketml.sources.tables import write_csv
+
+    m = workflows.market_table(spark, SF)
+    cols = [F.col(c).alias((rename or {}).get(c, c)) for c in m.columns]
+    cols += [e.alias(n) for n, e in (extra or {}).items()]
+    path = str(tmp_path / "tracker")
+    write_csv(m.select(*cols), path)
+    return path
+
+
+def test_reference_workflow_forest_and_tree(spark, tmp_path):
+    path = _tracker_csv(spark, tmp_path / "f")
+    out = workflows.reference_workflow(spark, path, "forest", keys=["region_id", "period_begin"])
+    assert {"comparison", "status", "importance", "candidates"} <= set(out)
+    assert out["comparison"].count() == 3
+    path = _tracker_csv(spark, tmp_path / "t", rename={LABEL: "median_sale_price13"},
+                        extra={"PERIOD_BEGIN59": F.col("period_begin")})
+    out = workflows.reference_workflow(spark, path, "tree", grid={"maxDepth": [2, 3]})
+    best = out["comparison"].where("model = 'tree_cv'").first()
+    assert best.best_max_depth in (2, 3)
+
+
+def test_reference_workflow_gbt_with_eda_and_ablation(spark, tmp_path):
+    c = F.col
+    extra = {
+        "pending_sales": c("new_listings"), "months_of_supply": c("inventory") / c("homes_sold"),
+        "median_list_ppsf": c("median_ppsf"), "price_drops": c("homes_sold") % 5,
+        "sold_above_list": c("new_listings") % 3, "median_dom": c("homes_sold") % 11,
+        "off_market_in_two_weeks": c("inventory") % 7, "inventory_yoy": c("inventory") / 100,
+        "median_sale_price_yoy": c("avg_sale_to_list"),
+    }
+    path = _tracker_csv(spark, tmp_path / "g", extra=extra)
+    out = workflows.reference_workflow(spark, path, "gbt", keys=["region_id", "period_begin"],
+                                       grid={"maxDepth": [2], "maxIter": [3]})
+    abl = {r.feature_set: r for r in out["ablation"].collect()}
+    assert set(abl) == {"all", "without_median_list_price"} and abl["all"].rmse_change == 0
+    assert out["series_head"].count() == 10
+    assert out["correlation"].count() == 16 * 17 // 2
+    assert out["summary"].count() == 5
