@@ -78,8 +78,13 @@ def main(names=None, sf_dir="/root/testdata/sf0.01"):
     from pyspark.sql import SparkSession
 
     import __spark_entry__ as e
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").getOrCreate())
+    import os
+
+    spark = (SparkSession.builder.master("local[8]")
+             .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTS", "8"))
+             .config("spark.sql.adaptive.enabled", os.environ.get("AQE", "true"))
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     qs, sqls = e.queries(), e.oracle_sql()
