@@ -23,7 +23,7 @@ from marketml.operators.evaluate import metrics_dict
 from marketml.operators.split import market_key, with_fold, with_split, with_validation
 from marketml.plans import models, tuning
 from marketml.plans.report import RunRecord
-from marketml.session import scratch_path, scratch_scope
+from marketml.session import path_exists, scratch_path, scratch_scope
 from marketml.sources.market import FEATURES, KEYS, LABEL, build_market
 
 # The reference's tuning grids and fold counts per family.
@@ -47,7 +47,7 @@ def market_table(spark: SparkSession, sf_dir: str, grain: str = "month",
     folder and re-read by every later query of that session."""
     key = (spark.sparkContext.applicationId, sf_dir, grain, level)
     path = _MARKETS.get(key)
-    if path is None:
+    if path is None or not path_exists(spark, path):
         # Intermediate facts and sort tables are dropped once the market
         # table itself is written.
         with scratch_scope(spark):

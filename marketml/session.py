@@ -84,6 +84,12 @@ def scratch_scope(spark: SparkSession):
         delete_paths(spark, paths)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp))
+
+
 def delete_paths(spark: SparkSession, paths) -> None:
     """Recursively delete paths through the Hadoop FileSystem API (works for
     any cluster file system, not only the local one)."""
