@@ -84,9 +84,36 @@ def market_facts(spark: SparkSession, sf_dir: str, grain: str = "month",
     )
 
 
-def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *KEYS)) -> DataFrame:
-    """Facts -> one row per key: counts, sums and exact medians."""
+def _median_inputs():
+    return {
+        "median_list_price": F.col("l_extendedprice"),
+        "median_ppsf": F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
+        "median_sale_price": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+    }
+
+
+def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *KEYS),
+                     exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    """Facts -> one row per key: counts, sums and medians.
+
+    ``exact=True`` (default) uses the distributed exact quantile operator.
+    ``exact=False`` is the one-pass option for very large inputs: the
+    medians come from ``percentile_approx`` sketches (bounded memory per
+    group, merged map-side) inside the same aggregation as the sums, with
+    rank error at most 1/``accuracy``."""
     keys = list(keys)
+    if not exact:
+        line = facts.groupBy(*keys).agg(*[
+            F.percentile_approx(e, 0.5, accuracy).alias(n) for n, e in _median_inputs().items()])
+        orders = facts.groupBy(*keys, "l_orderkey").agg(
+            F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("qty"),
+            F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_pct"),
+        ).groupBy(*keys).agg(
+            F.sum("lines").alias("homes_sold"), F.count(F.lit(1)).alias("new_listings"),
+            F.sum("qty").alias("inventory"), F.sum("disc_pct").alias("disc_pct"))
+        return orders.join(line, keys).select(
+            *keys, "homes_sold", "new_listings", "inventory", *MEDIANS,
+            (1 - F.col("disc_pct").cast("double") / (100 * F.col("homes_sold"))).alias("avg_sale_to_list"))
     per_order = facts.groupBy(*keys, "l_orderkey").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum("l_quantity").alias("qty"),
@@ -98,15 +125,8 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
         F.sum("qty").alias("inventory"),
         F.sum("disc_pct").alias("disc_pct"),
     )
-    medians = exact_median(
-        facts, keys,
-        {
-            "median_list_price": F.col("l_extendedprice"),
-            "median_ppsf": F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
-            "median_sale_price": F.col("l_extendedprice") * (1 - F.col("l_discount")),
-        },
-        tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
-    )
+    medians = exact_median(facts, keys, _median_inputs(),
+                           tiebreak=F.xxhash64("l_orderkey", "l_linenumber"))
     # Both sides hold one row per group.  Left join, NULL-safe on the keys,
     # so a group whose values are all NULL keeps its row (NULL medians).
     m = medians.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *MEDIANS)
@@ -120,10 +140,10 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
 
 
 def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
-                 level: str = "nation") -> DataFrame:
+                 level: str = "nation", exact: bool = True) -> DataFrame:
     """The market table at one level: ``region_id, period_begin`` + features + label."""
     facts = materialize(market_facts(spark, sf_dir, grain, (level,)), "market-facts")
-    return aggregate_market(facts).drop("region_level")
+    return aggregate_market(facts, exact=exact).drop("region_level")
 
 
 def build_market_levels(spark: SparkSession, sf_dir: str, grain: str = "month",
