@@ -217,3 +217,23 @@ def test_reference_workflow_gbt_with_eda_and_ablation(spark, tmp_path):
     assert out["series_head"].count() == 10
     assert out["correlation"].count() == 16 * 17 // 2
     assert out["summary"].count() == 5
+
+
+@pytest.mark.parametrize("family", ["linear", "tree", "forest", "gbt"])
+def test_prediction_invariants(spark, train, test_rows, family):
+    tr = models.canonical(train, KEYS)
+    params = {"maxIter": 5} if family == "gbt" else {}
+    pred = models.fit(tr, family, FEATURES, LABEL, **params).transform(test_rows)
+    m = metrics_dict(pred, LABEL)
+    assert m["n"] == test_rows.count()
+    assert m["r2"] <= 1.0 and m["rmse"] >= 0.0
+    assert pred.where(F.col("prediction").isNull()).count() == 0
+
+
+def test_same_seed_same_boosted_predictions(spark, train, test_rows):
+    def run():
+        tr = models.canonical(train, KEYS)
+        p = models.fit(tr, "gbt", FEATURES, LABEL, maxIter=5, subsamplingRate=0.7)
+        return sorted(r.prediction for r in p.transform(test_rows).select("prediction").collect())
+
+    assert run() == run()
