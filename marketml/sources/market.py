@@ -103,15 +103,17 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
     rank error at most 1/``accuracy``."""
     keys = list(keys)
     if not exact:
-        line = facts.groupBy(*keys).agg(*[
-            F.percentile_approx(e, 0.5, accuracy).alias(n) for n, e in _median_inputs().items()])
-        orders = facts.groupBy(*keys, "l_orderkey").agg(
-            F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("qty"),
+        # One aggregation: the single distinct (orders) is planned keyed on
+        # (group, order key), which the join output already satisfies, and
+        # the sketches merge map-side.
+        out = facts.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("homes_sold"),
+            F.count_distinct("l_orderkey").alias("new_listings"),
+            F.sum("l_quantity").alias("inventory"),
+            *[F.percentile_approx(e, 0.5, accuracy).alias(n) for n, e in _median_inputs().items()],
             F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_pct"),
-        ).groupBy(*keys).agg(
-            F.sum("lines").alias("homes_sold"), F.count(F.lit(1)).alias("new_listings"),
-            F.sum("qty").alias("inventory"), F.sum("disc_pct").alias("disc_pct"))
-        return orders.join(line, keys).select(
+        )
+        return out.select(
             *keys, "homes_sold", "new_listings", "inventory", *MEDIANS,
             (1 - F.col("disc_pct").cast("double") / (100 * F.col("homes_sold"))).alias("avg_sale_to_list"))
     per_order = facts.groupBy(*keys, "l_orderkey").agg(
@@ -141,8 +143,13 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
 
 def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
                  level: str = "nation", exact: bool = True) -> DataFrame:
-    """The market table at one level: ``region_id, period_begin`` + features + label."""
-    facts = materialize(market_facts(spark, sf_dir, grain, (level,)), "market-facts")
+    """The market table at one level: ``region_id, period_begin`` + features + label.
+
+    The exact build reads the join output three times, so it is written once
+    first; the approximate build is a single pass over the join."""
+    facts = market_facts(spark, sf_dir, grain, (level,))
+    if exact:
+        facts = materialize(facts, "market-facts")
     return aggregate_market(facts, exact=exact).drop("region_level")
 
 
