@@ -8,6 +8,7 @@ here reads settings from that session.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -58,14 +59,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(write_scratch(df, label))
 
 
-_TRACKERS: list[list[str]] = []
+# Per-thread stacks, so a cleanup scope only sees writes made by its own
+# thread (queries may run from several driver threads).
+_LOCAL = threading.local()
+
+
+def _trackers() -> list[list[str]]:
+    if not hasattr(_LOCAL, "stack"):
+        _LOCAL.stack = []
+    return _LOCAL.stack
 
 
 def write_scratch(df: DataFrame, label: str) -> str:
     """Write ``df`` as Parquet to a fresh path in the shared folder."""
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
-    for t in _TRACKERS:
+    for t in _trackers():
         t.append(path)
     return path
 
@@ -76,11 +85,11 @@ def scratch_scope(spark: SparkSession):
     on exit.  Use it once nothing lazy still reads them (for example after
     the final result has itself been written)."""
     paths: list[str] = []
-    _TRACKERS.append(paths)
+    _trackers().append(paths)
     try:
         yield paths
     finally:
-        _TRACKERS.remove(paths)
+        _trackers().remove(paths)
         delete_paths(spark, paths)
 
 
