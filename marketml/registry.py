@@ -581,6 +581,19 @@ def q_linreg_importance(spark, sf):
     return c.where(F.col("term") != "intercept").orderBy(F.desc("abs_coefficient"))
 
 
+def q_market_approx(spark, sf):
+    """One-pass market build with percentile_approx medians (scale option;
+    no exact oracle)."""
+    return mk.build_market(spark, sf, "month", exact=False)
+
+
+def q_summary_approx(spark, sf):
+    """describe + percentile_approx quartiles in one pass (G4 scale option)."""
+    s = profile.summary(_market(spark, sf), MODEL_COLS, exact=False)
+    return s.select("column_name", "count", _r("mean", R4), _r("stddev", R4), "min",
+                    "p25", "p50", "p75", "max")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }

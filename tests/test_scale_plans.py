@@ -90,3 +90,13 @@ def test_market_sums_partially_aggregate_before_exchange(spark):
     assert len(exchanges) == 2
     # Every exchange is fed by a partial HashAggregate (map-side combine).
     assert all("HashAggregate" in lines[i + 1] for i in exchanges)
+
+
+def test_approx_summary_quartiles_are_data_values_near_exact(spark):
+    ap = {r.column_name: r for r in QUERIES["summary_approx"](spark, SF).collect()}
+    ex = {r.column_name: r for r in QUERIES["summary_quartiles"](spark, SF).collect()}
+    assert set(ap) == set(ex)
+    for c, r in ap.items():
+        span = ex[c]["max"] - ex[c]["min"]
+        for p in ("p25", "p50", "p75"):
+            assert abs(r[p] - ex[c][p]) <= 0.05 * span + 1e-9
