@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from marketml.functions.scalar import elapsed_hms, to_double
 from marketml.operators import clean, evaluate, features, profile, split
+from marketml.operators.quantiles import exact_quantiles
 from marketml.plans import models, report, tuning, workflows
 from marketml.session import scratch_path
 from marketml.sources import market as mk
@@ -594,6 +595,16 @@ def q_summary_approx(spark, sf):
                     "p25", "p50", "p75", "max")
 
 
+def q_summary_by_level(spark, sf):
+    """Exact quartiles of the label per region granularity (G4 over S6):
+    grouped quantiles at p = 0.25, 0.5, 0.75."""
+    levels = mk.build_market_levels(spark, sf, "month")
+    q = exact_quantiles(levels, ["region_level"], [LABEL], (0.25, 0.5, 0.75))
+    n = levels.groupBy("region_level").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(q, "region_level").select(
+        "region_level", "n", *[_r(f"{LABEL}_p{p}", R4) for p in (25, 50, 75)])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
@@ -858,6 +869,14 @@ SELECT b.reg_param AS best_reg_param, b.elastic_net_param AS best_elastic_net_pa
 FROM best b, (""" + _metrics_sql("pred") + ") m",
     "linreg_cv_fold_rmse": _with(*BASE, *_CV) + """
 SELECT reg_param, elastic_net_param, fold, n, round(rmse, 4) AS rmse FROM fold_rmse""",
+    "summary_by_level": _with("levels AS (" + _union([
+        f"SELECT '{lv}' AS region_level, * FROM ({mk.market_sql('month', lv)}) m{i}"
+        for i, lv in enumerate(mk.LEVELS)]) + ")") + """
+SELECT region_level, count(*) AS n,
+  round(quantile_cont(median_sale_price, 0.25), 4) AS median_sale_price_p25,
+  round(quantile_cont(median_sale_price, 0.5), 4) AS median_sale_price_p50,
+  round(quantile_cont(median_sale_price, 0.75), 4) AS median_sale_price_p75
+FROM levels GROUP BY region_level""",
     "linreg_cv_candidates": _with(*BASE, *_CV) + """
 SELECT reg_param, elastic_net_param, round(cv_rmse, 4) AS avg_rmse, round(sd, 4) AS std_rmse,
   point = (SELECT point FROM best) AS is_best
