@@ -160,7 +160,7 @@ def regression_report(spark: SparkSession, df: DataFrame, features: Sequence[str
         train = frame.where(F.col("split") == "train")
         imp = models.coefficients(spark, run.baseline_model, run.features,
                                   models.feature_stddevs(train, run.features))
-        imp = imp.orderBy(F.desc("abs_coefficient"))
+        imp = imp.where(F.col("term") != "intercept").orderBy(F.desc("abs_coefficient"))
     else:
         imp = models.importances(spark, run.baseline_model, run.features, family)
     out = {"comparison": cmp_, "status": stage_status(cmp_), "importance": imp}

@@ -237,3 +237,18 @@ def test_same_seed_same_boosted_predictions(spark, train, test_rows):
         return sorted(r.prediction for r in p.transform(test_rows).select("prediction").collect())
 
     assert run() == run()
+
+
+def test_reference_workflow_linear_preset(spark, tmp_path):
+    c = F.col
+    extra = {
+        "pending_sales": c("new_listings"), "months_of_supply": c("inventory") / c("homes_sold"),
+        "median_dom": c("homes_sold") % 11, "sold_above_list": c("new_listings") % 3,
+        "price_drops": c("homes_sold") % 5, "off_market_in_two_weeks": c("inventory") % 7,
+    }
+    path = _tracker_csv(spark, tmp_path / "l", extra=extra)
+    out = workflows.reference_workflow(spark, path, "linear", keys=["region_id", "period_begin"],
+                                       grid={"regParam": [0.1], "elasticNetParam": [0.0, 1.0]})
+    imp = out["importance"].collect()
+    assert len(imp) == 12 and imp[0].abs_coefficient >= imp[-1].abs_coefficient
+    assert {r.status for r in out["status"].collect()} == {"Completed"}
