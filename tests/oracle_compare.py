@@ -105,4 +105,6 @@ def main(names=None, sf_dir="/root/testdata/sf0.01"):
 
 
 if __name__ == "__main__":
-    sys.exit(main(sys.argv[1:] or None))
+    import os
+
+    sys.exit(main(sys.argv[1:] or None, os.environ.get("SF_DIR", "/root/testdata/sf0.01")))
