@@ -22,18 +22,14 @@ from pyspark.sql import functions as F
 from marketml.operators.evaluate import metrics_dict
 from marketml.operators.split import market_key, with_fold, with_split, with_validation
 from marketml.plans import models, tuning
+from marketml.plans.presets import PRESETS
 from marketml.plans.report import RunRecord
 from marketml.session import path_exists, scratch_path, scratch_scope
 from marketml.sources.market import FEATURES, KEYS, LABEL, build_market
 
-# The reference's tuning grids and fold counts per family.
-REFERENCE_GRIDS: dict[str, dict[str, list]] = {
-    "linear": {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
-    "tree": {"maxDepth": [3, 5, 7]},
-    "forest": {"numTrees": [5], "maxDepth": [3]},
-    "gbt": {"maxDepth": [3, 5], "maxIter": [50]},
-}
-REFERENCE_FOLDS = {"linear": 3, "tree": 3, "forest": 2, "gbt": 3}
+# The reference's tuning grids and fold counts per family (from the presets).
+REFERENCE_GRIDS: dict[str, dict[str, list]] = {p.family: p.grid for p in PRESETS.values()}
+REFERENCE_FOLDS: dict[str, int] = {p.family: p.folds for p in PRESETS.values()}
 # Candidate fits in flight at once.  The reference used 1 or 2; small fits
 # are bound by per-job latency, so overlapping them pays off.
 TUNING_PARALLELISM = 4
@@ -205,7 +201,7 @@ def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "
     columns themselves are hashed, which is still layout-independent.
     """
     from marketml.operators.clean import drop_missing, prepare
-    from marketml.plans.presets import HEATMAP_COLUMNS, PRESETS, SUMMARY_COLUMNS
+    from marketml.plans.presets import HEATMAP_COLUMNS, SUMMARY_COLUMNS
     from marketml.sources.tables import drop_columns, read_table
 
     preset = PRESETS[script]
