@@ -15,8 +15,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a small side may hold before a join falls back to a shuffle join.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Rows a small side may hold before a join falls back to a shuffle join
+# (the quantile target rows are ~80 bytes, so about 80 MB at the cap).
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
