@@ -252,3 +252,12 @@ def test_reference_workflow_linear_preset(spark, tmp_path):
     imp = out["importance"].collect()
     assert len(imp) == 12 and imp[0].abs_coefficient >= imp[-1].abs_coefficient
     assert {r.status for r in out["status"].collect()} == {"Completed"}
+
+
+def test_sf001_full_sample_two_feature_fit(spark, frame):
+    feats = ["median_list_price", "homes_sold"]
+    model = models.fit(frame, "linear", feats, LABEL)
+    lr = models.regressor(model)
+    assert list(lr.coefficients) == pytest.approx([0.93742937, 2.57701839], abs=1e-8)
+    assert lr.intercept == pytest.approx(570.61128, abs=1e-4)
+    assert metrics_dict(model.transform(frame), LABEL)["r2"] == pytest.approx(0.98458, abs=1e-5)
