@@ -112,6 +112,16 @@ def _linear_grid(est):
     return tuning.grid(est, LINEAR_GRID)
 
 
+def _grid_array(maps):
+    """The linear grid as an array literal of (point, reg_param,
+    elastic_net_param) structs, attached to rows with explode/element_at."""
+    return F.array(*[
+        F.struct(F.lit(i).alias("point"), F.lit(r["regParam"]).alias("reg_param"),
+                 F.lit(r["elasticNetParam"]).alias("elastic_net_param"))
+        for i, r in enumerate(tuning.grid_rows(maps))
+    ])
+
+
 # ---------------------------------------------------------------------------
 # 1 sources
 
@@ -387,16 +397,11 @@ def q_gbt_importance(spark, sf):
 def q_param_grid(spark, sf):
     train, _ = _train_test(spark, sf)
     pipe = models.pipeline("linear", LIN1, LABEL)
-    rows = tuning.grid_rows(_linear_grid(pipe.getStages()[-1]))
+    grid = _grid_array(_linear_grid(pipe.getStages()[-1]))
     counts = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n_eval"))
     # A window over the k fold counts (k rows), not over data rows.
     total = F.sum("n_eval").over(Window.partitionBy())
     counts = counts.select("fold", "n_eval", (total - F.col("n_eval")).alias("n_fit"))
-    grid = F.array(*[
-        F.struct(F.lit(i).alias("point"), F.lit(r["regParam"]).alias("reg_param"),
-                 F.lit(r["elasticNetParam"]).alias("elastic_net_param"))
-        for i, r in enumerate(rows)
-    ])
     return counts.select(F.explode(grid).alias("g"), "fold", "n_fit", "n_eval").select(
         "g.point", "g.reg_param", "g.elastic_net_param", "fold", "n_fit", "n_eval")
 
@@ -439,12 +444,7 @@ def q_linreg_tvs(spark, sf):
 def q_linreg_cv_fold_rmse(spark, sf):
     cv, maps, train, _ = _linreg_cv(spark, sf, sub_models=True)
     fm = tuning.fold_metrics(cv, train, "fold", LABEL)
-    grid = F.array(*[
-        F.struct(F.lit(i).alias("point"), F.lit(r["regParam"]).alias("reg_param"),
-                 F.lit(r["elasticNetParam"]).alias("elastic_net_param"))
-        for i, r in enumerate(tuning.grid_rows(maps))
-    ])
-    g = F.element_at(grid, F.col("point") + 1)
+    g = F.element_at(_grid_array(maps), F.col("point") + 1)
     return fm.select(g["reg_param"].alias("reg_param"), g["elastic_net_param"].alias("elastic_net_param"),
                      "fold", "n", _r("rmse", R4))
 
@@ -556,12 +556,7 @@ def q_market_day(spark, sf):
 def q_linreg_cv_candidates(spark, sf):
     cv, maps, _, _ = _linreg_cv(spark, sf)
     cand = tuning.candidate_table(spark, cv, maps)
-    grid = F.array(*[
-        F.struct(F.lit(r["regParam"]).alias("reg_param"),
-                 F.lit(r["elasticNetParam"]).alias("elastic_net_param"))
-        for r in tuning.grid_rows(maps)
-    ])
-    g = F.element_at(grid, F.col("point") + 1)
+    g = F.element_at(_grid_array(maps), F.col("point") + 1)
     return cand.select(g["reg_param"].alias("reg_param"), g["elastic_net_param"].alias("elastic_net_param"),
                        _r("avg_rmse", R4), _r("std_rmse", R4), "is_best")
 
