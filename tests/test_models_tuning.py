@@ -261,3 +261,14 @@ def test_sf001_full_sample_two_feature_fit(spark, frame):
     assert list(lr.coefficients) == pytest.approx([0.93742937, 2.57701839], abs=1e-8)
     assert lr.intercept == pytest.approx(570.61128, abs=1e-4)
     assert metrics_dict(model.transform(frame), LABEL)["r2"] == pytest.approx(0.98458, abs=1e-5)
+
+
+def test_cli_runs_a_reference_script(spark, tmp_path, capsys):
+    from marketml.__main__ import main
+
+    path = _tracker_csv(spark, tmp_path / "cli")
+    out = str(tmp_path / "out")
+    assert main(["forest", path, "--keys", "region_id,period_begin", "--no-tune", "--out", out, "--rows", "3"]) == 0
+    text = capsys.readouterr().out
+    assert "=== comparison ===" in text and "=== importance ===" in text
+    assert spark.read.parquet(f"{out}/importance").count() == 4
