@@ -2,8 +2,9 @@
 
 Spark's ``percentile``/``median`` aggregates keep every distinct value of a
 group in one buffer for the final merge, so a group holding a third of the
-rows would land in a single task.  This operator reaches the same exact
-answer with a range sort instead:
+rows would land in a single task.  Two exact methods avoid that.
+
+``method="sort"`` - distributed rank selection over all values:
 
 1. stack the value columns into one long table ``(keys, metric, value)``;
 2. ``repartitionByRange`` on ``(keys, metric, value, tiebreak)`` so a hot
@@ -15,10 +16,27 @@ answer with a range sort instead:
    ids for the two passes below and cuts lineage;
 4. pass 1 aggregates per (group, partition) segment: first id and row count;
    a window over this small table gives each segment its rank offset;
-5. the wanted ranks (floor and ceil of ``(n-1)p``) become a small table of
-   row ids (two per group, metric and probability), joined back in pass 2
+5. the wanted ranks become a small table of row ids, joined back in pass 2
    with a size-checked broadcast.
 
+``method="bracket"`` (default) - the same selection on a tiny subset:
+
+1. one aggregation builds a ``percentile_approx`` sketch per group and reads
+   two values around each wanted probability (``p -/+ delta``): a bracket
+   whose ranks contain the wanted rank (the sketch's rank error is at most
+   ``n / accuracy``);
+2. one counting pass (combined map-side) gives, per group, the rows below
+   and at each bracket end; a wanted rank that falls on a bracket end is
+   answered from the counts alone, so runs of equal values never move;
+3. only rows strictly inside a bracket (about ``4n / accuracy`` per group at
+   most) go through the sort method above;
+4. a group whose bracket does not hold its rank (not expected; the check is
+   exact) is recomputed with the sort method.
+
+The bracket method scans the data three times (column-pruned) but shuffles
+only sketches, counts and the bracket interiors, where the sort method
+shuffles every value once.
+
 Interpolation matches Spark's ``percentile`` and SQL ``quantile_cont``:
 ``lo * (1 - d) + hi * d`` with ``d = pos - floor(pos)``.  NULLs are skipped.
 """
@@ -32,6 +50,10 @@ from pyspark.sql import functions as F
 
 from marketml.session import join_small, materialize
 
+METHODS = ("bracket", "sort")
+# Bracket half-width in units of the sketch's rank error (1 / accuracy).
+BRACKET_SLACK = 2.0
+
 
 def _value_exprs(values) -> list[tuple[str, Column]]:
     if isinstance(values, Mapping):
@@ -40,6 +62,150 @@ def _value_exprs(values) -> list[tuple[str, Column]]:
     return [(name, F.col(name)) for name in values]
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                    how: str = "inner") -> DataFrame:
+    """Join on ``keys`` treating NULL keys as equal.  ``right`` is the small
+    side and should be materialised: it is broadcast after a row-count
+    check, else the join shuffles."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                     *[c for c in right.columns if c not in keys])
+    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    out = join_small(left, r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
+
+
+def _rank_select(stacked: DataFrame, gkeys: Sequence[str], want, num_partitions: int | None):
+    """Fetch values at given 0-based ranks within each group.
+
+    ``stacked`` has ``(*gkeys, _v, _t)``.  ``want(counts)`` receives
+    ``(*gkeys, _n)`` (rows per group) and returns the wanted ranks as
+    ``(*gkeys, _w, _r, ...)``.  Returns the wanted rows with ``_v`` added.
+    """
+    gkeys = list(gkeys)
+    order = [*gkeys, "_v", "_t"]
+    spread = (stacked.repartitionByRange(num_partitions, *order) if num_partitions
+              else stacked.repartitionByRange(*order))
+    ranked = materialize(
+        spread.sortWithinPartitions(*order)
+        .select(*gkeys, "_v", F.monotonically_increasing_id().alias("_rid")),
+        "quantile-ranked",
+    )
+    # Pass 1: one row per (group, partition) segment, with its rank offset.
+    seg = ranked.groupBy(*gkeys, F.shiftright("_rid", 33).alias("_pid")).agg(
+        F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    grp = Window.partitionBy(*gkeys)
+    seg = materialize(seg.select(
+        "*",
+        F.coalesce(F.sum("_cnt").over(grp.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(grp).alias("_gn"),
+    ), "quantile-segments")
+    counts = seg.select(*gkeys, F.col("_gn").alias("_n")).dropDuplicates(gkeys)
+    wanted = want(counts)  # small, derived from materialised tables
+    hits = _null_safe_join(seg, wanted, gkeys).where(
+        (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_cnt")))
+    targets = materialize(
+        hits.withColumn("_rid", F.col("_first") + F.col("_r") - F.col("_off"))
+        .drop("_pid", "_first", "_cnt", "_off", "_gn"),
+        "quantile-targets")
+    # Pass 2: fetch the wanted rows by id.
+    return join_small(ranked.select("_rid", "_v"), targets, on="_rid").drop("_rid")
+
+
+def _interpolate(picked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, _m, _p, _pos, _n, _w, _v)`` with lo/hi rows -> ``_q``."""
+    lo = F.max(F.when(F.col("_w") == "lo", F.col("_v")))
+    hi = F.max(F.when(F.col("_w") == "hi", F.col("_v")))
+    out = picked.groupBy(*keys, "_m", "_p", "_pos", "_n").agg(lo.alias("_lo"), hi.alias("_hi"))
+    frac = F.col("_pos") - F.floor("_pos")
+    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+        F.col("_lo") * (1 - frac) + F.col("_hi") * frac)
+    return out.select(*keys, "_m", "_p", "_n", q.alias("_q"))
+
+
+def _wanted_ranks(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``(..., _n)`` -> ``(..., _p, _pos, _w, _r)``: floor and ceil of (n-1)p."""
+    pos = (F.col("_n") - 1).cast("double") * F.col("_p")
+    return (
+        counts.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
+        .select("*", pos.alias("_pos"), F.explode(F.array(
+            F.struct(F.lit("lo").alias("w"), F.floor(pos).cast("long").alias("r")),
+            F.struct(F.lit("hi").alias("w"), F.ceil(pos).cast("long").alias("r")),
+        )).alias("_x"))
+        .select(*counts.columns, "_p", "_pos", F.col("_x.w").alias("_w"), F.col("_x.r").alias("_r"))
+    )
+
+
+def _sort_method(stacked, keys, probs, num_partitions):
+    picked = _rank_select(stacked, [*keys, "_m"], lambda c: _wanted_ranks(c, probs), num_partitions)
+    return _interpolate(picked, keys)
+
+
+def _clip(x: float) -> float:
+    return min(1.0, max(0.0, x))
+
+
+def _bracket_method(stacked, keys, probs, accuracy, num_partitions):
+    gk = [*keys, "_m"]
+    delta = BRACKET_SLACK / accuracy
+    ends = sorted({_clip(p + s * delta) for p in probs for s in (-1, 1)})
+    at = {e: i + 1 for i, e in enumerate(ends)}  # element_at is 1-based
+    sketch = stacked.groupBy(*gk).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"))
+    lo_e = hi_e = None
+    for p in probs:
+        is_p = F.col("_p") == F.lit(float(p))
+        a = F.element_at("_e", at[_clip(p - delta)])
+        b = F.element_at("_e", at[_clip(p + delta)])
+        lo_e = F.when(is_p, a) if lo_e is None else lo_e.when(is_p, a)
+        hi_e = F.when(is_p, b) if hi_e is None else hi_e.when(is_p, b)
+    bounds = materialize(
+        _wanted_ranks(sketch, probs).select(*gk, "_n", "_p", "_pos", "_w", "_r",
+                                            lo_e.alias("_a"), hi_e.alias("_b")),
+        "quantile-brackets")
+
+    # Counting pass: where each wanted rank sits relative to its bracket.
+    per_p = bounds.select(*gk, "_p", "_a", "_b").dropDuplicates([*gk, "_p"])
+    v = F.col("_v")
+    cnt = _null_safe_join(stacked.select(*gk, "_v"), per_p, gk).groupBy(*gk, "_p").agg(
+        F.count_if(v < F.col("_a")).alias("_lt_a"), F.count_if(v <= F.col("_a")).alias("_le_a"),
+        F.count_if(v < F.col("_b")).alias("_lt_b"), F.count_if(v <= F.col("_b")).alias("_le_b"))
+    cnt = materialize(cnt, "quantile-bracket-counts")
+    b2 = materialize(_null_safe_join(bounds, cnt, [*gk, "_p"]), "quantile-bracket-ranks")
+    r = F.col("_r")
+    ok = (r >= F.col("_lt_a")) & (r < F.col("_le_b"))
+    at_a = ok & (r < F.col("_le_a"))
+    at_b = ok & ~at_a & (r >= F.col("_lt_b"))
+    inside = ok & ~at_a & ~at_b
+    parts = [b2.where(at_a | at_b).select(
+        *gk, "_p", "_pos", "_n", "_w", F.when(at_a, F.col("_a")).otherwise(F.col("_b")).alias("_v"))]
+
+    # Ranks strictly inside a bracket: select among the interior rows only.
+    need = materialize(b2.where(inside).select(*gk, "_p", "_pos", "_n", "_w", "_a", "_b",
+                                               (r - F.col("_le_a")).alias("_r")),
+                       "quantile-inside")
+    if need.count() > 0:
+        ranges = need.select(*gk, "_p", "_a", "_b").dropDuplicates([*gk, "_p"])
+        sub = _null_safe_join(stacked, ranges, gk).where(
+            (F.col("_v") > F.col("_a")) & (F.col("_v") < F.col("_b"))).drop("_a", "_b")
+        picked = _rank_select(sub, [*gk, "_p"],
+                              lambda _: need.select(*gk, "_p", "_pos", "_n", "_w", "_r"),
+                              num_partitions)
+        parts.append(picked.select(*gk, "_p", "_pos", "_n", "_w", "_v"))
+
+    # Groups whose bracket missed (not expected): the sort method for them.
+    bad = b2.where(~ok).select(*gk).dropDuplicates()
+    if bad.count() > 0:
+        parts = [_null_safe_join(p, bad, gk, "left_anti") for p in parts]
+        retry = _null_safe_join(stacked, bad, gk, "left_semi")
+        full = _rank_select(retry, gk, lambda c: _wanted_ranks(c, probs), num_partitions)
+        parts.append(full.select(*gk, "_p", "_pos", "_n", "_w", "_v"))
+    picked = parts[0]
+    for p in parts[1:]:
+        picked = picked.unionByName(p)
+    return _interpolate(picked, keys)
+
+
 def exact_quantiles_long(
     df: DataFrame,
     keys: Sequence[str],
@@ -47,6 +213,8 @@ def exact_quantiles_long(
     probs: Sequence[float] = (0.5,),
     tiebreak: Column | None = None,
     num_partitions: int | None = None,
+    method: str = "bracket",
+    accuracy: int = 10000,
 ) -> DataFrame:
     """Exact quantiles per group, long form.
 
@@ -60,12 +228,13 @@ def exact_quantiles_long(
     ``num_partitions`` fixes the range-partition count; by default the
     session's shuffle settings decide (``spark.sql.shuffle.partitions`` or
     AQE's initial partition number) and AQE merges small neighbours, which
-    keeps the global order.
+    keeps the global order.  ``accuracy`` sizes the bracket sketches.
     """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
     keys = list(keys)
     exprs = _value_exprs(values)
     tb = tiebreak if tiebreak is not None else F.xxhash64(*[F.col(c) for c in df.columns])
-
     stacked = (
         df.select(
             *[F.col(k) for k in keys],
@@ -78,68 +247,17 @@ def exact_quantiles_long(
         .select(*keys, "_t", F.col("_s.m").alias("_m"), F.col("_s.v").alias("_v"))
         .where(F.col("_v").isNotNull())
     )
-    order = [*keys, "_m", "_v", "_t"]
-    spread = (stacked.repartitionByRange(num_partitions, *order) if num_partitions
-              else stacked.repartitionByRange(*order))
-    ranked = materialize(
-        spread
-        .sortWithinPartitions(*order)
-        .select(*keys, "_m", "_v", F.monotonically_increasing_id().alias("_rid")),
-        "quantile-ranked",
-    )
-
-    # Pass 1: one row per (group, metric, partition) segment.
-    seg = ranked.groupBy(*keys, "_m", F.shiftright("_rid", 33).alias("_pid")).agg(
-        F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_cnt")
-    )
-    grp = Window.partitionBy(*keys, "_m")
-    seg = seg.select(
-        "*",
-        F.coalesce(
-            F.sum("_cnt").over(grp.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_off"),
-        F.sum("_cnt").over(grp).alias("_n"),
-    )
-    pos = (F.col("_n") - 1).cast("double") * F.col("_p")
-    targets = (
-        seg.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
-        .select(
-            "*",
-            pos.alias("_pos"),
-            F.explode(F.array(
-                F.struct(F.lit("lo").alias("w"), F.floor(pos).cast("long").alias("r")),
-                F.struct(F.lit("hi").alias("w"), F.ceil(pos).cast("long").alias("r")),
-            )).alias("_want"),
-        )
-        .where(
-            (F.col("_want.r") >= F.col("_off"))
-            & (F.col("_want.r") < F.col("_off") + F.col("_cnt"))
-        )
-        .select(
-            *keys, "_m", "_p", "_pos", "_n",
-            F.col("_want.w").alias("_w"),
-            (F.col("_first") + F.col("_want.r") - F.col("_off")).alias("_rid"),
-        )
-    )
-    targets = materialize(targets, "quantile-targets")
-
-    # Pass 2: fetch the wanted rows by id.
-    picked = join_small(ranked.select("_rid", "_v"), targets, on="_rid")
-    lo = F.max(F.when(F.col("_w") == "lo", F.col("_v")))
-    hi = F.max(F.when(F.col("_w") == "hi", F.col("_v")))
-    out = picked.groupBy(*keys, "_m", "_p", "_pos", "_n").agg(lo.alias("_lo"), hi.alias("_hi"))
-    frac = F.col("_pos") - F.floor("_pos")
-    quantile = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-        F.col("_lo") * (1 - frac) + F.col("_hi") * frac
-    )
+    if method == "sort":
+        out = _sort_method(stacked, keys, probs, num_partitions)
+    else:
+        out = _bracket_method(stacked, keys, probs, accuracy, num_partitions)
     names = F.element_at(F.array(*[F.lit(n) for n, _ in exprs]), F.col("_m") + 1)
     return out.select(
         *keys,
         names.alias("metric"),
         F.col("_p").alias("prob"),
         F.col("_n").alias("n"),
-        quantile.alias("quantile"),
+        F.col("_q").alias("quantile"),
     )
 
 
@@ -151,6 +269,8 @@ def exact_quantiles(
     names: Mapping[tuple[str, float], str] | None = None,
     tiebreak: Column | None = None,
     num_partitions: int | None = None,
+    method: str = "bracket",
+    accuracy: int = 10000,
 ) -> DataFrame:
     """Exact quantiles per group, wide form: one column per (value, prob).
 
@@ -158,7 +278,7 @@ def exact_quantiles(
     ``{value}_p{100*prob}`` otherwise; ``names`` overrides them.
     """
     exprs = _value_exprs(values)
-    long = exact_quantiles_long(df, keys, values, probs, tiebreak, num_partitions)
+    long = exact_quantiles_long(df, keys, values, probs, tiebreak, num_partitions, method, accuracy)
     cols = []
     for name, _ in exprs:
         for p in probs:

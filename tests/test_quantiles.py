@@ -3,8 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marketml.operators import quantiles as Q
 from marketml.operators.quantiles import exact_median, exact_quantiles, exact_quantiles_long
 
+METHODS = ["bracket", "sort"]
+
 
 def _skewed(spark, n=3000, seed=7):
     rnd = random.Random(seed)
@@ -19,9 +22,10 @@ def _skewed(spark, n=3000, seed=7):
     return spark.createDataFrame(rows, "id long, g int, v double, w double")
 
 
-def test_median_matches_spark_percentile(spark):
+@pytest.mark.parametrize("method", METHODS)
+def test_median_matches_spark_percentile(spark, method):
     df = _skewed(spark)
-    ours = exact_median(df, ["g"], ["v", "w"], tiebreak=F.xxhash64("id"))
+    ours = exact_median(df, ["g"], ["v", "w"], tiebreak=F.xxhash64("id"), method=method)
     ref = df.groupBy("g").agg(F.median("v").alias("rv"), F.median("w").alias("rw"))
     rows = ours.join(ref, "g").collect()
     assert len(rows) == 41
@@ -29,25 +33,47 @@ def test_median_matches_spark_percentile(spark):
         assert r.v == r.rv and r.w == r.rw
 
 
-@pytest.mark.parametrize("parts", [1, 3, 16])
-def test_quartiles_any_partitioning(spark, parts):
+@pytest.mark.parametrize("method,parts,accuracy", [
+    ("sort", 1, 10000), ("sort", 16, 10000), ("bracket", 3, 10000),
+    ("bracket", 8, 20),   # coarse sketches: wide brackets, interior selection
+])
+def test_quartiles_any_partitioning(spark, method, parts, accuracy):
     df = _skewed(spark)
     probs = (0.0, 0.25, 0.5, 0.9, 1.0)
-    ours = exact_quantiles(df, ["g"], ["v"], probs, num_partitions=parts)
+    ours = exact_quantiles(df, ["g"], ["v"], probs, num_partitions=parts, method=method,
+                           accuracy=accuracy)
     ref = df.groupBy("g").agg(*[F.percentile("v", p).alias(f"r{i}") for i, p in enumerate(probs)])
     for r in ours.join(ref, "g").collect():
         for i, p in enumerate(probs):
             assert r[f"v_p{round(p * 100)}"] == pytest.approx(r[f"r{i}"], rel=1e-15, abs=1e-12)
 
 
-def test_global_quantiles_and_counts(spark):
+def test_bracket_fallback_is_still_exact(spark, monkeypatch):
+    # Inverted brackets never hold the wanted rank, so every group takes the
+    # sort-method fallback.
+    monkeypatch.setattr(Q, "BRACKET_SLACK", -50.0)
     df = _skewed(spark)
-    long = exact_quantiles_long(df, [], ["v"], (0.5,))
+    ours = exact_quantiles(df, ["g"], ["v"], (0.25, 0.5), accuracy=100)
+    ref = df.groupBy("g").agg(F.percentile("v", 0.25).alias("a"), F.percentile("v", 0.5).alias("b"))
+    for r in ours.join(ref, "g").collect():
+        assert r.v_p25 == pytest.approx(r.a) and r.v_p50 == pytest.approx(r.b)
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_global_quantiles_and_counts(spark, method):
+    df = _skewed(spark)
+    long = exact_quantiles_long(df, [], ["v"], (0.5,), method=method)
     row = long.first()
     assert row.n == df.where(F.col("v").isNotNull()).count()
     assert row.quantile == df.agg(F.median("v")).first()[0]
 
 
+def test_null_group_keys(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0)], "g int, v double")
+    got = {r.g: r.v for r in exact_median(df, ["g"], ["v"]).collect()}
+    assert got == {None: 2.0, 1: 5.0}
+
+
 def test_hot_group_spreads_over_partitions(spark):
     """The hot group's rows sort into several range partitions, so no single
     task holds the whole group."""
