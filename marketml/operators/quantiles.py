@@ -147,21 +147,32 @@ def _clip(x: float) -> float:
 
 def _bracket_method(stacked, keys, probs, accuracy, num_partitions):
     gk = [*keys, "_m"]
-    delta = BRACKET_SLACK / accuracy
-    ends = sorted({_clip(p + s * delta) for p in probs for s in (-1, 1)})
+    # Half-widths to read around p.  A group needs at least 2/n (rank
+    # discretisation: the sketch returns a ceil-based rank, the wanted ranks
+    # are floor/ceil of (n-1)p) plus the sketch error, scaled by the slack;
+    # each group takes the narrowest width from this ladder that covers it.
+    base = BRACKET_SLACK / accuracy
+    ladder = sorted({base, 1e-3, 3e-3, 1e-2, 3e-2, 0.1, 0.3, 1.0})
+    ends = sorted({_clip(p + s * d) for p in probs for d in ladder for s in (-1, 1)})
     at = {e: i + 1 for i, e in enumerate(ends)}  # element_at is 1-based
     sketch = stacked.groupBy(*gk).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"))
+    need = 2.0 / F.col("_n") + F.lit(base)
+    k = None
+    for i, d in enumerate(ladder):
+        k = F.when(need <= d, i) if k is None else k.when(need <= d, i)
+    k = k.otherwise(len(ladder) - 1)
     lo_e = hi_e = None
     for p in probs:
-        is_p = F.col("_p") == F.lit(float(p))
-        a = F.element_at("_e", at[_clip(p - delta)])
-        b = F.element_at("_e", at[_clip(p + delta)])
-        lo_e = F.when(is_p, a) if lo_e is None else lo_e.when(is_p, a)
-        hi_e = F.when(is_p, b) if hi_e is None else hi_e.when(is_p, b)
+        for i, d in enumerate(ladder):
+            hit = (F.col("_p") == F.lit(float(p))) & (F.col("_k") == i)
+            a = F.element_at("_e", at[_clip(p - d)])
+            b = F.element_at("_e", at[_clip(p + d)])
+            lo_e = F.when(hit, a) if lo_e is None else lo_e.when(hit, a)
+            hi_e = F.when(hit, b) if hi_e is None else hi_e.when(hit, b)
     bounds = materialize(
-        _wanted_ranks(sketch, probs).select(*gk, "_n", "_p", "_pos", "_w", "_r",
-                                            lo_e.alias("_a"), hi_e.alias("_b")),
+        _wanted_ranks(sketch.withColumn("_k", k), probs).select(
+            *gk, "_n", "_p", "_pos", "_w", "_r", lo_e.alias("_a"), hi_e.alias("_b")),
         "quantile-brackets")
 
     # Counting pass: where each wanted rank sits relative to its bracket.
