@@ -86,3 +86,21 @@ def test_hot_group_spreads_over_partitions(spark):
                          "test-ranked")
     hot_parts = ranked.where("g = 0").select("pid").distinct().count()
     assert hot_parts >= 2
+
+
+@pytest.mark.parametrize("n,groups", [(3000, 40), (20000, 4)])
+def test_bracket_does_not_need_the_fallback(spark, monkeypatch, n, groups):
+    calls = []
+    orig = Q._rank_select
+
+    def spy(stacked, gkeys, want, parts):
+        calls.append(list(gkeys))
+        return orig(stacked, gkeys, want, parts)
+
+    monkeypatch.setattr(Q, "_rank_select", spy)
+    df = spark.range(n).select(
+        F.col("id"), (F.col("id") % groups).cast("int").alias("g"),
+        F.when(F.col("id") % 3 == 0, (F.col("id") % 6).cast("double")).otherwise(F.rand(3) * 100).alias("v"))
+    exact_quantiles(df, ["g"], ["v"], (0.0, 0.25, 0.5, 0.9, 1.0)).collect()
+    # Only the interior selection runs (its keys carry the probability).
+    assert all("_p" in c for c in calls)
