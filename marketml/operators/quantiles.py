@@ -19,7 +19,7 @@ rows would land in a single task.  Two exact methods avoid that.
 5. the wanted ranks become a small table of row ids, joined back in pass 2
    with a size-checked broadcast.
 
-``method="bracket"`` (default) - the same selection on a tiny subset:
+``method="bracket"`` - the same selection on a tiny subset:
 
 1. one aggregation builds a ``percentile_approx`` sketch per group and reads
    two values around each wanted probability (``p -/+ delta``): a bracket
@@ -35,7 +35,10 @@ rows would land in a single task.  Two exact methods avoid that.
 
 The bracket method scans the data three times (column-pruned) but shuffles
 only sketches, counts and the bracket interiors, where the sort method
-shuffles every value once.
+shuffles every value once.  ``method="auto"`` (default) counts values per
+group first (one cheap aggregation) and brackets only when the largest
+group reaches ``BRACKET_MIN_GROUP`` values; smaller groups gain nothing
+from a bracket (its width must cover a couple of ranks of a tiny group).
 
 Interpolation matches Spark's ``percentile`` and SQL ``quantile_cont``:
 ``lo * (1 - d) + hi * d`` with ``d = pos - floor(pos)``.  NULLs are skipped.
@@ -50,9 +53,12 @@ from pyspark.sql import functions as F
 
 from marketml.session import join_small, materialize
 
-METHODS = ("bracket", "sort")
+METHODS = ("auto", "bracket", "sort")
 # Bracket half-width in units of the sketch's rank error (1 / accuracy).
 BRACKET_SLACK = 2.0
+# "auto" brackets when the largest group has at least this many values:
+# below it, moving every value once costs less than the extra passes.
+BRACKET_MIN_GROUP = 1_000_000
 
 
 def _value_exprs(values) -> list[tuple[str, Column]]:
@@ -224,7 +230,7 @@ def exact_quantiles_long(
     probs: Sequence[float] = (0.5,),
     tiebreak: Column | None = None,
     num_partitions: int | None = None,
-    method: str = "bracket",
+    method: str = "auto",
     accuracy: int = 10000,
 ) -> DataFrame:
     """Exact quantiles per group, long form.
@@ -258,6 +264,9 @@ def exact_quantiles_long(
         .select(*keys, "_t", F.col("_s.m").alias("_m"), F.col("_s.v").alias("_v"))
         .where(F.col("_v").isNotNull())
     )
+    if method == "auto":
+        largest = stacked.groupBy(*keys, "_m").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
+        method = "bracket" if (largest or 0) >= BRACKET_MIN_GROUP else "sort"
     if method == "sort":
         out = _sort_method(stacked, keys, probs, num_partitions)
     else:
@@ -280,7 +289,7 @@ def exact_quantiles(
     names: Mapping[tuple[str, float], str] | None = None,
     tiebreak: Column | None = None,
     num_partitions: int | None = None,
-    method: str = "bracket",
+    method: str = "auto",
     accuracy: int = 10000,
 ) -> DataFrame:
     """Exact quantiles per group, wide form: one column per (value, prob).

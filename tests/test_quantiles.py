@@ -53,7 +53,7 @@ def test_bracket_fallback_is_still_exact(spark, monkeypatch):
     # sort-method fallback.
     monkeypatch.setattr(Q, "BRACKET_SLACK", -50.0)
     df = _skewed(spark)
-    ours = exact_quantiles(df, ["g"], ["v"], (0.25, 0.5), accuracy=100)
+    ours = exact_quantiles(df, ["g"], ["v"], (0.25, 0.5), accuracy=100, method="bracket")
     ref = df.groupBy("g").agg(F.percentile("v", 0.25).alias("a"), F.percentile("v", 0.5).alias("b"))
     for r in ours.join(ref, "g").collect():
         assert r.v_p25 == pytest.approx(r.a) and r.v_p50 == pytest.approx(r.b)
@@ -101,6 +101,18 @@ def test_bracket_does_not_need_the_fallback(spark, monkeypatch, n, groups):
     df = spark.range(n).select(
         F.col("id"), (F.col("id") % groups).cast("int").alias("g"),
         F.when(F.col("id") % 3 == 0, (F.col("id") % 6).cast("double")).otherwise(F.rand(3) * 100).alias("v"))
-    exact_quantiles(df, ["g"], ["v"], (0.0, 0.25, 0.5, 0.9, 1.0)).collect()
+    exact_quantiles(df, ["g"], ["v"], (0.0, 0.25, 0.5, 0.9, 1.0), method="bracket").collect()
     # Only the interior selection runs (its keys carry the probability).
     assert all("_p" in c for c in calls)
+
+
+def test_auto_picks_by_largest_group(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "_sort_method", lambda *a: seen.append("sort") or Q.__dict__["_interpolate"])
+    monkeypatch.setattr(Q, "BRACKET_MIN_GROUP", 10)
+    calls = []
+    orig = Q._bracket_method
+    monkeypatch.setattr(Q, "_bracket_method", lambda *a: calls.append("bracket") or orig(*a))
+    df = _skewed(spark, n=300)
+    exact_quantiles_long(df, ["g"], ["v"], (0.5,))
+    assert calls == ["bracket"] and seen == []
