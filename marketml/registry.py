@@ -21,7 +21,7 @@ from marketml.functions.scalar import elapsed_hms, to_double
 from marketml.operators import clean, evaluate, features, profile, split
 from marketml.operators.quantiles import exact_quantiles
 from marketml.plans import models, report, tuning, workflows
-from marketml.session import scratch_path
+from marketml.session import materialize, scratch_path
 from marketml.sources import market as mk
 from marketml.sources import tables
 
@@ -593,7 +593,8 @@ def q_summary_approx(spark, sf):
 def q_summary_by_level(spark, sf):
     """Exact quartiles of the label per region granularity (G4 over S6):
     grouped quantiles at p = 0.25, 0.5, 0.75."""
-    levels = mk.build_market_levels(spark, sf, "month")
+    # Written once: the counts and the quantiles both read it.
+    levels = materialize(mk.build_market_levels(spark, sf, "month"), "market-levels")
     q = exact_quantiles(levels, ["region_level"], [LABEL], (0.25, 0.5, 0.75))
     n = levels.groupBy("region_level").agg(F.count(F.lit(1)).alias("n"))
     return n.join(q, "region_level").select(
