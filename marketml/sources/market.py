@@ -93,7 +93,8 @@ def _median_inputs():
 
 
 def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *KEYS),
-                     exact: bool = True, accuracy: int = 10000) -> DataFrame:
+                     exact: bool = True, accuracy: int = 10000,
+                     quantile_method: str = "auto") -> DataFrame:
     """Facts -> one row per key: counts, sums and medians.
 
     ``exact=True`` (default) uses the distributed exact quantile operator.
@@ -128,7 +129,8 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
         F.sum("disc_pct").alias("disc_pct"),
     )
     medians = exact_median(facts, keys, _median_inputs(),
-                           tiebreak=F.xxhash64("l_orderkey", "l_linenumber"))
+                           tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
+                           method=quantile_method, accuracy=accuracy)
     # Both sides hold one row per group.  Left join, NULL-safe on the keys,
     # so a group whose values are all NULL keeps its row (NULL medians).
     m = medians.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *MEDIANS)
@@ -142,7 +144,8 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
 
 
 def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
-                 level: str = "nation", exact: bool = True) -> DataFrame:
+                 level: str = "nation", exact: bool = True,
+                 quantile_method: str = "auto") -> DataFrame:
     """The market table at one level: ``region_id, period_begin`` + features + label.
 
     The exact build reads the join output three times, so it is written once
@@ -150,7 +153,7 @@ def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
     facts = market_facts(spark, sf_dir, grain, (level,))
     if exact:
         facts = materialize(facts, "market-facts")
-    return aggregate_market(facts, exact=exact).drop("region_level")
+    return aggregate_market(facts, exact=exact, quantile_method=quantile_method).drop("region_level")
 
 
 def build_market_levels(spark: SparkSession, sf_dir: str, grain: str = "month",

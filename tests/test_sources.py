@@ -85,3 +85,9 @@ def test_elapsed_format_aggregates_before_exchange(spark):
     li_branch = [ln for ln in tree.splitlines()]
     assert any("HashAggregate" in ln for ln in li_branch)
     assert "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp_ntz>" in plan
+
+
+def test_market_same_with_every_quantile_method(spark):
+    sf = "/root/testdata/sf0.001"
+    got = [sorted(build_market(spark, sf, quantile_method=m).collect()) for m in ("sort", "bracket", "auto")]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 0
