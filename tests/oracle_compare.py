@@ -83,6 +83,8 @@ def main(names=None, sf_dir="/root/testdata/sf0.01"):
     spark = (SparkSession.builder.master("local[8]")
              .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTS", "8"))
              .config("spark.sql.adaptive.enabled", os.environ.get("AQE", "true"))
+             .config("spark.sql.ansi.enabled", os.environ.get("ANSI", "true"))
+             .config("spark.sql.session.timeZone", os.environ.get("TZ_SESSION", "UTC"))
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
