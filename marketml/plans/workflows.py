@@ -159,6 +159,11 @@ def regression_report(spark: SparkSession, df: DataFrame, features: Sequence[str
         imp = imp.where(F.col("term") != "intercept").orderBy(F.desc("abs_coefficient"))
     else:
         imp = models.importances(spark, run.baseline_model, run.features, family)
+        if run.cv_model is not None:
+            # The reference's forest script reads importances off the CV best
+            # model; both are returned, labelled by source_model.
+            imp = imp.unionByName(models.importances(
+                spark, run.cv_model.bestModel, run.features, f"{family}_cv"))
     out = {"comparison": cmp_, "status": stage_status(cmp_), "importance": imp}
     if run.cv_model is not None:
         maps = tuning.grid(models.regressor(run.baseline_model), grid or REFERENCE_GRIDS[family])

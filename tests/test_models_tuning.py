@@ -161,8 +161,10 @@ def test_reference_style_csv_workflow(spark, tmp_path):
                                       grid={"maxDepth": [2, 4]}, folds=2)
     assert out["comparison"].count() == 3
     assert out["candidates"].where("is_best").count() == 1
-    imp = out["importance"].collect()
+    imp = out["importance"].where("source_model = 'tree'").orderBy("rank").collect()
     assert imp[0].feature == "median_list_price" and sum(r.importance for r in imp) == pytest.approx(1.0)
+    cv_imp = out["importance"].where("source_model = 'tree_cv'").collect()
+    assert len(cv_imp) == 2 and sum(r.importance for r in cv_imp) == pytest.approx(1.0)
 
 
 def test_scratch_scope_deletes_intermediates(spark):
