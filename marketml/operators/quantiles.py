@@ -73,6 +73,8 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     """Join on ``keys`` treating NULL keys as equal.  ``right`` is the small
     side and should be materialised: it is broadcast after a row-count
     check, else the join shuffles."""
+    if not keys:
+        raise ValueError("join keys required (an empty key list would be a cross join)")
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
