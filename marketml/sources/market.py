@@ -106,7 +106,9 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
     if not exact:
         # One aggregation: the single distinct (orders) is planned keyed on
         # (group, order key), which the join output already satisfies, and
-        # the sketches merge map-side.
+        # the sketches merge map-side.  (Counting orders in a second
+        # aggregation would prune lineitem differently, so Spark could not
+        # reuse the join's exchanges and would shuffle lineitem twice.)
         out = facts.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("homes_sold"),
             F.count_distinct("l_orderkey").alias("new_listings"),
