@@ -127,10 +127,12 @@ def _grid_array(maps):
 
 
 def q_market_base(spark, sf):
+    """Market table, nation x month (fixture; S5 scans, joins, sums, exact medians)."""
     return mk.build_market(spark, sf, "month")
 
 
 def q_scan_select(spark, sf):
+    """Generic-format scan with a declared schema, tolerant drop, select."""
     df = tables.read_table(spark, tables.table_path(sf, "lineitem"), "parquet",
                            schema=tables.SCHEMAS["lineitem"])
     df = tables.drop_columns(df, ["l_comment", "l_shipinstruct", "l_tax", "l_shipdate"])
@@ -138,12 +140,14 @@ def q_scan_select(spark, sf):
 
 
 def q_csv_roundtrip(spark, sf):
+    """Write the market as CSV to the shared folder and scan it back with a schema."""
     path = scratch_path(spark, "market-csv")
     tables.write_csv(_market(spark, sf), path)
     return tables.read_csv(spark, path, schema=MARKET_SCHEMA)
 
 
 def q_sql_view(spark, sf):
+    """Temp view + SQL over it."""
     _market(spark, sf).createOrReplaceTempView("market")
     return spark.sql("SELECT * FROM market")
 
@@ -172,10 +176,12 @@ def schema_table(df: DataFrame) -> DataFrame:
 
 
 def q_schema_table(spark, sf):
+    """Schema with non-NULL counts."""
     return schema_table(_market(spark, sf))
 
 
 def q_union_levels(spark, sf):
+    """Nation, region and national levels in one table."""
     return mk.build_market_levels(spark, sf, "month")
 
 
@@ -184,6 +190,7 @@ def q_union_levels(spark, sf):
 
 
 def q_clean_regex_cast(spark, sf):
+    """Digits-only guarded cast of dirty text."""
     d = _dirty(spark, sf)
     return d.select("l_orderkey", "l_linenumber", "qty_text",
                     to_double("qty_text", "digits_only").alias("quantity"),
@@ -191,6 +198,7 @@ def q_clean_regex_cast(spark, sf):
 
 
 def q_clean_try_cast(spark, sf):
+    """ANSI-safe cast of dirty text."""
     d = _dirty(spark, sf)
     return d.select("l_orderkey", "l_linenumber", "qty_text",
                     to_double("qty_text", "try_cast").alias("quantity"),
@@ -198,14 +206,17 @@ def q_clean_try_cast(spark, sf):
 
 
 def q_drop_null_any(spark, sf):
+    """Drop rows with NULL or NaN in any column."""
     return clean.drop_missing(_dirty_numeric(spark, sf))
 
 
 def q_drop_null_subset(spark, sf):
+    """Drop rows with NULL or NaN in a subset."""
     return clean.drop_missing(_dirty_numeric(spark, sf), ["quantity", "tax"])
 
 
 def q_impute_mean(spark, sf):
+    """Drop on the label, impute features with their mean (P10)."""
     d = clean.drop_missing(_dirty_numeric(spark, sf), ["price"])
     out = clean.impute_mean(d, ["quantity", "discount", "tax"])
     return out.select("l_orderkey", "l_linenumber", "price",
@@ -217,30 +228,36 @@ def q_impute_mean(spark, sf):
 
 
 def q_row_count(spark, sf):
+    """Row count (G1)."""
     return profile.row_count(_market(spark, sf))
 
 
 def q_null_profile(spark, sf):
+    """NULL count per column."""
     return profile.null_profile(_dirty_numeric(spark, sf), ["quantity", "price", "discount", "tax"])
 
 
 def q_describe(spark, sf):
+    """count, mean, stddev, min, max per column."""
     d = profile.describe(_market(spark, sf), MODEL_COLS)
     return d.select("column_name", "count", _r("mean", R4), _r("stddev", R4), "min", "max")
 
 
 def q_summary_quartiles(spark, sf):
+    """describe + exact quartiles."""
     s = profile.summary(_market(spark, sf), MODEL_COLS)
     return s.select("column_name", "count", _r("mean", R4), _r("stddev", R4), "min",
                     _r("p25", R4), _r("p50", R4), _r("p75", R4), "max")
 
 
 def q_correlation_matrix(spark, sf):
+    """Pairwise correlations."""
     c = profile.correlation_matrix(_market(spark, sf), MODEL_COLS)
     return c.select("col_a", "col_b", _r("corr", R8))
 
 
 def q_series_head(spark, sf):
+    """First rows in time order (A1, A2)."""
     return profile.series_head(_market(spark, sf), "period_begin", [LABEL], 10, ["region_id"])
 
 
@@ -249,20 +266,24 @@ def q_series_head(spark, sf):
 
 
 def q_hash_split_counts(spark, sf):
+    """Rows per side of the key-hash split (M2, M3)."""
     return split.split_counts(_frame(spark, sf))
 
 
 def q_random_split_counts(spark, sf):
+    """Rows per side of the reference's randomSplit (M2, M3)."""
     tr, te = split.random_split(_market(spark, sf), (0.8, 0.2), 42)
     both = tr.select(F.lit("train").alias("split")).unionByName(te.select(F.lit("test").alias("split")))
     return split.split_counts(both)
 
 
 def q_fold_counts(spark, sf):
+    """Rows per cross-validation fold."""
     return split.split_counts(_frame(spark, sf), "fold")
 
 
 def q_assemble_vector(spark, sf):
+    """Feature vector as (feature, value) rows."""
     m = features.assemble(_market(spark, sf), ALL)
     return features.vector_long(m, mk.KEYS, ALL)
 
@@ -280,10 +301,12 @@ def _coef_query(spark, sf, feats):
 
 
 def q_linreg_1f_coef(spark, sf):
+    """One-feature linear fit: coefficient table."""
     return _coef_query(spark, sf, LIN1)
 
 
 def q_linreg_2f_coef(spark, sf):
+    """Two-feature linear fit: coefficient table."""
     return _coef_query(spark, sf, LIN2)
 
 
@@ -293,12 +316,14 @@ def _holdout(pred):
 
 
 def q_linreg_holdout_metrics(spark, sf):
+    """Holdout n, RMSE, R^2, MAE of the linear fit."""
     train, test = _train_test(spark, sf)
     model = models.fit(train, "linear", LIN1, LABEL)
     return _holdout(model.transform(test))
 
 
 def q_linreg_predictions(spark, sf):
+    """Holdout predictions of the linear fit."""
     train, test = _train_test(spark, sf)
     model = models.fit(train, "linear", LIN1, LABEL)
     return model.transform(test).select(*mk.KEYS, LABEL, _r("prediction", R4))
@@ -323,6 +348,7 @@ def _elastic_net_table(spark, sf):
 
 
 def q_elastic_net_metrics(spark, sf):
+    """Holdout metrics and coefficients for every elastic-net grid point."""
     t = _elastic_net_table(spark, sf)
     return t.select("reg_param", "elastic_net_param", _r("slope", R8), _r("intercept", R4),
                     _r("rmse", R4), _r("r2", R8))
@@ -333,6 +359,7 @@ def q_elastic_net_metrics(spark, sf):
 
 
 def q_tree_stump(spark, sf):
+    """Depth-1 tree: the exact best split."""
     train, _ = _train_test(spark, sf)
     # maxBins above the distinct count makes every midpoint a candidate, so
     # the stump is the exact best split; it is bounded by the market rows.
@@ -356,36 +383,43 @@ def _family_baseline(spark, sf, family, **params):
 
 
 def q_tree_d5_metrics(spark, sf):
+    """Depth-5 tree holdout metrics."""
     model, test = _family_baseline(spark, sf, "tree")
     return _holdout(model.transform(test))
 
 
 def q_forest_metrics(spark, sf):
+    """Random forest holdout metrics."""
     model, test = _family_baseline(spark, sf, "forest")
     return _holdout(model.transform(test))
 
 
 def q_gbt_metrics(spark, sf):
+    """Boosted trees holdout metrics."""
     model, test = _family_baseline(spark, sf, "gbt")
     return _holdout(model.transform(test))
 
 
 def q_gbt_100_metrics(spark, sf):
+    """Boosted trees, 100 iterations."""
     model, test = _family_baseline(spark, sf, "gbt", maxIter=100)
     return _holdout(model.transform(test))
 
 
 def q_tree_importance(spark, sf):
+    """Tree feature importances, sorted."""
     model, _ = _family_baseline(spark, sf, "tree")
     return models.importances(spark, model, ALL, "tree")
 
 
 def q_forest_importance(spark, sf):
+    """Forest feature importances, sorted."""
     model, _ = _family_baseline(spark, sf, "forest")
     return models.importances(spark, model, ALL, "forest")
 
 
 def q_gbt_importance(spark, sf):
+    """Boosted feature importances, sorted."""
     model, _ = _family_baseline(spark, sf, "gbt")
     return models.importances(spark, model, ALL, "gbt")
 
@@ -395,6 +429,7 @@ def q_gbt_importance(spark, sf):
 
 
 def q_param_grid(spark, sf):
+    """The grid x folds work plan with fit/eval row counts."""
     train, _ = _train_test(spark, sf)
     pipe = models.pipeline("linear", LIN1, LABEL)
     grid = _grid_array(_linear_grid(pipe.getStages()[-1]))
@@ -416,6 +451,7 @@ def _linreg_cv(spark, sf, sub_models=False):
 
 
 def q_linreg_cv(spark, sf):
+    """Cross-validated elastic net: chosen point, CV RMSE, holdout."""
     cv, maps, _, test = _linreg_cv(spark, sf)
     i = tuning.best_index(cv.avgMetrics)
     best = tuning.grid_rows(maps)[i]
@@ -428,6 +464,7 @@ def q_linreg_cv(spark, sf):
 
 
 def q_linreg_tvs(spark, sf):
+    """Train-validation tuned elastic net."""
     train, test = _train_test(spark, sf)
     pipe = models.pipeline("linear", LIN1, LABEL)
     maps = _linear_grid(pipe.getStages()[-1])
@@ -442,6 +479,7 @@ def q_linreg_tvs(spark, sf):
 
 
 def q_linreg_cv_fold_rmse(spark, sf):
+    """RMSE of every (grid point, fold)."""
     cv, maps, train, _ = _linreg_cv(spark, sf, sub_models=True)
     fm = tuning.fold_metrics(cv, train, "fold", LABEL)
     g = F.element_at(_grid_array(maps), F.col("point") + 1)
@@ -472,26 +510,32 @@ def _tuned(spark, sf, family, which):
 
 
 def q_tree_cv(spark, sf):
+    """Tree tuned by CV, reference grid."""
     return _tuned(spark, sf, "tree", "cv")
 
 
 def q_tree_tvs(spark, sf):
+    """Tree tuned by train-validation."""
     return _tuned(spark, sf, "tree", "tvs")
 
 
 def q_forest_cv(spark, sf):
+    """Forest tuned by CV."""
     return _tuned(spark, sf, "forest", "cv")
 
 
 def q_forest_tvs(spark, sf):
+    """Forest tuned by train-validation."""
     return _tuned(spark, sf, "forest", "tvs")
 
 
 def q_gbt_cv(spark, sf):
+    """Boosted trees tuned by CV."""
     return _tuned(spark, sf, "gbt", "cv")
 
 
 def q_gbt_tvs(spark, sf):
+    """Boosted trees tuned by train-validation."""
     return _tuned(spark, sf, "gbt", "tvs")
 
 
@@ -500,15 +544,18 @@ def q_gbt_tvs(spark, sf):
 
 
 def q_metric_comparison(spark, sf):
+    """Linear baseline / CV / TVS comparison with timings."""
     return report.comparison(spark, family_records(spark, sf, "linear"))
 
 
 def q_best_params(spark, sf):
+    """Boosted comparison with best hyper-parameters (O2)."""
     df = report.comparison(spark, family_records(spark, sf, "gbt"))
     return df.select("model", "rmse", "r2", "seconds", "elapsed", "best_max_depth", "best_max_iter")
 
 
 def q_best_model(spark, sf):
+    """Grid point with the lowest holdout RMSE (A4)."""
     t = _elastic_net_table(spark, sf)
     best = report.best_by(t, "rmse", ["reg_param", "elastic_net_param"])
     return best.select("reg_param", "elastic_net_param", _r("rmse", R4), _r("r2", R8))
@@ -526,6 +573,7 @@ def q_ablation(spark, sf):
 
 
 def q_stage_status(spark, sf):
+    """Stage completion table."""
     return report.stage_status(report.comparison(spark, family_records(spark, sf, "linear")))
 
 
@@ -550,10 +598,12 @@ def q_elapsed_format(spark, sf):
 
 
 def q_market_day(spark, sf):
+    """Market table, nation x day (the benchmark grain)."""
     return mk.build_market(spark, sf, "day")
 
 
 def q_linreg_cv_candidates(spark, sf):
+    """Per-candidate mean and spread of fold RMSE."""
     cv, maps, _, _ = _linreg_cv(spark, sf)
     cand = tuning.candidate_table(spark, cv, maps)
     g = F.element_at(_grid_array(maps), F.col("point") + 1)
