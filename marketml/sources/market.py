@@ -20,13 +20,15 @@ Plan (DataFrame API, Catalyst picks join strategies from table sizes):
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketml.operators.quantiles import exact_median
-from marketml.session import materialize
+from marketml.session import materialize, scratch_path
 from marketml.sources.tables import load
 
 KEYS = ["region_id", "period_begin"]
@@ -49,16 +51,53 @@ def _period(grain: str):
     raise ValueError(f"grain must be one of {GRAINS}")
 
 
-def market_facts(spark: SparkSession, sf_dir: str, grain: str = "month",
-                 levels: Sequence[str] = ("nation",)) -> DataFrame:
-    """Line-level facts tagged with region and period, stacked once per
-    level: ``(region_level, region_id, period_begin, l_orderkey,
-    l_linenumber, l_quantity, l_extendedprice, l_discount)``."""
+@dataclass(frozen=True)
+class OrderInputs:
+    """The two sides of the fact join: ``lineitem`` with the columns the
+    market needs and the order dimension ``(o_orderkey, c_nationkey,
+    o_orderdate)`` (orders joined with customer)."""
+
+    lineitem: DataFrame
+    orders: DataFrame
+
+
+def order_inputs(spark: SparkSession, sf_dir: str) -> OrderInputs:
+    """Plain scans (lazy): the fact join shuffles both sides by order key."""
     li = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    order_region = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+    od = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        "o_orderkey", "c_nationkey", "o_orderdate")
+    return OrderInputs(li, od)
+
+
+def bucketed_order_inputs(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> OrderInputs:
+    """Write both sides once as tables bucketed and sorted by order key,
+    under the shared checkpoint folder.  Every later market build (any grain
+    or level) then joins them without an exchange: at scale the lineitem
+    shuffle is paid once instead of once per build."""
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = order_inputs(spark, sf_dir)
+    tag = uuid.uuid4().hex[:12]
+    out = {}
+    for name, df, key in (("lineitem", plain.lineitem, "l_orderkey"),
+                          ("orders", plain.orders, "o_orderkey")):
+        table = f"marketml_{name}_{tag}"
+        (df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+         .option("path", scratch_path(spark, f"bucketed-{name}")).saveAsTable(table))
+        out[name] = spark.table(table)
+    return OrderInputs(out["lineitem"], out["orders"])
+
+
+def market_facts(spark: SparkSession, sf_dir: str, grain: str = "month",
+                 levels: Sequence[str] = ("nation",), inputs: OrderInputs | None = None) -> DataFrame:
+    """Line-level facts tagged with region and period, stacked once per
+    level: ``(region_level, region_id, period_begin, l_orderkey,
+    l_linenumber, l_quantity, l_extendedprice, l_discount)``."""
+    inputs = inputs or order_inputs(spark, sf_dir)
+    li = inputs.lineitem
+    order_region = inputs.orders.select(
         "o_orderkey", "c_nationkey", _period(grain).alias("period_begin"))
     region_cols = {"nation": F.col("c_nationkey"), "all": F.lit(0)}
     if "region" in levels:
@@ -147,21 +186,21 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
 
 def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
                  level: str = "nation", exact: bool = True,
-                 quantile_method: str = "auto") -> DataFrame:
+                 quantile_method: str = "auto", inputs: OrderInputs | None = None) -> DataFrame:
     """The market table at one level: ``region_id, period_begin`` + features + label.
 
     The exact build reads the join output three times, so it is written once
     first; the approximate build is a single pass over the join."""
-    facts = market_facts(spark, sf_dir, grain, (level,))
+    facts = market_facts(spark, sf_dir, grain, (level,), inputs)
     if exact:
         facts = materialize(facts, "market-facts")
     return aggregate_market(facts, exact=exact, quantile_method=quantile_method).drop("region_level")
 
 
 def build_market_levels(spark: SparkSession, sf_dir: str, grain: str = "month",
-                        levels: Sequence[str] = LEVELS) -> DataFrame:
+                        levels: Sequence[str] = LEVELS, inputs: OrderInputs | None = None) -> DataFrame:
     """All levels in one pass over the facts, tagged by ``region_level``."""
-    facts = materialize(market_facts(spark, sf_dir, grain, levels), "market-facts")
+    facts = materialize(market_facts(spark, sf_dir, grain, levels, inputs), "market-facts")
     return aggregate_market(facts)
 
 

@@ -100,3 +100,13 @@ def test_approx_summary_quartiles_are_data_values_near_exact(spark):
         span = ex[c]["max"] - ex[c]["min"]
         for p in ("p25", "p50", "p75"):
             assert abs(r[p] - ex[c][p]) <= 0.05 * span + 1e-9
+
+
+def test_bucketed_inputs_join_without_exchange_and_same_market(spark):
+    inputs = mk.bucketed_order_inputs(spark, SF, buckets=4)
+    facts = mk.market_facts(spark, SF, "day", ("nation",), inputs)
+    tree = plan_text(facts).split("\n\n")[0]
+    assert "SortMergeJoin" in tree and "Exchange" not in tree
+    plain = sorted(mk.build_market(spark, SF, "day").collect())
+    bucketed = sorted(mk.build_market(spark, SF, "day", inputs=inputs).collect())
+    assert plain == bucketed and len(plain) > 0
