@@ -91,35 +91,47 @@ def bucketed_order_inputs(spark: SparkSession, sf_dir: str, buckets: int | None
 
 
 def market_facts(spark: SparkSession, sf_dir: str, grain: str = "month",
-                 levels: Sequence[str] = ("nation",), inputs: OrderInputs | None = None) -> DataFrame:
-    """Line-level facts tagged with region and period, stacked once per
-    level: ``(region_level, region_id, period_begin, l_orderkey,
-    l_linenumber, l_quantity, l_extendedprice, l_discount)``."""
+                 levels: Sequence[str] = ("nation",), inputs: OrderInputs | None = None,
+                 stacked: bool = True) -> DataFrame:
+    """Line-level facts tagged with region and period.
+
+    ``stacked=True``: one copy per level, ``(region_level, region_id,
+    period_begin, l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+    l_discount)``.  ``stacked=False``: one copy, with the nation and region
+    keys side by side (``c_nationkey``, ``n_regionkey``), to be stacked with
+    :func:`stack_levels` after it is written, so a multi-level build writes
+    the facts once."""
     inputs = inputs or order_inputs(spark, sf_dir)
     li = inputs.lineitem
-    order_region = inputs.orders.select(
-        "o_orderkey", "c_nationkey", _period(grain).alias("period_begin"))
-    region_cols = {"nation": F.col("c_nationkey"), "all": F.lit(0)}
+    od = inputs.orders.select("o_orderkey", "c_nationkey", _period(grain).alias("period_begin"))
     if "region" in levels:
+        # nation is a fixed 25-row dimension; Catalyst broadcasts it by size.
         nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-        order_region = order_region.join(
-            nation, order_region.c_nationkey == nation.n_nationkey, "left")
-        region_cols["region"] = F.col("n_regionkey")
-    order_region = order_region.select(
-        "o_orderkey", "period_begin",
+        od = od.join(nation, od.c_nationkey == nation.n_nationkey, "left").drop("n_nationkey")
+    else:
+        od = od.withColumn("n_regionkey", F.lit(None).cast("int"))
+    # Fact-to-fact join: both sides grow with the data, so pin a shuffle
+    # (sort-merge) join rather than let a small test file be broadcast.
+    facts = li.hint("merge").join(od, li.l_orderkey == od.o_orderkey).select(
+        "c_nationkey", "n_regionkey", "period_begin",
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+    )
+    return stack_levels(facts, levels) if stacked else facts
+
+
+def stack_levels(facts: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """One copy of each fact row per level, tagged ``region_level`` with its
+    ``region_id`` (a narrow explode, no shuffle)."""
+    region_cols = {"nation": F.col("c_nationkey"), "region": F.col("n_regionkey"), "all": F.lit(0)}
+    return facts.select(
         F.explode(F.array(*[
             F.struct(F.lit(lv).alias("lv"), region_cols[lv].cast("int").alias("id"))
             for lv in levels
         ])).alias("_lv"),
+        "period_begin", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
     ).select(
-        "o_orderkey", "period_begin",
         F.col("_lv.lv").alias("region_level"), F.col("_lv.id").alias("region_id"),
-    )
-    # Fact-to-fact join: both sides grow with the data, so pin a shuffle
-    # (sort-merge) join rather than let a small test file be broadcast.
-    return li.hint("merge").join(order_region, li.l_orderkey == order_region.o_orderkey).select(
-        "region_level", "region_id", "period_begin",
-        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "period_begin", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
     )
 
 
@@ -191,17 +203,20 @@ def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
 
     The exact build reads the join output three times, so it is written once
     first; the approximate build is a single pass over the join."""
-    facts = market_facts(spark, sf_dir, grain, (level,), inputs)
+    facts = market_facts(spark, sf_dir, grain, (level,), inputs, stacked=False)
     if exact:
         facts = materialize(facts, "market-facts")
-    return aggregate_market(facts, exact=exact, quantile_method=quantile_method).drop("region_level")
+    return aggregate_market(stack_levels(facts, (level,)), exact=exact,
+                            quantile_method=quantile_method).drop("region_level")
 
 
 def build_market_levels(spark: SparkSession, sf_dir: str, grain: str = "month",
                         levels: Sequence[str] = LEVELS, inputs: OrderInputs | None = None) -> DataFrame:
-    """All levels in one pass over the facts, tagged by ``region_level``."""
-    facts = materialize(market_facts(spark, sf_dir, grain, levels, inputs), "market-facts")
-    return aggregate_market(facts)
+    """All levels in one pass over the facts, tagged by ``region_level``.
+    The facts are written once and stacked per level on every read."""
+    facts = materialize(market_facts(spark, sf_dir, grain, levels, inputs, stacked=False),
+                        "market-facts")
+    return aggregate_market(stack_levels(facts, levels))
 
 
 # The same table as SQL text (Spark SQL and DuckDB both run it); used by the
