@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketml.operators.quantiles import exact_median
+from marketml.operators.quantiles import BRACKET_MIN_GROUP, exact_median
 from marketml.session import materialize, scratch_path
 from marketml.sources.tables import load
 
@@ -181,6 +181,13 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
         F.sum("qty").alias("inventory"),
         F.sum("disc_pct").alias("disc_pct"),
     )
+    if quantile_method == "auto":
+        # The sums already hold the group sizes (lines per group): write them
+        # (one row per group) and pick the quantile method from the largest,
+        # instead of another pass over the facts.
+        sums = materialize(sums, "market-sums")
+        largest = sums.agg(F.max("homes_sold")).first()[0] or 0
+        quantile_method = "bracket" if largest >= BRACKET_MIN_GROUP else "sort"
     medians = exact_median(facts, keys, _median_inputs(),
                            tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
                            method=quantile_method, accuracy=accuracy)
