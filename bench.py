@@ -27,6 +27,14 @@ HEADLINE = [
 ]
 
 
+def _sf_number(sf_dir: str):
+    tail = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    try:
+        return float(tail)
+    except ValueError:
+        return tail
+
+
 def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -111,7 +119,7 @@ def main() -> None:
         "reference": {"gbt_r2": 0.977, "gbt_top_feature": "median_list_price",
                       "gbt_top_importance": 0.7626, "ablation_rmse_change_pct": 77.4},
         "throughput": {"market_lineitem_rows_per_sec": round(lineitem_rows / times["market_base"])},
-        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "sf": _sf_number(sf_dir),
         "cpus": int(cpus),
     }))
     spark.stop()
