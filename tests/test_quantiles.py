@@ -116,3 +116,24 @@ def test_auto_picks_by_largest_group(spark, monkeypatch):
     df = _skewed(spark, n=300)
     exact_quantiles_long(df, ["g"], ["v"], (0.5,))
     assert calls == ["bracket"] and seen == []
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    rows=st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(-5, 5).map(float))),
+                  min_size=1, max_size=60),
+    p=st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]),
+    method=st.sampled_from(["sort", "bracket"]),
+)
+def test_property_matches_percentile(spark, rows, p, method):
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "id long, g int, v double")
+    ours = {r.g: r.v for r in exact_quantiles(df, ["g"], ["v"], (p,), method=method, accuracy=50).collect()}
+    ref = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect()
+           if r.q is not None}
+    assert set(ours) == set(ref)
+    for g, q in ref.items():
+        assert ours[g] == pytest.approx(q, abs=1e-12)

@@ -91,3 +91,13 @@ def test_market_same_with_every_quantile_method(spark):
     sf = "/root/testdata/sf0.001"
     got = [sorted(build_market(spark, sf, quantile_method=m).collect()) for m in ("sort", "bracket", "auto")]
     assert got[0] == got[1] == got[2] and len(got[0]) > 0
+
+
+def test_load_levels_from_files(spark, tmp_path):
+    (tmp_path / "county.csv").write_text("region,period_begin,median_sale_price\nA,2020-01-01,100\n")
+    (tmp_path / "state.csv").write_text("region,period_begin,median_sale_price,inventory\nS,2020-01-01,200,7\n")
+    df = tables.load_levels(spark, {"county": str(tmp_path / "county.csv"),
+                                    "state": str(tmp_path / "state.csv")})
+    rows = {r.region_level: r for r in df.collect()}
+    assert rows["county"].inventory is None and rows["state"].inventory == 7
+    assert rows["county"].median_sale_price == 100
