@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketml.functions.scalar import zip_names
+
 
 def assembler(features: Sequence[str], output: str = "features",
               handle_invalid: str = "error") -> VectorAssembler:
@@ -24,11 +26,11 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features",
 
 def vector_long(df: DataFrame, keys: Sequence[str], features: Sequence[str],
                 vector_col: str = "features") -> DataFrame:
-    """Vector column -> ``(*keys, feature, value)`` rows: ``vector_to_array``
-    then ``posexplode``, naming each slot from the feature list (F10, F11)."""
-    names = F.array(*[F.lit(f) for f in features])
-    return df.select(*keys, F.posexplode(vector_to_array(vector_col)).alias("pos", "value")).select(
-        *keys, F.element_at(names, F.col("pos") + 1).alias("feature"), "value")
+    """Vector column -> ``(*keys, feature, value)`` rows: ``vector_to_array``,
+    zipped with the feature names and exploded (F10, F11)."""
+    pairs = zip_names(vector_to_array(vector_col), features)
+    return df.select(*keys, F.explode(pairs).alias("_fv")).select(
+        *keys, F.col("_fv.feature").alias("feature"), F.col("_fv.value").alias("value"))
 
 
 def ablation_sets(features: Sequence[str], drop: Sequence[str]) -> list[tuple[str, list[str]]]:
