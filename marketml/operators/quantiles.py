@@ -82,11 +82,13 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
-def _rank_select(stacked: DataFrame, gkeys: Sequence[str], want, num_partitions: int | None):
+def _rank_select(stacked: DataFrame, gkeys: Sequence[str], num_partitions: int | None,
+                 probs: Sequence[float] | None = None, wanted: DataFrame | None = None):
     """Fetch values at given 0-based ranks within each group.
 
-    ``stacked`` has ``(*gkeys, _v, _t)``.  ``want(counts)`` receives
-    ``(*gkeys, _n)`` (rows per group) and returns the wanted ranks as
+    ``stacked`` has ``(*gkeys, _v, _t)``.  The ranks are either the floor and
+    ceil of ``(n-1)p`` for each of ``probs`` (computed on the segment rows
+    themselves), or given by a small, materialised ``wanted`` table
     ``(*gkeys, _w, _r, ...)``.  Returns the wanted rows with ``_v`` added.
     """
     gkeys = list(gkeys)
@@ -102,19 +104,20 @@ def _rank_select(stacked: DataFrame, gkeys: Sequence[str], want, num_partitions:
     seg = ranked.groupBy(*gkeys, F.shiftright("_rid", 33).alias("_pid")).agg(
         F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     grp = Window.partitionBy(*gkeys)
-    seg = materialize(seg.select(
+    seg = seg.select(
         "*",
         F.coalesce(F.sum("_cnt").over(grp.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(grp).alias("_gn"),
-    ), "quantile-segments")
-    counts = seg.select(*gkeys, F.col("_gn").alias("_n")).dropDuplicates(gkeys)
-    wanted = want(counts)  # small, derived from materialised tables
-    hits = _null_safe_join(seg, wanted, gkeys).where(
-        (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_cnt")))
+        F.sum("_cnt").over(grp).alias("_n"),
+    )
+    if probs is not None:
+        hits = _wanted_ranks(seg, probs)
+    else:
+        hits = _null_safe_join(seg.drop("_n"), wanted, gkeys)
+    hits = hits.where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_cnt")))
     targets = materialize(
         hits.withColumn("_rid", F.col("_first") + F.col("_r") - F.col("_off"))
-        .drop("_pid", "_first", "_cnt", "_off", "_gn"),
+        .drop("_pid", "_first", "_cnt", "_off"),
         "quantile-targets")
     # Pass 2: fetch the wanted rows by id.
     return join_small(ranked.select("_rid", "_v"), targets, on="_rid").drop("_rid")
@@ -145,7 +148,7 @@ def _wanted_ranks(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
 
 
 def _sort_method(stacked, keys, probs, num_partitions):
-    picked = _rank_select(stacked, [*keys, "_m"], lambda c: _wanted_ranks(c, probs), num_partitions)
+    picked = _rank_select(stacked, [*keys, "_m"], num_partitions, probs=probs)
     return _interpolate(picked, keys)
 
 
@@ -207,9 +210,8 @@ def _bracket_method(stacked, keys, probs, accuracy, num_partitions):
         ranges = need.select(*gk, "_p", "_a", "_b").dropDuplicates([*gk, "_p"])
         sub = _null_safe_join(stacked, ranges, gk).where(
             (F.col("_v") > F.col("_a")) & (F.col("_v") < F.col("_b"))).drop("_a", "_b")
-        picked = _rank_select(sub, [*gk, "_p"],
-                              lambda _: need.select(*gk, "_p", "_pos", "_n", "_w", "_r"),
-                              num_partitions)
+        picked = _rank_select(sub, [*gk, "_p"], num_partitions,
+                              wanted=need.select(*gk, "_p", "_pos", "_n", "_w", "_r"))
         parts.append(picked.select(*gk, "_p", "_pos", "_n", "_w", "_v"))
 
     # Groups whose bracket missed (not expected): the sort method for them.
@@ -217,7 +219,7 @@ def _bracket_method(stacked, keys, probs, accuracy, num_partitions):
     if bad.count() > 0:
         parts = [_null_safe_join(p, bad, gk, "left_anti") for p in parts]
         retry = _null_safe_join(stacked, bad, gk, "left_semi")
-        full = _rank_select(retry, gk, lambda c: _wanted_ranks(c, probs), num_partitions)
+        full = _rank_select(retry, gk, num_partitions, probs=probs)
         parts.append(full.select(*gk, "_p", "_pos", "_n", "_w", "_v"))
     picked = parts[0]
     for p in parts[1:]:

@@ -182,12 +182,14 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
         F.sum("disc_pct").alias("disc_pct"),
     )
     if quantile_method == "auto":
-        # The sums already hold the group sizes (lines per group): write them
-        # (one row per group) and pick the quantile method from the largest,
-        # instead of another pass over the facts.
-        sums = materialize(sums, "market-sums")
-        largest = sums.agg(F.max("homes_sold")).first()[0] or 0
-        quantile_method = "bracket" if largest >= BRACKET_MIN_GROUP else "sort"
+        # No group can reach the bracket threshold when the facts are fewer
+        # rows than it (a metadata count on the written facts); otherwise
+        # the largest group decides.
+        if facts.count() < BRACKET_MIN_GROUP:
+            quantile_method = "sort"
+        else:
+            largest = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
+            quantile_method = "bracket" if (largest or 0) >= BRACKET_MIN_GROUP else "sort"
     medians = exact_median(facts, keys, _median_inputs(),
                            tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
                            method=quantile_method, accuracy=accuracy)

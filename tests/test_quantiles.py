@@ -93,9 +93,9 @@ def test_bracket_does_not_need_the_fallback(spark, monkeypatch, n, groups):
     calls = []
     orig = Q._rank_select
 
-    def spy(stacked, gkeys, want, parts):
+    def spy(stacked, gkeys, parts, probs=None, wanted=None):
         calls.append(list(gkeys))
-        return orig(stacked, gkeys, want, parts)
+        return orig(stacked, gkeys, parts, probs=probs, wanted=wanted)
 
     monkeypatch.setattr(Q, "_rank_select", spy)
     df = spark.range(n).select(
