@@ -26,8 +26,14 @@ def market_key(region_col: str = "region_id", period_col: str = "period_begin")
 
 
 def hash_bucket(key: Column, buckets: int, mult: int = SPLIT_MULT) -> Column:
-    """``(key * mult) % 1000003 % buckets`` as int."""
-    return ((key * F.lit(mult).cast("long")) % HASH_MOD % buckets).cast("int")
+    """``(key * mult) % 1000003 % buckets`` as int, for a non-negative key.
+
+    The key is reduced modulo 1000003 before the multiplication, which gives
+    the same bucket (modular arithmetic) and keeps the product far below
+    the long range for any key size."""
+    mod = F.lit(HASH_MOD).cast("long")
+    reduced = F.pmod(key.cast("long"), mod)
+    return (F.pmod(reduced * F.lit(mult).cast("long"), mod) % buckets).cast("int")
 
 
 def with_split(df: DataFrame, key: Column, train_pct: int = 80, col: str = "split") -> DataFrame:

@@ -92,3 +92,11 @@ def test_market_key_matches_sql(spark):
     key = df.select(split.market_key()).first()[0]
     days = (pd.Timestamp("2020-02-01") - pd.Timestamp("1970-01-01")).days
     assert key == 3 * 100000 + days
+
+
+def test_hash_bucket_large_keys_do_not_overflow(spark):
+    # A five-digit region id with the day count: beyond what key * mult fits in a long.
+    df = spark.createDataFrame([(56045 * 100000 + 18000,), (7,)], "k long")
+    got = [r[0] for r in df.select(split.hash_bucket(F.col("k"), 100)).collect()]
+    expected = [((k * split.SPLIT_MULT) % split.HASH_MOD) % 100 for k in (56045 * 100000 + 18000, 7)]
+    assert got == expected
