@@ -584,8 +584,11 @@ def q_elapsed_format(spark, sf):
     before the join, so a hot order collapses map-side and the join is 1:1
     on the order key."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    # Epoch seconds are ~1e9 each: a hot order's sum would overflow a long,
+    # so it is summed as an exact decimal.
+    dec = "decimal(38,0)"
     per_order = tables.load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.sum(F.timestamp_diff("SECOND", epoch, F.col("l_shipdate"))).alias("ship_s"),
+        F.sum(F.timestamp_diff("SECOND", epoch, F.col("l_shipdate")).cast(dec)).alias("ship_s"),
         F.count(F.lit(1)).alias("lines"))
     od = tables.load(spark, sf, "orders").select(
         "o_orderkey", F.timestamp_diff("SECOND", epoch, F.col("o_orderdate")).alias("order_s"))
@@ -593,7 +596,8 @@ def q_elapsed_format(spark, sf):
     # the aggregate side is already partitioned by the key.
     lag = per_order.hint("merge").join(od, per_order.l_orderkey == od.o_orderkey).select(
         "o_orderkey",
-        ((F.col("ship_s") - F.col("lines") * F.col("order_s")).cast("double") / F.col("lines")).alias("seconds"))
+        ((F.col("ship_s") - F.col("lines").cast(dec) * F.col("order_s").cast(dec)).cast("double")
+         / F.col("lines")).alias("seconds"))
     return lag.select("o_orderkey", _r("seconds", 3), elapsed_hms("seconds").alias("elapsed"))
 
 
