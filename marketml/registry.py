@@ -376,9 +376,14 @@ def q_tree_stump(spark, sf):
 
 
 def _family_baseline(spark, sf, family, **params):
-    train, test = _train_test(spark, sf)
-    train = models.canonical(train, mk.KEYS)
-    model = models.fit(train, family, ALL, LABEL, **params)
+    """The family's seeded baseline fit on the canonical training layout.
+    With default parameters it is the session's shared baseline stage, so
+    the metrics and importance queries read one fitted model."""
+    _, test = _train_test(spark, sf)
+    if not params:
+        return family_run(spark, sf, family, "baseline").baseline_model, test
+    train, _ = _train_test(spark, sf)
+    model = models.fit(models.canonical(train, mk.KEYS), family, ALL, LABEL, **params)
     return model, test
 
 
