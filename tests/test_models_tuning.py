@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketml.operators.evaluate import metrics_dict, regression_metrics
-from marketml.operators.split import with_fold, with_validation
 from marketml.plans import models, report, tuning, workflows
 from marketml.sources.market import FEATURES, KEYS, LABEL
 
