@@ -24,7 +24,7 @@ from marketml.operators.split import market_key, with_fold, with_split, with_val
 from marketml.plans import models, tuning
 from marketml.plans.presets import PRESETS
 from marketml.plans.report import RunRecord
-from marketml.session import path_exists, scratch_path, scratch_scope
+from marketml.session import materialize, path_exists, scratch_path, scratch_scope
 from marketml.sources.market import FEATURES, KEYS, LABEL, build_market
 
 # The reference's tuning grids and fold counts per family (from the presets).
@@ -213,6 +213,10 @@ def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "
     opts = {"header": "true", "inferSchema": "true"} if fmt == "csv" else {}
     opts.update(options or {})
     raw = drop_columns(read_table(spark, path, fmt, options=opts), preset.drop_columns)
+    if fmt == "csv":
+        # Cleaning, profiles and every fit read the input again: parse the
+        # text once and let later passes scan column-pruned Parquet.
+        raw = materialize(raw, f"{script}-input")
     feats, label = list(preset.features), preset.label
     keys = [k for k in (keys or []) if k in raw.columns]
     if preset.clean_mode is None:
