@@ -446,12 +446,21 @@ def q_param_grid(spark, sf):
         "g.point", "g.reg_param", "g.elastic_net_param", "fold", "n_fit", "n_eval")
 
 
-def _linreg_cv(spark, sf, sub_models=False):
+_CV_RUNS: dict[tuple, tuple] = {}
+
+
+def _linreg_cv(spark, sf, sub_models=True):
+    """One cross-validation of the one-feature elastic-net grid per session
+    (sub-models kept), shared by the CV, fold-RMSE and candidate queries."""
     train, test = _train_test(spark, sf)
-    pipe = models.pipeline("linear", LIN1, LABEL)
-    maps = _linear_grid(pipe.getStages()[-1])
-    cv = tuning.cross_validate(pipe, maps, train, LABEL, "fold", FOLDS, parallelism=4,
-                               collect_sub_models=sub_models)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CV_RUNS:
+        pipe = models.pipeline("linear", LIN1, LABEL)
+        maps = _linear_grid(pipe.getStages()[-1])
+        cv = tuning.cross_validate(pipe, maps, train, LABEL, "fold", FOLDS, parallelism=4,
+                                   collect_sub_models=sub_models)
+        _CV_RUNS[key] = (cv, maps)
+    cv, maps = _CV_RUNS[key]
     return cv, maps, train, test
 
 
