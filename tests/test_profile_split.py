@@ -100,3 +100,9 @@ def test_hash_bucket_large_keys_do_not_overflow(spark):
     got = [r[0] for r in df.select(split.hash_bucket(F.col("k"), 100)).collect()]
     expected = [((k * split.SPLIT_MULT) % split.HASH_MOD) % 100 for k in (56045 * 100000 + 18000, 7)]
     assert got == expected
+
+
+def test_null_profile_can_count_nan(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (None, "c")], "x double, s string")
+    assert profile.null_profile(df).first().asDict() == {"x": 1, "s": 1}
+    assert profile.null_profile(df, include_nan=True).first().asDict() == {"x": 2, "s": 1}
