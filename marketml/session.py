@@ -7,7 +7,6 @@ here reads settings from that session.
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
@@ -24,9 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
     Order: the SparkContext's checkpoint dir, then ``spark.checkpoint.dir``.
-    Only a local-mode session (tests) may fall back to a fresh temp folder;
-    on a cluster a machine-local folder would not survive executor loss, so
-    we refuse instead.
+    Where neither is set, a folder of the warehouse, which executors and
+    driver share as well.  The rule is the same for every master.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -34,11 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; point it at a shared folder"
-            )
-        conf_dir = tempfile.mkdtemp(prefix="marketml-ckpt-")
+        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,13 +16,14 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master("local[8]")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
+        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    # Tests may use a local checkpoint folder; only set one when none is set.
     from marketml.session import checkpoint_dir
 
     checkpoint_dir(s)

@@ -1,5 +1,5 @@
-"""checkpoint_dir: read the cluster's setting, never invent a local folder on
-a cluster (stand-in session objects, no Spark needed)."""
+"""checkpoint_dir: the cluster's setting, else a folder of the shared warehouse
+(stand-in session objects, no Spark needed)."""
 
 import pytest
 
@@ -22,6 +22,8 @@ class _Conf:
         self.value = value
 
     def get(self, key, default=None):
+        if key == "spark.sql.warehouse.dir":
+            return "hdfs:///warehouse"
         return self.value if key == "spark.checkpoint.dir" else default
 
 
@@ -41,11 +43,6 @@ def test_conf_dir_is_applied():
     assert s.sparkContext.getCheckpointDir() == "s3a://bucket/ckpt"
 
 
-def test_cluster_without_setting_refuses():
-    with pytest.raises(RuntimeError):
-        checkpoint_dir(_Spark("yarn"))
-
-
-def test_local_without_setting_uses_a_temp_folder():
-    d = checkpoint_dir(_Spark("local[2]"))
-    assert "marketml-ckpt-" in d
+@pytest.mark.parametrize("master", ["yarn", "local[2]"])
+def test_without_setting_the_warehouse_is_used(master):
+    assert checkpoint_dir(_Spark(master)) == "hdfs:///warehouse/_checkpoints"
