@@ -4,15 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketml.llm import simhash
+from marketml.llm import credentials, decontaminate, simhash
 from marketml.llm.common import read
 
 
+def op5_decontaminate(spark, sf_dir):
+    """Operator 5 on documents and benchmark: 13-word windows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark(docs, read(spark, sf_dir, "benchmark"), window=13)
+    return found.select(
+        "doc_id", "found.n_words", decontaminate.hit_words().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+), p AS (
+  SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+  FROM b, unnest(generate_series(1, greatest(1, len(w) - 12))) AS t(i) WHERE len(w) > 0
+), s AS (SELECT DISTINCT size FROM p),
+x AS (
+  SELECT rid, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM d, s, unnest(generate_series(1, len(w) - size + 1)) AS t(i)
+), m AS (SELECT x.rid, x.i, x.size, p.item FROM x JOIN p USING (size, win)),
+h AS (
+  SELECT rid, count(DISTINCT k) AS n_hit
+  FROM (SELECT DISTINCT rid, i, size FROM m) AS q, unnest(generate_series(i, i + size - 1)) AS t(k) GROUP BY rid
+), n AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item FROM m WHERE item IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
+def op6_credentials(spark, sf_dir):
+    """Operator 6 on documents: scope of 256 code points."""
+    found = credentials.find_credentials(read(spark, sf_dir, "documents"), scope=256)
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), *[number(k).alias(f"n_{name}") for k, name in enumerate(credentials.BASE)],
+        F.sha2(credentials.listed(F.col("base")), 256).alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
+
+
 def op9_simhash(spark, sf_dir):
     """Operator 9 on documents: 4-word shingles, at most 4 bits."""
     docs = simhash.assign_components(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash": op9_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op9_simhash": op9_simhash}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
