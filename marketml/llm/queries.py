@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketml.llm import credentials, decontaminate, simhash
+from marketml.llm import credentials, decontaminate, packing, perplexity, simhash
 from marketml.llm.common import read
 
 
+def op1_perplexity(spark, sf_dir):
+    """Operator 1 on documents: order 4, 22 hash bits, band width 6."""
+    judged = perplexity.judge(read(spark, sf_dir, "documents"), keep=("doc_id",))
+    return judged.select(F.col("keep_doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "log_perplexity", F.col("low").alias("band_low"), F.col("high").alias("band_high"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark, sf_dir):
+    """Operator 2 on documents: sequences of 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), tokens=2048, with_ids=False)
+
+
 def op5_decontaminate(spark, sf_dir):
     """Operator 5 on documents and benchmark: 13-word windows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,5 +82,7 @@ def op9_simhash(spark, sf_dir):
     return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op9_simhash": op9_simhash}
+QUERIES = {
+    "op1_perplexity": op1_perplexity, "op2_packing": op2_packing, "op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op9_simhash": op9_simhash,
+}
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
