@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketml.llm import credentials, decontaminate, packing, perplexity, simhash
+from marketml.llm import credentials, decontaminate, packing, perplexity, simhash, toxicity
 from marketml.llm.common import read
 
 
@@ -26,6 +26,16 @@ def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), tokens=2048, with_ids=False)
 
 
+def op4_toxicity(spark, sf_dir):
+    """Operator 4 on documents; labels of a third of the documents are held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "toxicity.score",
+                         (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"), F.col("toxicity.worst").alias("sentences"))
+
+
 def op5_decontaminate(spark, sf_dir):
     """Operator 5 on documents and benchmark: 13-word windows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +93,7 @@ def op9_simhash(spark, sf_dir):
 
 
 QUERIES = {
-    "op1_perplexity": op1_perplexity, "op2_packing": op2_packing, "op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op9_simhash": op9_simhash,
+    "op1_perplexity": op1_perplexity, "op2_packing": op2_packing, "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
