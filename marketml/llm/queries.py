@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketml.llm import credentials, decontaminate, packing, perplexity, simhash, toxicity
+from marketml.llm import credentials, decontaminate, packing, perplexity, simhash, site_templates, toxicity, warc
 from marketml.llm.common import read
 
 
@@ -26,6 +26,12 @@ def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), tokens=2048, with_ids=False)
 
 
+def op3_site_templates(spark, sf_dir):
+    """Operator 3 on pages."""
+    found = site_templates.extract(read(spark, sf_dir, "pages"), keep=("page_id", "url"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_toxicity(spark, sf_dir):
     """Operator 4 on documents; labels of a third of the documents are held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,6 +92,24 @@ def op6_credentials(spark, sf_dir):
         F.sha2(credentials.listed(F.col("base")), 256).alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
 
 
+def op8_warc(spark, sf_dir):
+    """Operator 8 on pages: archives are written to the shared folder and read back."""
+    records = warc.read_archives(spark, warc.write_archives(read(spark, sf_dir, "pages"), min_bytes=1000))
+    sound = F.when(F.col("sound"), F.col("payload_digest"))  # null, had the payload read not the recorded digest
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", sound.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP8_SQL = """
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN again AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM (
+  SELECT page_id, html, max(page_id) OVER w AS last, octet_length(encode(html)) >= 1000 AND count(*) OVER w > 1 AS again
+  FROM (SELECT page_id, coalesce(html, '') AS html FROM pages) AS p WINDOW w AS (PARTITION BY html)
+) AS q
+"""
+
+
 def op9_simhash(spark, sf_dir):
     """Operator 9 on documents: 4-word shingles, at most 4 bits."""
     docs = simhash.assign_components(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -93,7 +117,9 @@ def op9_simhash(spark, sf_dir):
 
 
 QUERIES = {
-    "op1_perplexity": op1_perplexity, "op2_packing": op2_packing, "op4_toxicity": op4_toxicity,
-    "op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op9_simhash": op9_simhash,
+    "op1_perplexity": op1_perplexity, "op2_packing": op2_packing,
+    "op3_site_templates": op3_site_templates, "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL}
