@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketml.llm import credentials, decontaminate, packing, perplexity, simhash, site_templates, toxicity, warc
+from marketml.llm import chat_repair, credentials, decontaminate, language_id, packing, perplexity, simhash, site_templates, toxicity, warc
 from marketml.llm.common import read
 
 
@@ -92,6 +92,11 @@ def op6_credentials(spark, sf_dir):
         F.sha2(credentials.listed(F.col("base")), 256).alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
 
 
+def op7_chat_repair(spark, sf_dir):
+    """Operator 7 on conversations."""
+    return chat_repair.repair_roles(read(spark, sf_dir, "conversations"))
+
+
 def op8_warc(spark, sf_dir):
     """Operator 8 on pages: archives are written to the shared folder and read back."""
     records = warc.read_archives(spark, warc.write_archives(read(spark, sf_dir, "pages"), min_bytes=1000))
@@ -116,10 +121,15 @@ def op9_simhash(spark, sf_dir):
     return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark, sf_dir):
+    """Operator 10 on pages; the text model learns from documents."""
+    return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_perplexity": op1_perplexity, "op2_packing": op2_packing,
     "op3_site_templates": op3_site_templates, "op4_toxicity": op4_toxicity,
-    "op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op8_warc": op8_warc,
-    "op9_simhash": op9_simhash,
+    "op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op7_chat_repair": op7_chat_repair, "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash, "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL}
