@@ -95,10 +95,16 @@ def read_archive(data: bytes):
     decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
     at = 8 + size
     while at < len(data):
-        one = decompress.decompressobj()
-        got = one.decompress(memoryview(data)[at:])
-        at = len(data) - len(one.unused_data)
-        yield got
+        # Fed in pieces, as what lies beyond the frame's end is copied.
+        one, parts = decompress.decompressobj(), []
+        while not one.eof:
+            piece = data[at : at + 16384]
+            if not piece:
+                raise ValueError("the archive ends within a record")
+            parts.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -149,6 +155,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     spark = pages.sparkSession
     prepare(spark)
     folder = folder or scratch_path(spark, "warc")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)  # also where no page needs an archive
     plan = plan_records(pages, min_bytes, **columns)
     plan.mapInArrow(_writer(folder, archive_bytes, sample_bytes, dictionary_bytes, level), "file string, records long").agg(F.sum("records")).collect()
     return folder
