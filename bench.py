@@ -91,13 +91,13 @@ def main() -> None:
 
     from marketml.operators.evaluate import metrics_dict
     from marketml.plans import models, tuning
-    from marketml.sources.market import FEATURES, KEYS, LABEL
+    from marketml.sources.market import FEATURES, LABEL
 
     day = workflows.model_frame(spark, sf_dir, grain="day")
     train = day.where(F.col("split") == "train")
     test = day.where(F.col("split") == "test")
     t = time.perf_counter()
-    gbt = models.fit(models.canonical(train, KEYS), "gbt", FEATURES, LABEL)
+    gbt = models.fit(models.canonical(train), "gbt", FEATURES, LABEL)
     quality["day_gbt_r2"] = round(metrics_dict(gbt.transform(test), LABEL)["r2"], 6)
     times["day_gbt_fit_eval"] = time.perf_counter() - t
     t = time.perf_counter()

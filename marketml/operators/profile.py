@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketml.functions.scalar import is_missing
 from marketml.operators.quantiles import exact_quantiles_long
@@ -44,30 +45,62 @@ def null_profile_long(df: DataFrame, names: Sequence[str] | None = None) -> Data
     ])).alias("r")).select("r.*")
 
 
-def _moments(c: str):
-    x = F.col(c).cast("double")
+_SQL_TYPES = {
+    T.IntegerType: "INTEGER", T.LongType: "BIGINT", T.DoubleType: "DOUBLE",
+    T.DateType: "DATE", T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN",
+    T.TimestampNTZType: "TIMESTAMP", T.FloatType: "FLOAT", T.ShortType: "SMALLINT",
+}
+
+
+def sql_type(dt: T.DataType) -> str:
+    return _SQL_TYPES.get(type(dt), dt.simpleString().upper())
+
+
+def schema_table(df: DataFrame) -> DataFrame:
+    """(column_name, data_type, non_null) - the schema with a non-NULL count
+    per column from one aggregation (S13)."""
+    fields = df.schema.fields
+    counts = df.agg(*[F.count(F.col(f.name)).alias(f.name) for f in fields])
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), F.lit(sql_type(f.dataType)).alias("data_type"),
+                 F.col(f.name).alias("non_null"))
+        for f in fields
+    ])).alias("r")).select("r.*")
+
+
+def _is_number(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, T.NumericType)
+
+
+def _moments(c: str, number: bool):
+    x = F.col(c).cast("double") if number else F.col(c).cast("string")
+    none = F.lit(None).cast("double")
     return [
         F.count(x).alias(f"{c}__count"),
-        F.avg(x).alias(f"{c}__mean"),
-        F.stddev_samp(x).alias(f"{c}__stddev"),
+        (F.avg(x) if number else none).alias(f"{c}__mean"),
+        (F.stddev_samp(x) if number else none).alias(f"{c}__stddev"),
         F.min(x).alias(f"{c}__min"),
         F.max(x).alias(f"{c}__max"),
     ]
 
 
-def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def describe(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample stddev, min, max per column in one pass (G3):
-    ``(column_name, count, mean, stddev, min, max)``."""
-    names = list(names)
-    wide = df.agg(*[m for c in names for m in _moments(c)])
+    ``(column_name, count, mean, stddev, min, max)``.  By default every
+    column.  Text and dates have count, min and max only; where one is among the
+    columns, min and max of all are text."""
+    names = list(names) if names is not None else df.columns
+    numbers = {c: _is_number(df, c) for c in names}
+    end = "double" if all(numbers.values()) else "string"
+    wide = df.agg(*[m for c in names for m in _moments(c, numbers[c])])
     return wide.select(F.explode(F.array(*[
         F.struct(
             F.lit(c).alias("column_name"),
             F.col(f"{c}__count").alias("count"),
             F.col(f"{c}__mean").alias("mean"),
             F.col(f"{c}__stddev").alias("stddev"),
-            F.col(f"{c}__min").alias("min"),
-            F.col(f"{c}__max").alias("max"),
+            F.col(f"{c}__min").cast(end).alias("min"),
+            F.col(f"{c}__max").cast(end).alias("max"),
         )
         for c in names
     ])).alias("r")).select("r.*")

@@ -16,8 +16,7 @@ rows would land in a single task.  Two exact methods avoid that.
    ids for the two passes below and cuts lineage;
 4. pass 1 aggregates per (group, partition) segment: first id and row count;
    a window over this small table gives each segment its rank offset;
-5. the wanted ranks become a small table of row ids, joined back in pass 2
-   with a size-checked broadcast.
+5. the wanted ranks become a small table of row ids, joined back in pass 2.
 
 ``method="bracket"`` - the same selection on a tiny subset:
 
@@ -33,12 +32,11 @@ rows would land in a single task.  Two exact methods avoid that.
 4. a group whose bracket does not hold its rank (not expected; the check is
    exact) is recomputed with the sort method.
 
-The bracket method scans the data three times (column-pruned) but shuffles
-only sketches, counts and the bracket interiors, where the sort method
-shuffles every value once.  ``method="auto"`` (default) counts values per
-group first (one cheap aggregation) and brackets only when the largest
-group reaches ``BRACKET_MIN_GROUP`` values; smaller groups gain nothing
-from a bracket (its width must cover a couple of ranks of a tiny group).
+The bracket method scans the data three times (column-pruned) and shuffles
+sketches, counts and the bracket interiors, where the sort method shuffles
+every value once.  ``bracket`` is the default at every size; ``sort`` is chosen
+by name only.  Helper tables are written first, so Catalyst knows their
+bytes and picks broadcast or shuffle joins by them.
 
 Interpolation matches Spark's ``percentile`` and SQL ``quantile_cont``:
 ``lo * (1 - d) + hi * d`` with ``d = pos - floor(pos)``.  NULLs are skipped.
@@ -51,14 +49,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketml.session import join_small, materialize
+from marketml.session import materialize
 
-METHODS = ("auto", "bracket", "sort")
+METHODS = ("bracket", "sort")
 # Bracket half-width in units of the sketch's rank error (1 / accuracy).
 BRACKET_SLACK = 2.0
-# "auto" brackets when the largest group has at least this many values:
-# below it, moving every value once costs less than the extra passes.
-BRACKET_MIN_GROUP = 1_000_000
 
 
 def _value_exprs(values) -> list[tuple[str, Column]]:
@@ -71,14 +66,13 @@ def _value_exprs(values) -> list[tuple[str, Column]]:
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                     how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating NULL keys as equal.  ``right`` is the small
-    side and should be materialised: it is broadcast after a row-count
-    check, else the join shuffles."""
+    side and should be materialised, so that Catalyst knows its bytes."""
     if not keys:
         raise ValueError("join keys required (an empty key list would be a cross join)")
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
-    out = join_small(left, r, cond, how)
+    out = left.join(r, cond, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
@@ -120,7 +114,7 @@ def _rank_select(stacked: DataFrame, gkeys: Sequence[str], num_partitions: int |
         .drop("_pid", "_first", "_cnt", "_off"),
         "quantile-targets")
     # Pass 2: fetch the wanted rows by id.
-    return join_small(ranked.select("_rid", "_v"), targets, on="_rid").drop("_rid")
+    return ranked.select("_rid", "_v").join(targets, "_rid").drop("_rid")
 
 
 def _interpolate(picked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -234,7 +228,7 @@ def exact_quantiles_long(
     probs: Sequence[float] = (0.5,),
     tiebreak: Column | None = None,
     num_partitions: int | None = None,
-    method: str = "auto",
+    method: str = "bracket",
     accuracy: int = 10000,
 ) -> DataFrame:
     """Exact quantiles per group, long form.
@@ -268,9 +262,6 @@ def exact_quantiles_long(
         .select(*keys, "_t", F.col("_s.m").alias("_m"), F.col("_s.v").alias("_v"))
         .where(F.col("_v").isNotNull())
     )
-    if method == "auto":
-        largest = stacked.groupBy(*keys, "_m").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
-        method = "bracket" if (largest or 0) >= BRACKET_MIN_GROUP else "sort"
     if method == "sort":
         out = _sort_method(stacked, keys, probs, num_partitions)
     else:
@@ -293,7 +284,7 @@ def exact_quantiles(
     names: Mapping[tuple[str, float], str] | None = None,
     tiebreak: Column | None = None,
     num_partitions: int | None = None,
-    method: str = "auto",
+    method: str = "bracket",
     accuracy: int = 10000,
 ) -> DataFrame:
     """Exact quantiles per group, wide form: one column per (value, prob).

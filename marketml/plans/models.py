@@ -8,7 +8,6 @@ canonical row placement before tree fits) and tables instead of printouts.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -46,23 +45,19 @@ def estimator(family: str, label: str, features_col: str = "features",
     raise ValueError(f"family must be one of {FAMILIES}")
 
 
-ROWS_PER_PARTITION = 200_000
+CANONICAL_PARTITIONS = 16
 
 
-def canonical(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Fixed row placement: hash-partition on the keys and sort within
-    partitions.  Seeded forests and boosted trees depend on where rows sit,
-    so this makes their output reproducible across input layouts.
-
-    The partition count follows the data (one count: about 200k rows per
-    partition, at most ``spark.sql.shuffle.partitions``), so a small table
-    is not spread over idle tasks and a large one keeps the cluster busy;
-    for a given table and configuration it is always the same."""
-    if partitions is None:
-        cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = df.count()
-        partitions = max(1, min(cap, math.ceil(rows / ROWS_PER_PARTITION)))
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+def canonical(df: DataFrame, partitions: int = CANONICAL_PARTITIONS) -> DataFrame:
+    """Fixed row placement for seeded forests and boosted trees, whose output
+    depends on where rows sit.  A hash of the whole row places it, so no key
+    gathers its rows in one task, and orders it within its partition; rows with
+    equal hashes are equal rows.  ``partitions`` is a plain parameter: neither the data's
+    size nor the session's settings change it, so they do not change the model.
+    Raise it for large tables."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    placed = df.withColumn("__row", row).repartition(partitions, "__row")
+    return placed.sortWithinPartitions("__row").drop("__row")
 
 
 def pipeline(family: str, features: Sequence[str], label: str, **params) -> Pipeline:

@@ -15,7 +15,7 @@ from marketml.functions.scalar import elapsed_hms
 RUN_SCHEMA = (
     "model string, eval_on string, n long, rmse double, r2 double, seconds double, "
     "best_params string, best_max_depth int, best_max_iter int, best_reg_param double, "
-    "best_elastic_net_param double"
+    "best_elastic_net_param double, best_num_trees int"
 )
 
 
@@ -38,6 +38,7 @@ class RunRecord:
             self.model, self.eval_on, int(self.n), float(self.rmse), float(self.r2),
             float(self.seconds), text,
             b.get("maxDepth"), b.get("maxIter"), b.get("regParam"), b.get("elasticNetParam"),
+            b.get("numTrees"),
         )
 
 

@@ -11,6 +11,7 @@ has a seed.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from marketml.plans import models, tuning
 from marketml.plans.presets import PRESETS
 from marketml.plans.report import RunRecord
 from marketml.session import materialize, path_exists, scratch_path, scratch_scope
-from marketml.sources.market import FEATURES, KEYS, LABEL, build_market
+from marketml.sources.market import FEATURES, LABEL, build_market
 
 # The reference's tuning grids and fold counts per family (from the presets).
 REFERENCE_GRIDS: dict[str, dict[str, list]] = {p.family: p.grid for p in PRESETS.values()}
@@ -35,13 +36,27 @@ REFERENCE_FOLDS: dict[str, int] = {p.family: p.folds for p in PRESETS.values()}
 TUNING_PARALLELISM = 4
 
 _MARKETS: dict[tuple, str] = {}
+_MARKETS_LOCK = threading.RLock()
+
+
+def input_version(spark: SparkSession, sf_dir: str) -> str:
+    """What the tables' files are now (names, sizes, times): a changed input
+    is another input to whatever is kept by it."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return "|".join(sorted(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(hp)))
 
 
 def market_table(spark: SparkSession, sf_dir: str, grain: str = "month",
                  level: str = "nation") -> DataFrame:
     """The market table written once per session to the shared checkpoint
     folder and re-read by every later query of that session."""
-    key = (spark.sparkContext.applicationId, sf_dir, grain, level)
+    key = (spark.sparkContext.applicationId, sf_dir, grain, level, input_version(spark, sf_dir))
+    with _MARKETS_LOCK:
+        return spark.read.parquet(_market_path(spark, sf_dir, grain, level, key))
+
+
+def _market_path(spark: SparkSession, sf_dir: str, grain: str, level: str, key: tuple) -> str:
     path = _MARKETS.get(key)
     if path is None or not path_exists(spark, path):
         # Intermediate facts and sort tables are dropped once the market
@@ -51,7 +66,7 @@ def market_table(spark: SparkSession, sf_dir: str, grain: str = "month",
             path = scratch_path(spark, f"market-{grain}-{level}")
             market.write.mode("errorifexists").parquet(path)
         _MARKETS[key] = path
-    return spark.read.parquet(path)
+    return path
 
 
 def model_frame(spark: SparkSession, sf_dir: str, grain: str = "month", level: str = "nation",
@@ -99,7 +114,7 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
     train = with_fold(frame.where(F.col("split") == "train"), F.col("row_key"), folds)
     test = frame.where(F.col("split") == "test")
     if family != "linear":
-        train = models.canonical(train, KEYS)
+        train = models.canonical(train)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         pipe = models.pipeline(family, features, label)
@@ -181,14 +196,17 @@ def eda_report(df: DataFrame, numeric: Sequence[str], time_col: str | None = Non
 
     numeric = [c for c in numeric if c in df.columns]
     out = {
+        "schema": profile.schema_table(df),
         "row_count": profile.row_count(df),
-        "describe": profile.describe(df, numeric),
+        "describe": profile.describe(df),
         "null_profile": profile.null_profile_long(df),
         "summary": profile.summary(df, [c for c in (summary_cols or numeric) if c in df.columns]),
         "correlation": profile.correlation_matrix(df, numeric),
     }
     if time_col and time_col in df.columns:
-        out["series_head"] = profile.series_head(df, time_col, [label], head)
+        # Every other column that can be ordered breaks ties of the time column.
+        rest = [c for c, t in df.dtypes if c != time_col and not t.startswith(("map", "variant"))]
+        out["series_head"] = profile.series_head(df, time_col, [label], head, rest).select(time_col, label)
     return out
 
 
@@ -218,7 +236,9 @@ def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "
         # text once and let later passes scan column-pruned Parquet.
         raw = materialize(raw, f"{script}-input")
     feats, label = list(preset.features), preset.label
-    keys = [k for k in (keys or []) if k in raw.columns]
+    keys = list(keys or [])
+    if missing := [k for k in keys if k not in raw.columns]:
+        raise ValueError(f"no such key columns: {missing}")
     if preset.clean_mode is None:
         df = drop_missing(raw.select(*keys, *feats, label))
     else:
@@ -244,10 +264,16 @@ def ablation_report(spark: SparkSession, frame: DataFrame, family: str, features
     train = frame.where(F.col("split") == "train")
     test = frame.where(F.col("split") == "test")
     if family != "linear":
-        train = models.canonical(train, ["row_key"])
+        train = models.canonical(train)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     parts = None
-    for name, feats in ablation_sets(features, drop):
-        m = models.fit(train, family, feats, label, **params)
+    fitted = []
+    try:
+        for name, feats in ablation_sets(features, drop):
+            fitted.append((name, feats, models.fit(train, family, feats, label, **params)))
+    finally:
+        train.unpersist()
+    for name, feats, m in fitted:
         p = m.transform(test).select(F.lit(name).alias("feature_set"),
                                      F.lit(len(feats)).alias("n_features"), label, "prediction")
         parts = p if parts is None else parts.unionByName(p)

@@ -10,6 +10,7 @@ price-scale ones (RMSE, intercepts, means).
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
@@ -152,32 +153,9 @@ def q_sql_view(spark, sf):
     return spark.sql("SELECT * FROM market")
 
 
-_SQL_TYPES = {
-    T.IntegerType: "INTEGER", T.LongType: "BIGINT", T.DoubleType: "DOUBLE",
-    T.DateType: "DATE", T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN",
-    T.TimestampNTZType: "TIMESTAMP", T.FloatType: "FLOAT", T.ShortType: "SMALLINT",
-}
-
-
-def sql_type(dt: T.DataType) -> str:
-    return _SQL_TYPES.get(type(dt), dt.simpleString().upper())
-
-
-def schema_table(df: DataFrame) -> DataFrame:
-    """(column_name, data_type, non_null) - the schema with a non-NULL count
-    per column from one aggregation (S13)."""
-    fields = df.schema.fields
-    counts = df.agg(*[F.count(F.col(f.name)).alias(f.name) for f in fields])
-    return counts.select(F.explode(F.array(*[
-        F.struct(F.lit(f.name).alias("column_name"), F.lit(sql_type(f.dataType)).alias("data_type"),
-                 F.col(f.name).alias("non_null"))
-        for f in fields
-    ])).alias("r")).select("r.*")
-
-
 def q_schema_table(spark, sf):
     """Schema with non-NULL counts."""
-    return schema_table(_market(spark, sf))
+    return profile.schema_table(_market(spark, sf))
 
 
 def q_union_levels(spark, sf):
@@ -237,6 +215,72 @@ def q_null_profile(spark, sf):
     return profile.null_profile(_dirty_numeric(spark, sf), ["quantity", "price", "discount", "tax"])
 
 
+TEXT_COLUMNS = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+
+
+def q_describe_text(spark, sf):
+    """describe over text, date and number columns: text has count, min, max."""
+    d = profile.describe(spark.read.parquet(tables.table_path(sf, "orders")), TEXT_COLUMNS)
+    return d.select("column_name", "count", _r("mean", R4), _r("stddev", R4), "min", "max")
+
+
+def q_csv_inferred(spark, sf):
+    """CSV with inferred types and two headers that repeat but for case."""
+    path = scratch_path(spark, "market-inferred-csv")
+    m = _market(spark, sf)
+    sensitive = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")  # the writer refuses such headers otherwise
+    try:
+        tables.write_csv(m.select("region_id", F.col("median_list_price").alias("price"), F.col("median_sale_price").alias("PRICE")), path)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", sensitive)
+    df = tables.read_csv(spark, path, infer_schema=True)
+    return df.select("region_id", F.col("price1").alias("list_price"), F.col("PRICE2").alias("sale_price"))
+
+
+def q_levels_from_files(spark, sf):
+    """One CSV file a level, one of them without a column, read and stacked."""
+    levels = materialize(mk.build_market_levels(spark, sf, "month"), "market-levels")
+    paths = {}
+    for lv in mk.LEVELS:
+        part = levels.where(F.col("region_level") == lv).select("region_id", "period_begin", "homes_sold", "inventory", LABEL)
+        paths[lv] = scratch_path(spark, f"level-{lv}")
+        tables.write_csv(part.drop("inventory") if lv == "all" else part, paths[lv])
+    df = tables.load_levels(spark, paths)
+    return df.select("region_level", "region_id", "period_begin", F.col("homes_sold").cast("long").alias("homes_sold"), "inventory", LABEL)
+
+
+def q_market_sorted(spark, sf):
+    """Market table with medians by the sort method, chosen by name (bracket is the default)."""
+    return mk.build_market(spark, sf, "month", quantile_method="sort")
+
+
+def q_linreg_all_first_order(spark, sf):
+    """All-feature least squares: at the optimum the residuals are uncorrelated
+    with every feature and sum to zero (R1)."""
+    train, _ = _train_test(spark, sf)
+    p = models.fit(train, "linear", ALL, LABEL).transform(train).withColumn("e", F.col(LABEL) - F.col("prediction"))
+    cov = lambda f: F.avg(F.col("e") * F.col(f)) / (F.stddev_pop(F.col(f)) * F.stddev_pop(F.col(LABEL)))
+    wide = p.agg(F.count(F.lit(1)).alias("n"), (F.avg("e") / F.stddev_pop(F.col(LABEL))).alias("intercept"), *[cov(f).alias(f) for f in ALL])
+    rows = F.array(*[F.struct(F.lit(t).alias("term"), (F.round(F.abs(F.col(t)), 6) + 0.0).alias("gradient")) for t in ["intercept", *ALL]])
+    return wide.select("n", F.explode(rows).alias("r")).select("r.term", "n", "r.gradient")
+
+
+def _linear_runs(spark, sf):
+    run = workflows.run_family(_frame(spark, sf), "linear", LIN1, LABEL, grid=LINEAR_GRID, folds=FOLDS)
+    return report.comparison(spark, run.runs)
+
+
+def q_comparison_values(spark, sf):
+    """Baseline, CV and TVS compared with their chosen parameters, without times (O1, O2)."""
+    return _linear_runs(spark, sf).select("model", "eval_on", "n", _r("rmse", R4), _r("r2", R8), "best_reg_param", "best_elastic_net_param")
+
+
+def q_stage_status_values(spark, sf):
+    """Stage completion table without times."""
+    return report.stage_status(_linear_runs(spark, sf)).select("stage", "status", "rmse_text", "r2_text")
+
+
 def q_describe(spark, sf):
     """count, mean, stddev, min, max per column."""
     d = profile.describe(_market(spark, sf), MODEL_COLS)
@@ -383,7 +427,7 @@ def _family_baseline(spark, sf, family, **params):
     if not params:
         return family_run(spark, sf, family, "baseline").baseline_model, test
     train, _ = _train_test(spark, sf)
-    model = models.fit(models.canonical(train, mk.KEYS), family, ALL, LABEL, **params)
+    model = models.fit(models.canonical(train), family, ALL, LABEL, **params)
     return model, test
 
 
@@ -447,20 +491,25 @@ def q_param_grid(spark, sf):
 
 
 _CV_RUNS: dict[tuple, tuple] = {}
+_RUNS_LOCK = threading.RLock()
 
 
 def _linreg_cv(spark, sf, sub_models=True):
     """One cross-validation of the one-feature elastic-net grid per session
     (sub-models kept), shared by the CV, fold-RMSE and candidate queries."""
     train, test = _train_test(spark, sf)
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _CV_RUNS:
-        pipe = models.pipeline("linear", LIN1, LABEL)
-        maps = _linear_grid(pipe.getStages()[-1])
-        cv = tuning.cross_validate(pipe, maps, train, LABEL, "fold", FOLDS, parallelism=4,
-                                   collect_sub_models=sub_models)
-        _CV_RUNS[key] = (cv, maps)
-    cv, maps = _CV_RUNS[key]
+    key = (spark.sparkContext.applicationId, sf, sub_models, workflows.input_version(spark, sf))
+    with _RUNS_LOCK:
+        if key not in _CV_RUNS:
+            pipe = models.pipeline("linear", LIN1, LABEL)
+            maps = _linear_grid(pipe.getStages()[-1])
+            held = train.persist()
+            cv = tuning.cross_validate(pipe, maps, held, LABEL, "fold", FOLDS, parallelism=4,
+                                       collect_sub_models=sub_models)
+            held.unpersist()
+            _CV_RUNS.clear()  # one input's fits are kept at a time
+            _CV_RUNS[key] = (cv, maps)
+        cv, maps = _CV_RUNS[key]
     return cv, maps, train, test
 
 
@@ -482,7 +531,9 @@ def q_linreg_tvs(spark, sf):
     train, test = _train_test(spark, sf)
     pipe = models.pipeline("linear", LIN1, LABEL)
     maps = _linear_grid(pipe.getStages()[-1])
+    train = train.persist()
     res = tuning.train_validate(pipe, maps, train, LABEL, "is_validation", parallelism=4)
+    train.unpersist()
     best = tuning.grid_rows(maps)[res.best_index]
     m = evaluate.regression_metrics(res.model.transform(test), LABEL)
     return m.select(
@@ -507,10 +558,14 @@ _RUNS: dict[tuple, workflows.FamilyRun] = {}
 def family_run(spark, sf, family, stage) -> workflows.FamilyRun:
     """One stage (baseline, cv or tvs) of a family on all six features,
     fitted once per session and shared by the queries that report it."""
-    key = (spark.sparkContext.applicationId, sf, family, stage)
-    if key not in _RUNS:
-        _RUNS[key] = workflows.run_family(_frame(spark, sf), family, ALL, LABEL, stages=[stage])
-    return _RUNS[key]
+    version = (spark.sparkContext.applicationId, sf, workflows.input_version(spark, sf))
+    with _RUNS_LOCK:
+        for old in [k for k in _RUNS if k[:3] != version]:
+            del _RUNS[old]  # one input's fits are kept at a time
+        key = (*version, family, stage)
+        if key not in _RUNS:
+            _RUNS[key] = workflows.run_family(_frame(spark, sf), family, ALL, LABEL, stages=[stage])
+        return _RUNS[key]
 
 
 def family_records(spark, sf, family):
@@ -519,7 +574,7 @@ def family_records(spark, sf, family):
 
 def _tuned(spark, sf, family, which):
     df = report.comparison(spark, family_run(spark, sf, family, which).runs)
-    return df.select("model", "best_params", "best_max_depth", "best_max_iter", "n",
+    return df.select("model", "best_params", "best_max_depth", "best_max_iter", "best_num_trees", "n",
                      _r("rmse", R4), _r("r2", R8))
 
 
@@ -861,7 +916,7 @@ ORACLE_SQL: dict[str, str] = {
     "csv_roundtrip": mk.market_sql(),
     "sql_view": mk.market_sql(),
     "schema_table": _with(MARKET) + _union([
-        f"SELECT '{f.name}' AS column_name, '{sql_type(f.dataType)}' AS data_type, "
+        f"SELECT '{f.name}' AS column_name, '{profile.sql_type(f.dataType)}' AS data_type, "
         f"count({f.name}) AS non_null FROM market"
         for f in MARKET_SCHEMA.fields
     ]),
@@ -972,3 +1027,31 @@ SELECT o_orderkey, round(seconds, 3) AS seconds,
          CAST(round(seconds) AS BIGINT) % 60) AS elapsed
 FROM lag""",
 }
+
+_RUN_PARTS = [
+    ("linear", "linreg_holdout_metrics", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+    ("linear_cv", "linreg_cv", "best_reg_param", "best_elastic_net_param"),
+    ("linear_tvs", "linreg_tvs", "best_reg_param", "best_elastic_net_param"),
+]
+ORACLE_SQL |= {
+    "market_sorted": mk.market_sql(),
+    "describe_text": _union([
+        f"""SELECT '{c}' AS column_name, count({c}) AS count, {f'round(avg({c}), 4)' if c == 'o_orderkey' else 'CAST(NULL AS DOUBLE)'} AS mean,
+            {f'round(stddev_samp({c}), 4)' if c == 'o_orderkey' else 'CAST(NULL AS DOUBLE)'} AS stddev,
+            {f"CAST(CAST(min({c}) AS DOUBLE) AS VARCHAR)" if c == 'o_orderkey' else f"CAST(min({c}) AS VARCHAR)"} AS min,
+            {f"CAST(CAST(max({c}) AS DOUBLE) AS VARCHAR)" if c == 'o_orderkey' else f"CAST(max({c}) AS VARCHAR)"} AS max FROM orders"""
+        for c in TEXT_COLUMNS]),
+    "csv_inferred": f"SELECT region_id, median_list_price AS list_price, median_sale_price AS sale_price FROM ({mk.market_sql()}) m",
+    "levels_from_files": _union([
+        f"SELECT '{lv}' AS region_level, region_id, period_begin, homes_sold, "
+        f"{'CAST(NULL AS DOUBLE)' if lv == 'all' else 'inventory'} AS inventory, {LABEL} FROM ({mk.market_sql('month', lv)}) m{i}"
+        for i, lv in enumerate(mk.LEVELS)]),
+    "linreg_all_first_order": _with(*BASE) + _union([
+        f"SELECT '{t}' AS term, count(*) AS n, CAST(0 AS DOUBLE) AS gradient FROM train" for t in ["intercept", *ALL]]),
+    "comparison_values": _union([
+        f"SELECT '{m}' AS model, 'test' AS eval_on, n, rmse, r2, {a} AS best_reg_param, {b} AS best_elastic_net_param FROM ({ORACLE_SQL[q]}) q{i}"
+        for i, (m, q, a, b) in enumerate(_RUN_PARTS)]),
+    "stage_status_values": _union([
+        f"SELECT '{m}' AS stage, 'Completed' AS status, printf('%.4f', rmse) AS rmse_text, printf('%.4f', r2) AS r2_text FROM ({ORACLE_SQL[q]}) q{i}"
+        for i, (m, q, _, _) in enumerate(_RUN_PARTS)]),
+}

@@ -1,5 +1,4 @@
-"""Session-level helpers: the shared checkpoint folder, materialisation and
-size-checked broadcast joins.
+"""Session-level helpers: the shared checkpoint folder and materialisation.
 
 The library never builds a SparkSession; callers pass theirs in.  Everything
 here reads settings from that session.
@@ -12,12 +11,6 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a small side may hold before a join falls back to a shuffle join
-# (the quantile target rows are ~80 bytes, so about 80 MB at the cap).
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
@@ -102,24 +95,3 @@ def delete_paths(spark: SparkSession, paths) -> None:
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         hp.getFileSystem(conf).delete(hp, True)
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on,
-    how: str = "inner",
-    max_rows: int = DEFAULT_BROADCAST_ROWS,
-    known_rows: int | None = None,
-) -> DataFrame:
-    """Join ``big`` with a side expected to be small.
-
-    The small side is broadcast only when its row count is proven to be at
-    most ``max_rows`` (pass ``known_rows`` if the caller already counted it);
-    otherwise the join is left to a shuffle join, where AQE's skew handling
-    splits hot keys.  Callers should hand in a materialised ``small`` so the
-    count does not recompute it.
-    """
-    n = small.count() if known_rows is None else known_rows
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on=on, how=how)

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketml.operators.quantiles import BRACKET_MIN_GROUP, exact_median
+from marketml.operators.quantiles import exact_median
 from marketml.session import materialize, scratch_path
 from marketml.sources.tables import load
 
@@ -145,7 +145,7 @@ def _median_inputs():
 
 def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *KEYS),
                      exact: bool = True, accuracy: int = 10000,
-                     quantile_method: str = "auto") -> DataFrame:
+                     quantile_method: str = "bracket") -> DataFrame:
     """Facts -> one row per key: counts, sums and medians.
 
     ``exact=True`` (default) uses the distributed exact quantile operator.
@@ -181,15 +181,6 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
         F.sum("qty").alias("inventory"),
         F.sum("disc_pct").alias("disc_pct"),
     )
-    if quantile_method == "auto":
-        # No group can reach the bracket threshold when the facts are fewer
-        # rows than it (a metadata count on the written facts); otherwise
-        # the largest group decides.
-        if facts.count() < BRACKET_MIN_GROUP:
-            quantile_method = "sort"
-        else:
-            largest = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
-            quantile_method = "bracket" if (largest or 0) >= BRACKET_MIN_GROUP else "sort"
     medians = exact_median(facts, keys, _median_inputs(),
                            tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
                            method=quantile_method, accuracy=accuracy)
@@ -207,7 +198,7 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
 
 def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
                  level: str = "nation", exact: bool = True,
-                 quantile_method: str = "auto", inputs: OrderInputs | None = None) -> DataFrame:
+                 quantile_method: str = "bracket", inputs: OrderInputs | None = None) -> DataFrame:
     """The market table at one level: ``region_id, period_begin`` + features + label.
 
     The exact build reads the join output three times, so it is written once

@@ -49,7 +49,7 @@ def test_metrics_equal_evaluator(spark, train, test_rows):
 
 @pytest.mark.parametrize("family", ["tree", "forest", "gbt"])
 def test_importance_invariants(spark, train, family):
-    tr = models.canonical(train, KEYS)
+    tr = models.canonical(train)
     model = models.fit(tr, family, FEATURES, LABEL, maxIter=5) if family == "gbt" else \
         models.fit(tr, family, FEATURES, LABEL)
     imp = models.importances(spark, model, FEATURES, family).collect()
@@ -60,13 +60,52 @@ def test_importance_invariants(spark, train, family):
 
 
 def test_forest_is_reproducible_across_layouts(spark, train):
-    a = models.canonical(train, KEYS)
-    b = models.canonical(train.repartition(3).sortWithinPartitions(F.desc("period_begin")), KEYS)
+    a = models.canonical(train)
+    b = models.canonical(train.repartition(3).sortWithinPartitions(F.desc("period_begin")))
     ia = models.regressor(models.fit(a, "forest", FEATURES, LABEL)).featureImportances.toArray()
     ib = models.regressor(models.fit(b, "forest", FEATURES, LABEL)).featureImportances.toArray()
     assert list(ia) == list(ib)
 
 
+def test_forest_does_not_depend_on_session_partitions(spark, train):
+    """The placement's partition count is a parameter: the session's shuffle
+    setting changes neither it nor the fitted forest."""
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            placed = models.canonical(train)
+            assert placed.rdd.getNumPartitions() == models.CANONICAL_PARTITIONS
+            got.append(list(models.regressor(models.fit(placed, "forest", FEATURES, LABEL)).featureImportances.toArray()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
+def test_a_hot_key_spreads_over_partitions(spark):
+    hot = spark.range(4000).select(F.lit(1).alias("region"), F.col("id").alias("x"))
+    sizes = [r["count"] for r in models.canonical(hot).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == models.CANONICAL_PARTITIONS and max(sizes) < 2 * 4000 / len(sizes)
+
+
+@pytest.mark.parametrize("family", ["tree", "gbt"])
+@pytest.mark.parametrize("keys", [["region", "period"], None])
+def test_workflow_takes_any_key_names(spark, tmp_path, family, keys):
+    rename = {"region_id": "region", "period_begin": "period"}
+    if family == "tree":
+        rename |= {LABEL: "median_sale_price13"}
+        extra = {"PERIOD_BEGIN59": F.col("period_begin")}
+    else:
+        extra = {n: F.col("homes_sold") % k for k, n in enumerate(
+            ["pending_sales", "months_of_supply", "median_list_ppsf", "price_drops", "sold_above_list", "median_dom", "off_market_in_two_weeks", "inventory_yoy", "median_sale_price_yoy"], 3)}
+    path = _tracker_csv(spark, tmp_path, rename=rename, extra=extra)
+    grid = {"maxDepth": [2]} if family == "tree" else {"maxDepth": [2], "maxIter": [2]}
+    out = workflows.reference_workflow(spark, path, family, keys=keys, grid=grid)
+    assert out["comparison"].count() == 3
+    with pytest.raises(ValueError, match="no such key"):
+        workflows.reference_workflow(spark, path, family, keys=["regoin"], grid=grid)
+
+
 def test_tree_stump_is_best_midpoint(spark, train):
     n = train.agg(F.count_distinct("median_list_price")).first()[0]
     root = models.tree_root(models.fit(train, "tree", ["median_list_price"], LABEL,
@@ -222,7 +261,7 @@ def test_reference_workflow_gbt_with_eda_and_ablation(spark, tmp_path):
 
 @pytest.mark.parametrize("family", ["linear", "tree", "forest", "gbt"])
 def test_prediction_invariants(spark, train, test_rows, family):
-    tr = models.canonical(train, KEYS)
+    tr = models.canonical(train)
     params = {"maxIter": 5} if family == "gbt" else {}
     pred = models.fit(tr, family, FEATURES, LABEL, **params).transform(test_rows)
     m = metrics_dict(pred, LABEL)
@@ -233,7 +272,7 @@ def test_prediction_invariants(spark, train, test_rows, family):
 
 def test_same_seed_same_boosted_predictions(spark, train, test_rows):
     def run():
-        tr = models.canonical(train, KEYS)
+        tr = models.canonical(train)
         p = models.fit(tr, "gbt", FEATURES, LABEL, maxIter=5, subsamplingRate=0.7)
         return sorted(r.prediction for r in p.transform(test_rows).select("prediction").collect())
 

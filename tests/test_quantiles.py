@@ -106,18 +106,6 @@ def test_bracket_does_not_need_the_fallback(spark, monkeypatch, n, groups):
     assert all("_p" in c for c in calls)
 
 
-def test_auto_picks_by_largest_group(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(Q, "_sort_method", lambda *a: seen.append("sort") or Q.__dict__["_interpolate"])
-    monkeypatch.setattr(Q, "BRACKET_MIN_GROUP", 10)
-    calls = []
-    orig = Q._bracket_method
-    monkeypatch.setattr(Q, "_bracket_method", lambda *a: calls.append("bracket") or orig(*a))
-    df = _skewed(spark, n=300)
-    exact_quantiles_long(df, ["g"], ["v"], (0.5,))
-    assert calls == ["bracket"] and seen == []
-
-
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
