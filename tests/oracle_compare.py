@@ -8,6 +8,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -23,6 +24,8 @@ def duck(sf_dir: str):
 def _norm(v):
     if v is None:
         return ("~null",)
+    if v is pd.NA:  # a null in a column of whole numbers; Spark's side shows it as NaN
+        return ("~nan",)
     if isinstance(v, float):
         if math.isnan(v):
             return ("~nan",)
