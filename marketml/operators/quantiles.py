@@ -34,8 +34,9 @@ rows would land in a single task.  Two exact methods avoid that.
 
 The bracket method scans the data three times (column-pruned) and shuffles
 sketches, counts and the bracket interiors, where the sort method shuffles
-every value once.  ``bracket`` is the default at every size; ``sort`` is chosen
-by name only.  Helper tables are written first, so Catalyst knows their
+every value once.  ``sort`` is the default at every size, as it takes any mix of
+group sizes; ``bracket``, which pays where groups are large, is chosen by
+name only.  Helper tables are written first, so Catalyst knows their
 bytes and picks broadcast or shuffle joins by them.
 
 Interpolation matches Spark's ``percentile`` and SQL ``quantile_cont``:
@@ -228,7 +229,7 @@ def exact_quantiles_long(
     probs: Sequence[float] = (0.5,),
     tiebreak: Column | None = None,
     num_partitions: int | None = None,
-    method: str = "bracket",
+    method: str = "sort",
     accuracy: int = 10000,
 ) -> DataFrame:
     """Exact quantiles per group, long form.
@@ -284,7 +285,7 @@ def exact_quantiles(
     names: Mapping[tuple[str, float], str] | None = None,
     tiebreak: Column | None = None,
     num_partitions: int | None = None,
-    method: str = "bracket",
+    method: str = "sort",
     accuracy: int = 10000,
 ) -> DataFrame:
     """Exact quantiles per group, wide form: one column per (value, prob).

@@ -250,9 +250,9 @@ def q_levels_from_files(spark, sf):
     return df.select("region_level", "region_id", "period_begin", F.col("homes_sold").cast("long").alias("homes_sold"), "inventory", LABEL)
 
 
-def q_market_sorted(spark, sf):
-    """Market table with medians by the sort method, chosen by name (bracket is the default)."""
-    return mk.build_market(spark, sf, "month", quantile_method="sort")
+def q_market_bracket(spark, sf):
+    """Market table with medians by the bracket method, chosen by name (sort is the default)."""
+    return mk.build_market(spark, sf, "month", quantile_method="bracket")
 
 
 def q_linreg_all_first_order(spark, sf):
@@ -1034,7 +1034,7 @@ _RUN_PARTS = [
     ("linear_tvs", "linreg_tvs", "best_reg_param", "best_elastic_net_param"),
 ]
 ORACLE_SQL |= {
-    "market_sorted": mk.market_sql(),
+    "market_bracket": mk.market_sql(),
     "describe_text": _union([
         f"""SELECT '{c}' AS column_name, count({c}) AS count, {f'round(avg({c}), 4)' if c == 'o_orderkey' else 'CAST(NULL AS DOUBLE)'} AS mean,
             {f'round(stddev_samp({c}), 4)' if c == 'o_orderkey' else 'CAST(NULL AS DOUBLE)'} AS stddev,

@@ -145,7 +145,7 @@ def _median_inputs():
 
 def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *KEYS),
                      exact: bool = True, accuracy: int = 10000,
-                     quantile_method: str = "bracket") -> DataFrame:
+                     quantile_method: str = "sort") -> DataFrame:
     """Facts -> one row per key: counts, sums and medians.
 
     ``exact=True`` (default) uses the distributed exact quantile operator.
@@ -198,7 +198,7 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
 
 def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
                  level: str = "nation", exact: bool = True,
-                 quantile_method: str = "bracket", inputs: OrderInputs | None = None) -> DataFrame:
+                 quantile_method: str = "sort", inputs: OrderInputs | None = None) -> DataFrame:
     """The market table at one level: ``region_id, period_begin`` + features + label.
 
     The exact build reads the join output three times, so it is written once

@@ -15,7 +15,7 @@ FAST = [
     "linreg_tvs", "best_model", "ablation", "elapsed_format",
     "csv_roundtrip", "sql_view", "clean_try_cast", "drop_null_subset", "row_count", "describe",
     "linreg_1f_coef", "linreg_holdout_metrics", "linreg_cv_fold_rmse", "market_day",
-    "linreg_cv_candidates", "summary_by_level", "market_sorted", "describe_text", "csv_inferred",
+    "linreg_cv_candidates", "summary_by_level", "market_bracket", "describe_text", "csv_inferred",
     "levels_from_files", "linreg_all_first_order", "comparison_values", "stage_status_values",
 ]
 
