@@ -45,7 +45,7 @@ def estimator(family: str, label: str, features_col: str = "features",
     raise ValueError(f"family must be one of {FAMILIES}")
 
 
-CANONICAL_PARTITIONS = 16
+CANONICAL_PARTITIONS = 8
 
 
 def canonical(df: DataFrame, partitions: int = CANONICAL_PARTITIONS) -> DataFrame:
