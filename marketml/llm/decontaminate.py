@@ -8,9 +8,10 @@ possible start.  Where the shift is zero, the block selects the bucket of
 patterns that end with it, and the words are compared directly.
 
 Scale: documents are scanned where they lie, with no shuffle.  The patterns
-travel to the tasks in shards of at most ``shard_words`` words, so what is
-broadcast at once has a fixed bound whatever the benchmark's size; each
-further shard is another pass over the same row.
+travel to the tasks in shards of about ``shard_words`` words, so what is
+broadcast at once has a fixed bound whatever the benchmark's size.  Each
+further shard is another pass: what the earlier ones found is written first, and
+their patterns are taken back from the executors.
 
 Nulls and ties: a null or empty text has no words and is not contaminated; an item
 without words has no pattern; an item with a null id still marks words but is not
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketml.llm.common import prepare
+from marketml.session import materialize
 
 WINDOW = 13
 SHARD_WORDS = 2_000_000
@@ -129,8 +131,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     # Long items bound a shard only together with its others; sizes are counted, texts are not read to the driver at once.
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-total // (2 * shard_words)))
-    out, before = docs, None
+    out, before, shared = docs, None, None
     for shard in range(shards):
+        if shared is not None:
+            out = materialize(out, "decontaminate")
+            shared.unpersist()
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard)
         shared = spark.sparkContext.broadcast(Searches([tuple(r) for r in part.toLocalIterator()], window))
         out = out.withColumn(into, _scan_column(shared, F.col(text), before))
