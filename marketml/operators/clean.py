@@ -57,13 +57,16 @@ def prepare(
     policy: str = "drop",
 ) -> DataFrame:
     """The reference's clean step as one call: prune to keys + model
-    columns, cast to double, then either drop rows missing any model column
-    (``drop``) or drop rows missing the label and impute features
+    columns, cast to double, then drop rows missing any model column
+    (``drop``), drop rows missing the label only (``label``; for fits that impute
+    from their training rows), or do that and impute features from all rows
     (``impute``)."""
     cols = [*keys, *features, label]
     out = cast_columns(df.select(*cols), [*features, label], mode)
     if policy == "drop":
         return drop_missing(out, [*features, label])
+    if policy == "label":
+        return drop_missing(out, [label])
     if policy == "impute":
         return impute_mean(drop_missing(out, [label]), features)
-    raise ValueError("policy must be 'drop' or 'impute'")
+    raise ValueError("policy must be 'drop', 'label' or 'impute'")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import Imputer
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -60,9 +61,15 @@ def canonical(df: DataFrame, partitions: int = CANONICAL_PARTITIONS) -> DataFram
     return placed.sortWithinPartitions("__row").drop("__row")
 
 
-def pipeline(family: str, features: Sequence[str], label: str, **params) -> Pipeline:
-    """Assembler + regressor as one estimator."""
-    return Pipeline(stages=[assembler(features), estimator(family, label, **params)])
+def pipeline(family: str, features: Sequence[str], label: str, impute: bool = False, **params) -> Pipeline:
+    """Assembler + regressor as one estimator.  With ``impute``, missing (NULL or
+    NaN) features become the mean over the rows that the pipeline is fitted on."""
+    features = list(features)
+    if not impute:
+        return Pipeline(stages=[assembler(features), estimator(family, label, **params)])
+    filled = [f"__filled_{f}" for f in features]
+    imputer = Imputer(inputCols=features, outputCols=filled, strategy="mean")
+    return Pipeline(stages=[imputer, assembler(filled), estimator(family, label, **params)])
 
 
 def fit(df: DataFrame, family: str, features: Sequence[str], label: str, **params) -> PipelineModel:
@@ -79,6 +86,25 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
+def predict_each(fitted: Sequence, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``(point, *keep, prediction)`` of several fitted pipelines over one scan of
+    ``df``: a prediction column for each, unpivoted without a shuffle."""
+    out, names = df, []
+    for i, m in enumerate(fitted):
+        name = f"__prediction_{i}"
+        if isinstance(m, PipelineModel):
+            # Every pipeline writes the same helper columns; they make way for the next one's.
+            old = set(out.columns)
+            stages = [*m.stages[:-1], m.stages[-1].copy({m.stages[-1].predictionCol: name})]
+            out = PipelineModel(stages).transform(out)
+            out = out.drop(*[c for c in out.columns if c not in old and c != name])
+        else:
+            out = m.copy({m.predictionCol: name}).transform(out)
+        names.append(name)
+    each = F.array(*[F.struct(F.lit(i).alias("point"), F.col(n).alias("prediction")) for i, n in enumerate(names)])
+    return out.select(*keep, F.explode(each).alias("__p")).select("__p.point", *keep, "__p.prediction")
+
+
 def coefficients(spark: SparkSession, model, features: Sequence[str],
                  stddevs: Mapping[str, float] | None = None) -> DataFrame:
     """``(term, coefficient, abs_coefficient, std_coefficient)`` with an

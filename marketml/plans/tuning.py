@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketml.operators.evaluate import metrics_dict, regression_metrics
+from marketml.plans.models import predict_each
 
 
 def grid(stage, params: Mapping[str, Sequence]) -> list:
@@ -76,15 +77,13 @@ def candidate_table(spark, cv_model, param_maps) -> DataFrame:
 
 def fold_metrics(cv_model, df: DataFrame, fold_col: str, label: str) -> DataFrame:
     """RMSE of every (grid point, fold) sub-model on its held-out fold (T6),
-    computed as one union and one aggregation: ``(point, fold, n, rmse)``.
+    with one scan a fold and one aggregation: ``(point, fold, n, rmse)``.
     Needs ``collect_sub_models=True``."""
     parts = None
-    for f, models in enumerate(cv_model.subModels):
+    for f, fitted in enumerate(cv_model.subModels):
         held = df.where(F.col(fold_col) == f)
-        for i, m in enumerate(models):
-            p = m.transform(held).select(
-                F.lit(i).alias("point"), F.lit(f).alias("fold"), F.col(label), "prediction")
-            parts = p if parts is None else parts.unionByName(p)
+        p = predict_each(fitted, held, [label]).withColumn("fold", F.lit(f))
+        parts = p if parts is None else parts.unionByName(p)
     out = regression_metrics(parts, label, group_cols=["point", "fold"])
     return out.select("point", "fold", "n", "rmse")
 

@@ -11,9 +11,9 @@ has a seed.
 
 from __future__ import annotations
 
-import threading
 import time
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -25,7 +25,7 @@ from marketml.operators.split import market_key, with_fold, with_split, with_val
 from marketml.plans import models, tuning
 from marketml.plans.presets import PRESETS
 from marketml.plans.report import RunRecord
-from marketml.session import materialize, path_exists, scratch_path, scratch_scope
+from marketml.session import materialize, scratch_path, scratch_scope
 from marketml.sources.market import FEATURES, LABEL, build_market
 
 # The reference's tuning grids and fold counts per family (from the presets).
@@ -35,46 +35,38 @@ REFERENCE_FOLDS: dict[str, int] = {p.family: p.folds for p in PRESETS.values()}
 # are bound by per-job latency, so overlapping them pays off.
 TUNING_PARALLELISM = 4
 
-_MARKETS: dict[tuple, str] = {}
-_MARKETS_LOCK = threading.RLock()
 
+def market_table(spark: SparkSession, sf_dir: str, grain: str = "month",
+                 level: str = "nation") -> DataFrame:
+    """The market table, built and written once to the shared checkpoint
+    folder.  Its own intermediates are deleted; the written table belongs to the
+    caller's scratch scope."""
+    path = scratch_path(spark, f"market-{grain}-{level}")
+    with scratch_scope(spark):
+        build_market(spark, sf_dir, grain, level).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
-def input_version(spark: SparkSession, sf_dir: str) -> str:
-    """What the tables' files are now (names, sizes, times): a changed input
-    is another input to whatever is kept by it."""
-    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
-    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return "|".join(sorted(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(hp)))
 
+class Prepared(str):
+    """A folder of tables that carries its market table: passed in place of the
+    folder, it lets several queries read one build."""
 
-def market_table(spark: SparkSession, sf_dir: str, grain: str = "month",
-                 level: str = "nation") -> DataFrame:
-    """The market table written once per session to the shared checkpoint
-    folder and re-read by every later query of that session."""
-    key = (spark.sparkContext.applicationId, sf_dir, grain, level, input_version(spark, sf_dir))
-    with _MARKETS_LOCK:
-        return spark.read.parquet(_market_path(spark, sf_dir, grain, level, key))
-
-
-def _market_path(spark: SparkSession, sf_dir: str, grain: str, level: str, key: tuple) -> str:
-    path = _MARKETS.get(key)
-    if path is None or not path_exists(spark, path):
-        # Intermediate facts and sort tables are dropped once the market
-        # table itself is written.
-        with scratch_scope(spark):
-            market = build_market(spark, sf_dir, grain, level)
-            path = scratch_path(spark, f"market-{grain}-{level}")
-            market.write.mode("errorifexists").parquet(path)
-        _MARKETS[key] = path
-    return path
-
-
-def model_frame(spark: SparkSession, sf_dir: str, grain: str = "month", level: str = "nation",
-                folds: int = 3) -> DataFrame:
+    market: DataFrame
+
+
+@contextmanager
+def prepared_market(spark: SparkSession, sf_dir: str):
+    """Owns a market table and all scratch of the queries run inside the block."""
+    with scratch_scope(spark):
+        out = Prepared(sf_dir)
+        out.market = market_table(spark, sf_dir)
+        yield out
+
+
+def model_frame(market: DataFrame, folds: int = 3) -> DataFrame:
     """Market rows with ``row_key``, ``split``, ``fold`` and
     ``is_validation`` columns (all hashes of the row key)."""
-    key = market_key()
-    df = market_table(spark, sf_dir, grain, level).withColumn("row_key", key)
+    df = market.withColumn("row_key", market_key())
     df = with_split(df, F.col("row_key"))
     df = with_fold(df, F.col("row_key"), folds)
     return with_validation(df, F.col("row_key"))
@@ -103,9 +95,12 @@ STAGES = ("baseline", "cv", "tvs")
 def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES,
                label: str = LABEL, grid: Mapping[str, list] | None = None,
                folds: int | None = None, parallelism: int | None = None,
-               tune: bool = True, stages: Sequence[str] | None = None) -> FamilyRun:
+               tune: bool = True, stages: Sequence[str] | None = None,
+               impute: bool = False) -> FamilyRun:
     """Baseline, cross-validation and train-validation for one model family
-    (``stages`` picks a subset).  All runs are scored on the same holdout."""
+    (``stages`` picks a subset).  All runs are scored on the same holdout.
+    ``impute`` fills missing features with means that each fit takes from its
+    own training rows."""
     features = list(features)
     grid = grid or REFERENCE_GRIDS[family]
     folds = folds or REFERENCE_FOLDS[family]
@@ -117,7 +112,7 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
         train = models.canonical(train)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        pipe = models.pipeline(family, features, label)
+        pipe = models.pipeline(family, features, label, impute=impute)
         maps = tuning.grid(pipe.getStages()[-1], grid)
         rows = tuning.grid_rows(maps)
         runs, base, cv_model, tvs = [], None, None, None
@@ -157,15 +152,17 @@ def with_model_columns(df: DataFrame, key, folds: int = 3, train_pct: int = 80)
 
 def regression_report(spark: SparkSession, df: DataFrame, features: Sequence[str], label: str,
                       family: str, keys: Sequence[str], grid: Mapping[str, list] | None = None,
-                      folds: int | None = None, tune: bool = True) -> dict[str, DataFrame]:
+                      folds: int | None = None, tune: bool = True,
+                      impute: bool = False) -> dict[str, DataFrame]:
     """The whole reference workflow for one family on any cleaned table
-    (see :func:`marketml.operators.clean.prepare`): returns ``comparison``
+    (see :func:`marketml.operators.clean.prepare`, with policy ``label`` where
+    ``impute`` fills features inside the fits): returns ``comparison``
     (O1, O2, O4), ``status`` (O5), ``importance`` (O3: importances for
     trees, coefficients for linear) and ``candidates`` (T6)."""
     from marketml.plans.report import comparison, stage_status
 
     frame = with_model_columns(df, list(keys), folds or REFERENCE_FOLDS[family])
-    run = run_family(frame, family, features, label, grid, folds, tune=tune)
+    run = run_family(frame, family, features, label, grid, folds, tune=tune, impute=impute)
     cmp_ = comparison(spark, run.runs)
     if family == "linear":
         train = frame.where(F.col("split") == "train")
@@ -236,19 +233,20 @@ def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "
         # text once and let later passes scan column-pruned Parquet.
         raw = materialize(raw, f"{script}-input")
     feats, label = list(preset.features), preset.label
+    impute = preset.policy == "impute"  # inside the fits, from training rows
     keys = list(keys or [])
     if missing := [k for k in keys if k not in raw.columns]:
         raise ValueError(f"no such key columns: {missing}")
     if preset.clean_mode is None:
         df = drop_missing(raw.select(*keys, *feats, label))
     else:
-        df = prepare(raw, feats, label, keys, preset.clean_mode, preset.policy)
+        df = prepare(raw, feats, label, keys, preset.clean_mode, "label" if impute else preset.policy)
     out = regression_report(spark, df, feats, label, preset.family, keys or [*feats, label],
-                            grid or preset.grid, preset.folds, tune)
+                            grid or preset.grid, preset.folds, tune, impute)
     if script == "gbt":
         out.update(eda_report(raw, list(HEATMAP_COLUMNS), "period_begin", label, SUMMARY_COLUMNS))
         frame = with_model_columns(df, keys or [*feats, label], preset.folds)
-        out["ablation"] = ablation_report(spark, frame, preset.family, feats, label, preset.ablate)
+        out["ablation"] = ablation_report(spark, frame, preset.family, feats, label, preset.ablate, impute=impute)
     return out
 
 
@@ -266,17 +264,14 @@ def ablation_report(spark: SparkSession, frame: DataFrame, family: str, features
     if family != "linear":
         train = models.canonical(train)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = None
-    fitted = []
+    sets = ablation_sets(features, drop)
     try:
-        for name, feats in ablation_sets(features, drop):
-            fitted.append((name, feats, models.fit(train, family, feats, label, **params)))
+        fitted = [models.fit(train, family, feats, label, **params) for _, feats in sets]
     finally:
         train.unpersist()
-    for name, feats, m in fitted:
-        p = m.transform(test).select(F.lit(name).alias("feature_set"),
-                                     F.lit(len(feats)).alias("n_features"), label, "prediction")
-        parts = p if parts is None else parts.unionByName(p)
+    name = F.array(*[F.struct(F.lit(n).alias("feature_set"), F.lit(len(f)).alias("n_features")) for n, f in sets])
+    parts = models.predict_each(fitted, test, [label]).select(
+        F.element_at(name, F.col("point") + 1).alias("s"), label, "prediction").select("s.*", label, "prediction")
     met = regression_metrics(parts, label, group_cols=["feature_set", "n_features"])
     # A window over one metrics row per feature set, not over data rows.
     full = F.max(F.when(F.col("feature_set") == "all", F.col("rmse"))).over(Window.partitionBy())

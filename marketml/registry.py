@@ -10,7 +10,6 @@ price-scale ones (RMSE, intercepts, means).
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
@@ -58,11 +57,12 @@ R8 = 8
 
 
 def _market(spark, sf):
-    return workflows.market_table(spark, sf)
+    """The market of a folder of tables, or the one that the caller has prepared."""
+    return sf.market if isinstance(sf, workflows.Prepared) else workflows.market_table(spark, sf)
 
 
 def _frame(spark, sf):
-    return workflows.model_frame(spark, sf, folds=FOLDS)
+    return workflows.model_frame(_market(spark, sf), folds=FOLDS)
 
 
 def _train_test(spark, sf):
@@ -377,18 +377,17 @@ def _elastic_net_table(spark, sf):
     train, test = _train_test(spark, sf)
     pipe = models.pipeline("linear", LIN1, LABEL)
     maps = _linear_grid(pipe.getStages()[-1])
+    train = train.persist()
     fitted = _fit_many(pipe, maps, train)
-    parts = None
-    for i, (pm, m) in enumerate(zip(tuning.grid_rows(maps), fitted)):
-        lr = models.regressor(m)
-        p = m.transform(test).select(
-            F.lit(pm["regParam"]).alias("reg_param"),
-            F.lit(pm["elasticNetParam"]).alias("elastic_net_param"),
-            F.lit(float(lr.coefficients[0])).alias("slope"),
-            F.lit(float(lr.intercept)).alias("intercept"), LABEL, "prediction")
-        parts = p if parts is None else parts.unionByName(p)
-    return evaluate.regression_metrics(
-        parts, LABEL, group_cols=["reg_param", "elastic_net_param", "slope", "intercept"])
+    train.unpersist()
+    met = evaluate.regression_metrics(models.predict_each(fitted, test, [LABEL]), LABEL, group_cols=["point"])
+    lines = [models.regressor(m) for m in fitted]
+    line = F.element_at(F.array(*[
+        F.struct(F.lit(float(lr.coefficients[0])).alias("slope"), F.lit(float(lr.intercept)).alias("intercept"))
+        for lr in lines]), F.col("point") + 1)
+    g = F.element_at(_grid_array(maps), F.col("point") + 1)
+    return met.select(g["reg_param"].alias("reg_param"), g["elastic_net_param"].alias("elastic_net_param"),
+                      line["slope"].alias("slope"), line["intercept"].alias("intercept"), "n", "rmse", "r2", "mae")
 
 
 def q_elastic_net_metrics(spark, sf):
@@ -402,15 +401,27 @@ def q_elastic_net_metrics(spark, sf):
 # 6 trees
 
 
+# Features with a fixed number of levels, so that a tree's default 32 bins hold
+# every midpoint and its splits are exact at any size of the data.
+STEPS = ["price_step", "ppsf_step"]
+
+
+def _steps(spark, sf):
+    """The model frame with two prices in at most 31 fixed steps each."""
+    step = lambda c, width: F.greatest(F.lit(0.0), F.least(F.lit(30.0), F.floor(F.col(c) / width).cast("double")))
+    return _frame(spark, sf).withColumns({"price_step": step(X1, 15000), "ppsf_step": step("median_ppsf", 250)})
+
+
+def _steps_fit(spark, sf, family, feats=STEPS, **params):
+    df = _steps(spark, sf)
+    return models.fit(df.where("split = 'train'"), family, feats, LABEL, **params), df.where("split = 'test'")
+
+
 def q_tree_stump(spark, sf):
-    """Depth-1 tree: the exact best split."""
-    train, _ = _train_test(spark, sf)
-    # maxBins above the distinct count makes every midpoint a candidate, so
-    # the stump is the exact best split; it is bounded by the market rows.
-    distinct = train.agg(F.count_distinct(X1)).first()[0]
-    model = models.fit(train, "tree", LIN1, LABEL, maxDepth=1, maxBins=max(32, distinct + 1))
+    """Depth-1 tree: the exact best split of the price steps."""
+    model, _ = _steps_fit(spark, sf, "tree", STEPS[:1], maxDepth=1)
     root = models.tree_root(model)
-    row = (LIN1[root["feature_index"]], root["threshold"], root["left_prediction"],
+    row = (STEPS[root["feature_index"]], root["threshold"], root["left_prediction"],
            root["right_prediction"], root["n_left"], root["n_right"])
     return spark.createDataFrame(
         [row], "feature string, threshold double, left_mean double, right_mean double, "
@@ -419,16 +430,79 @@ def q_tree_stump(spark, sf):
              "n_left", "n_right")
 
 
+def q_tree_exact_metrics(spark, sf):
+    """Depth-3 tree on the stepped features: holdout metrics."""
+    model, test = _steps_fit(spark, sf, "tree", maxDepth=3)
+    return _holdout(model.transform(test))
+
+
+def q_tree_exact_importance(spark, sf):
+    """Importances of the depth-3 tree on the stepped features."""
+    model, _ = _steps_fit(spark, sf, "tree", maxDepth=3)
+    return models.importances(spark, model, STEPS, "tree").select("feature", _r("importance", R8), "rank")
+
+
+def q_forest_one_tree(spark, sf):
+    """A forest of one tree without resampling and with every feature is that tree."""
+    model, test = _steps_fit(spark, sf, "forest", numTrees=1, bootstrap=False, subsamplingRate=1.0,
+                             featureSubsetStrategy="all", maxDepth=3)
+    return _holdout(model.transform(test))
+
+
+def q_gbt_two_iterations(spark, sf):
+    """Two boosting iterations: a tree and a tree of its residuals."""
+    model, test = _steps_fit(spark, sf, "gbt", maxIter=2, maxDepth=2, stepSize=0.1)
+    return _holdout(model.transform(test))
+
+
+# Fixed value: depths 1 to 3, in the order in which ties are resolved.
+DEPTHS = [1, 2, 3]
+
+
+def _depth_tuning(spark, sf, which):
+    """(chosen depth, its tuning RMSE, holdout metrics) of the tree on the stepped features."""
+    df = _steps(spark, sf)
+    train, test = df.where("split = 'train'").persist(), df.where("split = 'test'")
+    pipe = models.pipeline("tree", STEPS, LABEL)
+    maps = tuning.grid(pipe.getStages()[-1], {"maxDepth": DEPTHS})
+    if which == "cv":
+        model = tuning.cross_validate(pipe, maps, train, LABEL, "fold", FOLDS, parallelism=3)
+        scores, model = list(model.avgMetrics), model.bestModel
+    else:
+        res = tuning.train_validate(pipe, maps, train, LABEL, "is_validation", parallelism=3)
+        scores, model = [m["rmse"] for m in res.metrics], res.model
+    train.unpersist()
+    depth = models.param_values(model, ["maxDepth"])["maxDepth"]  # read off the refitted model (R11)
+    return _holdout(model.transform(test)).select(
+        F.lit(int(depth)).alias("best_max_depth"), F.round(F.lit(float(min(scores))), R4).alias("tuning_rmse"),
+        "n", "rmse", "r2")
+
+
+def q_tree_exact_cv(spark, sf):
+    """Tree depth by cross-validation on the stepped features."""
+    return _depth_tuning(spark, sf, "cv")
+
+
+def q_tree_exact_tvs(spark, sf):
+    """Tree depth by train-validation on the stepped features."""
+    return _depth_tuning(spark, sf, "tvs")
+
+
+def q_linreg_imputed(spark, sf):
+    """Price by quantity over dirty lines, missing quantities filled inside the
+    pipeline with the mean of the training rows (P10, M1, R1, R7)."""
+    d = clean.drop_missing(_dirty_numeric(spark, sf).drop("discount", "tax"), ["price"])
+    # Unlike the market key, a line's key has no other use than the split.
+    d = split.with_split(d, F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    model = models.fit(d.where("split = 'train'"), "linear", ["quantity"], "price", impute=True)
+    m = evaluate.regression_metrics(model.transform(d.where("split = 'test'")), "price")
+    return m.select("n", _r("rmse", R4), _r("r2", R8), _r("mae", R4))
+
+
 def _family_baseline(spark, sf, family, **params):
-    """The family's seeded baseline fit on the canonical training layout.
-    With default parameters it is the session's shared baseline stage, so
-    the metrics and importance queries read one fitted model."""
-    _, test = _train_test(spark, sf)
-    if not params:
-        return family_run(spark, sf, family, "baseline").baseline_model, test
-    train, _ = _train_test(spark, sf)
-    model = models.fit(models.canonical(train), family, ALL, LABEL, **params)
-    return model, test
+    """The family's seeded baseline fit on the canonical training layout."""
+    train, test = _train_test(spark, sf)
+    return models.fit(models.canonical(train), family, ALL, LABEL, **params), test
 
 
 def q_tree_d5_metrics(spark, sf):
@@ -490,26 +564,15 @@ def q_param_grid(spark, sf):
         "g.point", "g.reg_param", "g.elastic_net_param", "fold", "n_fit", "n_eval")
 
 
-_CV_RUNS: dict[tuple, tuple] = {}
-_RUNS_LOCK = threading.RLock()
-
-
-def _linreg_cv(spark, sf, sub_models=True):
-    """One cross-validation of the one-feature elastic-net grid per session
-    (sub-models kept), shared by the CV, fold-RMSE and candidate queries."""
+def _linreg_cv(spark, sf, sub_models=False):
+    """Cross-validation of the one-feature elastic-net grid."""
     train, test = _train_test(spark, sf)
-    key = (spark.sparkContext.applicationId, sf, sub_models, workflows.input_version(spark, sf))
-    with _RUNS_LOCK:
-        if key not in _CV_RUNS:
-            pipe = models.pipeline("linear", LIN1, LABEL)
-            maps = _linear_grid(pipe.getStages()[-1])
-            held = train.persist()
-            cv = tuning.cross_validate(pipe, maps, held, LABEL, "fold", FOLDS, parallelism=4,
-                                       collect_sub_models=sub_models)
-            held.unpersist()
-            _CV_RUNS.clear()  # one input's fits are kept at a time
-            _CV_RUNS[key] = (cv, maps)
-        cv, maps = _CV_RUNS[key]
+    pipe = models.pipeline("linear", LIN1, LABEL)
+    maps = _linear_grid(pipe.getStages()[-1])
+    train = train.persist()
+    cv = tuning.cross_validate(pipe, maps, train, LABEL, "fold", FOLDS, parallelism=4,
+                               collect_sub_models=sub_models)
+    train.unpersist()
     return cv, maps, train, test
 
 
@@ -552,24 +615,24 @@ def q_linreg_cv_fold_rmse(spark, sf):
                      "fold", "n", _r("rmse", R4))
 
 
-_RUNS: dict[tuple, workflows.FamilyRun] = {}
-
-
-def family_run(spark, sf, family, stage) -> workflows.FamilyRun:
-    """One stage (baseline, cv or tvs) of a family on all six features,
-    fitted once per session and shared by the queries that report it."""
-    version = (spark.sparkContext.applicationId, sf, workflows.input_version(spark, sf))
-    with _RUNS_LOCK:
-        for old in [k for k in _RUNS if k[:3] != version]:
-            del _RUNS[old]  # one input's fits are kept at a time
-        key = (*version, family, stage)
-        if key not in _RUNS:
-            _RUNS[key] = workflows.run_family(_frame(spark, sf), family, ALL, LABEL, stages=[stage])
-        return _RUNS[key]
+def q_linreg_random_tvs(spark, sf):
+    """Linear grid tuned by the seeded random TrainValidationSplit."""
+    train, test = _train_test(spark, sf)
+    pipe = models.pipeline("linear", LIN1, LABEL)
+    maps = _linear_grid(pipe.getStages()[-1])
+    # The random split follows row placement, so that is fixed as for trees.
+    train = models.canonical(train).persist()
+    tvs = tuning.train_validation_split(pipe, maps, train, LABEL, seed=models.DEFAULT_SEED, parallelism=4)
+    train.unpersist()
+    best = tuning.grid_rows(maps)[tuning.best_index(tvs.validationMetrics)]
+    return _holdout(tvs.bestModel.transform(test)).select(
+        F.lit(best["regParam"]).alias("best_reg_param"), F.lit(best["elasticNetParam"]).alias("best_elastic_net_param"),
+        "n", "rmse", "r2")
 
 
-def family_records(spark, sf, family):
-    return [r for st in workflows.STAGES for r in family_run(spark, sf, family, st).runs]
+def family_run(spark, sf, family, *stages) -> workflows.FamilyRun:
+    """Stages (baseline, cv, tvs; all by default) of a family on all six features."""
+    return workflows.run_family(_frame(spark, sf), family, ALL, LABEL, stages=stages or None)
 
 
 def _tuned(spark, sf, family, which):
@@ -614,12 +677,12 @@ def q_gbt_tvs(spark, sf):
 
 def q_metric_comparison(spark, sf):
     """Linear baseline / CV / TVS comparison with timings."""
-    return report.comparison(spark, family_records(spark, sf, "linear"))
+    return report.comparison(spark, family_run(spark, sf, "linear").runs)
 
 
 def q_best_params(spark, sf):
     """Boosted comparison with best hyper-parameters (O2)."""
-    df = report.comparison(spark, family_records(spark, sf, "gbt"))
+    df = report.comparison(spark, family_run(spark, sf, "gbt").runs)
     return df.select("model", "rmse", "r2", "seconds", "elapsed", "best_max_depth", "best_max_iter")
 
 
@@ -643,7 +706,7 @@ def q_ablation(spark, sf):
 
 def q_stage_status(spark, sf):
     """Stage completion table."""
-    return report.stage_status(report.comparison(spark, family_records(spark, sf, "linear")))
+    return report.stage_status(report.comparison(spark, family_run(spark, sf, "linear").runs))
 
 
 def q_elapsed_format(spark, sf):
@@ -900,8 +963,64 @@ _TVS = [
       FROM test t, bfit2 b)""",
 ]
 
+STEPPED = """stepped AS MATERIALIZED (
+  SELECT row_key AS rid, split, fold, is_validation, median_sale_price AS y,
+    greatest(0.0, least(30.0, CAST(floor(median_list_price / 15000) AS DOUBLE))) AS f0,
+    greatest(0.0, least(30.0, CAST(floor(median_ppsf / 250) AS DOUBLE))) AS f1
+  FROM frame)"""
+
+
+def _grow(t: str, rows: str, depth: int) -> list[str]:
+    """CTEs of greedy regression trees over ``rows`` (run, rid, fit, f0, f1, y), one tree
+    for each run, grown on its rows with ``fit``: ``{t}_s{d}`` has the splits of
+    level d with their gains, ``{t}_p{d}`` every row's prediction at depth d.
+
+    A split lies midway between a value that the node holds and the next value of
+    all rows that are fitted; the gain is the fall of the squared error."""
+    both = lambda sql: _union([sql.format(f=f) for f in (0, 1)])
+    out = [
+        f"{t}_v AS MATERIALIZED (SELECT run, f, x, lead(x) OVER (PARTITION BY run, f ORDER BY x) AS nx FROM ("
+        + both(f"SELECT DISTINCT run, {{f}} AS f, f{{f}} AS x FROM {rows} WHERE fit") + ") q)",
+        f"{t}_n0 AS MATERIALIZED (SELECT run, rid, fit, f0, f1, y, 1 AS node FROM {rows})",
+    ]
+    for d in range(depth + 1):
+        out.append(f"{t}_p{d} AS MATERIALIZED (SELECT n.run, n.rid, n.fit, n.y, l.p FROM {t}_n{d} n JOIN "
+                   f"(SELECT run, node, avg(y) AS p FROM {t}_n{d} WHERE fit GROUP BY run, node) l USING (run, node))")
+        if d == depth:
+            break
+        bins = both(f"SELECT run, node, {{f}} AS f, f{{f}} AS x, count(*) AS c, sum(y) AS s FROM {t}_n{d} WHERE fit GROUP BY run, node, f{{f}}")
+        out += [
+            f"{t}_w{d} AS MATERIALIZED (SELECT run, node, f, x, sum(c) OVER a AS nl, sum(s) OVER a AS sl, sum(c) OVER b AS n, sum(s) OVER b AS st "
+            f"FROM ({bins}) q WINDOW a AS (PARTITION BY run, node, f ORDER BY x), b AS (PARTITION BY run, node, f))",
+            f"{t}_s{d} AS MATERIALIZED (SELECT run, node, f, (x + nx) / 2 AS thr, "
+            f"sl * sl / nl + (st - sl) * (st - sl) / (n - nl) - st * st / n AS gain FROM {t}_w{d} JOIN {t}_v USING (run, f, x) "
+            "WHERE nl < n QUALIFY row_number() OVER (PARTITION BY run, node ORDER BY gain DESC, f, thr) = 1)",
+            f"{t}_n{d + 1} AS MATERIALIZED (SELECT n.run, n.rid, n.fit, n.f0, n.f1, n.y, CASE WHEN s.gain > 0 THEN 2 * n.node "
+            f"+ CAST(CASE s.f WHEN 0 THEN n.f0 ELSE n.f1 END > s.thr AS INT) ELSE n.node END AS node "
+            f"FROM {t}_n{d} n LEFT JOIN {t}_s{d} s USING (run, node))",
+        ]
+    return out
+
+
+ONE = "one AS MATERIALIZED (SELECT 0 AS run, rid, split = 'train' AS fit, f0, f1, y FROM stepped)"
+_ONE_TREE = [ONE, *_grow("t", "one", 3)]
+
+
+def _depth_sql(runs: str) -> str:
+    """The depth with the lowest mean RMSE over the runs' rows that are not fitted,
+    and the holdout metrics of the tree of that depth."""
+    score = _union([f"SELECT {d} AS depth, run, sqrt(avg(power(y - p, 2))) AS rmse FROM c_p{d} WHERE NOT fit GROUP BY run" for d in DEPTHS])
+    final = _union([f"SELECT {d} AS depth, y, p FROM t_p{d} WHERE NOT fit" for d in DEPTHS])
+    return _with(*BASE, STEPPED, f"runs AS MATERIALIZED ({runs})", *_grow("c", "runs", 3), *_ONE_TREE,
+                 f"scores AS (SELECT depth, avg(rmse) AS rmse FROM ({score}) q GROUP BY depth)",
+                 "best AS MATERIALIZED (SELECT depth, rmse FROM scores ORDER BY rmse, depth LIMIT 1)",
+                 f"pred AS (SELECT y, p FROM ({final}) q JOIN best USING (depth))") + """
+SELECT b.depth AS best_max_depth, round(b.rmse, 4) AS tuning_rmse, m.n, m.rmse, m.r2
+FROM best b, (""" + _metrics_sql("pred") + ") m"
+
+
 _STUMP = [
-    "g AS (SELECT median_list_price AS x, count(*) AS c, sum(median_sale_price) AS s FROM train GROUP BY 1)",
+    "g AS (SELECT f0 AS x, count(*) AS c, sum(y) AS s FROM stepped WHERE split = 'train' GROUP BY 1)",
     """w AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(c) OVER (ORDER BY x) AS nl,
         sum(s) OVER (ORDER BY x) AS sl FROM g)""",
     "tot AS (SELECT count(*) AS n, sum(median_sale_price) AS sy FROM train)",
@@ -969,10 +1088,34 @@ SELECT region_id, period_begin, y AS median_sale_price, round(p, 4) AS predictio
     "elastic_net_metrics": _with(*BASE, *_ENET) + """
 SELECT reg_param, elastic_net_param, round(slope, 8) AS slope, round(intercept, 4) AS intercept,
   round(rmse, 4) AS rmse, round(r2, 8) AS r2 FROM enet""",
-    "tree_stump": _with(*BASE, *_STUMP) + """
-SELECT 'median_list_price' AS feature, round(thr, 4) AS threshold, round(sl / nl, 4) AS left_mean,
+    "tree_stump": _with(*BASE, STEPPED, *_STUMP) + """
+SELECT 'price_step' AS feature, round(thr, 4) AS threshold, round(sl / nl, 4) AS left_mean,
   round(sr / nr, 4) AS right_mean, CAST(nl AS BIGINT) AS n_left, CAST(nr AS BIGINT) AS n_right
 FROM cand ORDER BY sl * sl / nl + sr * sr / nr DESC, thr LIMIT 1""",
+    "tree_exact_metrics": _with(*BASE, STEPPED, *_ONE_TREE) + _metrics_sql("(SELECT * FROM t_p3 WHERE NOT fit)"),
+    "forest_one_tree": _with(*BASE, STEPPED, *_ONE_TREE) + _metrics_sql("(SELECT * FROM t_p3 WHERE NOT fit)"),
+    "tree_exact_importance": _with(*BASE, STEPPED, *_ONE_TREE,
+                                   "gains AS (" + _union([f"SELECT f, gain FROM t_s{d} WHERE gain > 0" for d in range(3)]) + ")",
+                                   "names AS (SELECT * FROM (VALUES (0, 'price_step'), (1, 'ppsf_step')) v(f, feature))",
+                                   "imp AS (SELECT feature, coalesce(sum(gain), 0) / (SELECT sum(gain) FROM gains) AS v "
+                                   "FROM names LEFT JOIN gains USING (f) GROUP BY feature)") + """
+SELECT feature, round(v, 8) AS importance, CAST(row_number() OVER (ORDER BY v DESC, feature) AS INT) AS rank FROM imp""",
+    "gbt_two_iterations": _with(*BASE, STEPPED, ONE, *_grow("a", "one", 2),
+                                "rest AS MATERIALIZED (SELECT o.run, o.rid, o.fit, o.f0, o.f1, 2 * (o.y - a_p2.p) AS y "
+                                "FROM one o JOIN a_p2 USING (run, rid))",
+                                *_grow("b", "rest", 2),
+                                "pred AS (SELECT o.y, a_p2.p + 0.1 * b_p2.p AS p FROM one o JOIN a_p2 USING (run, rid) "
+                                "JOIN b_p2 USING (run, rid) WHERE NOT o.fit)") + _metrics_sql("pred"),
+    "tree_exact_cv": _depth_sql("SELECT v.run, s.split = 'train' AND s.fold <> v.run AS fit, s.* FROM stepped s, "
+                                "(VALUES (0), (1), (2)) v(run) WHERE s.split = 'train'"),
+    "tree_exact_tvs": _depth_sql("SELECT 0 AS run, NOT is_validation AS fit, * FROM stepped WHERE split = 'train'"),
+    "linreg_imputed": _with(DIRTY, DIRTY_NUM, f"""kept AS (SELECT price,
+    CASE WHEN isnan(quantity) THEN NULL ELSE quantity END AS q,
+    (((l_orderkey * 8 + l_linenumber) * 2654435761) % 1000003) % 100 < 80 AS fit FROM dnum WHERE {_ok('price')})""",
+                            "m AS (SELECT avg(q) AS mq FROM kept WHERE fit)",
+                            "filled AS (SELECT price AS y, coalesce(q, mq) AS x, fit FROM kept, m)",
+                            "line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM filled WHERE fit)",
+                            "pred AS (SELECT y, b * x + a AS p FROM filled, line WHERE NOT fit)") + _metrics_sql("pred"),
     "param_grid": _with(*BASE, GRID, "fc AS (SELECT fold, count(*) AS n_eval FROM train GROUP BY fold)",
                         "tot AS (SELECT sum(n_eval) AS n FROM fc)") + """
 SELECT g.point, g.reg_param, g.elastic_net_param, fc.fold, CAST(tot.n - fc.n_eval AS BIGINT) AS n_fit,

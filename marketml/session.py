@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
@@ -30,10 +31,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+# Per-thread stacks, so a cleanup scope only sees writes made by its own
+# thread (queries may run from several driver threads).
+_LOCAL = threading.local()
+
+
+def _trackers() -> list[list[str]]:
+    if not hasattr(_LOCAL, "stack"):
+        _LOCAL.stack = []
+    return _LOCAL.stack
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never-reused path under the shared checkpoint folder."""
+    """A fresh, never-reused path under the shared checkpoint folder, owned by
+    the scratch scopes that are open in this thread."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/marketml/{label}-{uuid.uuid4().hex}"
+    path = f"{base}/marketml/{label}-{uuid.uuid4().hex}"
+    for t in _trackers():
+        t.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -47,46 +63,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(write_scratch(df, label))
 
 
-# Per-thread stacks, so a cleanup scope only sees writes made by its own
-# thread (queries may run from several driver threads).
-_LOCAL = threading.local()
-
-
-def _trackers() -> list[list[str]]:
-    if not hasattr(_LOCAL, "stack"):
-        _LOCAL.stack = []
-    return _LOCAL.stack
-
-
 def write_scratch(df: DataFrame, label: str) -> str:
     """Write ``df`` as Parquet to a fresh path in the shared folder."""
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
-    for t in _trackers():
-        t.append(path)
     return path
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession):
-    """Collect the scratch paths written inside the block and delete them
-    on exit.  Use it once nothing lazy still reads them (for example after
-    the final result has itself been written)."""
+    """Own every scratch path named inside the block (market tables, quantile
+    tables, CSV copies, archives) and delete them on exit.  Results are lazy, so
+    read or write them before the block ends."""
     paths: list[str] = []
     _trackers().append(paths)
     try:
         yield paths
     finally:
-        _trackers().remove(paths)
+        # By identity: two scopes that hold the same paths are equal lists.
+        _LOCAL.stack = [t for t in _trackers() if t is not paths]
         delete_paths(spark, paths)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp))
-
-
 def delete_paths(spark: SparkSession, paths) -> None:
     """Recursively delete paths through the Hadoop FileSystem API (works for
     any cluster file system, not only the local one)."""

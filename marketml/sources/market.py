@@ -119,8 +119,11 @@ def market_facts(spark: SparkSession, sf_dir: str, grain: str = "month",
     return stack_levels(facts, levels) if stacked else facts
 
 
-def stack_levels(facts: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """One copy of each fact row per level, tagged ``region_level`` with its
+LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+
+
+def stack_levels(facts: DataFrame, levels: Sequence[str], columns: Sequence[str] = LINE_COLUMNS) -> DataFrame:
+    """One copy of each row per level, tagged ``region_level`` with its
     ``region_id`` (a narrow explode, no shuffle)."""
     region_cols = {"nation": F.col("c_nationkey"), "region": F.col("n_regionkey"), "all": F.lit(0)}
     return facts.select(
@@ -128,10 +131,10 @@ def stack_levels(facts: DataFrame, levels: Sequence[str]) -> DataFrame:
             F.struct(F.lit(lv).alias("lv"), region_cols[lv].cast("int").alias("id"))
             for lv in levels
         ])).alias("_lv"),
-        "period_begin", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "period_begin", *columns,
     ).select(
         F.col("_lv.lv").alias("region_level"), F.col("_lv.id").alias("region_id"),
-        "period_begin", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "period_begin", *columns,
     )
 
 
@@ -143,10 +146,28 @@ def _median_inputs():
     }
 
 
+def order_sums(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Additive columns per key.  Lines are summed per order first, so a hot order
+    collapses before the shuffle and orders are counted without a distinct."""
+    keys = list(keys)
+    per_order = facts.groupBy(*keys, "l_orderkey").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("l_quantity").alias("qty"),
+        F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_pct"),
+    )
+    return per_order.groupBy(*keys).agg(
+        F.sum("lines").alias("homes_sold"),
+        F.count(F.lit(1)).alias("new_listings"),
+        F.sum("qty").alias("inventory"),
+        F.sum("disc_pct").alias("disc_pct"),
+    )
+
+
 def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *KEYS),
                      exact: bool = True, accuracy: int = 10000,
-                     quantile_method: str = "sort") -> DataFrame:
-    """Facts -> one row per key: counts, sums and medians.
+                     quantile_method: str = "sort", sums: DataFrame | None = None) -> DataFrame:
+    """Facts -> one row per key: counts, sums and medians.  ``sums`` are the
+    additive columns per key where the caller has them already.
 
     ``exact=True`` (default) uses the distributed exact quantile operator.
     ``exact=False`` is the one-pass option for very large inputs: the
@@ -170,17 +191,7 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
         return out.select(
             *keys, "homes_sold", "new_listings", "inventory", *MEDIANS,
             (1 - F.col("disc_pct").cast("double") / (100 * F.col("homes_sold"))).alias("avg_sale_to_list"))
-    per_order = facts.groupBy(*keys, "l_orderkey").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.sum("l_quantity").alias("qty"),
-        F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_pct"),
-    )
-    sums = per_order.groupBy(*keys).agg(
-        F.sum("lines").alias("homes_sold"),
-        F.count(F.lit(1)).alias("new_listings"),
-        F.sum("qty").alias("inventory"),
-        F.sum("disc_pct").alias("disc_pct"),
-    )
+    sums = order_sums(facts, keys) if sums is None else sums
     medians = exact_median(facts, keys, _median_inputs(),
                            tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
                            method=quantile_method, accuracy=accuracy)
@@ -213,10 +224,15 @@ def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
 def build_market_levels(spark: SparkSession, sf_dir: str, grain: str = "month",
                         levels: Sequence[str] = LEVELS, inputs: OrderInputs | None = None) -> DataFrame:
     """All levels in one pass over the facts, tagged by ``region_level``.
-    The facts are written once and stacked per level on every read."""
+    The facts are written once.  Counts and sums are made at nation level and rolled
+    up (an order has one nation, so its levels add up); only the medians read
+    the facts stacked per level."""
     facts = materialize(market_facts(spark, sf_dir, grain, levels, inputs, stacked=False),
                         "market-facts")
-    return aggregate_market(stack_levels(facts, levels))
+    added = ["homes_sold", "new_listings", "inventory", "disc_pct"]
+    nations = order_sums(facts, ["c_nationkey", "n_regionkey", "period_begin"])
+    sums = stack_levels(nations, levels, added).groupBy("region_level", *KEYS).agg(*[F.sum(c).alias(c) for c in added])
+    return aggregate_market(stack_levels(facts, levels), sums=sums)
 
 
 # The same table as SQL text (Spark SQL and DuckDB both run it); used by the

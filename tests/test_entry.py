@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_mod
+from marketml.plans.workflows import prepared_market
 from tests.oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -17,6 +18,8 @@ FAST = [
     "linreg_1f_coef", "linreg_holdout_metrics", "linreg_cv_fold_rmse", "market_day",
     "linreg_cv_candidates", "summary_by_level", "market_bracket", "describe_text", "csv_inferred",
     "levels_from_files", "linreg_all_first_order", "comparison_values", "stage_status_values",
+    "tree_exact_metrics", "tree_exact_importance", "forest_one_tree", "gbt_two_iterations",
+    "tree_exact_cv", "tree_exact_tvs", "linreg_imputed",
 ]
 
 
@@ -38,7 +41,19 @@ def con():
     return duck(SF)
 
 
+@pytest.fixture(scope="module")
+def prepared(spark):
+    with prepared_market(spark, SF) as sf:
+        yield sf
+
+
 @pytest.mark.parametrize("name", FAST)
-def test_oracle(spark, con, name):
+def test_oracle(spark, con, prepared, name):
+    ok, _, msg = compare(spark, con, name, entry_mod.queries()[name], entry_mod.oracle_sql()[name], prepared)
+    assert ok, msg
+
+
+def test_a_query_builds_its_own_market(spark, con):
+    name = "linreg_1f_coef"
     ok, _, msg = compare(spark, con, name, entry_mod.queries()[name], entry_mod.oracle_sql()[name], SF)
     assert ok, msg

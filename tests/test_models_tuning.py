@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    return workflows.model_frame(spark, SF)
+    return workflows.model_frame(workflows.market_table(spark, SF))
 
 
 @pytest.fixture(scope="module")
@@ -312,3 +312,64 @@ def test_cli_runs_a_reference_script(spark, tmp_path, capsys):
     text = capsys.readouterr().out
     assert "=== comparison ===" in text and "=== importance ===" in text
     assert spark.read.parquet(f"{out}/importance").count() == 4
+
+
+def test_imputer_takes_means_from_training_rows(spark):
+    rows = [(1.0, 2.0), (3.0, 6.0), (None, 4.0), (float("nan"), 4.0)]
+    train = spark.createDataFrame(rows, "x double, y double")
+    model = models.fit(train, "linear", ["x"], "y", impute=True)
+    far = spark.createDataFrame([(None, 0.0), (1000.0, 0.0)], "x double, y double")
+    got = [r.prediction for r in model.transform(far).collect()]
+    assert got == pytest.approx([4.0, 2000.0])  # 2 is the mean of the training rows, whatever the others hold
+
+
+def test_forest_workflow_keeps_rows_with_missing_features(spark, tmp_path):
+    m = workflows.market_table(spark, SF)
+    gaps = m.withColumn("inventory", F.when(F.col("homes_sold") % 5 > 0, F.col("inventory")))
+    path = str(tmp_path / "gaps")
+    gaps.write.parquet(path)
+    out = workflows.reference_workflow(spark, path, "forest", fmt="parquet", keys=KEYS, tune=False)
+    full = workflows.model_frame(m).where("split = 'test'").count()
+    n = out["comparison"].first().n
+    assert abs(n - full) < full / 4 and n > m.count() * 0.1
+
+
+@pytest.mark.parametrize("family", ["linear", "gbt"])
+def test_predict_each_equals_each_model(spark, train, test_rows, family):
+    feats = [["median_list_price"], ["homes_sold", "median_list_price"]]
+    params = {"maxIter": 2} if family == "gbt" else {}
+    fitted = [models.fit(train, family, f, LABEL, **params) for f in feats]
+    got = models.predict_each(fitted, test_rows, KEYS).collect()
+    want = {(i, r.region_id, r.period_begin): r.prediction
+            for i, m in enumerate(fitted) for r in m.transform(test_rows).select(*KEYS, "prediction").collect()}
+    assert {(r.point, r.region_id, r.period_begin): r.prediction for r in got} == want and len(got) == len(want)
+
+
+def test_random_train_validation_repeats(spark):
+    from marketml.registry import LINEAR_GRID, QUERIES
+
+    with workflows.prepared_market(spark, SF) as sf:
+        a, b = (QUERIES["linreg_random_tvs"](spark, sf).first() for _ in range(2))
+    assert a == b and a.best_reg_param in LINEAR_GRID["regParam"] and a.r2 > 0.9
+
+
+@pytest.mark.parametrize("name", ["market_base", "csv_roundtrip", "summary_by_level", "linreg_cv", "tree_importance"])
+def test_a_scope_leaves_no_scratch(spark, name):
+    import os
+
+    from marketml.registry import QUERIES
+    from marketml.session import checkpoint_dir, scratch_scope
+
+    folder = checkpoint_dir(spark).replace("file:", "") + "/marketml"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    with scratch_scope(spark):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert set(os.listdir(folder)) <= before
+
+
+def test_levels_add_up_from_nations(spark):
+    from marketml.sources import market as mk
+
+    rolled = mk.build_market_levels(spark, "/root/testdata/sf0.001", "month").collect()
+    plain = mk.aggregate_market(mk.market_facts(spark, "/root/testdata/sf0.001", "month", mk.LEVELS)).collect()
+    assert sorted(map(str, rolled)) == sorted(map(str, plain))
