@@ -1,18 +1,21 @@
 """Main text of web pages by site template removal.
 
 A page is read into blocks of text and the element subtrees that hold them.
-Each subtree has a hash of its structure and text.  Spark counts, for each host, on how many
-of its pages a subtree occurs; subtrees that recur across many pages of their host are
-the site's template and are deleted.  What is left also loses the parts that are
+Each subtree has a hash of its structure and text.  Spark counts, for each host, in how many
+different page texts a subtree occurs, so copies of a page count once; subtrees that recur
+across many texts of their host are the site's template and are deleted.  What is left also loses the parts that are
 never an article's text by their markup: menus, footers, asides, forms, scripts,
 adverts, notices, reader comments.  If the page marks its article (or main part), only
 that is kept.
 
-An article that a site shows at several addresses must survive, so two limits apply:
-containers (div, section, list, table, nav ...) are template from ``few`` pages and
-``share`` of the host's pages on, paragraphs and headings only from ``many`` pages and half
+An article that a site shows at several addresses must survive, so more limits apply:
+containers (div, section, list, table, nav ...) are template from ``few`` texts and
+``share`` of the host's texts on, paragraphs and headings only from ``many`` texts and half
 of the host's; the article, the main part and the body are never template, nor is a subtree
-with more than half of the text that would be kept.
+with more than half of the text that would be kept.  Where all deletions of a page
+together would take more than half (copies that differ in a date or a box), only subtrees that
+pass the limits of paragraphs go, and where these too are more than half, nothing goes
+but what the markup marks.
 
 Scale: pages are read where they lie; (host, subtree hash) counts are combined map-side
 before their shuffle, so a host with a third of all pages is as many small rows.  Pages then meet
@@ -74,6 +77,10 @@ def _unwanted(attributes: str) -> bool:
     return False
 
 
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 class Page:
     """Blocks as (text, in article, in main, skipped) in page order, and subtrees
     as (hash, is a container, first block, end block)."""
@@ -167,26 +174,41 @@ class Page:
             digest = xxhash.xxh64_intdigest("\x00".join([name, *held]).encode("utf-8", "replace"))
             self.open[-1][3].append(f"\x01{digest:x}")
             if name not in _ROOT and name not in ("li", "td", "th", "tr", "dt", "dd"):
-                self.subtrees.append((digest - (1 << 64) if digest >> 63 else digest, name not in _TEXT, first, len(self.blocks)))
+                self.subtrees.append((_signed(digest), name not in _TEXT, first, len(self.blocks)))
+
+
+    def live(self) -> np.ndarray:
+        """Which blocks the markup lets be text: the article's, else the main part's, else all that are not skipped."""
+        live = np.array([not b[3] for b in self.blocks], bool)
+        for k in (1, 2):
+            marked = live & np.array([b[k] for b in self.blocks], bool)
+            if marked.any():
+                return marked
+        return live
+
+    def digest(self) -> int:
+        """A signed 64-bit hash of the live text, the same for copies of a page."""
+        text = "\n".join(b[0] for b, keep in zip(self.blocks, self.live(), strict=True) if keep)
+        return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")))
 
 
 def main_text(source: str, few: frozenset | set, many: frozenset | set) -> str:
     """The page's text without the template hashes ``few`` (containers) and ``many`` (any subtree)."""
     page = Page(source)
-    live = np.array([not b[3] for b in page.blocks], bool)
+    live = page.live()
     if not live.any():
         return ""
-    for k in (1, 2):  # the article, else the main part, else all
-        marked = live & np.array([b[k] for b in page.blocks], bool)
-        if marked.any():
-            live = marked
-            break
     size = np.array([len(b[0]) for b in page.blocks])
     whole = size[live].sum()
-    gone = np.zeros(len(live), bool)
-    for digest, container, first, end in page.subtrees:
-        if (digest in many or container and digest in few) and 2 * size[first:end][live[first:end]].sum() <= whole:
-            gone[first:end] = True
+    for narrow in (few, ()):
+        gone = np.zeros(len(live), bool)
+        for digest, container, first, end in page.subtrees:
+            if (digest in many or container and digest in narrow) and 2 * size[first:end][live[first:end]].sum() <= whole:
+                gone[first:end] = True
+        if 2 * size[live & gone].sum() <= whole:
+            break
+    else:
+        gone[:] = False
     return "\n".join(b[0] for b, keep in zip(page.blocks, live & ~gone, strict=True) if keep)
 
 
@@ -196,21 +218,26 @@ def _host(url):
 
 def _page_subtrees(batches):
     for b in batches:
-        hosts, digests, kinds = [], [], []
+        hosts, pages, digests, kinds = [], [], [], []
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for digest, container in {(d, c) for d, c, _, _ in Page(source or "").subtrees}:
-                hosts.append(host)
-                digests.append(digest)
-                kinds.append(container)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(kinds, pa.bool_())], ["host", "digest", "container"])
+            page = Page(source or "")
+            # The first row stands for the page itself.
+            subtrees = [(None, None), *{(d, c) for d, c, _, _ in page.subtrees}]
+            hosts += [host] * len(subtrees)
+            pages += [page.digest()] * len(subtrees)
+            digests += [d for d, _ in subtrees]
+            kinds += [c for _, c in subtrees]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(digests, pa.int64()), pa.array(kinds, pa.bool_())], ["host", "page", "digest", "container"])
 
 
 def site_templates(pages: DataFrame, few: int = FEW, share: float = SHARE, many: int = MANY, half: float = HALF, url: str = "url", html: str = "html") -> DataFrame:
     """(host, few, many): each host's template hashes, as arrays."""
     prepare(pages.sparkSession)
     rows = pages.select(_host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    seen = rows.mapInArrow(_page_subtrees, "host string, digest long, container boolean").groupBy("host", "digest", "container").agg(F.count("*").alias("n")).where(F.col("n") >= min(few, many))
-    total = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    found = rows.mapInArrow(_page_subtrees, "host string, page long, digest long, container boolean").distinct()
+    seen = materialize(found.groupBy("host", "digest", "container").agg(F.count("*").alias("n")), "site-subtrees")
+    total = seen.where(F.col("digest").isNull()).select("host", F.col("n").alias("pages"))
+    seen = seen.where(F.col("digest").isNotNull() & (F.col("n") >= min(few, many)))
     often = seen.join(total, "host").withColumn("wide", (F.col("n") >= many) & (F.col("n") >= half * F.col("pages")))
     often = often.where("wide" if few > many else F.col("wide") | F.col("container") & (F.col("n") >= few) & (F.col("n") >= share * F.col("pages")))
     return often.groupBy("host").agg(F.collect_set(F.when(~F.col("wide"), F.col("digest"))).alias("few"), F.collect_set(F.when(F.col("wide"), F.col("digest"))).alias("many"))

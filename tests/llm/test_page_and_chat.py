@@ -57,6 +57,28 @@ def test_templates_go_and_copies_stay(spark):
     assert site_templates.extract(pages(spark, [])).count() == 0
 
 
+def _three_parts(n, extra=""):
+    return f"<body>{extra}<section><p>Part one of story {n} tells how it began.</p></section><div><p>Part two of story {n} tells how it went.</p></div><ul><li>Part three of story {n} tells how it ended.</ul></body>"
+
+
+def _three_texts(n):
+    return "\n".join(f"Part {k} of story {n} tells how it {v}." for k, v in (("one", "began"), ("two", "went"), ("three", "ended")))
+
+
+def test_articles_of_several_parts_stay(spark):
+    # Exact copies at 3 addresses; copies with a date of their own; a host mostly of copies.
+    rows = [(i, f"http://c.example/{i}", _three_parts(min(i, 97))) for i in range(100)]
+    rows += [(200 + i, f"http://c.example/dated/{i}", _three_parts("dated", f"<p>Seen on day {i}.</p>")) for i in range(4)]
+    rows += [(300 + i, f"http://d.example/{i}", _three_parts("copied") if i < 10 else f"<p>Other {i}</p>") for i in range(14)]
+    rows += [(400 + i, f"http://e.example/{i}", _three_parts("daily", f"<p>Day {i}.</p>")) for i in range(10)]
+    got = {r.page_id: r.text for r in site_templates.extract(pages(spark, rows)).collect()}
+    want = {i: _three_texts(min(i, 97)) for i in range(100)}
+    want |= {200 + i: f"Seen on day {i}.\n" + _three_texts("dated") for i in range(4)}
+    want |= {300 + i: _three_texts("copied") if i < 10 else f"Other {i}" for i in range(14)}
+    want |= {400 + i: f"Day {i}.\n" + _three_texts("daily") for i in range(10)}
+    assert got == want
+
+
 # -- chat repair -----------------------------------------------------------------
 
 ALL = [(r, e) for r in (None, 1, 2, 3) for e in (False, True)]
