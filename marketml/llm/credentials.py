@@ -42,14 +42,16 @@ ROLE = {"assign": "secret", "access": "id", "hex": "secret", "id_part": "id", "s
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-ID_PART = re.compile(r"""\b(?:access_?key(?:_?id)?|client_?id|key_?id|user(?:_?name|_?id)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.+-]{3,})""", re.I | re.A)
-SECRET_PART = re.compile(r"""\b(?:pass|pwd|passphrase|private_?key|client_?secret|credential|auth|sig(?:nature)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})""", re.I | re.A)
-ENDPOINT_PART = re.compile(r"""\b(?:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]{4,}""", re.I | re.A)
+#: Where a name starts: not after a letter ("_" and digits may precede it, as in DB_HOST), or at a capital after a small letter.
+_NAME = r"(?-i:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+ID_PART = re.compile(_NAME + r"""(?:access[_\x20.-]?key(?:[_\x20.-]?id)?|(?:client|key|app|application|tenant|subscription|role|project)[_\x20.-]?id|user(?:[_\x20.-]?(?:name|id))?|uid|login|account(?:[_\x20.-]?(?:name|id))?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.+-]{3,})""", re.I | re.A)
+SECRET_PART = re.compile(_NAME + r"""(?:pass(?:w(?:or)?d|phrase|code)?|pwd|secret(?:[_\x20.-]?id)?|token|api[_\x20.-]?key|(?:secret[_\x20.-]?access|shared[_\x20.-]?access|private|secret|account|shared|storage|master|signing|encryption|auth)[_\x20.-]?key|client[_\x20.-]?secret|credentials?|auth|sig(?:nature)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})""", re.I | re.A)
+ENDPOINT_PART = re.compile(r"""(?<![A-Za-z])(?:https?|s?ftp|ssh|ldaps?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?|s3)://[^\s"'<>]+|""" + _NAME + r"""(?:host(?:[_\x20.-]?name)?|endpoint(?:[_\x20.-]?suffix)?|server|data[_\x20.-]?source|url|uri|dsn)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]{4,}""", re.I | re.A)
 
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
 _WORDS = ("pass", "secret", "token", "api")
-_WEAK_WORDS = ("://", "host", "endpoint", "server", "url", "key", "client", "user", "login", "account", "pass", "pwd", "credential", "auth", "sig")
+_WEAK_WORDS = ("://", "host", "endpoint", "server", "source", "url", "uri", "dsn", "key", "id", "user", "login", "account", "pass", "pwd", "secret", "token", "credential", "auth", "sig")
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())])
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
@@ -84,8 +86,12 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         reach = max(reach, e)
         ends.append(reach)
     starts, out = [s for s, _, _ in base], []
-    for kind, rule in ((3, ID_PART), (4, SECRET_PART), (5, ENDPOINT_PART)):
-        for m in rule.finditer(text):
+    secrets = list(SECRET_PART.finditer(text))
+    values = {m.start(1) for m in secrets}
+    # The access key that ends "secret_access_key" is no identifier beside itself.
+    ids = [m for m in ID_PART.finditer(text) if m.start(1) not in values]
+    for kind, found in ((3, ids), (4, secrets), (5, ENDPOINT_PART.finditer(text))):
+        for m in found:
             k = bisect_right(starts, m.end() - 1) - 1
             if k < 0 or ends[k] <= m.start():
                 out.append((m.start(), kind, m.end()))
