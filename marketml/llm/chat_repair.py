@@ -6,8 +6,8 @@ over the automaton's states finds the cheapest way to make it so: a turn keeps i
 relabelled, or is merged into the turn before it, and empty turns are inserted
 where one is missing.  The repaired sequence is then rendered, turn by turn.
 
-Scale: turns are range-partitioned by (conversation, turn), so one conversation with a third of
-all rows spreads over many segments.  The cheapest costs between states over a segment form a 4 x 4
+Scale: turns are range-partitioned by (conversation, turn, role, text) and a row number that is
+written first, so one conversation with a third of all rows spreads over many segments, and so do as many equal rows.  The cheapest costs between states over a segment form a 4 x 4
 matrix, and (min, +) products of such matrices join the segments: a first pass gives the
 matrix of each segment of a conversation that spans several, its segments' boundary states follow from
 those few rows (at most two for each segment border), and a second pass repairs every segment between its
@@ -16,7 +16,7 @@ each turn; in order of ``place`` they make up the conversation.
 
 Nulls and ties: a null or unknown role costs little to relabel; a null text is empty, and an empty
 turn may be merged into any; rows without conv_id are one conversation; turns without a number
-come first; turns that tie are taken in order of role and text; of equally cheap repairs the first
+come first; turns that tie are taken in order of role and text, equal rows in that of their row numbers; of equally cheap repairs the first
 in the order keep, merge, relabel, with fewest insertions, is taken, by the lowest state.
 """
 
@@ -131,7 +131,7 @@ def render(before: int, after: int, action: str, inserted: tuple[int, ...], text
     return piece + (END + "".join(_say(r) + END for r in CLOSE[after]) if last else "")
 
 
-_ORDER = ("conv_id", "turn", "role", "text")
+_ORDER = ("conv_id", "turn", "role", "text", "row")
 
 
 def _conversations(table: pa.Table):
@@ -201,6 +201,8 @@ def repair_roles(conversations: DataFrame, segment_rows: int = 20_000) -> DataFr
     spark = conversations.sparkSession
     prepare(spark)
     turns = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    # Written before it is sorted on, so that a task that runs again sees the same numbers.
+    turns = materialize(turns.withColumn("row", F.monotonically_increasing_id()), "chat-rows")
     parts = max(1, -(-turns.count() // segment_rows))
     order = [F.asc_nulls_first(c) for c in _ORDER]
     turns = materialize(turns.repartitionByRange(parts, *order).withColumn("seg", F.spark_partition_id()), "chat-turns")

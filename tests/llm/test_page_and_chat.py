@@ -167,6 +167,15 @@ def test_segments_give_the_same_conversation(spark, segment_rows):
         assert [p.split("|>")[0] for p in whole.split("<|")[1::2]] == roles and whole.count("<|end|>\n") == len(roles)
 
 
+def test_equal_rows_spread_over_segments(spark):
+    rows = [(None, None, "user", "")] * 300 + [(c, t, r, "x") for c in range(30) for t, r in enumerate(("user", "assistant"))]
+    out = chat_repair.repair_roles(spark.createDataFrame([(*r, "clash", 1.0) for r in rows], CHAT), 20).collect()
+    assert len(out) == len(rows) and max(Counter(r.place >> 40 for r in out).values()) <= 60
+    mine = sorted((r for r in out if r.conv_id is None), key=lambda r: r.place)
+    assert [r.action for r in mine] == ["keep"] + ["merge"] * 299
+    assert "".join(r.rendered for r in mine) == "<|user|>\n<|end|>\n<|assistant|>\n<|end|>\n"
+
+
 def test_no_conversations(spark):
     assert chat_repair.repair_roles(spark.createDataFrame([], CHAT)).count() == 0
 
