@@ -9,7 +9,7 @@ a stage that fails costs no earlier work.
 2. SimHash near-dedup: the document with the smallest id of each component stays.
 3. benchmark decontamination: contaminated documents go.
 4. secret scans: reported spans are replaced by their kind in brackets, and n_chars counts the new text.
-5. packing: one row for each piece of a document.
+5. packing: one row for each piece of a document, with its token ids.
 
 Stages 1 to 4 return the columns of documents.
 """
@@ -42,7 +42,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(), tokens=2048, with_ids=False)
+    return packing.pack(docs, tokenizer_path(), tokens=2048)
 
 
 STAGES = [

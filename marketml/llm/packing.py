@@ -32,6 +32,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketml.llm.common import prepare
 
@@ -165,10 +166,14 @@ def _packer(path: str, tokens: int, group: int, linear: float, quadratic: float,
         waiting, held = [], 0
 
         def emit(doc, start, ids, at, offset):
-            rows.append((doc[0], start, len(ids), zlib.crc32(ids.tobytes()), doc[1], at, offset, *([ids.tolist()] if with_ids else [])))
+            rows.append((doc[0], start, len(ids), zlib.crc32(ids.tobytes()), doc[1], at, offset, *([ids] if with_ids else [])))
 
         def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            columns = list(zip(*rows, strict=True))
+            arrays = [pa.array(c, f.type) for c, f in zip(columns[:7], schema, strict=False)]
+            if with_ids:
+                arrays.append(pa.ListArray.from_arrays(np.cumsum([0, *columns[2]], dtype=np.int32), np.concatenate(columns[7]).astype(np.int32)))
+            out = pa.RecordBatch.from_arrays(arrays, schema=schema)
             rows.clear()
             return out
 
@@ -211,6 +216,13 @@ def _packer(path: str, tokens: int, group: int, linear: float, quadratic: float,
     return run
 
 
+@F.arrow_udf(T.LongType())
+def crc_of_ids(ids: pa.Array) -> pa.Array:
+    """CRC of each piece's ids as little-endian unsigned 32-bit integers."""
+    data, at = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+    return pa.array([zlib.crc32(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+
+
 def pack(docs: DataFrame, tokenizer: str, tokens: int = 2048, group: int = 512, linear: float = 1.0, quadratic: float = 1 / 1024, with_ids: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, unless ``with_ids`` is false, the piece's ids.  ``tokenizer``

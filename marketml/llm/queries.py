@@ -22,8 +22,9 @@ def tokenizer_path() -> str:
 
 
 def op2_packing(spark, sf_dir):
-    """Operator 2 on documents: sequences of 2048 tokens."""
-    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), tokens=2048, with_ids=False)
+    """Operator 2 on documents: sequences of 2048 tokens; the digest is of the packed ids."""
+    packed = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), tokens=2048)
+    return packed.withColumn("ids_crc32", packing.crc_of_ids("ids")).drop("ids")
 
 
 def op3_site_templates(spark, sf_dir):

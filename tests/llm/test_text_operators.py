@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from marketml.llm import credentials, decontaminate, packing, perplexity, queries
 from marketml.llm.queries import tokenizer_path
 
@@ -214,6 +215,19 @@ def test_packing(spark):
     assert padding == 0
 
 
+def test_pipeline_and_query_use_the_packed_ids(spark, tmp_path):
+    rows = [(i, f"some words of text {i} " * (i % 7 * 100)) for i in range(40)] + [(None, None)]
+    docs = frame(spark, rows).repartition(3)
+    out = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in out)
+    frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    op2 = queries.op2_packing(spark, str(tmp_path))
+    assert "ids#" in op2._jdf.queryExecution().optimizedPlan().toString() and "ids" not in op2.columns
+    packed = packing.pack(spark.read.parquet(str(tmp_path / "documents.parquet")), tokenizer_path(), tokens=2048)
+    got, want = (sorted(map(str, d.select(op2.columns).collect())) for d in (op2, packed))
+    assert got == want
+
+
 def test_balance_takes_the_cheapest_sequence_with_room():
     rng = random.Random(4)
     pieces = [(i, 0, np.arange(rng.randrange(1, 60))) for i in range(80)]
