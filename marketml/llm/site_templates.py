@@ -9,19 +9,19 @@ adverts, notices, reader comments.  If the page marks its article (or main part)
 that is kept.
 
 An article that a site shows at several addresses must survive, so more limits apply:
-containers (div, section, list, table, nav ...) are template from ``few`` texts and
-``share`` of the host's texts on, paragraphs and headings only from ``many`` texts and half
-of the host's; the article, the main part and the body are never template, nor is a subtree
+containers (div, section, list, table, nav ...) are template from ``few`` texts on,
+paragraphs from ``many`` texts on, and headings and paragraphs of fewer than four words, which also recur in
+articles ("Ingredients"), only from ``many`` texts and half of the host's on; the article, the main part and the body are never template, nor is a subtree
 with more than half of the text that would be kept.  Where all deletions of a page
-together would take more than half (copies that differ in a date or a box), only subtrees that
-pass the limits of paragraphs go, and where these too are more than half, nothing goes
+together would take more than half (copies that differ in a date or a box), only subtrees in
+``many`` texts and half of the host's go, and where these too are more than half, nothing goes
 but what the markup marks.
 
-Scale: pages are read where they lie; (host, subtree hash) counts are combined map-side
-before their shuffle, so a host with a third of all pages is as many small rows.  Pages then meet
-their host's template hashes in a join on the host, whose large side AQE splits where a
-host is hot.  A host has at most (subtrees on a page) / ``share`` template hashes, so a
-row's list is bounded by page size.
+Scale: pages are read where they lie; (host, html hash, subtree hash) rows are made distinct map-side
+before their shuffle, so copies are one page, and counted for each (host, subtree hash).  The counts are absolute,
+so a box goes from a host of a million pages as from one of a hundred, and no host has a list: the
+rows meet the template hashes in a join on (host, subtree hash), and the pages theirs in one on (host,
+html hash), whose large sides AQE splits where a key is hot.  A row's arrays hold hashes of its own page only.
 
 Nulls and ties: a null html counts as empty and gives an empty text; a page without a host shares
 the empty host; repeated rows are pages of their own; broken or cut markup is read as far as it goes.
@@ -42,14 +42,17 @@ from pyspark.sql import types as T
 from marketml.llm.common import prepare
 from marketml.session import materialize
 
-FEW, SHARE = 3, 0.01
-MANY, HALF = 8, 0.5
+FEW, MANY, HALF = 3, 8, 0.5
+#: Kinds of subtrees; texts are headings and paragraphs of fewer than LEAST words.
+BOX, PARAGRAPH, TEXT = range(3)
+LEAST = 4
 
 # Element names of the HTML standard, by how they are read.
 _SKIP = frozenset("head script style noscript template iframe object svg math canvas form button select textarea datalist nav footer aside dialog menu audio video map title".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption address dt dd li td th tr caption summary".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6 caption summary".split())
 _WRAP = frozenset("html body main article section div header hgroup ul ol dl table thead tbody tfoot figure details center fieldset".split())
 _ROOT = frozenset("html body main article".split())
 #: An opening tag of one of these ends an open element of the listed names.
@@ -83,11 +86,11 @@ def _signed(digest: int) -> int:
 
 class Page:
     """Blocks as (text, in article, in main, skipped) in page order, and subtrees
-    as (hash, is a container, first block, end block)."""
+    as (hash, kind, first block, end block)."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, bool, bool]] = []
-        self.subtrees: list[tuple[int, bool, int, int]] = []
+        self.subtrees: list[tuple[int, int, int, int]] = []
         # Each open element: name, whether it starts a skipped part, its first block, hash parts of what it holds.
         self.open: list[tuple[str, bool, int, list]] = [("", False, 0, [])]
         self.text: list[str] = []
@@ -174,7 +177,8 @@ class Page:
             digest = xxhash.xxh64_intdigest("\x00".join([name, *held]).encode("utf-8", "replace"))
             self.open[-1][3].append(f"\x01{digest:x}")
             if name not in _ROOT and name not in ("li", "td", "th", "tr", "dt", "dd"):
-                self.subtrees.append((_signed(digest), name not in _TEXT, first, len(self.blocks)))
+                kind = BOX if name not in _TEXT else PARAGRAPH if name not in _HEADING and sum(len(b[0].split()) for b in self.blocks[first:]) >= LEAST else TEXT
+                self.subtrees.append((_signed(digest), kind, first, len(self.blocks)))
 
 
     def live(self) -> np.ndarray:
@@ -192,18 +196,18 @@ class Page:
         return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")))
 
 
-def main_text(source: str, few: frozenset | set, many: frozenset | set) -> str:
-    """The page's text without the template hashes ``few`` (containers) and ``many`` (any subtree)."""
+def main_text(source: str, narrow: frozenset | set, wide: frozenset | set) -> str:
+    """The page's text without the template hashes ``narrow`` and ``wide`` (on half of the host's pages)."""
     page = Page(source)
     live = page.live()
     if not live.any():
         return ""
     size = np.array([len(b[0]) for b in page.blocks])
     whole = size[live].sum()
-    for narrow in (few, ()):
+    for chosen in (wide | narrow, wide):
         gone = np.zeros(len(live), bool)
-        for digest, container, first, end in page.subtrees:
-            if (digest in many or container and digest in narrow) and 2 * size[first:end][live[first:end]].sum() <= whole:
+        for digest, _, first, end in page.subtrees:
+            if digest in chosen and 2 * size[first:end][live[first:end]].sum() <= whole:
                 gone[first:end] = True
         if 2 * size[live & gone].sum() <= whole:
             break
@@ -216,47 +220,49 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _key(html):
+    return F.xxhash64(F.coalesce(html, F.lit("")))
+
+
 def _page_subtrees(batches):
     for b in batches:
-        hosts, pages, digests, kinds = [], [], [], []
-        for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        hosts, keys, pages, digests, kinds = [], [], [], [], []
+        for host, key, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             page = Page(source or "")
             # The first row stands for the page itself.
-            subtrees = [(None, None), *{(d, c) for d, c, _, _ in page.subtrees}]
+            subtrees = [(None, None), *{(d, k) for d, k, _, _ in page.subtrees}]
             hosts += [host] * len(subtrees)
+            keys += [key] * len(subtrees)
             pages += [page.digest()] * len(subtrees)
             digests += [d for d, _ in subtrees]
-            kinds += [c for _, c in subtrees]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(digests, pa.int64()), pa.array(kinds, pa.bool_())], ["host", "page", "digest", "container"])
+            kinds += [k for _, k in subtrees]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(pages, pa.int64()), pa.array(digests, pa.int64()), pa.array(kinds, pa.int32())], ["host", "key", "page", "digest", "kind"])
 
 
-def site_templates(pages: DataFrame, few: int = FEW, share: float = SHARE, many: int = MANY, half: float = HALF, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, few, many): each host's template hashes, as arrays."""
+def site_templates(pages: DataFrame, few: int = FEW, many: int = MANY, half: float = HALF, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, key, narrow, wide): the template hashes that each page holds, as arrays,
+    for pages that hold any; ``key`` is the hash of the page's html."""
     prepare(pages.sparkSession)
-    rows = pages.select(_host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    found = rows.mapInArrow(_page_subtrees, "host string, page long, digest long, container boolean").distinct()
-    seen = materialize(found.groupBy("host", "digest", "container").agg(F.count("*").alias("n")), "site-subtrees")
+    rows = pages.select(_host(F.col(url)).alias("host"), _key(F.col(html)).alias("key"), F.col(html).alias("html"))
+    found = materialize(rows.mapInArrow(_page_subtrees, "host string, key long, page long, digest long, kind int").distinct(), "site-subtrees")
+    seen = materialize(found.select("host", "page", "digest", "kind").distinct().groupBy("host", "digest", "kind").agg(F.count("*").alias("n")), "site-counts")
     total = seen.where(F.col("digest").isNull()).select("host", F.col("n").alias("pages"))
     seen = seen.where(F.col("digest").isNotNull() & (F.col("n") >= min(few, many)))
-    often = seen.join(total, "host").withColumn("wide", (F.col("n") >= many) & (F.col("n") >= half * F.col("pages")))
-    often = often.where("wide" if few > many else F.col("wide") | F.col("container") & (F.col("n") >= few) & (F.col("n") >= share * F.col("pages")))
-    return often.groupBy("host").agg(F.collect_set(F.when(~F.col("wide"), F.col("digest"))).alias("few"), F.collect_set(F.when(F.col("wide"), F.col("digest"))).alias("many"))
+    seen = seen.join(total, "host").withColumn("wide", (F.col("n") >= many) & (F.col("n") >= half * F.col("pages")))
+    often = seen.where(F.col("wide") | (F.col("kind") == BOX) & (F.col("n") >= few) | (F.col("kind") == PARAGRAPH) & (F.col("n") >= many))
+    held = found.join(often.select("host", "digest", "kind", "wide"), ["host", "digest", "kind"])
+    return held.groupBy("host", "key").agg(F.collect_set(F.when(~F.col("wide"), F.col("digest"))).alias("narrow"), F.collect_set(F.when(F.col("wide"), F.col("digest"))).alias("wide"))
 
 
 @F.arrow_udf(T.StringType())
-def _main_text(sources: pa.Array, few: pa.Array, many: pa.Array) -> pa.Array:
-    out, last, sets = [], None, (frozenset(), frozenset())
-    for source, a, b in zip(sources.to_pylist(), few, many, strict=True):
-        # Pages of one host follow each other, so its sets are made once.
-        if last is None or not (a.equals(last[0]) and b.equals(last[1])):
-            last, sets = (a, b), (frozenset(a.as_py() or ()), frozenset(b.as_py() or ()))
-        out.append(main_text(source or "", *sets))
-    return pa.array(out, pa.string())
+def _main_text(sources: pa.Array, narrow: pa.Array, wide: pa.Array) -> pa.Array:
+    rows = zip(sources.to_pylist(), narrow.to_pylist(), wide.to_pylist(), strict=True)
+    return pa.array([main_text(source or "", set(a or ()), set(b or ())) for source, a, b in rows], pa.string())
 
 
-def extract(pages: DataFrame, few: int = FEW, share: float = SHARE, many: int = MANY, half: float = HALF, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def extract(pages: DataFrame, few: int = FEW, many: int = MANY, half: float = HALF, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns ``keep`` of ``pages`` with the main ``text`` of every page."""
-    templates = materialize(site_templates(pages, few, share, many, half, url, html), "site-templates").withColumnRenamed("host", "t_host")
-    rows = pages.select(*[F.col(c).alias(f"keep_{c}") for c in keep], _host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    joined = rows.join(templates, F.col("host") == F.col("t_host"), "left")
-    return joined.select(*[F.col(f"keep_{c}").alias(c) for c in keep], _main_text("html", "few", "many").alias("text"))
+    templates = materialize(site_templates(pages, few, many, half, url, html), "site-templates").withColumnsRenamed({"host": "t_host", "key": "t_key"})
+    rows = pages.select(*[F.col(c).alias(f"keep_{c}") for c in keep], _host(F.col(url)).alias("host"), _key(F.col(html)).alias("key"), F.col(html).alias("html"))
+    joined = rows.join(templates, (F.col("host") == F.col("t_host")) & (F.col("key") == F.col("t_key")), "left")
+    return joined.select(*[F.col(f"keep_{c}").alias(c) for c in keep], _main_text("html", "narrow", "wide").alias("text"))

@@ -79,6 +79,16 @@ def test_articles_of_several_parts_stay(spark):
     assert got == want
 
 
+def test_templates_of_a_few_pages_of_a_large_host(spark):
+    # A box on 9 pages, a notice on 10, and a heading and a short line on 30 of 1,000.
+    box, notice = '<div id="x1"><p>Our offer ends this week only</p></div>', "<p>This text was first shown last year.</p>"
+    def page(i):
+        return f"<body>{box * (i < 9)}{notice * (i < 10)}<h2>{'Contents' if i < 30 else i}</h2><p>Story {i} begins with many words of its own, and goes on {i}.</p><p>{'He nodded.' if i < 30 else i}</p></body>"
+    rows = [(i, f"http://big.example/{i}", page(i)) for i in range(1000)]
+    got = {r.page_id: r.text for r in site_templates.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"{'Contents' if i < 30 else i}\nStory {i} begins with many words of its own, and goes on {i}.\n{'He nodded.' if i < 30 else i}" for i in range(1000)}
+
+
 # -- chat repair -----------------------------------------------------------------
 
 ALL = [(r, e) for r in (None, 1, 2, 3) for e in (False, True)]
