@@ -304,6 +304,24 @@ def test_kneser_ney_matches_its_definition(spark):
     assert abs(sum(p((ord("t") + 1, ord("h") + 1, x)) for x in range(4096)) - 1) < 1e-9 and exp(0) == 1
 
 
+def test_no_characters_are_merged(spark):
+    # U+4E00 and U+4E5F, like U+0FA1 and U+1000, are a multiple of 95 apart.
+    pool = [chr(c) for c in (0, 1, 0x61, 0xE9, 0xFA0, 0xFA1, 0x1000, 0x3042, 0x4E00, 0x4E5F, 0xAC00, 0xFFFD, 0x1F600, 0x20000, 0x2005F)]
+    assert len({tuple(perplexity.symbols(c).tolist()) for c in pool}) == len(pool)
+    assert len({tuple(perplexity.grams([a + b], 4).tolist()) for a in pool for b in pool}) == len(pool) ** 2
+    rng = random.Random(8)
+    texts = ["".join(chr(0x4E00 + rng.randrange(60)) for _ in range(200)) for _ in range(30)]
+    docs = frame(spark, [(i, t, "zh") for i, t in enumerate(texts)])
+    model, p = perplexity.build_model(docs, order=4), _plain_model(texts, 4)
+    salt = spark.range(1).selectExpr("xxhash64('zh')").first()[0]
+    score = lambda t: model.log_probs(perplexity.grams([t], 4), salt).sum()
+    for text in (texts[0], texts[1][:20] + "xyz"):
+        line = (0, 0, 0) + tuple(ord(c) + 1 for c in text)
+        assert abs(score(text) - sum(log(p(line[i : i + 4])) for i in range(len(text)))) < 1e-3 * len(text)
+    # The same text moved to other characters is unseen.
+    assert score("".join(chr(ord(c) + 95) for c in texts[0])) < score(texts[0]) - 200
+
+
 def _plain_base_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
