@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketml.llm import chat_repair, credentials, decontaminate, language_id, packing, perplexity, simhash, site_templates, toxicity, warc
+from marketml.llm import chat_repair, credentials, decontaminate, hard_negatives, language_id, mixing, packing, perplexity, simhash, site_templates, toxicity, warc, whitening
 from marketml.llm.common import read
 
 
@@ -127,10 +127,49 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op11_whitening(spark, sf_dir):
+    """Operator 11 on embeddings: 16 components of whole numbers floor(64 c) + 1000000."""
+    done = whitening.whiten(read(spark, sf_dir, "embeddings"), "embedding", keep=("vec_id",), want=16, scale=64, shift=1_000_000)
+    each = done.select("vec_id", "whitening", F.explode("whitening.components").alias("c"))
+    return each.select("vec_id", "c.component", "whitening.n", "whitening.deviation", "c.whitened", "c.explained", "whitening.identity_error")
+
+
+def op12_mixing(spark, sf_dir):
+    """Operator 12 on documents: weights 1, 2, 3 over the sources, blocks of 64 words, shards of 4096 slots."""
+    mix = mixing.mix_sources(read(spark, sf_dir, "documents"), keep=("doc_id",), weights=(1, 2, 3), limit=3)
+    return mix.taken().select("keep.doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Operator 13 on embeddings: anchors are ids divisible by 100, ids divisible by 7 move to the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=5, low=80, scale=256)
+
+
+OP13_SQL = """
+WITH r AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+), s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_dot_product(a.x, r.x) AS BIGINT) AS score
+  FROM r AS a JOIN r ON a.rid <> r.rid WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 QUERIES = {
     "op1_perplexity": op1_perplexity, "op2_packing": op2_packing,
     "op3_site_templates": op3_site_templates, "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate, "op6_credentials": op6_credentials, "op7_chat_repair": op7_chat_repair, "op8_warc": op8_warc,
-    "op9_simhash": op9_simhash, "op10_language_id": op10_language_id,
+    "op9_simhash": op9_simhash, "op10_language_id": op10_language_id, "op11_whitening": op11_whitening, "op12_mixing": op12_mixing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL, "op13_hard_negatives": OP13_SQL}
