@@ -154,25 +154,31 @@ def rayleigh_ritz(v: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def feast(v: np.ndarray, low: float, high: float, inside: int, seed: int = 0, nodes: int = NODES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The ``inside`` eigenpairs of the symmetric ``v`` in (low, high]."""
+    """The ``inside`` eigenpairs of the symmetric ``v`` in (low, high].  A block that does not
+    settle, as eigenvalues crowd outside, is widened; one of all dimensions settles at once."""
     dims, norm = len(v), np.abs(v).sum(0).max()
-    block = np.random.default_rng(seed).standard_normal((dims, min(dims, 2 * inside + 8)))
+    rng = np.random.default_rng(seed)
+    block = rng.standard_normal((dims, min(dims, 2 * inside + 8)))
     middle, radius = (low + high) / 2, (high - low) / 2
     # Midpoints of equal arcs: the trapezium rule on the circle, whose lower half is the conjugate.
     turn = np.exp(1j * np.pi * (np.arange(nodes) + 0.5) / nodes)
     last = np.inf
-    for _ in range(rounds):
+    for k in range(rounds):
         filtered = np.zeros_like(block)
         for e in turn:
             z = middle + radius * e
             filtered += (radius * e / nodes * np.linalg.solve(z * np.eye(dims) - v, block)).real
         values, block = rayleigh_ritz(v, filtered)
         found = (values > low) & (values <= high)
-        off = np.abs(v @ block[:, found] - block[:, found] * values[found]).max(initial=0.0)
-        # Done when the count is right and another round no longer improves the residual.
-        if found.sum() == inside and off <= 1e-9 * norm and off >= last / 2:
-            return values[found], block[:, found]
-        last = off if found.sum() == inside else np.inf
+        if found.sum() == inside:
+            off = np.abs(v @ block[:, found] - block[:, found] * values[found]).max(initial=0.0)
+            # Done when the residual is rounding, or near it and no longer falling.
+            if off <= 1e-15 * dims * norm or off <= 1e-12 * norm and off > 0.9 * last:
+                return values[found], block[:, found]
+            last = off
+        if k % 8 == 7:
+            block = np.concatenate([block, rng.standard_normal((dims, min(block.shape[1], dims - block.shape[1])))], 1)
+            last = np.inf
     raise ArithmeticError(f"{found.sum()} of {inside} eigenvalues in ({low}, {high}] after {rounds} rounds")
 
 
@@ -199,22 +205,30 @@ def slices(spark: SparkSession, v: np.ndarray, want: int, per_slice: int = SLICE
     want = min(want, above[low])
     if not want:
         return []
+
+    def count(start: float, end: float) -> None:
+        shifts = [(float(s),) for s in np.linspace(start, end, SHIFTS + 2)[1:-1]]
+        counted = _in_tasks(spark, shifts, "shift double", lambda shift: {"shift": shift, "above": count_above(v, shift)}, "shift double, above int")
+        above.update({r["shift"]: r.above for r in counted})
+
+    # Narrow the end below the wanted ones, and look closer at what lies above it.
     while True:
         low = max(s for s in above if above[s] >= want)
-        high = min(s for s in above if above[s] < want)
-        if above[low] <= want + per_slice or high - low < 1e-9 * norm:
+        next_ = min(s for s in above if above[s] < want)
+        if above[low] <= want + per_slice or next_ - low < 1e-9 * norm:
             break
-        shifts = [(float(s),) for s in np.linspace(low, high, SHIFTS + 2)[1:-1]]
-        counted = _in_tasks(spark, shifts, "shift double", lambda shift: {"shift": shift, "above": count_above(v, shift)}, "shift double, above int")
-        above.update({r["shift"]: r.above for r in counted})
+        count(low, next_)
+    count(low, min(s for s in above if not above[s]))
+    count(low, min(s for s in above if not above[s]))
+    # Neighbouring cells that hold eigenvalues make a slice, until it holds too many.
     cuts = sorted((s for s in above if s >= low), reverse=True)
-    found, high = [], cuts[0]
-    for s, after in zip(cuts[1:], [*cuts[2:], None], strict=True):
-        inside = above[s] - above[high]
-        if after is None or above[after] - above[high] > per_slice and inside:
-            if inside:
-                found.append((s, high, inside))
-            high = s
+    found = []
+    for high, cut in zip(cuts, cuts[1:], strict=False):
+        inside = above[cut] - above[high]
+        if found and inside and found[-1][0] == high and found[-1][2] + inside <= per_slice:
+            found[-1] = (cut, found[-1][1], found[-1][2] + inside)
+        elif inside:
+            found.append((cut, high, inside))
     return found
 
 
