@@ -3,6 +3,7 @@
 import itertools
 import random
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -33,15 +34,22 @@ def pages(spark, rows):
     ("<ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table>", "one\ntwo\nc1\nc2"),
     ("<p>cut <b", "cut"), ("<p>cut &am", "cut &am"), ("a<script>never ends", "a"), ("</p></div>stray<x-y>odd</x-y>", "strayodd"),
     ("<div " + "a='" * 50 + ">x", "x"),
+    ("<div class='container has-sidebar'><p>A page of one article.</p><div class='sidebar'><p>Other things to see here.</p></div><p>It ends with this line.</p></div>", "A page of one article.\nIt ends with this line."),
+    ("<article><div class='entry no-comments'><p>All of the text is here.</p></div></article>", "All of the text is here."),
+    ("<p id='search-for-meaning'>A chapter about the search.</p>", "A chapter about the search."),
+    ("<div class='site-nav'>a b</div><div class='widget'><p>The whole of a page in a widget.</p></div>", "The whole of a page in a widget."),
+    ("<p>A short post of seven words here.</p><div id=comments>" + "".join(f"<div class=comment><p>Reader {i} has this and more to say about it.</p></div>" for i in range(9)) + "</div>", "A short post of seven words here."),
+    ("<form id=aspnet><p>The text of a page inside a form.</p><input><button>Send</button></form>", "The text of a page inside a form."),
+    ("<p>The text of a page with a form.</p><form><label>Your name</label></form>", "The text of a page with a form."),
 ])
 def test_main_text(source, text):
-    assert site_templates.main_text(source, set(), set()) == text
+    assert site_templates.main_text(source) == text
 
 
 def test_deep_and_long_markup():
-    assert site_templates.main_text("<div>" * 20_000 + "x" + "</div>" * 20_000, set(), set()) == "x"
+    assert site_templates.main_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     long = "word " * 200_000
-    assert site_templates.main_text(f"<p>{long}", set(), set()) == long.strip()
+    assert site_templates.main_text(f"<p>{long}") == long.strip()
 
 
 def test_templates_go_and_copies_stay(spark):
@@ -89,6 +97,83 @@ def test_templates_of_a_few_pages_of_a_large_host(spark):
     assert got == {i: f"{'Contents' if i < 30 else i}\nStory {i} begins with many words of its own, and goes on {i}.\n{'He nodded.' if i < 30 else i}" for i in range(1000)}
 
 
+def test_a_box_longer_than_the_articles(spark):
+    box = '<div id="x1"><p>' + "About this site and all of its many friends. " * 9 + "</p></div>"
+    aside = '<div id="x2"><ul><li>Here we list the friends of our site<li>And some more friends of our site</ul></div>'
+    rows = [(i, f"http://f.example/{i}", f"<body>{box}<div><p>Article {i} is short, with only a few words of its own.</p></div>{aside}</body>") for i in range(5)]
+    got = {r.page_id: r.text for r in site_templates.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Article {i} is short, with only a few words of its own." for i in range(5)}
+
+
+class _Article(HTMLParser):
+    """The article's blocks, read by the standard library."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.lines = 0, [""]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.lines += [""] if tag in ("p", "h1", "article") else []
+        self.lines[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.lines += [""] if tag in ("p", "h1", "article") else []
+
+    def handle_data(self, data):
+        if self.inside:
+            self.lines[-1] += data
+
+    def text(self):
+        return "\n".join(line for line in (" ".join(raw.split()) for raw in self.lines) if line)
+
+
+def _plain_extract(rows, few=3, many=8, half=0.5, own_words=6):
+    """Templates by counting in dictionaries; rows are (host, html)."""
+    parsed = [(host, site_templates.Page(html or "").row()) for host, html in rows]
+    pages_of = {}
+    for host, row in parsed:
+        pages_of.setdefault(host, {})[row["page"]] = row
+    chosen = {}
+    for host, each in pages_of.items():
+        parts = {page: {(d, site_templates.BOX) for d in r["boxes"]} | set(zip(r["marks"], r["kinds"], strict=True)) for page, r in each.items()}
+        shared = {part for part, n in Counter(x for s in parts.values() for x in s).items() if n >= few}
+        own = {}
+        for page, r in each.items():
+            mine = {(m, k): n for m, k, n in zip(r["marks"], r["kinds"], r["words"], strict=True) if (m, k) not in shared}
+            if sum(mine.values()) >= own_words:
+                own[page] = frozenset(mine)
+        for part in shared:
+            n = len({own[page] for page, s in parts.items() if part in s and page in own})
+            least = {site_templates.BOX: few, site_templates.PARAGRAPH: many, site_templates.TEXT: max(many, half * len(set(own.values())))}
+            if n >= least.get(part[1], float("inf")):
+                chosen.setdefault(host, set()).add(part[0])
+    return [site_templates.kept_text(r["texts"], r["marks"], r["boxes"], r["firsts"], r["ends"], chosen.get(host, set())) for host, r in parsed]
+
+
+def test_extract_equals_plain_version(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    given = [tuple(r) for r in table.select("page_id", "url", "html").collect()]
+    got = {r.page_id: r.text for r in site_templates.extract(table).collect()}
+    assert got == {i: _Article(html).text() for i, _, html in given}
+    # Random pages of parts that recur at random.
+    rng = random.Random(5)
+    stock = [f"<div><p>Box {k} of the site says a few words.</p></div>" for k in range(6)] + [f"<p>Notice {k} is shown on many pages.</p>" for k in range(6)] + ["<h2>Contents</h2>", "<ul><li>one item of a list<li>two</ul>", "<p>short</p>"]
+    rows = []
+    for i in range(150):
+        own = [f"<p>Own text {rng.randrange(60)} with more words than a date has.</p>" for _ in range(rng.randrange(3))]
+        body = own + rng.sample(stock, rng.randrange(6))
+        rng.shuffle(body)
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<body>{''.join(body)}</body>"))
+    rows += [(1000 + i, "http://h0.example/copy", rows[0][2]) for i in range(40)]
+    got = {r.page_id: r.text for r in site_templates.extract(pages(spark, rows)).collect()}
+    want = _plain_extract([(url.split("/")[2], html) for _, url, html in rows])
+    assert got == {i: text for (i, _, _), text in zip(rows, want, strict=True)} and len(set(want)) > 40
+
+
 # -- chat repair -----------------------------------------------------------------
 
 ALL = [(r, e) for r in (None, 1, 2, 3) for e in (False, True)]
