@@ -20,10 +20,11 @@ parts.  If the page marks its article (or main part), only that is kept.  Class,
 holds most of the paragraphs of its article or page.  A word counts as a whole token or, on containers, as part of a compound
 ("site-nav") that does not deny or describe it ("no-comments", "has-sidebar").
 
-Scale: one plan at every size.  The html is read where it lies and is in no exchange: a first pass writes for each
-page a row with its live texts and hashes.  Distinct (host, page, hash) rows, equal pages merged map-side, are counted;
-those that recur meet their pages' own texts, and the chosen hashes come back for each (host, page).
-Joins with them are salted merge joins, so a hot host, box or group of copies spreads over ``SALTS`` tasks.
+Scale: one plan at every size.  The html is read where it lies, twice, and is in no exchange.  The first pass sends
+hashes only: distinct (host, page, hash) rows, equal pages merged map-side, are counted;
+those that recur meet their pages' own texts, and the chosen hashes come back for each (host, page).  The second pass
+sends each page's live texts, compressed, to its hashes, which is less to store than to write them in the first.
+Joins with hashes are salted merge joins, so a hot host, box or group of copies spreads over ``SALTS`` tasks.
 A row's arrays hold texts and hashes of its own page only.
 
 Results by case.  A null or empty html gives an empty text; a page without a host shares the empty host; repeated rows
@@ -40,6 +41,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,6 +92,10 @@ def _marked(attributes: str, compound: bool) -> tuple[bool, bool]:
     return False, proposed
 
 
+def _mark(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")))
+
+
 def _signed(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
@@ -219,7 +225,7 @@ class Page:
         place = np.r_[0, np.cumsum(live)]
         blocks = [b for b, keep in zip(self.blocks, live, strict=True) if keep]
         texts = [b[0] for b in blocks]
-        marks = [_signed(xxhash.xxh64_intdigest(t.encode("utf-8", "replace"))) for t in texts]
+        marks = [_mark(t) for t in texts]
         words = [len(t.split()) for t in texts]
         kinds = [TEXT if b[4] in _HEADING else ITEM if b[4] in _ITEM else PARAGRAPH if n >= LEAST else TEXT for b, n in zip(blocks, words, strict=True)]
         boxes = [(d, int(place[first]), int(place[end])) for d, first, end in self.boxes if place[end] > place[first]]
@@ -249,22 +255,43 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-_ROW = pa.schema([("page", pa.int64()), ("texts", pa.list_(pa.string())), ("marks", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("boxes", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
-_ROW_SQL = "page long, texts array<string>, marks array<long>, kinds array<int>, words array<int>, boxes array<long>, firsts array<int>, ends array<int>"
+_PARTS_ROW = pa.schema([("page", pa.int64()), ("marks", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("boxes", pa.list_(pa.int64()))])
+_PARTS_SQL = "page long, marks array<long>, kinds array<int>, words array<int>, boxes array<long>"
+_TEXTS_ROW = pa.schema([("page", pa.int64()), ("texts", pa.binary()), ("boxes", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_TEXTS_SQL = "page long, texts binary, boxes array<long>, firsts array<int>, ends array<int>"
 
 
-def _read_pages(batches):
-    for b in batches:
-        rows = pa.RecordBatch.from_pylist([Page(source or "").row() for source in b.column(b.num_columns - 1).to_pylist()], _ROW)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *rows.columns], [*b.schema.names[:-1], *rows.schema.names])
+def _read_pages(schema: pa.Schema):
+    """A page's columns before its html, and those of its row that ``schema`` names; its texts are compressed."""
 
+    def run(batches):
+        packed = zstandard.ZstdCompressor(9).compress
+        for b in batches:
+            rows = [Page(source or "").row() for source in b.column(b.num_columns - 1).to_pylist()]
+            if "texts" in schema.names:
+                rows = [r | {"texts": packed("\n".join(r["texts"]).encode("utf-8", "replace"))} for r in rows]
+            rows = pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *rows.columns], [*b.schema.names[:-1], *rows.schema.names])
 
-def read_pages(pages: DataFrame, url: str, html: str, keep: tuple[str, ...]) -> DataFrame:
-    """One row a page: a struct ``keep``, its ``host`` and what ``Page.row`` holds."""
-    prepare(pages.sparkSession)
+    return run
+
+
+def read_parts(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, page, digest, kind, words): the distinct parts of every host's distinct pages."""
+    rows = pages.select(_host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
+    read = rows.mapInArrow(_read_pages(_PARTS_ROW), f"host string, {_PARTS_SQL}")
+    block = F.transform(F.arrays_zip("marks", "kinds", "words"), lambda b: F.struct(b["marks"].alias("digest"), b["kinds"].alias("kind"), b["words"].alias("words")))
+    box = F.transform("boxes", lambda d: F.struct(d.alias("digest"), F.lit(BOX).alias("kind"), F.lit(0).alias("words")))
+    # A page's blocks count once each, so sums over distinct rows are its own text's.
+    parts = F.array_distinct(F.concat(box, block))
+    return read.select("host", "page", F.explode(parts).alias("p")).select("host", "page", "p.*").distinct()
+
+
+def read_texts(pages: DataFrame, url: str, html: str, keep: tuple[str, ...]) -> DataFrame:
+    """One row a page: a struct ``keep``, its ``host``, ``salt``, ``page``, compressed live texts and boxes."""
     kept = F.struct(*[F.col(f"`{c}`").alias(c) for c in keep])
     rows = pages.select(kept.alias("keep"), _host(F.col(f"`{url}`")).alias("host"), F.monotonically_increasing_id().alias("salt"), F.col(f"`{html}`").alias("html"))
-    return rows.mapInArrow(_read_pages, f"keep {rows.schema['keep'].dataType.simpleString()}, host string, salt long, {_ROW_SQL}")
+    return rows.mapInArrow(_read_pages(_TEXTS_ROW), f"keep {rows.schema['keep'].dataType.simpleString()}, host string, salt long, {_TEXTS_SQL}")
 
 
 def _merge(left: DataFrame, right: DataFrame, on: list[str], salt) -> DataFrame:
@@ -273,14 +300,10 @@ def _merge(left: DataFrame, right: DataFrame, on: list[str], salt) -> DataFrame:
     return left.withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(spread.hint("merge"), [*on, "__salt"]).drop("__salt")
 
 
-def site_templates(read: DataFrame, few: int = FEW, many: int = MANY, half: float = HALF) -> DataFrame:
-    """(host, page, chosen): the template hashes that each page of ``read_pages`` holds, as an array, for pages that hold any."""
-    block = F.transform(F.arrays_zip("marks", "kinds", "words"), lambda b: F.struct(b["marks"].alias("digest"), b["kinds"].alias("kind"), b["words"].alias("words")))
-    box = F.transform("boxes", lambda d: F.struct(d.alias("digest"), F.lit(BOX).alias("kind"), F.lit(0).alias("words")))
-    # A page's blocks count once each, so sums over distinct rows are its own text's.
-    parts = F.array_distinct(F.concat(box, block))
-    found = read.select("host", "page", F.explode(parts).alias("p")).select("host", "page", "p.*").distinct()
-    found = materialize(found, "site-parts")
+def site_templates(pages: DataFrame, few: int = FEW, many: int = MANY, half: float = HALF, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, page, chosen): the template hashes that each page holds, as an array, for pages that hold any."""
+    prepare(pages.sparkSession)
+    found = materialize(read_parts(pages, url, html), "site-parts")
     seen = found.groupBy("host", "digest", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= few).select("host", "digest", "kind")
     shared = materialize(_merge(found, seen, ["host", "digest", "kind"], F.col("page")), "site-shared")
     # A page's own words, and a sum of their blocks' hashes, are those of all its blocks less the shared ones.
@@ -296,18 +319,24 @@ def site_templates(read: DataFrame, few: int = FEW, many: int = MANY, half: floa
 
 
 @F.arrow_udf(T.StringType())
-def _kept_text(texts: pa.Array, marks: pa.Array, boxes: pa.Array, firsts: pa.Array, ends: pa.Array, chosen: pa.Array) -> pa.Array:
-    rows = zip(*[c.to_pylist() for c in (texts, marks, boxes, firsts, ends, chosen)], strict=True)
-    return pa.array([kept_text(*row, set(chosen or ())) for *row, chosen in rows], pa.string())
+def _kept_text(texts: pa.Array, boxes: pa.Array, firsts: pa.Array, ends: pa.Array, chosen: pa.Array) -> pa.Array:
+    unpacked = zstandard.ZstdDecompressor().decompress
+    out = []
+    for text, *box, gone in zip(*[c.to_pylist() for c in (texts, boxes, firsts, ends, chosen)], strict=True):
+        text = unpacked(text).decode()
+        if gone:
+            lines = text.split("\n") if text else []
+            text = kept_text(lines, [_mark(line) for line in lines], *box, set(gone))
+        out.append(text)
+    return pa.array(out, pa.string())
 
 
 def extract(pages: DataFrame, few: int = FEW, many: int = MANY, half: float = HALF, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns ``keep`` of ``pages`` with the main ``text`` of every page."""
     if "text" in keep:
         raise ValueError("a kept column is named text")
-    read = materialize(read_pages(pages, url, html, keep), "site-pages")
-    templates = materialize(site_templates(read, few, many, half), "site-templates")
+    templates = materialize(site_templates(pages, few, many, half, url, html), "site-templates")
     spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = read.select("keep", "host", "page", F.pmod("salt", F.lit(SALTS)).cast("int").alias("salt"), "texts", "marks", "boxes", "firsts", "ends")
+    rows = read_texts(pages, url, html, keep).withColumn("salt", F.pmod("salt", F.lit(SALTS)).cast("int"))
     joined = rows.join(spread.hint("merge"), ["host", "page", "salt"], "left")
-    return joined.select("keep.*", _kept_text("texts", "marks", "boxes", "firsts", "ends", "chosen").alias("text"))
+    return joined.select("keep.*", _kept_text("texts", "boxes", "firsts", "ends", "chosen").alias("text"))
