@@ -2,8 +2,8 @@
 
 Fitting is MLlib's own distributed code: linear regression aggregates its
 normal equations with ``treeAggregate``; trees build level-wise histograms
-on executors.  What this module adds is determinism (explicit seeds, a
-canonical row placement before tree fits) and tables instead of printouts.
+on executors.  What this module adds is determinism (explicit seeds, tree fits
+that do not depend on row placement) and tables instead of printouts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketml.operators.binning import QuantileBinner
 from marketml.operators.features import assembler
+from marketml.plans.ensembles import ESTIMATORS
 
 FAMILIES = ("linear", "tree", "forest", "gbt")
 DEFAULT_SEED = 42
@@ -46,30 +48,32 @@ def estimator(family: str, label: str, features_col: str = "features",
     raise ValueError(f"family must be one of {FAMILIES}")
 
 
-CANONICAL_PARTITIONS = 8
-
-
-def canonical(df: DataFrame, partitions: int = CANONICAL_PARTITIONS) -> DataFrame:
-    """Fixed row placement for seeded forests and boosted trees, whose output
-    depends on where rows sit.  A hash of the whole row places it, so no key
+def canonical(df: DataFrame, partitions: int = 8) -> DataFrame:
+    """Fixed row placement for MLlib's own seeded tools, whose output depends on where rows sit:
+    ``TrainValidationSplit``, ``randomSplit``, forests with its bootstrap.  A hash of the whole row places it, so no key
     gathers its rows in one task, and orders it within its partition; rows with
     equal hashes are equal rows.  ``partitions`` is a plain parameter: neither the data's
-    size nor the session's settings change it, so they do not change the model.
-    Raise it for large tables."""
+    size nor the session's settings change it.  The library's own tree fits need no placement (``binned`` pipelines)."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     placed = df.withColumn("__row", row).repartition(partitions, "__row")
     return placed.sortWithinPartitions("__row").drop("__row")
 
 
-def pipeline(family: str, features: Sequence[str], label: str, impute: bool = False, **params) -> Pipeline:
+def pipeline(family: str, features: Sequence[str], label: str, impute: bool = False, binned: bool = False, **params) -> Pipeline:
     """Assembler + regressor as one estimator.  With ``impute``, missing (NULL or
-    NaN) features become the mean over the rows that the pipeline is fitted on."""
-    features = list(features)
-    if not impute:
-        return Pipeline(stages=[assembler(features), estimator(family, label, **params)])
-    filled = [f"__filled_{f}" for f in features]
-    imputer = Imputer(inputCols=features, outputCols=filled, strategy="mean")
-    return Pipeline(stages=[imputer, assembler(filled), estimator(family, label, **params)])
+    NaN) features become the mean over the rows that the pipeline is fitted on.  With ``binned``, a tree
+    family is fitted on quantile levels of its features (``operators/binning.py``,
+    ``plans/ensembles.py``), so the model does not depend on where rows lie."""
+    inputs, stages = list(features), []
+    if impute:
+        filled = [f"__filled_{f}" for f in inputs]
+        stages.append(Imputer(inputCols=inputs, outputCols=filled, strategy="mean"))
+        inputs = filled
+    if not binned or family == "linear":
+        return Pipeline(stages=[*stages, assembler(inputs), estimator(family, label, **params)])
+    levels = [f"__level_{f}" for f in features]
+    stages.append(QuantileBinner(inputCols=inputs, outputCols=levels))
+    return Pipeline(stages=[*stages, assembler(levels), ESTIMATORS[family](labelCol=label, **params)])
 
 
 def fit(df: DataFrame, family: str, features: Sequence[str], label: str, **params) -> PipelineModel:

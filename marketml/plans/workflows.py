@@ -108,11 +108,9 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
     stages = list(stages or (STAGES if tune else ("baseline",)))
     train = with_fold(frame.where(F.col("split") == "train"), F.col("row_key"), folds)
     test = frame.where(F.col("split") == "test")
-    if family != "linear":
-        train = models.canonical(train)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        pipe = models.pipeline(family, features, label, impute=impute)
+        pipe = models.pipeline(family, features, label, impute=impute, binned=True)
         maps = tuning.grid(pipe.getStages()[-1], grid)
         rows = tuning.grid_rows(maps)
         runs, base, cv_model, tvs = [], None, None, None
@@ -261,12 +259,10 @@ def ablation_report(spark: SparkSession, frame: DataFrame, family: str, features
 
     train = frame.where(F.col("split") == "train")
     test = frame.where(F.col("split") == "test")
-    if family != "linear":
-        train = models.canonical(train)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     sets = ablation_sets(features, drop)
     try:
-        fitted = [models.fit(train, family, feats, label, **params) for _, feats in sets]
+        fitted = [models.fit(train, family, feats, label, binned=True, **params) for _, feats in sets]
     finally:
         train.unpersist()
     name = F.array(*[F.struct(F.lit(n).alias("feature_set"), F.lit(len(f)).alias("n_features")) for n, f in sets])

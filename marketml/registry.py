@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketml.functions.scalar import elapsed_hms, to_double
-from marketml.operators import clean, evaluate, features, profile, split
+from marketml.operators import binning, clean, evaluate, features, profile, split
 from marketml.operators.quantiles import exact_quantiles
-from marketml.plans import models, report, tuning, workflows
+from marketml.plans import ensembles, models, report, tuning, workflows
 from marketml.session import materialize, scratch_path
 from marketml.sources import market as mk
 from marketml.sources import tables
@@ -499,10 +499,17 @@ def q_linreg_imputed(spark, sf):
     return m.select("n", _r("rmse", R4), _r("r2", R8), _r("mae", R4))
 
 
+#: Three trees that try all of their features at every node, so that no generator of MLlib takes part.
+THREE_TREES = {"numTrees": 3, "featureSubsetStrategy": "all", "featureShare": 0.8}
+
+
 def _family_baseline(spark, sf, family, **params):
-    """The family's seeded baseline fit on the canonical training layout."""
+    """The family's seeded baseline fit on quantile levels."""
     train, test = _train_test(spark, sf)
-    return models.fit(models.canonical(train), family, ALL, LABEL, **params), test
+    train = train.persist()
+    model = models.fit(train, family, ALL, LABEL, binned=True, **params)
+    train.unpersist()
+    return model, test
 
 
 def q_tree_d5_metrics(spark, sf):
@@ -517,6 +524,12 @@ def q_forest_metrics(spark, sf):
     return _holdout(model.transform(test))
 
 
+def q_forest_three_trees(spark, sf):
+    """Three resampled trees, each on four features chosen by hash."""
+    model, test = _family_baseline(spark, sf, "forest", **THREE_TREES)
+    return _holdout(model.transform(test))
+
+
 def q_gbt_metrics(spark, sf):
     """Boosted trees holdout metrics."""
     model, test = _family_baseline(spark, sf, "gbt")
@@ -1002,6 +1015,86 @@ def _grow(t: str, rows: str, depth: int) -> list[str]:
     return out
 
 
+#: Rows of the model frame with their quantile levels; the edges are of the training rows.
+LEVEL_STEPS = ", ".join(str(k / binning.LEVELS) for k in range(1, binning.LEVELS))
+BINNED = ["edges AS MATERIALIZED (SELECT " + ", ".join(f"list_distinct(quantile_cont({c}, [{LEVEL_STEPS}])) AS e{i}" for i, c in enumerate(ALL)) + " FROM train)",
+          "binned AS MATERIALIZED (SELECT row_key AS rid, split = 'train' AS fit, median_sale_price AS y, "
+          + ", ".join(f"len([e FOR e IN e{i} IF e <= {c}]) AS f{i}" for i, c in enumerate(ALL)) + " FROM frame, edges)"]
+_LEVEL_COLS = ", ".join(f"f{i}" for i in range(len(ALL)))
+
+
+def _grid_unit(largest: str, rows: str) -> str:
+    return f"pow(2, ceil(log2({largest} * sqrt({rows})) - 26))"
+
+
+def _on_grid(value: str, unit: str) -> str:
+    return f"floor(({value}) / {unit} + 0.5) * {unit}"
+
+
+def _cells(trees: list[str]) -> list[str]:
+    """CTEs of the cells: levels with weights and mean labels (on the grid) of each tree's row weights, and
+    every row that is not fitted as a cell of its own, of weight 0."""
+    sums = ", ".join(f"CAST(sum({w}) AS DOUBLE) AS w{i}, CAST(sum({w} * k) AS DOUBLE) AS s{i}" for i, w in enumerate(trees))
+    means = ", ".join(f"w{i}, CASE WHEN w{i} > 0 THEN {_on_grid(f's{i} * fine / w{i}', 'unit')} END AS y{i}" for i in range(len(trees)))
+    none = ", ".join(f"0.0 AS w{i}, NULL AS y{i}" for i in range(len(trees)))
+    return [
+        "scale AS MATERIALIZED (SELECT *, " + _grid_unit("2 * (hi - lo)", "n") + " AS step, pow(2, ceil(log2(big * n)) - 60) AS fine, "
+        + _grid_unit("big", "(2 * n)") + " AS unit FROM (SELECT count(*) AS n, min(y) AS lo, max(y) AS hi, max(abs(y)) AS big FROM binned WHERE fit) q)",
+        f"sums AS MATERIALIZED (SELECT {_LEVEL_COLS}, {sums} FROM (SELECT *, CAST(floor(y / fine + 0.5) AS BIGINT) AS k FROM binned, scale WHERE fit) q GROUP BY {_LEVEL_COLS})",
+        f"cells AS MATERIALIZED (SELECT -row_number() OVER () AS rid, true AS fit, NULL AS real, {_LEVEL_COLS}, {means} FROM sums, scale "
+        f"UNION ALL SELECT rid, false, y, {_LEVEL_COLS}, {none} FROM binned WHERE NOT fit)",
+    ]
+
+
+def _cell_tree(t: str, rows: str, depth: int = 5, used=range(len(ALL))) -> list[str]:
+    """CTEs of one regression tree over ``rows`` (rid, f0.., w, y): ``{t}_p`` has every row's prediction.  Gains are
+    in the form and order of operations of variance impurity, on sums that doubles hold exactly."""
+    both = lambda sql: _union([sql.format(f=f) for f in used])
+    impurity = lambda n, s, q: f"(({q}) - ({s}) * ({s}) / ({n})) / ({n})"
+    out = [f"{t}_v AS MATERIALIZED (SELECT f, x, lead(x) OVER (PARTITION BY f ORDER BY x) AS nx FROM ("
+           + both(f"SELECT DISTINCT {{f}} AS f, f{{f}} AS x FROM {rows} WHERE w > 0") + ") q)"]
+    place = f"(SELECT rid, w, y, {_LEVEL_COLS}, 1 AS node FROM {rows})"
+    for d in range(depth):
+        bins = both(f"SELECT node, {{f}} AS f, f{{f}} AS x, sum(w) AS c, sum(w * y) AS s, sum(w * y * y) AS q FROM {t}_n{d} WHERE w > 0 GROUP BY node, f{{f}}")
+        gain = f"{impurity('n', 'st', 'qt')} - nl / n * {impurity('nl', 'sl', 'ql')} - (n - nl) / n * {impurity('n - nl', 'st - sl', 'qt - ql')}"
+        out += [
+            f"{t}_n{d} AS MATERIALIZED {place}",
+            f"{t}_s{d} AS MATERIALIZED (SELECT node, f, (x + nx) / 2 AS thr, {gain} AS gain FROM (SELECT node, f, x, sum(c) OVER a AS nl, sum(s) OVER a AS sl, sum(q) OVER a AS ql, "
+            f"sum(c) OVER b AS n, sum(s) OVER b AS st, sum(q) OVER b AS qt FROM ({bins}) q WINDOW a AS (PARTITION BY node, f ORDER BY x), b AS (PARTITION BY node, f)) q "
+            f"JOIN {t}_v USING (f, x) WHERE nl < n QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, thr) = 1)",
+        ]
+        value = "CASE s.f " + " ".join(f"WHEN {f} THEN n.f{f}" for f in used) + " END"
+        place = (f"(SELECT n.* REPLACE (CASE WHEN s.gain > 0 THEN 2 * n.node + CAST({value} > s.thr AS INT) ELSE n.node END AS node) "
+                 f"FROM {t}_n{d} n LEFT JOIN {t}_s{d} s USING (node))")
+    out += [f"{t}_n{depth} AS MATERIALIZED {place}",
+            f"{t}_p AS MATERIALIZED (SELECT rid, p FROM {t}_n{depth} JOIN (SELECT node, sum(w * y) / sum(w) AS p FROM {t}_n{depth} WHERE w > 0 GROUP BY node) l USING (node))"]
+    return out
+
+
+def _bag_weight(tree: int, seed: int) -> str:
+    draw = f"(CAST('0x' || substr(md5('{seed}:{tree}:' || rid), 1, 8) AS UBIGINT) / 4294967296.0)"
+    return "(" + " + ".join(f"CAST({draw} >= {step!r} AS INT)" for step in ensembles.poisson_steps()) + ")"
+
+
+def _boosted(trees: int) -> list[str]:
+    """CTEs of boosted trees on the cells: ``pred`` has the holdout's predictions."""
+    out = [*_cells(["1"]), f"b0 AS MATERIALIZED (SELECT rid, w0 AS w, y0 AS y, {_LEVEL_COLS}, 0.0 AS so_far, y0, real FROM cells)"]
+    for i in range(trees):
+        step = "" if i == 0 else "0.1 * "
+        so_far = f"b.so_far + {step}p.p"
+        label = _on_grid(f"2 * (b.y0 - ({so_far}))", "step")
+        out += _cell_tree(f"t{i}", f"b{i}")
+        out.append(f"b{i + 1} AS MATERIALIZED (SELECT b.* REPLACE ({so_far} AS so_far, {label} AS y) FROM b{i} b JOIN t{i}_p p USING (rid), scale)")
+    return [*out, f"pred AS (SELECT real AS y, so_far AS p FROM b{trees} WHERE real IS NOT NULL)"]
+
+
+_THREE = [*_cells([_bag_weight(i, models.DEFAULT_SEED) for i in range(3)]),
+          *[cte for i in range(3) for cte in (
+              f"r{i} AS MATERIALIZED (SELECT rid, w{i} AS w, y{i} AS y, {_LEVEL_COLS} FROM cells)",
+              *_cell_tree(f"t{i}", f"r{i}", used=ensembles.tree_features(len(ALL), i, THREE_TREES["featureShare"], models.DEFAULT_SEED)))],
+          "pred AS (SELECT real AS y, (t0_p.p + t1_p.p + t2_p.p) / 3 AS p FROM cells JOIN t0_p USING (rid) JOIN t1_p USING (rid) JOIN t2_p USING (rid) WHERE real IS NOT NULL)"]
+
+
 ONE = "one AS MATERIALIZED (SELECT 0 AS run, rid, split = 'train' AS fit, f0, f1, y FROM stepped)"
 _ONE_TREE = [ONE, *_grow("t", "one", 3)]
 
@@ -1100,6 +1193,9 @@ FROM cand ORDER BY sl * sl / nl + sr * sr / nr DESC, thr LIMIT 1""",
                                    "imp AS (SELECT feature, coalesce(sum(gain), 0) / (SELECT sum(gain) FROM gains) AS v "
                                    "FROM names LEFT JOIN gains USING (f) GROUP BY feature)") + """
 SELECT feature, round(v, 8) AS importance, CAST(row_number() OVER (ORDER BY v DESC, feature) AS INT) AS rank FROM imp""",
+    "tree_d5_metrics": _with(*BASE, *BINNED, *_boosted(1)) + _metrics_sql("pred"),
+    "gbt_metrics": _with(*BASE, *BINNED, *_boosted(20)) + _metrics_sql("pred"),
+    "forest_three_trees": _with(*BASE, *BINNED, *_THREE) + _metrics_sql("pred"),
     "gbt_two_iterations": _with(*BASE, STEPPED, ONE, *_grow("a", "one", 2),
                                 "rest AS MATERIALIZED (SELECT o.run, o.rid, o.fit, o.f0, o.f1, 2 * (o.y - a_p2.p) AS y "
                                 "FROM one o JOIN a_p2 USING (run, rid))",

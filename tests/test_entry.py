@@ -20,6 +20,7 @@ FAST = [
     "levels_from_files", "linreg_all_first_order", "comparison_values", "stage_status_values",
     "tree_exact_metrics", "tree_exact_importance", "forest_one_tree", "gbt_two_iterations",
     "tree_exact_cv", "tree_exact_tvs", "linreg_imputed",
+    "tree_d5_metrics", "gbt_metrics", "forest_three_trees",
 ]
 
 

@@ -75,7 +75,7 @@ def test_forest_does_not_depend_on_session_partitions(spark, train):
         for n in ("3", "11"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             placed = models.canonical(train)
-            assert placed.rdd.getNumPartitions() == models.CANONICAL_PARTITIONS
+            assert placed.rdd.getNumPartitions() == 8
             got.append(list(models.regressor(models.fit(placed, "forest", FEATURES, LABEL)).featureImportances.toArray()))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -85,7 +85,7 @@ def test_forest_does_not_depend_on_session_partitions(spark, train):
 def test_a_hot_key_spreads_over_partitions(spark):
     hot = spark.range(4000).select(F.lit(1).alias("region"), F.col("id").alias("x"))
     sizes = [r["count"] for r in models.canonical(hot).groupBy(F.spark_partition_id()).count().collect()]
-    assert len(sizes) == models.CANONICAL_PARTITIONS and max(sizes) < 2 * 4000 / len(sizes)
+    assert len(sizes) == 8 and max(sizes) < 2 * 4000 / len(sizes)
 
 
 @pytest.mark.parametrize("family", ["tree", "gbt"])
