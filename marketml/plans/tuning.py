@@ -2,6 +2,8 @@
 
 * Cross-validation uses ``CrossValidator`` with ``foldCol`` set from a key
   hash, so folds are the same on any partitioning (and in SQL).
+* A linear grid needs no fit a candidate: one scan gives the folds' moments, and these all
+  candidates' fits and scores (``linear_cross_validate``).
 * Train-validation tuning has two forms: the reference's
   ``TrainValidationSplit`` (random split, seeded) and a deterministic one
   that fits every grid point on a hash-flagged train part and scores it on
@@ -16,12 +18,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketml.operators.evaluate import metrics_dict, regression_metrics
+from marketml.operators.moments import merged, moments, score, solve
 from marketml.plans.models import predict_each
 
 
@@ -88,6 +92,34 @@ def fold_metrics(cv_model, df: DataFrame, fold_col: str, label: str) -> DataFram
     return out.select("point", "fold", "n", "rmse")
 
 
+@dataclass
+class LinearCV:
+    """Cross-validation of a linear grid: scores of every (point, fold) and the best point refitted on all rows."""
+
+    folds: list[dict]  # point, fold, n, rmse, r2
+    avgMetrics: list[float]
+    stdMetrics: list[float]
+    bestModel: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.bestModel.transform(df)
+
+
+def linear_cross_validate(est, param_maps, df: DataFrame, features: Sequence[str], label: str, fold_col: str) -> LinearCV:
+    """k-fold CV of ``regParam`` and ``elasticNetParam`` from one scan: the folds' moments fit and score every
+    (point, fold); only the best point is fitted by MLlib (T2, T4, T5, T6)."""
+    rows = [{"regParam": 0.0, "elasticNetParam": 0.0, **r} for r in grid_rows(param_maps)]
+    by_fold = moments(df, [*features, label], fold_col)
+    folds = []
+    for i, r in enumerate(rows):
+        for f in sorted(by_fold):
+            line = solve(merged([m for g, m in by_fold.items() if g != f]), r["regParam"], r["elasticNetParam"])
+            folds.append({"point": i, "fold": f, **score(by_fold[f], *line)})
+    each = [[s["rmse"] for s in folds if s["point"] == i] for i in range(len(rows))]
+    avg = [float(np.mean(e)) for e in each]
+    return LinearCV(folds, avg, [float(np.std(e)) for e in each], est.fit(df, param_maps[best_index(avg)]))
+
+
 @dataclass
 class TrainValidationResult:
     best_index: int

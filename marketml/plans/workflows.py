@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketml.operators.evaluate import metrics_dict
+from marketml.operators.moments import moments, score, solve
 from marketml.operators.split import market_key, with_fold, with_split, with_validation
 from marketml.plans import models, tuning
 from marketml.plans.presets import PRESETS
@@ -119,8 +120,11 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
             m = metrics_dict(base.transform(test), label)
             runs.append(RunRecord(family, "test", m["n"], m["rmse"], m["r2"], secs))
         if "cv" in stages:
-            cv_model, secs = _timed(lambda: tuning.cross_validate(
-                pipe, maps, train, label, "fold", folds, parallelism))
+            if family == "linear" and not impute and set(grid) <= {"regParam", "elasticNetParam"}:
+                cv_model, secs = _timed(lambda: tuning.linear_cross_validate(pipe, maps, train, features, label, "fold"))
+            else:
+                cv_model, secs = _timed(lambda: tuning.cross_validate(
+                    pipe, maps, train, label, "fold", folds, parallelism))
             m = metrics_dict(cv_model.transform(test), label)
             # Read the chosen values off the refitted best model.
             best = models.param_values(cv_model.bestModel, list(grid))
@@ -248,6 +252,23 @@ def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "
     return out
 
 
+def linear_ablations(spark: SparkSession, frame: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Holdout scores of linear fits on all features and without each one, with the change against all
+    (M4), from one scan of the frame: ``(feature_set, n_features, n, rmse, r2, rmse_change, rmse_change_pct)``."""
+    features = list(features)
+    by_split = moments(frame, [*features, label], "split")
+    if not {"train", "test"} <= set(by_split):
+        raise ValueError("the frame needs training and test rows")
+    rows, full = [], None
+    for name, out in [("all", None), *[(f"without_{f}", i) for i, f in enumerate(features)]]:
+        places = [i for i in range(len(features) + 1) if i != out]
+        train, test = (by_split[s].of(places) for s in ("train", "test"))
+        s = score(test, *solve(train))
+        full = full or s["rmse"]
+        rows.append((name, len(places) - 1, s["n"], s["rmse"], s["r2"], s["rmse"] - full, (s["rmse"] - full) / full * 100 if full else None))
+    return spark.createDataFrame(rows, "feature_set string, n_features int, n long, rmse double, r2 double, rmse_change double, rmse_change_pct double")
+
+
 def ablation_report(spark: SparkSession, frame: DataFrame, family: str, features: Sequence[str],
                     label: str, drop: Sequence[str], **params) -> DataFrame:
     """Refit without each feature in ``drop`` (everything else fixed) and

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketml.functions.scalar import elapsed_hms, to_double
-from marketml.operators import binning, clean, evaluate, features, profile, split
+from marketml.operators import binning, clean, evaluate, features, moments, profile, split
 from marketml.operators.quantiles import exact_quantiles
 from marketml.plans import ensembles, models, report, tuning, workflows
 from marketml.session import materialize, scratch_path
@@ -577,16 +577,12 @@ def q_param_grid(spark, sf):
         "g.point", "g.reg_param", "g.elastic_net_param", "fold", "n_fit", "n_eval")
 
 
-def _linreg_cv(spark, sf, sub_models=False):
-    """Cross-validation of the one-feature elastic-net grid."""
+def _linreg_cv(spark, sf, feats=LIN1):
+    """Cross-validation of the elastic-net grid, from one scan of the training rows."""
     train, test = _train_test(spark, sf)
-    pipe = models.pipeline("linear", LIN1, LABEL)
+    pipe = models.pipeline("linear", feats, LABEL)
     maps = _linear_grid(pipe.getStages()[-1])
-    train = train.persist()
-    cv = tuning.cross_validate(pipe, maps, train, LABEL, "fold", FOLDS, parallelism=4,
-                               collect_sub_models=sub_models)
-    train.unpersist()
-    return cv, maps, train, test
+    return tuning.linear_cross_validate(pipe, maps, train, feats, LABEL, "fold"), maps, train, test
 
 
 def q_linreg_cv(spark, sf):
@@ -619,13 +615,41 @@ def q_linreg_tvs(spark, sf):
         "n", _r("rmse", R4), _r("r2", R8))
 
 
+def _fold_rmse(spark, sf, feats):
+    cv, maps, *_ = _linreg_cv(spark, sf, feats)
+    points = tuning.grid_rows(maps)
+    rows = [(points[f["point"]]["regParam"], points[f["point"]]["elasticNetParam"], int(f["fold"]), f["n"], f["rmse"]) for f in cv.folds]
+    df = spark.createDataFrame(rows, "reg_param double, elastic_net_param double, fold int, n long, rmse double")
+    return df.select("reg_param", "elastic_net_param", "fold", "n", _r("rmse", R4))
+
+
 def q_linreg_cv_fold_rmse(spark, sf):
     """RMSE of every (grid point, fold)."""
-    cv, maps, train, _ = _linreg_cv(spark, sf, sub_models=True)
-    fm = tuning.fold_metrics(cv, train, "fold", LABEL)
-    g = F.element_at(_grid_array(maps), F.col("point") + 1)
-    return fm.select(g["reg_param"].alias("reg_param"), g["elastic_net_param"].alias("elastic_net_param"),
-                     "fold", "n", _r("rmse", R4))
+    return _fold_rmse(spark, sf, LIN1)
+
+
+def q_linreg_cv_all_features(spark, sf):
+    """RMSE of every (grid point, fold) on all features."""
+    return _fold_rmse(spark, sf, ALL)
+
+
+def q_elastic_net_all_features(spark, sf):
+    """Coefficients and holdout scores of the elastic-net grid on all features, from one scan."""
+    by_split = moments.moments(_frame(spark, sf), [*ALL, LABEL], "split")
+    stage = models.estimator("linear", LABEL)
+    rows = []
+    for r in tuning.grid_rows(_linear_grid(stage)):
+        coef, intercept = moments.solve(by_split["train"], r["regParam"], r["elasticNetParam"])
+        s = moments.score(by_split["test"], coef, intercept)
+        rows.append((r["regParam"], r["elasticNetParam"], *[float(c) for c in coef], intercept, s["n"], s["rmse"], s["r2"]))
+    df = spark.createDataFrame(rows, "reg_param double, elastic_net_param double, " + ", ".join(f"coef_{c} double" for c in ALL) + ", intercept double, n long, rmse double, r2 double")
+    return df.select("reg_param", "elastic_net_param", *[_r(f"coef_{c}", R4) for c in ALL], _r("intercept", 2), "n", _r("rmse", R4), _r("r2", R8))
+
+
+def q_ablation_all(spark, sf):
+    """Linear fits without each feature, from one scan (M4)."""
+    met = workflows.linear_ablations(spark, _frame(spark, sf), ALL, LABEL)
+    return met.select("feature_set", "n_features", "n", _r("rmse", R4), _r("r2", R8), _r("rmse_change", R4), _r("rmse_change_pct", R4))
 
 
 def q_linreg_random_tvs(spark, sf):
@@ -1015,6 +1039,40 @@ def _grow(t: str, rows: str, depth: int) -> list[str]:
     return out
 
 
+SWEEPS = 400
+
+
+def _descent(runs: str, fits: str) -> list[str]:
+    """CTEs of linear fits by coordinate descent on correlations: ``runs`` selects (run, use, reg, alpha), where ``use`` has a 1 for
+    every feature that takes part; ``fits`` names the table that holds (run, the features, y) of the fitted rows.  ``line`` has every run's
+    coefficients ``b`` and its intercept."""
+    k = len(ALL)
+    rows = [f"[{', '.join(f'CASE WHEN use[{i + 1}] * use[{j + 1}] = 0 THEN {float(i == j)} ELSE c{min(i, j)}_{max(i, j)} / (s{i} * s{j}) END' for j in range(k))}]" for i in range(k)]
+    stats = ", ".join([f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}, covar_pop({c}, y) AS y{i}" for i, c in enumerate(ALL)]
+                      + [f"covar_pop({ALL[i]}, {ALL[j]}) AS c{i}_{j}" for i in range(k) for j in range(i, k)])
+    z = "(g.cy[j] - list_dot_product(g.m[j], b) + b[j])"
+    return [
+        f"runs AS MATERIALIZED ({runs})",
+        f"st AS MATERIALIZED (SELECT run, avg(y) AS my, stddev_pop(y) AS sy, {stats} FROM {fits} GROUP BY run)",
+        f"gram AS MATERIALIZED (SELECT run, use, reg / sy * alpha AS l1, reg / sy * (1 - alpha) AS l2, [{', '.join(rows)}] AS m, "
+        f"[{', '.join(f'use[{i + 1}] * y{i} / (s{i} * sy)' for i in range(k))}] AS cy FROM runs JOIN st USING (run))",
+        f"""steps AS (SELECT run, 0 AS step, [{', '.join(['CAST(0 AS DOUBLE)'] * k)}] AS b FROM runs
+          UNION ALL SELECT run, step + 1, list_concat(list_concat(b[:j - 1], [use[j] * sign({z}) * greatest(abs({z}) - l1, 0) / (1 + l2)]), b[j + 1:])
+          FROM (SELECT *, step % {k} + 1 AS j FROM steps) s JOIN gram g USING (run) WHERE step < {SWEEPS * k})""",
+        "scaled AS MATERIALIZED (SELECT run, " + ", ".join(f"b[{i + 1}] * sy / s{i} AS b{i}" for i in range(k)) + f" FROM steps JOIN st USING (run) WHERE step = {SWEEPS * k})",
+        "line AS MATERIALIZED (SELECT run, " + ", ".join(f"b{i}" for i in range(k)) + ", my - " + " - ".join(f"b{i} * m{i}" for i in range(k)) + " AS a FROM scaled JOIN st USING (run))",
+    ]
+
+
+_LINE = " + ".join(["a", *[f"b{i} * t.{c}" for i, c in enumerate(ALL)]])
+_ON = "[" + ", ".join(["1"] * len(ALL)) + "]"
+_FEATS = ", ".join(ALL)
+
+
+def _with_recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
 #: Rows of the model frame with their quantile levels; the edges are of the training rows.
 LEVEL_STEPS = ", ".join(str(k / binning.LEVELS) for k in range(1, binning.LEVELS))
 BINNED = ["edges AS MATERIALIZED (SELECT " + ", ".join(f"list_distinct(quantile_cont({c}, [{LEVEL_STEPS}])) AS e{i}" for i, c in enumerate(ALL)) + " FROM train)",
@@ -1196,6 +1254,28 @@ SELECT feature, round(v, 8) AS importance, CAST(row_number() OVER (ORDER BY v DE
     "tree_d5_metrics": _with(*BASE, *BINNED, *_boosted(1)) + _metrics_sql("pred"),
     "gbt_metrics": _with(*BASE, *BINNED, *_boosted(20)) + _metrics_sql("pred"),
     "forest_three_trees": _with(*BASE, *BINNED, *_THREE) + _metrics_sql("pred"),
+    "elastic_net_all_features": _with_recursive(
+        *BASE, GRID, f"fits AS (SELECT point AS run, {_FEATS}, median_sale_price AS y FROM train, grid)",
+        *_descent(f"SELECT point AS run, {_ON} AS use, reg_param AS reg, elastic_net_param AS alpha FROM grid", "fits"),
+        f"pred AS (SELECT run, t.median_sale_price AS y, {_LINE} AS p FROM test t, line)",
+        "met AS (" + _metrics_sql("pred", "run") + ")") + "SELECT reg_param, elastic_net_param, "
+        + ", ".join(f"round(b{i}, 4) AS coef_{c}" for i, c in enumerate(ALL)) + ", round(a, 2) AS intercept, n, rmse, r2 FROM grid JOIN line ON run = point JOIN met USING (run)",
+    "linreg_cv_all_features": _with_recursive(
+        *BASE, GRID, f"fits AS (SELECT g.point * 3 + v.fold AS run, {_FEATS}, median_sale_price AS y FROM train t, grid g, (VALUES (0), (1), (2)) v(fold) WHERE t.fold <> v.fold)",
+        *_descent(f"SELECT g.point * 3 + v.fold AS run, {_ON} AS use, reg_param AS reg, elastic_net_param AS alpha FROM grid g, (VALUES (0), (1), (2)) v(fold)", "fits"),
+        f"pred AS (SELECT run, t.median_sale_price AS y, {_LINE} AS p FROM train t JOIN line ON run % 3 = t.fold)",
+        "met AS (" + _metrics_sql("pred", "run") + ")") + "SELECT reg_param, elastic_net_param, CAST(run % 3 AS INT) AS fold, n, rmse FROM met JOIN grid ON point = run // 3",
+    "ablation_all": _with_recursive(
+        *BASE, "sets AS (SELECT * FROM (VALUES " + ", ".join(
+            f"({r}, '{'all' if not r else 'without_' + ALL[r - 1]}', [{', '.join('0' if i == r - 1 else '1' for i in range(len(ALL)))}])" for r in range(len(ALL) + 1)) + ") v(run, feature_set, use))",
+        f"fits AS (SELECT run, {_FEATS}, median_sale_price AS y FROM train, sets)",
+        *_descent("SELECT run, use, 0.0 AS reg, 0.0 AS alpha FROM sets", "fits"),
+        f"pred AS (SELECT run, t.median_sale_price AS y, {_LINE} AS p FROM test t, line)",
+        "met AS (SELECT run, count(*) AS n, sqrt(avg(power(y - p, 2))) AS rmse, 1 - sum(power(y - p, 2)) / (var_pop(y) * count(*)) AS r2 FROM pred GROUP BY run)",
+        "whole AS (SELECT rmse AS full_rmse FROM met WHERE run = 0)") + """
+SELECT feature_set, CAST(list_sum(use) AS INT) AS n_features, n, round(rmse, 4) AS rmse, round(r2, 8) AS r2,
+  round(rmse - full_rmse, 4) AS rmse_change, round((rmse - full_rmse) / full_rmse * 100, 4) AS rmse_change_pct
+FROM met JOIN sets USING (run), whole""",
     "gbt_two_iterations": _with(*BASE, STEPPED, ONE, *_grow("a", "one", 2),
                                 "rest AS MATERIALIZED (SELECT o.run, o.rid, o.fit, o.f0, o.f1, 2 * (o.y - a_p2.p) AS y "
                                 "FROM one o JOIN a_p2 USING (run, rid))",

@@ -21,6 +21,7 @@ FAST = [
     "tree_exact_metrics", "tree_exact_importance", "forest_one_tree", "gbt_two_iterations",
     "tree_exact_cv", "tree_exact_tvs", "linreg_imputed",
     "tree_d5_metrics", "gbt_metrics", "forest_three_trees",
+    "elastic_net_all_features", "linreg_cv_all_features", "ablation_all",
 ]
 
 
