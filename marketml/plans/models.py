@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer
 from pyspark.ml.regression import (
+    DecisionTreeRegressionModel,
     DecisionTreeRegressor,
     GBTRegressor,
     LinearRegression,
@@ -158,6 +159,26 @@ def tree_root(model) -> dict:
     }
 
 
+def truncated(model: DecisionTreeRegressionModel, depth: int) -> DecisionTreeRegressionModel:
+    """The tree that a fit with ``maxDepth=depth`` gives: trees grow level by level, so a deeper one
+    holds it, and every inner node has its own prediction."""
+    tree = SparkSession.active().sparkContext._jvm.org.apache.spark.ml.tree
+
+    def cut(node, left: int):
+        if not node.numDescendants():
+            return node
+        if not left:
+            return tree.LeafNode(node.prediction(), node.impurity(), node.impurityStats())
+        return tree.InternalNode(node.prediction(), node.impurity(), node.gain(), cut(node.leftChild(), left - 1), cut(node.rightChild(), left - 1), node.split(), node.impurityStats())
+
+    java = model._java_obj
+    jvm = SparkSession.active().sparkContext._jvm
+    out = DecisionTreeRegressionModel(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel(f"{java.uid()}_{depth}", cut(java.rootNode(), depth), java.numFeatures()))
+    out._resetUid(f"{java.uid()}_{depth}")
+    out._set(**{p.name: v for p, v in model.extractParamMap().items() if model.isSet(p)} | {"maxDepth": depth})
+    return out
+
+
 def param_values(model, names: Sequence[str]) -> dict:
     """Read tuned parameter values off a fitted model."""
     reg = regressor(model)

@@ -3,7 +3,8 @@
 * Cross-validation uses ``CrossValidator`` with ``foldCol`` set from a key
   hash, so folds are the same on any partitioning (and in SQL).
 * A linear grid needs no fit a candidate: one scan gives the folds' moments, and these all
-  candidates' fits and scores (``linear_cross_validate``).
+  candidates' fits and scores (``linear_cross_validate``).  A tree's depths need one fit, of the deepest, which
+  holds the others (``nested_cross_validate``, ``nested_train_validate``).
 * Train-validation tuning has two forms: the reference's
   ``TrainValidationSplit`` (random split, seeded) and a deterministic one
   that fits every grid point on a hash-flagged train part and scores it on
@@ -16,9 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import chain
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from marketml.operators.evaluate import metrics_dict, regression_metrics
 from marketml.operators.moments import merged, moments, score, solve
-from marketml.plans.models import predict_each
+from marketml.plans.models import predict_each, truncated
 
 
 def grid(stage, params: Mapping[str, Sequence]) -> list:
@@ -93,8 +96,8 @@ def fold_metrics(cv_model, df: DataFrame, fold_col: str, label: str) -> DataFram
 
 
 @dataclass
-class LinearCV:
-    """Cross-validation of a linear grid: scores of every (point, fold) and the best point refitted on all rows."""
+class FoldCV:
+    """Cross-validation of a grid: scores of every (point, fold) and the best point refitted on all rows."""
 
     folds: list[dict]  # point, fold, n, rmse, r2
     avgMetrics: list[float]
@@ -105,7 +108,7 @@ class LinearCV:
         return self.bestModel.transform(df)
 
 
-def linear_cross_validate(est, param_maps, df: DataFrame, features: Sequence[str], label: str, fold_col: str) -> LinearCV:
+def linear_cross_validate(est, param_maps, df: DataFrame, features: Sequence[str], label: str, fold_col: str) -> FoldCV:
     """k-fold CV of ``regParam`` and ``elasticNetParam`` from one scan: the folds' moments fit and score every
     (point, fold); only the best point is fitted by MLlib (T2, T4, T5, T6)."""
     rows = [{"regParam": 0.0, "elasticNetParam": 0.0, **r} for r in grid_rows(param_maps)]
@@ -117,7 +120,30 @@ def linear_cross_validate(est, param_maps, df: DataFrame, features: Sequence[str
             folds.append({"point": i, "fold": f, **score(by_fold[f], *line)})
     each = [[s["rmse"] for s in folds if s["point"] == i] for i in range(len(rows))]
     avg = [float(np.mean(e)) for e in each]
-    return LinearCV(folds, avg, [float(np.std(e)) for e in each], est.fit(df, param_maps[best_index(avg)]))
+    return FoldCV(folds, avg, [float(np.std(e)) for e in each], est.fit(df, param_maps[best_index(avg)]))
+
+
+def _depth_candidates(pipe: Pipeline, param_maps, df: DataFrame) -> list[PipelineModel]:
+    """A fitted tree for each depth of the grid, cut from one fit of the deepest."""
+    depths = [r["maxDepth"] for r in grid_rows(param_maps)]
+    deepest = pipe.fit(df, param_maps[depths.index(max(depths))])
+    return [PipelineModel([*deepest.stages[:-1], truncated(deepest.stages[-1], d)]) for d in depths]
+
+
+def nested_cross_validate(pipe: Pipeline, param_maps, df: DataFrame, label: str, fold_col: str, num_folds: int, parallelism: int = 2) -> FoldCV:
+    """k-fold CV of a tree's ``maxDepth`` with one fit a fold, of the deepest, and one scan of the fold for
+    all candidates; only the best point is fitted again (T2, T4, T5, T6)."""
+
+    def fold(f: int) -> list[dict]:
+        fitted = _depth_candidates(pipe, param_maps, df.where(F.col(fold_col) != f))
+        scored = regression_metrics(predict_each(fitted, df.where(F.col(fold_col) == f), [label]), label, group_cols=["point"])
+        return [{"fold": f, **r.asDict()} for r in scored.collect()]
+
+    with ThreadPool(max(1, parallelism)) as pool:
+        folds = sorted(chain.from_iterable(pool.map(fold, range(num_folds))), key=lambda s: (s["point"], s["fold"]))
+    each = [[s["rmse"] for s in folds if s["point"] == i] for i in range(len(param_maps))]
+    avg = [float(np.mean(e)) for e in each]
+    return FoldCV(folds, avg, [float(np.std(e)) for e in each], pipe.fit(df, param_maps[best_index(avg)]))
 
 
 @dataclass
@@ -127,6 +153,15 @@ class TrainValidationResult:
     model: object
 
 
+def nested_train_validate(pipe: Pipeline, param_maps, df: DataFrame, label: str, valid_col: str) -> TrainValidationResult:
+    """Train-validation tuning of a tree's ``maxDepth`` with one fit, of the deepest, and one scan of the validation rows."""
+    fitted = _depth_candidates(pipe, param_maps, df.where(~F.col(valid_col)))
+    scored = regression_metrics(predict_each(fitted, df.where(F.col(valid_col)), [label]), label, group_cols=["point"])
+    metrics = sorted((r.asDict() for r in scored.collect()), key=lambda r: r["point"])
+    best = best_index([m["rmse"] for m in metrics])
+    return TrainValidationResult(best, metrics, pipe.fit(df, param_maps[best]))
+
+
 def train_validate(est, param_maps, df: DataFrame, label: str, valid_col: str,
                    parallelism: int = 2, refit: bool = True) -> TrainValidationResult:
     """Deterministic train-validation tuning (T3): fit each grid point on

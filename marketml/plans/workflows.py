@@ -114,6 +114,7 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
         pipe = models.pipeline(family, features, label, impute=impute, binned=True)
         maps = tuning.grid(pipe.getStages()[-1], grid)
         rows = tuning.grid_rows(maps)
+        nested = family == "tree" and set(grid) == {"maxDepth"}
         runs, base, cv_model, tvs = [], None, None, None
         if "baseline" in stages:
             base, secs = _timed(lambda: pipe.fit(train))
@@ -122,6 +123,8 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
         if "cv" in stages:
             if family == "linear" and not impute and set(grid) <= {"regParam", "elasticNetParam"}:
                 cv_model, secs = _timed(lambda: tuning.linear_cross_validate(pipe, maps, train, features, label, "fold"))
+            elif nested:
+                cv_model, secs = _timed(lambda: tuning.nested_cross_validate(pipe, maps, train, label, "fold", folds, parallelism))
             else:
                 cv_model, secs = _timed(lambda: tuning.cross_validate(
                     pipe, maps, train, label, "fold", folds, parallelism))
@@ -130,8 +133,11 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
             best = models.param_values(cv_model.bestModel, list(grid))
             runs.append(RunRecord(f"{family}_cv", "test", m["n"], m["rmse"], m["r2"], secs, best))
         if "tvs" in stages:
-            tvs, secs = _timed(lambda: tuning.train_validate(
-                pipe, maps, train, label, "is_validation", parallelism))
+            if nested:
+                tvs, secs = _timed(lambda: tuning.nested_train_validate(pipe, maps, train, label, "is_validation"))
+            else:
+                tvs, secs = _timed(lambda: tuning.train_validate(
+                    pipe, maps, train, label, "is_validation", parallelism))
             m = metrics_dict(tvs.model.transform(test), label)
             best = models.param_values(tvs.model, list(grid))
             runs.append(RunRecord(f"{family}_tvs", "test", m["n"], m["rmse"], m["r2"], secs, best))

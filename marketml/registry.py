@@ -466,10 +466,10 @@ def _depth_tuning(spark, sf, which):
     pipe = models.pipeline("tree", STEPS, LABEL)
     maps = tuning.grid(pipe.getStages()[-1], {"maxDepth": DEPTHS})
     if which == "cv":
-        model = tuning.cross_validate(pipe, maps, train, LABEL, "fold", FOLDS, parallelism=3)
+        model = tuning.nested_cross_validate(pipe, maps, train, LABEL, "fold", FOLDS, parallelism=3)
         scores, model = list(model.avgMetrics), model.bestModel
     else:
-        res = tuning.train_validate(pipe, maps, train, LABEL, "is_validation", parallelism=3)
+        res = tuning.nested_train_validate(pipe, maps, train, LABEL, "is_validation")
         scores, model = [m["rmse"] for m in res.metrics], res.model
     train.unpersist()
     depth = models.param_values(model, ["maxDepth"])["maxDepth"]  # read off the refitted model (R11)

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from marketml.operators import binning
-from marketml.plans import ensembles, models, workflows
+from marketml.plans import ensembles, models, tuning, workflows
 from marketml.registry import ALL, LABEL
 from tests.conftest import SF_SMALL
 
@@ -102,3 +102,33 @@ def test_forest_without_a_key_column(spark, frame):
     train = frame.where("split = 'train'").drop("row_key")
     a, b = (models.fit(train.repartition(n), "forest", ALL, LABEL, binned=True, numTrees=2, maxDepth=3) for n in (1, 6))
     assert models.regressor(a).featureImportances == models.regressor(b).featureImportances
+
+
+def test_truncated_trees_are_the_shallower_fits(spark, frame):
+    train, test = frame.where("split = 'train'"), frame.where("split = 'test'")
+    deepest = models.fit(train, "tree", ALL, LABEL, binned=True, maxDepth=6)
+    score = lambda stage: [r.prediction for r in stage.transform(deepest.stages[1].transform(deepest.stages[0].transform(test))).orderBy("row_key").collect()]
+    for depth in (0, 1, 3, 6):
+        cut = models.truncated(models.regressor(deepest), depth)
+        assert cut.depth == min(depth, models.regressor(deepest).depth) and models.param_values(cut, ["maxDepth"]) == {"maxDepth": depth}
+        if depth:
+            assert score(cut) == score(models.regressor(models.fit(train, "tree", ALL, LABEL, binned=True, maxDepth=depth)))
+
+
+def test_nested_depths_need_one_fit_a_fold(spark, frame, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    train = frame.where("split = 'train'").cache()
+    pipe = models.pipeline("tree", ALL, LABEL, binned=True)
+    maps = tuning.grid(pipe.getStages()[-1], {"maxDepth": [2, 5, 3]})
+    plain = tuning.cross_validate(pipe, maps, train, LABEL, "fold", 3)
+    fits, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    nested = tuning.nested_cross_validate(pipe, maps, train, LABEL, "fold", 3)
+    assert len(fits) == 4 and np.allclose(nested.avgMetrics, plain.avgMetrics, rtol=1e-12)
+    assert [(f["point"], f["fold"]) for f in nested.folds] == [(p, f) for p in range(3) for f in range(3)]
+    fits.clear()
+    res = tuning.nested_train_validate(pipe, maps, train, LABEL, "is_validation")
+    assert len(fits) == 2
+    want = tuning.train_validate(pipe, maps, train, LABEL, "is_validation")
+    assert np.allclose([m["rmse"] for m in res.metrics], [m["rmse"] for m in want.metrics], rtol=1e-12) and res.best_index == want.best_index
