@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +106,42 @@ def describe(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     ])).alias("r")).select("r.*")
 
 
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` that gathers row counts, NULL counts and ``describe``'s numbers of every column while an action
+    passes over it, such as the write of a copy; ``observed_tables`` makes the tables of them."""
+    seen = Observation("profile")
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(df.columns):
+        col = F.col(f"`{c}`")
+        number = _is_number(df, c)
+        x = col.cast("double") if number else col.cast("string")
+        metrics += [F.count(col).alias(f"count{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        metrics += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"stddev{i}")] if number else []
+    return df.observe(seen, *metrics), seen
+
+
+def observed_tables(df: DataFrame, seen: Observation) -> dict[str, DataFrame]:
+    """``row_count``, ``schema``, ``null_profile`` and ``describe`` of the columns of ``df``, as the functions of
+    these names give them, from what an observation has gathered; no scan."""
+    got, spark = seen.get, df.sparkSession
+    fields = list(enumerate(df.schema.fields))
+    numbers = all(_is_number(df, f.name) for _, f in fields)
+    end = "double" if numbers else "string"
+    rows = []
+    for i, f in fields:
+        least, largest = got[f"min{i}"], got[f"max{i}"]
+        pair = (least, largest, None, None) if _is_number(df, f.name) else (None, None, least, largest)
+        rows.append((f.name, got[f"count{i}"], got.get(f"mean{i}"), got.get(f"stddev{i}"), *pair))
+    described = spark.createDataFrame(rows, "column_name string, count long, mean double, stddev double, min double, max double, min_text string, max_text string")
+    either = lambda m: (F.col(m) if numbers else F.coalesce(F.col(f"{m}_text"), F.col(m).cast("string"))).cast(end).alias(m)
+    return {
+        "row_count": spark.createDataFrame([(got["rows"],)], "n long"),
+        "schema": spark.createDataFrame([(f.name, sql_type(f.dataType), got[f"count{i}"]) for i, f in fields], "column_name string, data_type string, non_null long"),
+        "null_profile": spark.createDataFrame([(f.name, got["rows"] - got[f"count{i}"]) for i, f in fields], "column_name string, null_count long"),
+        "describe": described.select("column_name", "count", "mean", "stddev", either("min"), either("max")),
+    }
+
+
 def summary(df: DataFrame, names: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
             exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """describe + quartiles (G4): ``(column_name, count, mean, stddev, min,

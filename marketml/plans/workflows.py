@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketml.operators.evaluate import metrics_dict
@@ -193,18 +193,22 @@ def regression_report(spark: SparkSession, df: DataFrame, features: Sequence[str
 
 def eda_report(df: DataFrame, numeric: Sequence[str], time_col: str | None = None,
                label: str = LABEL, summary_cols: Sequence[str] | None = None,
-               head: int = 10) -> dict[str, DataFrame]:
+               head: int = 10, seen: Observation | None = None) -> dict[str, DataFrame]:
     """The profiling half of the boosted script as tables: schema with
     non-NULL counts, describe, null profile, ordered series head, summaries
-    with exact quartiles and the correlation matrix (S13, G1-G4, G7, A1, A2)."""
+    with exact quartiles and the correlation matrix (S13, G1-G4, G7, A1, A2).
+    ``seen`` is an observation of ``df`` (``profile.observed``) that an earlier action has filled; the first
+    three tables and the row count then need no scan."""
     from marketml.operators import profile
 
     numeric = [c for c in numeric if c in df.columns]
-    out = {
+    out = profile.observed_tables(df, seen) if seen else {
         "schema": profile.schema_table(df),
         "row_count": profile.row_count(df),
         "describe": profile.describe(df),
         "null_profile": profile.null_profile_long(df),
+    }
+    out |= {
         "summary": profile.summary(df, [c for c in (summary_cols or numeric) if c in df.columns]),
         "correlation": profile.correlation_matrix(df, numeric),
     }
@@ -215,6 +219,10 @@ def eda_report(df: DataFrame, numeric: Sequence[str], time_col: str | None = Non
     return out
 
 
+#: Reader options that change how values are written; inference is then the reader's.
+_OWN_FORMATS = {"dateformat", "timestampformat", "timestampntzformat", "locale", "nanvalue", "positiveinf", "negativeinf", "preferdate", "samplingratio", "enabledatetimeparsingfallback"}
+
+
 def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "csv",
                        keys: Sequence[str] | None = None, grid: Mapping[str, list] | None = None,
                        tune: bool = True, options: Mapping[str, str] | None = None
@@ -228,17 +236,24 @@ def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "
     ``keys`` name the columns whose hash splits rows; by default the model
     columns themselves are hashed, which is still layout-independent.
     """
+    from marketml.operators import profile
     from marketml.operators.clean import drop_missing, prepare
     from marketml.plans.presets import HEATMAP_COLUMNS, SUMMARY_COLUMNS
-    from marketml.sources.tables import drop_columns, read_table
+    from marketml.sources.tables import drop_columns, read_csv_typed, read_table
 
     preset = PRESETS[script]
     opts = {"header": "true", "inferSchema": "true"} if fmt == "csv" else {}
     opts.update(options or {})
-    raw = drop_columns(read_table(spark, path, fmt, options=opts), preset.drop_columns)
+    seen = None
+    if fmt == "csv" and str(opts["inferSchema"]).lower() == "true" and not _OWN_FORMATS & {k.lower() for k in opts}:
+        raw = read_csv_typed(spark, path, **{k: v for k, v in opts.items() if k != "inferSchema"})
+    else:
+        raw = read_table(spark, path, fmt, options=opts)
+    raw = drop_columns(raw, preset.drop_columns)
     if fmt == "csv":
-        # Cleaning, profiles and every fit read the input again: parse the
-        # text once and let later passes scan column-pruned Parquet.
+        # Cleaning, profiles and every fit read the input again: later passes scan column-pruned
+        # Parquet, whose write gathers the profiles on the way.
+        raw, seen = profile.observed(raw)
         raw = materialize(raw, f"{script}-input")
     feats, label = list(preset.features), preset.label
     impute = preset.policy == "impute"  # inside the fits, from training rows
@@ -252,7 +267,7 @@ def reference_workflow(spark: SparkSession, path: str, script: str, fmt: str = "
     out = regression_report(spark, df, feats, label, preset.family, keys or [*feats, label],
                             grid or preset.grid, preset.folds, tune, impute)
     if script == "gbt":
-        out.update(eda_report(raw, list(HEATMAP_COLUMNS), "period_begin", label, SUMMARY_COLUMNS))
+        out.update(eda_report(raw, list(HEATMAP_COLUMNS), "period_begin", label, SUMMARY_COLUMNS, seen=seen))
         frame = with_model_columns(df, keys or [*feats, label], preset.folds)
         out["ablation"] = ablation_report(spark, frame, preset.family, feats, label, preset.ablate, impute=impute)
     return out

@@ -234,7 +234,7 @@ def q_csv_inferred(spark, sf):
         tables.write_csv(m.select("region_id", F.col("median_list_price").alias("price"), F.col("median_sale_price").alias("PRICE")), path)
     finally:
         spark.conf.set("spark.sql.caseSensitive", sensitive)
-    df = tables.read_csv(spark, path, infer_schema=True)
+    df = tables.read_csv_typed(spark, path)
     return df.select("region_id", F.col("price1").alias("list_price"), F.col("PRICE2").alias("sale_price"))
 
 

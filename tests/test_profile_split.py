@@ -106,3 +106,27 @@ def test_null_profile_can_count_nan(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (None, "c")], "x double, s string")
     assert profile.null_profile(df).first().asDict() == {"x": 1, "s": 1}
     assert profile.null_profile(df, include_nan=True).first().asDict() == {"x": 2, "s": 1}
+
+
+def test_observed_profile_equals_the_scans(spark, tmp_path):
+    from marketml.operators import profile
+    from marketml.session import materialize
+
+    df = spark.createDataFrame([(1, 2.5, "a", True), (None, 7.25, None, False), (3, None, "c", None)], "k int, `v: 1` double, s string, flag boolean")
+    for cols in (df.columns, ["k"]):
+        part = df.select(*[F.col(f"`{c}`") for c in cols])
+        copy, seen = profile.observed(part)
+        copy = materialize(copy, "observed-test")
+        got = profile.observed_tables(copy, seen)
+        plain = {"row_count": profile.row_count(part), "null_profile": profile.null_profile_long(part)}
+        if cols == ["k"]:
+            plain |= {"schema": profile.schema_table(part), "describe": profile.describe(part)}
+        for name, table in plain.items():
+            assert got[name].dtypes == table.dtypes and sorted(map(str, got[name].collect())) == sorted(map(str, table.collect())), name
+    market = df.drop("v: 1")
+    copy, seen = profile.observed(market)
+    copy = materialize(copy, "observed-test")
+    assert sorted(map(str, profile.observed_tables(copy, seen)["describe"].collect())) == sorted(map(str, profile.describe(market).collect()))
+    # None of the four tables scans anything.
+    for table in profile.observed_tables(copy, seen).values():
+        assert "FileScan" not in table._jdf.queryExecution().executedPlan().toString()

@@ -101,3 +101,31 @@ def test_load_levels_from_files(spark, tmp_path):
     rows = {r.region_level: r for r in df.collect()}
     assert rows["county"].inventory is None and rows["state"].inventory == 7
     assert rows["county"].median_sale_price == 100
+
+
+def test_typed_csv_equals_the_readers_inference(spark, tmp_path):
+    columns = {
+        "ints": ["1", "-2", "+3", "007"], "longs": ["1", "3000000000", "", "4"], "huge": ["1", "99999999999999999999999", "5", ""],
+        "mixed_huge": ["3000000000", "99999999999999999999", "1", "2"], "doubles": ["1", "2.5", "-.5", "1e3"], "special": ["NaN", "Inf", "-Inf", "1.5"],
+        "dates": ["2020-01-01", "2021-2-3", "", "2022-12-31"], "times": ["2020-01-01 10:00:00", "2021-02-03T04:05:06", "", "2022-12-31 23:59:59.5"],
+        "both": ["2020-01-01", "2020-01-01 10:00:00", "2021-05-06", ""], "flags": ["true", "FALSE", "", "True"], "words": ["1", "x", "2", "3"],
+        "empty": ["", "", "", ""], "int_date": ["1", "2020-01-01", "", ""], "bad_date": ["2020-13-01", "2020-01-01", "", ""], "int_flag": ["1", "true", "", ""],
+        "wide": ["9" * 39, "1", "", ""], "dup": ["1", "2", "3", "4"], "DUP": ["a", "b", "", "d"], "Unnamed: 58": ["", "1.25", "", ""], "N/A": ["N/A", "1", "2", "3"],
+    }
+    path = tmp_path / "t.csv"
+    path.write_text("\n".join([",".join(columns), *[",".join(v[i] for v in columns.values()) for i in range(4)]]) + "\n")
+    want = tables.read_csv(spark, str(path), infer_schema=True)
+    got = tables.read_csv_typed(spark, str(path))
+    assert [d for d in zip(got.dtypes, want.dtypes, strict=True) if d[0] != d[1]] == []
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_typed_csv_parses_the_text_once(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n1,x\n2,y\n")
+    df = tables.read_csv_typed(spark, str(path))
+    path.unlink()  # later uses read the copy
+    assert df.dtypes == [("a", "int"), ("b", "string")] and df.count() == 2
+    none = tmp_path / "none.csv"
+    none.write_text("a,b\n")
+    assert tables.read_csv_typed(spark, str(none)).dtypes == [("a", "string"), ("b", "string")]
