@@ -354,3 +354,41 @@ def test_judge(spark):
     kept = perplexity.keep_good(frame(spark, rows))
     assert kept.schema == DOCS and kept.where("doc_id = 0").count() == 2 * got[0, rows[0][1]].kept
     assert perplexity.keep_good(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_unseen_ngrams_miss_in_full_arrays(spark):
+    import random
+
+    from marketml.llm import perplexity
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    docs = spark.createDataFrame([(" ".join(rng.choices(words, k=200)), "en") for _ in range(5)], "text string, lang string")
+    model = perplexity.build_model(docs, order=4, hash_bits=9)
+    assert len(model.probs[4][0]) > 0.95 * 512  # more n-grams than slots, so the array is full
+    salt = docs.selectExpr("xxhash64(lang) AS s").first().s
+    unseen = perplexity.grams(["".join(rng.choice("KLMNOPQRST") for _ in range(500))], 4)
+    import numpy as np
+    hit, _ = model._find(model.probs[4], perplexity._mix(unseen, np.full(len(unseen), salt), 4, 9))
+    assert not hit.any()
+    seen = np.unique(perplexity.grams([r.text for r in docs.collect()], 4))
+    hit, _ = model._find(model.probs[4], perplexity._mix(seen, np.full(len(seen), salt), 4, 9))
+    assert hit.sum() == len(model.probs[4][0])  # one n-gram a slot
+
+
+def test_both_limits_of_the_band_reject(spark):
+    import random
+
+    from marketml.llm import perplexity
+
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "rstn"]
+    plain = [" ".join(rng.choices(words, k=90)) for _ in range(60)]
+    common = [" ".join(words[:80])] * 14  # boilerplate: one text on many pages
+    odd = [" ".join("".join(rng.choice("xzqjwv") for _ in range(6)) for _ in range(80))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(plain + common + odd)], "id long, text string, lang string")
+    rows = {r.keep_id: r for r in perplexity.judge(df, keep=("id",), width=0.5).collect()}
+    low, high = rows[60], rows[74]
+    assert not low.base_failed and not low.kept and low.log_perplexity < low.low
+    assert not high.base_failed and not high.kept and high.log_perplexity > high.high
+    assert sum(rows[i].kept for i in range(60)) > 40
