@@ -14,7 +14,9 @@ one file a row.  Archives go to a folder that all executors share; a file is wri
 under a task's own name and then moved, so a task that runs again replaces it by the same bytes.
 
 Nulls and ties: a null html is an empty payload; a null page_id loses to any other, and among
-records that tie at the largest page_id all are responses; a null url has no target line.
+records that tie at the largest page_id all are responses, each with an id of its own, of which revisits
+name one; a null url has no target line.  The date is a constant, as pages have none.  Archives are written
+through pyarrow's file systems, so the folder's scheme must be one that these know (file, s3, gs, hdfs).
 """
 
 from __future__ import annotations
@@ -41,24 +43,28 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to is the page of the
-    response that a revisit stands for, null for a response."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    """(page_id, url, html, digest, refers_to, first): refers_to is the page of the
+    response that a revisit stands for, null for a response; ``first`` marks the one response
+    of a digest that its revisits name."""
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("row", F.monotonically_increasing_id())
     large = F.octet_length("html") >= min_bytes
-    again = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "last")
+    again = rows.where(large).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("of"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), F.col("of.page_id").alias("last"), F.col("of.row").alias("last_row"))
     joined = rows.join(again, (F.col("digest") == F.col("again")) & large, "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"),
+                         F.coalesce(F.col("row") == F.col("last_row"), F.lit(False)).alias("first"))
 
 
-def record_id(page, digest: str) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}').urn}>"
+def record_id(place, digest: str) -> str:
+    """An id from a digest and a place: an archive and a position in it, or, for the response
+    that revisits name, its page."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{place}/{digest}').urn}>"
 
 
-def record(page, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
+def record(page, url: str | None, payload: bytes, digest: str, refers_to, own_id: str | None = None) -> bytes:
     """One WARC record."""
     b32 = base64.b32encode(bytes.fromhex(digest)).decode()
     block = _HTTP + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own_id or record_id(page, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if " " < c != "\x7f" else f"%{ord(c):02X}" for c in url))
     head += [f"WARC-Payload-Digest: sha1:{b32}", "Content-Type: application/http; msgtype=response"]
@@ -138,8 +144,9 @@ def _writer(folder: str, archive_bytes: int, sample_bytes: int, dictionary_bytes
             return done
 
         for b in batches:
-            for page, url, html, digest, refers in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                held.append(record(page, url, html.encode(), digest, refers))
+            for page, url, html, digest, refers, first in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                place = page if first else f"{base}/{task.partitionId()}/{number}/{len(held)}"
+                held.append(record(page, url, html.encode(), digest, refers, record_id(place, digest)))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield write()

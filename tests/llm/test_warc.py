@@ -68,3 +68,18 @@ def test_few_records_and_empty(spark, tmp_path):
     assert warc.plan_records(pages.where("false")).count() == 0
     folder = warc.write_archives(pages.where("false"), str(tmp_path / "c"))
     assert warc.read_archives(spark, folder).count() == 0
+
+
+def test_record_ids_are_unique_and_named(spark, tmp_path):
+    page = "x" * 2000
+    rows = [(i, "u", page) for i in (1, 2, 3, 3, 3)] + [(7, "u", "short")] * 3 + [(None, "u", page), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = warc.write_archives(df.repartition(2), folder=str(tmp_path / "w"), archive_bytes=3000)
+    heads = []
+    for file in sorted((tmp_path / "w").glob("*.zst")):
+        heads += [warc.parse(r)[0] for r in warc.read_archive(file.read_bytes())]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(ids) == len(rows) == len(set(ids))
+    named = {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"}
+    assert len(named) == 1 and [h["WARC-X-Page"] for h in heads if h["WARC-Record-ID"] in named] == ["3"]
+    assert folder == str(tmp_path / "w")
