@@ -87,6 +87,10 @@ def train_text_model(docs: DataFrame, hash_bits: int = HASH_BITS, max_languages:
     """Trigram counts of every document with a language."""
     prepare(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.lower(lang).alias("lang"), F.col(text).alias("text"))
+    # Before any task holds counts of them: a column that is no language ends here.
+    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages if the model may grow")
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -101,9 +105,7 @@ def train_text_model(docs: DataFrame, hash_bits: int = HASH_BITS, max_languages:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "slot", "n"])
 
     counted = materialize(rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "lang-counts")
-    languages = [r[0] for r in counted.select("lang").distinct().orderBy("lang").limit(max_languages + 1).collect()]
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages; raise max_languages if the model may grow")
+    languages = sorted(r[0] for r in counted.select("lang").distinct().collect())  # those with any trigram
     table = np.zeros((len(languages), 1 << hash_bits))
     index = {name: i for i, name in enumerate(languages)}
     for b in counted.toArrow().to_batches():
@@ -153,12 +155,14 @@ def identify(pages: DataFrame, docs: DataFrame, hash_bits: int = HASH_BITS, max_
         all_ = {"n_all": 0, "s_all": [0.0] * size}
     world = F.array(*[F.lit((s + 1) / (all_["n_all"] + size)) for s in all_["s_all"]])
     priors = host.select(F.col("host").alias("h"), "domain", "n_host", pack("s_host")).join(dom, "domain").select("h", "n_host", "s_host", "n_dom", "s_dom")
+    priors = materialize(priors, "lang-hosts")
 
     def rates(column: str, name: str) -> DataFrame:
         """P(value | language), smoothed towards the value's share of all pages."""
         seen = scored.groupBy(column).agg(F.count("*").alias("n"), *sums)
         rate = over(lambda i: (F.col(f"s{i}") + strength * F.col("n") / max(1, all_["n_all"])) / (float(all_["s_all"][i]) + strength))
-        return seen.select(F.col(column).alias(f"{name}_key"), rate.alias(name))
+        # Written first, so that the join knows its bytes and pages are not shuffled by a few values.
+        return materialize(seen.select(F.col(column).alias(f"{name}_key"), rate.alias(name)), f"lang-{column}")
 
     joined = scored.join(priors, F.col("host") == F.col("h")).join(rates("declared", "by_declared"), F.col("declared") == F.col("by_declared_key")).join(rates("suffix", "by_suffix"), F.col("suffix") == F.col("by_suffix_key"))
     # A page's own posterior is left out of its prior.

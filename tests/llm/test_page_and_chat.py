@@ -390,3 +390,16 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
         empty = f(spark, docs.where("false"), str(tmp_path))
         assert empty.count() == 0 and columns in (None, empty.columns), name
     assert decontaminate.WINDOW == 13
+
+
+def test_a_dirty_language_column_raises_before_counting(spark):
+    dirty = spark.createDataFrame([(f"text {i}", f"lang{i}") for i in range(10_000)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 512 languages"):
+        language_id.train_text_model(dirty)
+
+
+def test_pages_are_not_shuffled_by_declaration_or_suffix(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang")
+    plan = language_id.identify(table, docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(declared" not in plan and "hashpartitioning(suffix" not in plan
