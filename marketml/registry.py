@@ -10,6 +10,7 @@ price-scale ones (RMSE, intercepts, means).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
@@ -21,7 +22,7 @@ from marketml.functions.scalar import elapsed_hms, to_double
 from marketml.operators import binning, clean, evaluate, features, moments, profile, split
 from marketml.operators.quantiles import exact_quantiles
 from marketml.plans import ensembles, models, report, tuning, workflows
-from marketml.session import materialize, scratch_path
+from marketml.session import materialize, scratch_path, write_scratch
 from marketml.sources import market as mk
 from marketml.sources import tables
 
@@ -149,8 +150,11 @@ def q_csv_roundtrip(spark, sf):
 
 def q_sql_view(spark, sf):
     """Temp view + SQL over it."""
-    _market(spark, sf).createOrReplaceTempView("market")
-    return spark.sql("SELECT * FROM market")
+    name = f"market_{uuid.uuid4().hex}"  # no view of the caller's has this name
+    _market(spark, sf).createTempView(name)
+    out = spark.sql(f"SELECT * FROM {name}")
+    spark.catalog.dropTempView(name)  # the query is resolved by now
+    return out
 
 
 def q_schema_table(spark, sf):
@@ -227,13 +231,11 @@ def q_describe_text(spark, sf):
 def q_csv_inferred(spark, sf):
     """CSV with inferred types and two headers that repeat but for case."""
     path = scratch_path(spark, "market-inferred-csv")
-    m = _market(spark, sf)
-    sensitive = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")  # the writer refuses such headers otherwise
-    try:
-        tables.write_csv(m.select("region_id", F.col("median_list_price").alias("price"), F.col("median_sale_price").alias("PRICE")), path)
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", sensitive)
+    copy = write_scratch(_market(spark, sf).select("region_id", "median_list_price", "median_sale_price"), "market-prices")
+    # The writer refuses such headers unless names are case-sensitive: a session of its own, so the caller's stays as it is.
+    own = spark.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    tables.write_csv(own.read.parquet(copy).toDF("region_id", "price", "PRICE"), path)
     df = tables.read_csv_typed(spark, path)
     return df.select("region_id", F.col("price1").alias("list_price"), F.col("PRICE2").alias("sale_price"))
 

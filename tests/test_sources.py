@@ -129,3 +129,15 @@ def test_typed_csv_parses_the_text_once(spark, tmp_path):
     none = tmp_path / "none.csv"
     none.write_text("a,b\n")
     assert tables.read_csv_typed(spark, str(none)).dtypes == [("a", "string"), ("b", "string")]
+
+
+def test_queries_leave_the_session_as_it_is(spark):
+    from marketml.registry import QUERIES
+
+    spark.range(1).createOrReplaceTempView("market")
+    before = spark.conf.get("spark.sql.caseSensitive"), sorted(t.name for t in spark.catalog.listTables())
+    for name in ("sql_view", "csv_inferred"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert (spark.conf.get("spark.sql.caseSensitive"), sorted(t.name for t in spark.catalog.listTables())) == before
+    assert spark.table("market").columns == ["id"]
+    spark.catalog.dropTempView("market")
