@@ -123,6 +123,22 @@ def linear_cross_validate(est, param_maps, df: DataFrame, features: Sequence[str
     return FoldCV(folds, avg, [float(np.std(e)) for e in each], est.fit(df, param_maps[best_index(avg)]))
 
 
+def fold_cross_validate(est, param_maps, df: DataFrame, label: str, fold_col: str, num_folds: int, parallelism: int = 8) -> FoldCV:
+    """k-fold CV whose (point, fold) fits all run side by side, where ``CrossValidator`` takes one fold after the
+    other; the best point is fitted again on all rows (T2, T4, T5, T6)."""
+
+    def one(at: tuple[int, int]) -> dict:
+        i, f = at
+        fitted = est.fit(df.where(F.col(fold_col) != f), param_maps[i])
+        return {"point": i, "fold": f, **metrics_dict(fitted.transform(df.where(F.col(fold_col) == f)), label)}
+
+    with ThreadPool(max(1, parallelism)) as pool:
+        folds = pool.map(one, [(i, f) for i in range(len(param_maps)) for f in range(num_folds)], chunksize=1)
+    each = [[s["rmse"] for s in folds if s["point"] == i] for i in range(len(param_maps))]
+    avg = [float(np.mean(e)) for e in each]
+    return FoldCV(folds, avg, [float(np.std(e)) for e in each], est.fit(df, param_maps[best_index(avg)]))
+
+
 def _depth_candidates(pipe: Pipeline, param_maps, df: DataFrame) -> list[PipelineModel]:
     """A fitted tree for each depth of the grid, cut from one fit of the deepest."""
     depths = [r["maxDepth"] for r in grid_rows(param_maps)]

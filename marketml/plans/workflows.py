@@ -126,8 +126,8 @@ def run_family(frame: DataFrame, family: str, features: Sequence[str] = FEATURES
             elif nested:
                 cv_model, secs = _timed(lambda: tuning.nested_cross_validate(pipe, maps, train, label, "fold", folds, parallelism))
             else:
-                cv_model, secs = _timed(lambda: tuning.cross_validate(
-                    pipe, maps, train, label, "fold", folds, parallelism))
+                cv_model, secs = _timed(lambda: tuning.fold_cross_validate(
+                    pipe, maps, train, label, "fold", folds, max(parallelism, 8)))
             m = metrics_dict(cv_model.transform(test), label)
             # Read the chosen values off the refitted best model.
             best = models.param_values(cv_model.bestModel, list(grid))

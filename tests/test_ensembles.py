@@ -132,3 +132,13 @@ def test_nested_depths_need_one_fit_a_fold(spark, frame, monkeypatch):
     assert len(fits) == 2
     want = tuning.train_validate(pipe, maps, train, LABEL, "is_validation")
     assert np.allclose([m["rmse"] for m in res.metrics], [m["rmse"] for m in want.metrics], rtol=1e-12) and res.best_index == want.best_index
+
+
+def test_folds_side_by_side_equal_crossvalidator(spark, frame):
+    train = frame.where("split = 'train'").cache()
+    pipe = models.pipeline("gbt", ALL, LABEL, binned=True, maxIter=2)
+    maps = tuning.grid(pipe.getStages()[-1], {"maxDepth": [2, 3]})
+    plain = tuning.cross_validate(pipe, maps, train, LABEL, "fold", 3, parallelism=2)
+    ours = tuning.fold_cross_validate(pipe, maps, train, LABEL, "fold", 3)
+    assert ours.avgMetrics == pytest.approx(list(plain.avgMetrics), rel=1e-12)
+    assert models.param_values(ours.bestModel, ["maxDepth"]) == models.param_values(plain.bestModel, ["maxDepth"])
