@@ -262,6 +262,24 @@ def test_segments_give_the_same_conversation(spark, segment_rows):
         assert [p.split("|>")[0] for p in whole.split("<|")[1::2]] == roles and whole.count("<|end|>\n") == len(roles)
 
 
+def test_products_of_products(spark):
+    """Three levels of matrices give the cost of one plain run over a conversation, null ids included."""
+    rng = random.Random(4)
+    names = ["user", "assistant", "system", "gpt", "tool", None]
+    convs = {c: [(t, rng.choice(names), rng.choice(["hi", "", "x" * 300_000])) for t in range(90)] for c in (None, 7)}
+    rows = [(c, *r) for c, turns in convs.items() for r in turns]
+    out = chat_repair.repair_roles(spark.createDataFrame([(*r, "clash", 1.0) for r in rows], CHAT), 6, fan=4).collect()
+    for conv, turns in convs.items():
+        _, cost = chat_repair.repair([chat_repair.kind(r, x) for _, r, x in turns])
+        got = sorted((r for r in out if r.conv_id == conv), key=lambda r: r.place)
+        assert [(r.turn, r.role) for r in got] == [(t, r) for t, r, _ in turns]
+        spent = 0
+        for r in got:
+            spent += 2 * (len(r.inserted_before) + len(r.inserted_after))
+            spent += {"keep": 0, "merge": 1 if chat_repair.kind(r.role, None)[0] is not None else 2, "relabel": 3 if chat_repair.kind(r.role, None)[0] is not None else 1}[r.action]
+        assert spent == cost
+
+
 def test_equal_rows_spread_over_segments(spark):
     rows = [(None, None, "user", "")] * 300 + [(c, t, r, "x") for c in range(30) for t, r in enumerate(("user", "assistant"))]
     out = chat_repair.repair_roles(spark.createDataFrame([(*r, "clash", 1.0) for r in rows], CHAT), 20).collect()
