@@ -38,3 +38,11 @@ def row_hash(df: DataFrame, *but: str):
         col = F.col(f"`{name}`")
         cols.append(col if kind in plain else F.to_json(F.struct(col.alias("v"))))
     return F.xxhash64(*cols, F.lit(len(cols)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

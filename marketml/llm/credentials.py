@@ -170,9 +170,19 @@ def redact(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str
     columns = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     names = dict(zip(columns, renamed.columns, strict=True))
-    found = find_credentials(renamed, scope, names[text], names[doc_id], keep=tuple(renamed.columns))
+    body, empty = F.col(names[text]), F.array().cast(T.ArrayType(SPAN))
+    prepare(docs.sparkSession)
+    scanned = renamed.withColumn("s", _scan(body))
+    # Only texts with weak parts can gain a span, so only these are shuffled; all others are masked where they lie.
+    alone = scanned.where(F.size("s.weak") == 0).select(*renamed.columns, F.col("s.base").alias("spans"))
+    holds = scanned.where(F.size("s.weak") > 0).select(*renamed.columns, F.col(names[doc_id]).alias("id"), F.xxhash64(body).alias("text_key"), "s.base", "s.weak")
+    parts = holds.select("id", "text_key", F.explode(F.concat("base", "weak")).alias("p")).select("id", "text_key", "p.*")
+    linked = linked_parts(materialize(parts, "credentials"), scope).groupBy(F.col("id").alias("l_id"), F.col("text_key").alias("l_key")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
+    joined = holds.join(linked, F.expr("id <=> l_id and text_key = l_key"), "left")
+    joined = joined.select(*renamed.columns, F.array_sort(F.concat("base", F.coalesce("linked", empty))).alias("spans"))
+    found = alone.unionByName(joined)
     changed = F.size("spans") > 0
-    new = found.withColumn(names[text], F.when(changed, _masked(F.col(names[text]), F.col("spans"))).otherwise(F.col(names[text])))
+    new = found.withColumn(names[text], F.when(changed, _masked(body, F.col("spans"))).otherwise(body))
     if length:
         kind = dict(docs.dtypes)[length]
         new = new.withColumn(names[length], F.when(changed, F.length(names[text]).cast(kind)).otherwise(F.col(names[length])))

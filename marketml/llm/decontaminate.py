@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketml.llm.common import prepare
+from marketml.llm.common import free_name, prepare
 from marketml.session import materialize
 
 WINDOW = 13
@@ -155,5 +155,5 @@ def hit_words(found: str = "found"):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns unchanged."""
-    found = find_benchmark(docs, benchmark, into="__found", **how)
-    return found.where(~contaminated("__found")).drop("__found")
+    into = free_name(docs, "found")
+    return find_benchmark(docs, benchmark, into=into, **how).where(~contaminated(into)).drop(into)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketml.llm.common import prepare, row_hash
+from marketml.llm.common import free_name, prepare, row_hash
 from marketml.session import materialize
 
 SEED = 42
@@ -196,8 +196,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component; one row
     of those that repeat it."""
     _, groups = near_duplicate_groups(docs, doc_id=doc_id, **how)
-    kept = groups.select(F.col("component_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    rows = docs.withColumn("__row", row_hash(docs)).withColumn("__id", F.col(doc_id))
+    own_row, own_id = free_name(docs, "own_row"), free_name(docs, "own_id")
+    kept = groups.select(F.col("component_id").alias("kept_id"), F.col("row").alias("kept_row")).distinct()
+    rows = docs.withColumn(own_row, row_hash(docs)).withColumn(own_id, F.col(doc_id))
+    kept = kept.toDF(free_name(rows, "kept_id"), free_name(rows, "kept_row"))
     # Same keys as the join, so dropping repeated rows needs no other exchange.
-    joined = rows.join(kept, rows["__row"].eqNullSafe(kept["__row"]) & rows["__id"].eqNullSafe(kept["__id"]), "left_semi")
-    return joined.dropDuplicates(["__row", "__id"]).drop("__row", "__id")
+    same = F.col(f"`{own_row}`").eqNullSafe(F.col(f"`{kept.columns[1]}`")) & F.col(f"`{own_id}`").eqNullSafe(F.col(f"`{kept.columns[0]}`"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([own_row, own_id]).drop(own_row, own_id)

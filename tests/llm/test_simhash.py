@@ -73,3 +73,11 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.assign_components(docs).count() == 0
     assert simhash.keep_one(docs).count() == 0
+
+
+def test_clashing_names(spark):
+    schema = T.StructType([*SCHEMA[:2], *(T.StructField(n, T.StringType()) for n in ("own_row", "OWN_ID", "kept_id", "kept_row"))])
+    docs = spark.createDataFrame([(d, t, "a", "b", "c", "d") for d, t in _rows()], schema)
+    kept = simhash.keep_one(docs, max_bits=4)
+    assert kept.columns == docs.columns and {tuple(r[2:]) for r in kept.collect()} == {("a", "b", "c", "d")}
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({c for *_, c in plain_components(_rows())}, key=str)

@@ -9,6 +9,7 @@ from math import exp, log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
@@ -74,6 +75,14 @@ def test_decontamination(spark, shard_words):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(w[0] for w in want if not w[5])
 
 
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs, items = _bench_rows()
+    bench = spark.createDataFrame([(*r, 1) for r in items], ITEMS)
+    rows = frame(spark, docs).withColumn("found", F.lit("mine")).withColumn("_FOUND", F.lit(2))
+    kept = decontaminate.keep_clean(rows, bench)
+    assert kept.columns == rows.columns and {(r["found"], r["_FOUND"]) for r in kept.collect()} == {("mine", 2)}
+
+
 def test_decontamination_empty(spark):
     docs, items = _bench_rows()
     none = spark.createDataFrame([], ITEMS)
@@ -158,6 +167,16 @@ def test_redaction(spark):
             assert not credentials.base_spans(r.text) and r.low == len(r.text) and "[" in r.text
 
 
+def test_redaction_links_within_a_row_and_keeps_repeats(spark):
+    plain = "nothing to see " * 4000
+    aws = "user = deploy1\nprivate_key = zz-yy-xx\n" + plain + "host: far.away.example"
+    rows = [(1, aws), (1, aws), (None, aws), (2, plain), (3, None), (4, "host: far.away.example only")]
+    out = sorted(((r.doc_id, r.text) for r in credentials.redact(frame(spark, rows)).collect()), key=str)
+    masked = "[id_part]\n[secret_part]\n" + plain + "host: far.away.example"
+    assert out == sorted([(1, masked), (1, masked), (None, masked), *rows[3:]], key=str)
+    assert credentials.redact(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_query_digest(spark, tmp_path):
     frame(spark, [*enumerate(TEXTS)]).write.parquet(str(tmp_path / "documents.parquet"))
     for r in queries.op6_credentials(spark, str(tmp_path)).collect():
