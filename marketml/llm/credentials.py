@@ -150,18 +150,32 @@ def listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _mask(text: str, found) -> str:
+    """``text`` with the spans (start, kind, end) replaced by their kinds; of spans that overlap the first names the place."""
+    parts, at = [], 0
+    for start, k, end in found:
+        if end > at:
+            if start >= at:
+                parts += [text[at:start], f"[{KINDS[k]}]"]
+            at = end
+    return "".join(parts) + text[at:]
+
+
 @F.arrow_udf(T.StringType())
 def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        parts, at = [], 0
-        for s in found or ():
-            if s["end"] > at:
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], f"[{KINDS[s['kind']]}]"]
-                at = s["end"]
-        out.append(text if text is None or not found else "".join(parts) + text[at:])
-    return pa.array(out, pa.string())
+    return pa.array([t if not found else _mask(t, [(s["start"], s["kind"], s["end"]) for s in found]) for t, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.IntegerType()), T.StructField("weak", T.BooleanType())]))
+def _scan_masked(texts: pa.Array) -> pa.Array:
+    """Each text with its base spans masked, their number, and whether it has weak parts (then it is left out)."""
+    rows = []
+    for t in texts.to_pylist():
+        base = base_spans(t or "")
+        weak = bool(weak_parts(t or "", base))
+        rows.append((None if weak else _mask(t, base) if base else t, len(base), weak))
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.bool_()), strict=True)], names=["text", "spans", "weak"])
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str = "doc_id", length: str | None = None) -> DataFrame:
@@ -172,18 +186,18 @@ def redact(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str
     names = dict(zip(columns, renamed.columns, strict=True))
     body, empty = F.col(names[text]), F.array().cast(T.ArrayType(SPAN))
     prepare(docs.sparkSession)
-    scanned = renamed.withColumn("s", _scan(body))
-    # Only texts with weak parts can gain a span, so only these are shuffled; all others are masked where they lie.
-    alone = scanned.where(F.size("s.weak") == 0).select(*renamed.columns, F.col("s.base").alias("spans"))
-    holds = scanned.where(F.size("s.weak") > 0).select(*renamed.columns, F.col(names[doc_id]).alias("id"), F.xxhash64(body).alias("text_key"), "s.base", "s.weak")
+    # Only texts with weak parts can gain a span, so only these are written and joined; all others are masked where they lie.
+    alone = renamed.withColumn("s", _scan_masked(body)).where(~F.col("s.weak"))
+    alone = alone.withColumn(names[text], F.col("s.text")).select(*renamed.columns, (F.col("s.spans") > 0).alias("changed"))
+    holds = renamed.withColumn("s", _scan(body)).where(F.size("s.weak") > 0)
+    holds = materialize(holds.select(*renamed.columns, F.col(names[doc_id]).alias("id"), F.xxhash64(body).alias("text_key"), "s.base", "s.weak"), "credentials")
     parts = holds.select("id", "text_key", F.explode(F.concat("base", "weak")).alias("p")).select("id", "text_key", "p.*")
-    linked = linked_parts(materialize(parts, "credentials"), scope).groupBy(F.col("id").alias("l_id"), F.col("text_key").alias("l_key")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
+    linked = linked_parts(parts, scope).groupBy(F.col("id").alias("l_id"), F.col("text_key").alias("l_key")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
     joined = holds.join(linked, F.expr("id <=> l_id and text_key = l_key"), "left")
-    joined = joined.select(*renamed.columns, F.array_sort(F.concat("base", F.coalesce("linked", empty))).alias("spans"))
-    found = alone.unionByName(joined)
-    changed = F.size("spans") > 0
-    new = found.withColumn(names[text], F.when(changed, _masked(body, F.col("spans"))).otherwise(body))
+    joined = joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("linked", empty)))).withColumn("changed", F.size("spans") > 0)
+    joined = joined.withColumn(names[text], _masked(body, F.col("spans"))).select(*renamed.columns, "changed")
+    new = alone.unionByName(joined)
     if length:
         kind = dict(docs.dtypes)[length]
-        new = new.withColumn(names[length], F.when(changed, F.length(names[text]).cast(kind)).otherwise(F.col(names[length])))
+        new = new.withColumn(names[length], F.when(F.col("changed"), F.length(names[text]).cast(kind)).otherwise(F.col(names[length])))
     return new.select(*[F.col(names[c]).alias(c) for c in columns])
