@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketml.llm.common import prepare
+from marketml.llm.common import give_back, prepare
 
 END_ID = 1
 #: str.split() also parts words at these, which the tokenizer does not.
@@ -161,6 +161,7 @@ def _packer(path: str, tokens: int, group: int, linear: float, quadratic: float,
                         ("sequence_id", pa.int64()), ("offset", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches):
+        give_back()
         encode, sequence = encoder(path), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         waiting, held = [], 0
