@@ -143,10 +143,12 @@ def importances(spark: SparkSession, model, features: Sequence[str],
     ).orderBy("rank")
 
 
-def tree_root(model) -> dict:
+def tree_root(model) -> dict | None:
     """Root split of a fitted tree: feature index, threshold, and each
-    child's prediction and row count (R3 at depth 1)."""
+    child's prediction and row count (R3 at depth 1); None where no split lowers the error."""
     root = regressor(model)._java_obj.rootNode()
+    if not root.numDescendants():
+        return None
     split = root.split()
     left, right = root.leftChild(), root.rightChild()
     return {

@@ -420,13 +420,13 @@ def _steps_fit(spark, sf, family, feats=STEPS, **params):
 
 
 def q_tree_stump(spark, sf):
-    """Depth-1 tree: the exact best split of the price steps."""
+    """Depth-1 tree: the exact best split of the price steps (R3); no row where all prices lie in one step."""
     model, _ = _steps_fit(spark, sf, "tree", STEPS[:1], maxDepth=1)
     root = models.tree_root(model)
-    row = (STEPS[root["feature_index"]], root["threshold"], root["left_prediction"],
-           root["right_prediction"], root["n_left"], root["n_right"])
+    rows = [(STEPS[root["feature_index"]], root["threshold"], root["left_prediction"],
+             root["right_prediction"], root["n_left"], root["n_right"])] if root else []
     return spark.createDataFrame(
-        [row], "feature string, threshold double, left_mean double, right_mean double, "
+        rows, "feature string, threshold double, left_mean double, right_mean double, "
                "n_left long, n_right long",
     ).select("feature", _r("threshold", R4), _r("left_mean", R4), _r("right_mean", R4),
              "n_left", "n_right")

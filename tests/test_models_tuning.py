@@ -118,6 +118,15 @@ def test_tree_stump_is_best_midpoint(spark, train):
     assert root["n_left"] == len(left) and root["left_prediction"] == pytest.approx(left[LABEL].mean())
 
 
+def test_tree_stump_without_a_split(spark):
+    from marketml import registry
+    from tests.conftest import SF_SMALL
+
+    prepared = workflows.Prepared(SF_SMALL)
+    prepared.market = workflows.market_table(spark, SF_SMALL).withColumn("median_list_price", F.lit(31000.0))
+    assert registry.QUERIES["tree_stump"](spark, prepared).collect() == []
+
+
 def test_cross_validation_fold_metrics(spark, train):
     pipe = models.pipeline("linear", ["median_list_price"], LABEL)
     maps = tuning.grid(pipe.getStages()[-1], {"regParam": [0.1, 2000.0], "elasticNetParam": [0.0, 1.0]})
