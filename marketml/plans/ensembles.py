@@ -126,7 +126,9 @@ class CellTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSee
         rows = cells.select(array_to_vector(features).alias("features"), weight.alias("weight"), label.alias("label"))
         forest = RandomForestRegressor(numTrees=1, bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy=subset, maxDepth=self.getOrDefault(self.maxDepth),
                                        maxBins=UNSAMPLED_BINS, weightCol="weight", seed=seed)
-        java = forest.fit(rows)._java_obj.trees()[0]
+        # Held by name: a Python model that is collected takes its Java object with it.
+        fitted = forest.fit(rows)
+        java = fitted._java_obj.trees()[0]
         tree = DecisionTreeRegressionModel(java)
         tree._resetUid(java.uid())
         return tree

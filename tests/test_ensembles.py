@@ -98,6 +98,30 @@ def test_cells_fit_what_rows_fit(spark):
         ensembles.CellTree(labelCol="y").fit(df.limit(0))
 
 
+def test_a_tree_outlives_no_collected_model(spark, frame, monkeypatch):
+    import gc
+    import time
+
+    fit = ensembles.RandomForestRegressor.fit
+
+    class Java:
+        def __init__(self, java):
+            self.java = java
+
+        def trees(self):
+            gc.collect()
+            time.sleep(1)  # a collected object's Java side goes a little later
+            return self.java.trees()
+
+    class Model:
+        def __init__(self, model):
+            self.model, self._java_obj = model, Java(model._java_obj)
+
+    monkeypatch.setattr(ensembles.RandomForestRegressor, "fit", lambda self, rows: Model(fit(self, rows)))
+    model = models.fit(frame, "gbt", ALL, LABEL, binned=True, maxIter=2, maxDepth=2)
+    assert models.regressor(model).getNumTrees == 2
+
+
 def test_forest_without_a_key_column(spark, frame):
     train = frame.where("split = 'train'").drop("row_key")
     a, b = (models.fit(train.repartition(n), "forest", ALL, LABEL, binned=True, numTrees=2, maxDepth=3) for n in (1, 6))
