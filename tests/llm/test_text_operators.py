@@ -395,6 +395,20 @@ def test_unseen_ngrams_miss_in_full_arrays(spark):
     assert hit.sum() == len(model.probs[4][0])  # one n-gram a slot
 
 
+@pytest.mark.parametrize("hash_bits", [22, 6, 0])
+def test_scores_use_every_ngram_of_the_corpus(spark, hash_bits):
+    rng = random.Random(11)
+    text = lambda a: "".join(rng.choice(a) for _ in range(rng.randrange(1, 300)))
+    rows = [(i, text("abcdefgh "), "en") for i in range(40)] + [(i, text("abcdefgh "), "de") for i in range(40, 60)] + [(60, "", "en"), (61, None, None), (62, "abc", None), (0, "abc abc", "en")]
+    models = {g: _plain_model([t for _, t, h in rows if t and h == g], 4) for g in ("en", "de", None)}
+    got = {(r.keep_doc_id, r.keep_text): r.log_perplexity for r in perplexity.judge(frame(spark, rows), hash_bits=hash_bits, keep=("doc_id", "text")).collect()}
+    assert len(got) == len(rows)
+    for d, t, g in rows:
+        line = (0, 0, 0) + tuple(ord(c) + 1 for c in t or "")
+        want = -sum(log(models[g](line[i : i + 4])) for i in range(len(t or "")))
+        assert got[d, t] == (pytest.approx(want / max(1, len(t.split())), abs=1e-6) if t else None)
+
+
 def test_both_limits_of_the_band_reject(spark):
     import random
 
