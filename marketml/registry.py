@@ -803,7 +803,7 @@ def q_linreg_importance(spark, sf):
 
 
 def q_market_approx(spark, sf):
-    """One-pass market build with percentile_approx medians (scale option;
+    """Market build with percentile_approx medians (scale option;
     no exact oracle)."""
     return mk.build_market(spark, sf, "month", exact=False)
 

@@ -170,31 +170,19 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
     additive columns per key where the caller has them already.
 
     ``exact=True`` (default) uses the distributed exact quantile operator.
-    ``exact=False`` is the one-pass option for very large inputs: the
+    ``exact=False`` is the option without a sort for very large inputs: the
     medians come from ``percentile_approx`` sketches (bounded memory per
-    group, merged map-side) inside the same aggregation as the sums, with
-    rank error at most 1/``accuracy``."""
+    group, merged map-side), with rank error at most 1/``accuracy``."""
     keys = list(keys)
-    if not exact:
-        # One aggregation: the single distinct (orders) is planned keyed on
-        # (group, order key), which the join output already satisfies, and
-        # the sketches merge map-side.  (Counting orders in a second
-        # aggregation would prune lineitem differently, so Spark could not
-        # reuse the join's exchanges and would shuffle lineitem twice.)
-        out = facts.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("homes_sold"),
-            F.count_distinct("l_orderkey").alias("new_listings"),
-            F.sum("l_quantity").alias("inventory"),
-            *[F.percentile_approx(e, 0.5, accuracy).alias(n) for n, e in _median_inputs().items()],
-            F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_pct"),
-        )
-        return out.select(
-            *keys, "homes_sold", "new_listings", "inventory", *MEDIANS,
-            (1 - F.col("disc_pct").cast("double") / (100 * F.col("homes_sold"))).alias("avg_sale_to_list"))
     sums = order_sums(facts, keys) if sums is None else sums
-    medians = exact_median(facts, keys, _median_inputs(),
-                           tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
-                           method=quantile_method, accuracy=accuracy)
+    if exact:
+        medians = exact_median(facts, keys, _median_inputs(),
+                               tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
+                               method=quantile_method, accuracy=accuracy)
+    else:
+        # Apart from the orders' count: a distinct beside the sketches would keep three of them for every order.
+        medians = facts.groupBy(*keys).agg(
+            *[F.percentile_approx(e, 0.5, accuracy).alias(n) for n, e in _median_inputs().items()])
     # Both sides hold one row per group.  Left join, NULL-safe on the keys,
     # so a group whose values are all NULL keeps its row (NULL medians).
     m = medians.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *MEDIANS)
@@ -212,11 +200,8 @@ def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
                  quantile_method: str = "sort", inputs: OrderInputs | None = None) -> DataFrame:
     """The market table at one level: ``region_id, period_begin`` + features + label.
 
-    The exact build reads the join output three times, so it is written once
-    first; the approximate build is a single pass over the join."""
-    facts = market_facts(spark, sf_dir, grain, (level,), inputs, stacked=False)
-    if exact:
-        facts = materialize(facts, "market-facts")
+    The build reads the join output two or three times, so it is written once first."""
+    facts = materialize(market_facts(spark, sf_dir, grain, (level,), inputs, stacked=False), "market-facts")
     return aggregate_market(stack_levels(facts, (level,)), exact=exact,
                             quantile_method=quantile_method).drop("region_level")
 

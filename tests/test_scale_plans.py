@@ -69,6 +69,13 @@ def test_approx_market_is_one_pass_and_close(spark):
         assert (r.homes_sold, r.new_listings, r.inventory) == (e.homes_sold, e.new_listings, e.inventory)
 
 
+def test_approx_market_has_no_sketch_for_every_order(spark):
+    ap = mk.build_market(spark, SF, exact=False)
+    plan = ap._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sketches = [ln for ln in plan if "percentile_approx" in ln]
+    assert sketches and not any("distinct" in ln or "l_orderkey" in ln for ln in sketches)
+
+
 def test_scans_are_pruned_and_filters_pushed(spark):
     plan = plan_text(QUERIES["null_profile"](spark, SF))
     assert "ReadSchema: struct<l_linenumber:int,l_quantity:double,l_extendedprice:double," \
