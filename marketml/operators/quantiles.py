@@ -131,15 +131,16 @@ def _interpolate(picked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _wanted_ranks(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
     """``(..., _n)`` -> ``(..., _p, _pos, _w, _r)``: floor and ceil of (n-1)p."""
+    return _rank_pairs(counts.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p")))
+
+
+def _rank_pairs(counts: DataFrame) -> DataFrame:
+    """``(..., _n, _p)`` -> ``(..., _n, _p, _pos, _w, _r)``."""
     pos = (F.col("_n") - 1).cast("double") * F.col("_p")
-    return (
-        counts.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
-        .select("*", pos.alias("_pos"), F.explode(F.array(
-            F.struct(F.lit("lo").alias("w"), F.floor(pos).cast("long").alias("r")),
-            F.struct(F.lit("hi").alias("w"), F.ceil(pos).cast("long").alias("r")),
-        )).alias("_x"))
-        .select(*counts.columns, "_p", "_pos", F.col("_x.w").alias("_w"), F.col("_x.r").alias("_r"))
-    )
+    return counts.select("*", pos.alias("_pos"), F.explode(F.array(
+        F.struct(F.lit("lo").alias("w"), F.floor(pos).cast("long").alias("r")),
+        F.struct(F.lit("hi").alias("w"), F.ceil(pos).cast("long").alias("r")),
+    )).alias("_x")).select(*counts.columns, "_pos", F.col("_x.w").alias("_w"), F.col("_x.r").alias("_r"))
 
 
 def _sort_method(stacked, keys, probs, num_partitions):
@@ -176,19 +177,23 @@ def _bracket_method(stacked, keys, probs, accuracy, num_partitions):
             b = F.element_at("_e", at[_clip(p + d)])
             lo_e = F.when(hit, a) if lo_e is None else lo_e.when(hit, a)
             hi_e = F.when(hit, b) if hi_e is None else hi_e.when(hit, b)
-    bounds = materialize(
-        _wanted_ranks(sketch.withColumn("_k", k), probs).select(
-            *gk, "_n", "_p", "_pos", "_w", "_r", lo_e.alias("_a"), hi_e.alias("_b")),
-        "quantile-brackets")
+    ends_at = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p")
+    bounds = sketch.withColumn("_k", k).select("*", ends_at).select(*gk, "_p", lo_e.alias("_a"), hi_e.alias("_b"))
+    return _interpolate(_between(stacked, gk, bounds, probs, num_partitions), keys)
+
+
+def _between(stacked: DataFrame, gk: Sequence[str], bounds: DataFrame, probs: Sequence[float], num_partitions: int | None) -> DataFrame:
+    """The rows at the wanted ranks of every group, from brackets ``(*gk, _p, _a, _b)`` that should hold their
+    values.  Counts decide: only rows inside a bracket are sorted, and a group whose bracket misses, whole."""
+    bounds = materialize(bounds, "quantile-brackets")
 
     # Counting pass: where each wanted rank sits relative to its bracket.
-    per_p = bounds.select(*gk, "_p", "_a", "_b").dropDuplicates([*gk, "_p"])
     v = F.col("_v")
-    cnt = _null_safe_join(stacked.select(*gk, "_v"), per_p, gk).groupBy(*gk, "_p").agg(
+    cnt = _null_safe_join(stacked.select(*gk, "_v"), bounds, gk).groupBy(*gk, "_p", "_a", "_b").agg(
+        F.count(F.lit(1)).alias("_n"),
         F.count_if(v < F.col("_a")).alias("_lt_a"), F.count_if(v <= F.col("_a")).alias("_le_a"),
         F.count_if(v < F.col("_b")).alias("_lt_b"), F.count_if(v <= F.col("_b")).alias("_le_b"))
-    cnt = materialize(cnt, "quantile-bracket-counts")
-    b2 = materialize(_null_safe_join(bounds, cnt, [*gk, "_p"]), "quantile-bracket-ranks")
+    b2 = materialize(_rank_pairs(cnt), "quantile-bracket-ranks")
     r = F.col("_r")
     ok = (r >= F.col("_lt_a")) & (r < F.col("_le_b"))
     at_a = ok & (r < F.col("_le_a"))
@@ -219,7 +224,41 @@ def _bracket_method(stacked, keys, probs, accuracy, num_partitions):
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
-    return _interpolate(picked, keys)
+    return picked
+
+
+def _stack_values(df: DataFrame, keys: Sequence[str], values, tiebreak: Column) -> DataFrame:
+    """``(*keys, _t, _m, _v)``: a row for each value that is not NULL, by the place of its column."""
+    return (
+        df.select(
+            *[F.col(k) for k in keys],
+            tiebreak.alias("_t"),
+            F.explode(F.array(*[
+                F.struct(F.lit(i).alias("m"), e.cast("double").alias("v"))
+                for i, (_, e) in enumerate(_value_exprs(values))
+            ])).alias("_s"),
+        )
+        .select(*keys, "_t", F.col("_s.m").alias("_m"), F.col("_s.v").alias("_v"))
+        .where(F.col("_v").isNotNull())
+    )
+
+
+def exact_medians_rolled_up(df: DataFrame, fine: Sequence[str], values, parents: DataFrame, roll_up, keys: Sequence[str], tiebreak: Column) -> tuple[DataFrame, DataFrame]:
+    """Exact medians of the groups ``fine`` and of wider groups made of them, in wide form.
+
+    ``roll_up(rows, columns)`` copies rows to their wider groups ``keys``; ``parents`` holds what it needs for
+    each group of ``fine``, one row a pair.  Only the fine groups are sorted whole.  The median of a wider group lies between the
+    least and the greatest median of its parts, so there only the rows between these are sorted, after one counting
+    pass; a group that this bracket misses, whole."""
+    fine, keys = list(fine), list(keys)
+    picked = materialize(_rank_select(_stack_values(df, fine, values, tiebreak), [*fine, "_m"], None, probs=(0.5,)), "quantile-fine")
+    ends = roll_up(_null_safe_join(parents, picked.select(*fine, "_m", "_v"), fine), ["_m", "_v"])
+    ends = ends.groupBy(*keys, "_m").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b")).withColumn("_p", F.lit(0.5))
+    rows = roll_up(df.withColumns({n: e for n, e in _value_exprs(values)} | {"_t": tiebreak}), ["_t", *[n for n, _ in _value_exprs(values)]])
+    stacked = _stack_values(rows, keys, [n for n, _ in _value_exprs(values)], F.col("_t"))
+    wider = _between(stacked, [*keys, "_m"], ends, (0.5,), None)
+    wide = lambda long, by: long.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == i, F.col("_q"))).alias(n) for i, (n, _) in enumerate(_value_exprs(values))])
+    return wide(_interpolate(picked, fine), fine), wide(_interpolate(wider, keys), keys)
 
 
 def exact_quantiles_long(
@@ -251,18 +290,7 @@ def exact_quantiles_long(
     keys = list(keys)
     exprs = _value_exprs(values)
     tb = tiebreak if tiebreak is not None else F.xxhash64(*[F.col(c) for c in df.columns])
-    stacked = (
-        df.select(
-            *[F.col(k) for k in keys],
-            tb.alias("_t"),
-            F.explode(F.array(*[
-                F.struct(F.lit(i).alias("m"), e.cast("double").alias("v"))
-                for i, (_, e) in enumerate(exprs)
-            ])).alias("_s"),
-        )
-        .select(*keys, "_t", F.col("_s.m").alias("_m"), F.col("_s.v").alias("_v"))
-        .where(F.col("_v").isNotNull())
-    )
+    stacked = _stack_values(df, keys, values, tb)
     if method == "sort":
         out = _sort_method(stacked, keys, probs, num_partitions)
     else:

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketml.operators.quantiles import exact_median
+from marketml.operators.quantiles import exact_median, exact_medians_rolled_up
 from marketml.session import materialize, scratch_path
 from marketml.sources.tables import load
 
@@ -165,9 +165,10 @@ def order_sums(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *KEYS),
                      exact: bool = True, accuracy: int = 10000,
-                     quantile_method: str = "sort", sums: DataFrame | None = None) -> DataFrame:
-    """Facts -> one row per key: counts, sums and medians.  ``sums`` are the
-    additive columns per key where the caller has them already.
+                     quantile_method: str = "sort", sums: DataFrame | None = None,
+                     medians: DataFrame | None = None) -> DataFrame:
+    """Facts -> one row per key: counts, sums and medians.  ``sums`` and ``medians`` are the
+    columns per key where the caller has them already.
 
     ``exact=True`` (default) uses the distributed exact quantile operator.
     ``exact=False`` is the option without a sort for very large inputs: the
@@ -175,7 +176,9 @@ def aggregate_market(facts: DataFrame, keys: Sequence[str] = ("region_level", *K
     group, merged map-side), with rank error at most 1/``accuracy``."""
     keys = list(keys)
     sums = order_sums(facts, keys) if sums is None else sums
-    if exact:
+    if medians is not None:
+        pass
+    elif exact:
         medians = exact_median(facts, keys, _median_inputs(),
                                tiebreak=F.xxhash64("l_orderkey", "l_linenumber"),
                                method=quantile_method, accuracy=accuracy)
@@ -210,14 +213,21 @@ def build_market_levels(spark: SparkSession, sf_dir: str, grain: str = "month",
                         levels: Sequence[str] = LEVELS, inputs: OrderInputs | None = None) -> DataFrame:
     """All levels in one pass over the facts, tagged by ``region_level``.
     The facts are written once.  Counts and sums are made at nation level and rolled
-    up (an order has one nation, so its levels add up); only the medians read
-    the facts stacked per level."""
+    up (an order has one nation, so its levels add up); the wider levels' medians are
+    sought between the nations' (``exact_medians_rolled_up``)."""
     facts = materialize(market_facts(spark, sf_dir, grain, levels, inputs, stacked=False),
                         "market-facts")
     added = ["homes_sold", "new_listings", "inventory", "disc_pct"]
-    nations = order_sums(facts, ["c_nationkey", "n_regionkey", "period_begin"])
+    nations = materialize(order_sums(facts, ["c_nationkey", "n_regionkey", "period_begin"]), "market-nations")
     sums = stack_levels(nations, levels, added).groupBy("region_level", *KEYS).agg(*[F.sum(c).alias(c) for c in added])
-    return aggregate_market(stack_levels(facts, levels), sums=sums)
+    wider = [lv for lv in levels if lv != "nation"]
+    if len(wider) == len(levels) or not wider:
+        return aggregate_market(stack_levels(facts, levels), sums=sums)
+    fine, wide = exact_medians_rolled_up(
+        facts, ["c_nationkey", "period_begin"], _median_inputs(), nations.select("c_nationkey", "n_regionkey", "period_begin"),
+        lambda rows, columns: stack_levels(rows, wider, columns), ["region_level", *KEYS], F.xxhash64("l_orderkey", "l_linenumber"))
+    fine = stack_levels(fine.withColumn("n_regionkey", F.lit(None).cast("int")), ["nation"], MEDIANS)
+    return aggregate_market(facts, sums=sums, medians=fine.unionByName(wide))
 
 
 # The same table as SQL text (Spark SQL and DuckDB both run it); used by the

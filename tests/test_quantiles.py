@@ -125,3 +125,25 @@ def test_property_matches_percentile(spark, rows, p, method):
     assert set(ours) == set(ref)
     for g, q in ref.items():
         assert ours[g] == pytest.approx(q, abs=1e-12)
+
+
+def test_wider_groups_sort_only_between_their_parts(spark, monkeypatch):
+    from marketml.operators import quantiles
+
+    rng = random.Random(2)
+    rows = [(f, w, float(rng.randrange(200) + 100 * (w or 0)), rng.choice([None, rng.gauss(0, 1)])) for f, w in [(0, 0), (1, 0), (2, 1), (None, None), (3, None)] for _ in range(rng.randrange(300, 500))]
+    # A part of two wider groups: neither lies between its parts.
+    rows += [(4, w, 1000.0 * w, None) for w in (0, 1) for _ in range(700)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, f int, w int, x double, y double").repartition(5)
+    sorted_rows, select = [], quantiles._rank_select
+    monkeypatch.setattr(quantiles, "_rank_select", lambda stacked, *a, **k: sorted_rows.append(stacked.count()) or select(stacked, *a, **k))
+    up = lambda d, columns: d.select("w", *columns)
+    fine, wide = quantiles.exact_medians_rolled_up(df, ["f"], {"x": F.col("x"), "y": F.col("y")}, df.select("f", "w").distinct(), up, ["w"], F.xxhash64("id"))
+    for got, key in ((fine, "f"), (wide, "w")):
+        want = {r[0]: r[1:] for r in df.groupBy(key).agg(F.median("x"), F.median("y")).collect()}
+        got = {r[0]: r[1:] for r in got.collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == pytest.approx(want[k])
+    values = sum(x is not None for r in rows for x in r[2:])
+    assert sorted_rows[0] == values and sum(sorted_rows[1:]) < values
