@@ -42,7 +42,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(), tokens=2048)
+    # Executors still hold memory of the earlier stages, so workers remember fewer parts of texts.
+    return packing.pack(docs, tokenizer_path(), tokens=2048, cached=150_000)
 
 
 STAGES = [
