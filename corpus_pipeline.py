@@ -42,8 +42,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Executors still hold memory of the earlier stages, so workers remember fewer parts of texts.
-    return packing.pack(docs, tokenizer_path(), tokens=2048, cached=150_000)
+    # Executors still hold memory of the earlier stages, so workers remember fewer parts of texts, and nothing once
+    # a task has ended: they go on to other stages.
+    return packing.pack(docs, tokenizer_path(), tokens=2048, cached=150_000, kept=False)
 
 
 STAGES = [

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketml.llm.common import prepare
+from marketml.llm.common import give_back, prepare
 from marketml.session import materialize
 
 SCOPE = 256
@@ -100,8 +100,12 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 @F.arrow_udf(T.StructType([T.StructField("base", T.ArrayType(SPAN)), T.StructField("weak", T.ArrayType(SPAN))]))
 def _scan(texts: pa.Array) -> pa.Array:
-    base = [base_spans(t or "") for t in texts.to_pylist()]
-    weak = [weak_parts(t or "", b) for t, b in zip(texts.to_pylist(), base, strict=True)]
+    give_back()
+    base, weak = [], []
+    for t in texts:  # one text at a time is a Python string
+        t = t.as_py() or ""
+        base.append(base_spans(t))
+        weak.append(weak_parts(t, base[-1]))
     rows = lambda spans: [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans]
     return pa.StructArray.from_arrays([pa.array(rows(base), pa.list_(_SPAN)), pa.array(rows(weak), pa.list_(_SPAN))], ["base", "weak"])
 
@@ -163,14 +167,17 @@ def _mask(text: str, found) -> str:
 
 @F.arrow_udf(T.StringType())
 def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    give_back()
     return pa.array([t if not found else _mask(t, [(s["start"], s["kind"], s["end"]) for s in found]) for t, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
 @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.IntegerType()), T.StructField("weak", T.BooleanType())]))
 def _scan_masked(texts: pa.Array) -> pa.Array:
     """Each text with its base spans masked, their number, and whether it has weak parts (then it is left out)."""
+    give_back()
     rows = []
-    for t in texts.to_pylist():
+    for t in texts:
+        t = t.as_py()
         base = base_spans(t or "")
         weak = bool(weak_parts(t or "", base))
         rows.append((None if weak else _mask(t, base) if base else t, len(base), weak))

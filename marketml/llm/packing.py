@@ -156,13 +156,13 @@ def balance(pieces: list, tokens: int, linear: float, quadratic: float) -> tuple
     return placed, left
 
 
-def _packer(path: str, tokens: int, group: int, linear: float, quadratic: float, id_type: pa.DataType, with_ids: bool, cached: int):
+def _packer(path: str, tokens: int, group: int, linear: float, quadratic: float, id_type: pa.DataType, with_ids: bool, cached: int, kept: bool = True):
     schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
                         ("sequence_id", pa.int64()), ("offset", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches):
         give_back()
-        encode, sequence = encoder(path, cached), TaskContext.get().partitionId() << 40
+        encode, sequence = (encoder if kept else Encoder)(path, cached), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         waiting, held = [], 0
 
@@ -213,6 +213,9 @@ def _packer(path: str, tokens: int, group: int, linear: float, quadratic: float,
                     sequence, offset, size = sequence + 1, 0, 1 << held.bit_length() >> 1
         if rows:
             yield batch()
+        if not kept:
+            del encode
+            give_back()
 
     return run
 
@@ -224,15 +227,16 @@ def crc_of_ids(ids: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
 
 
-def pack(docs: DataFrame, tokenizer: str, tokens: int = 2048, group: int = 512, linear: float = 1.0, quadratic: float = 1 / 1024, with_ids: bool = True, text: str = "text", doc_id: str = "doc_id", cached: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tokens: int = 2048, group: int = 512, linear: float = 1.0, quadratic: float = 1 / 1024, with_ids: bool = True, text: str = "text", doc_id: str = "doc_id", cached: int = 600_000, kept: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, unless ``with_ids`` is false, the piece's ids.  ``tokenizer``
     is the path of a tokenizers file that executors can read; a Python worker remembers the ids of ``cached``
-    parts of texts and as many older ones."""
+    parts of texts and as many older ones; with ``kept`` it does so from task to task, else its tokenizer and
+    they go with the task."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType
     out = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_packer(tokenizer, tokens, group, linear, quadratic, to_arrow_type(kind), with_ids, cached), out)
+    return rows.mapInArrow(_packer(tokenizer, tokens, group, linear, quadratic, to_arrow_type(kind), with_ids, cached, kept), out)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from math import exp, log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,6 +248,28 @@ def test_pipeline_and_query_use_the_packed_ids(spark, tmp_path):
     assert got == want
 
 
+def test_a_packing_task_of_the_pipeline_leaves_nothing_in_its_worker(monkeypatch):
+    import gc
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    rng = random.Random(8)
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [" ".join(f"w{rng.randrange(300)}" for _ in range(200)) for _ in range(40)]})
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda docs, path, **how: asked.update(how))
+    corpus_pipeline.pack(None, None, "")
+    packing.encoder.cache_clear()
+    run = lambda **how: pa.Table.from_batches(packing._packer(tokenizer_path(), 128, 8, 1.0, 1 / 1024, pa.int64(), True, **how)(iter([rows])))
+    got = run(cached=asked["cached"], kept=asked.get("kept", True))
+    gc.collect()
+    assert not any(isinstance(o, packing.Encoder) for o in gc.get_objects())
+    assert got.equals(run(cached=600_000)) and packing.encoder.cache_info().currsize == 1
+    packing.encoder.cache_clear()
+
+
 def test_balance_takes_the_cheapest_sequence_with_room():
     rng = random.Random(4)
     pieces = [(i, 0, np.arange(rng.randrange(1, 60))) for i in range(80)]
