@@ -15,6 +15,7 @@ import time
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -304,7 +305,9 @@ def ablation_report(spark: SparkSession, frame: DataFrame, family: str, features
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     sets = ablation_sets(features, drop)
     try:
-        fitted = [models.fit(train, family, feats, label, binned=True, **params) for _, feats in sets]
+        # Side by side: a small fit is bound by the latency of its jobs.
+        with ThreadPool(TUNING_PARALLELISM) as pool:
+            fitted = pool.map(lambda s: models.fit(train, family, s[1], label, binned=True, **params), sets, chunksize=1)
     finally:
         train.unpersist()
     name = F.array(*[F.struct(F.lit(n).alias("feature_set"), F.lit(len(f)).alias("n_features")) for n, f in sets])

@@ -205,8 +205,9 @@ def build_market(spark: SparkSession, sf_dir: str, grain: str = "month",
 
     The build reads the join output two or three times, so it is written once first."""
     facts = materialize(market_facts(spark, sf_dir, grain, (level,), inputs, stacked=False), "market-facts")
-    return aggregate_market(stack_levels(facts, (level,)), exact=exact,
-                            quantile_method=quantile_method).drop("region_level")
+    # The level is no key: as the first one it would be compared in every step of the sort.
+    return aggregate_market(stack_levels(facts, (level,)).drop("region_level"), KEYS, exact=exact,
+                            quantile_method=quantile_method)
 
 
 def build_market_levels(spark: SparkSession, sf_dir: str, grain: str = "month",

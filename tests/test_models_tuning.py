@@ -382,3 +382,24 @@ def test_levels_add_up_from_nations(spark):
     rolled = mk.build_market_levels(spark, "/root/testdata/sf0.001", "month").collect()
     plain = mk.aggregate_market(mk.market_facts(spark, "/root/testdata/sf0.001", "month", mk.LEVELS)).collect()
     assert sorted(map(str, rolled)) == sorted(map(str, plain))
+
+
+def _made(spark, n=240):
+    """Rows with two features, a label, a key, a split, a fold and a validation flag."""
+    rows = spark.range(n).select(F.col("id").alias("row_key"), (F.col("id") * 7 % 31).cast("double").alias("a"), (F.col("id") * 5 % 17).cast("double").alias("b"),
+                                 (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 5 == 0).alias("is_validation"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"))
+    return rows.withColumn("y", F.col("a") * 2 + F.col("b") * F.col("b"))
+
+
+def test_ablation_fits_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    meet, fit = threading.Barrier(2), models.fit
+
+    def both(*args, **how):
+        meet.wait(60)
+        return fit(*args, **how)
+
+    monkeypatch.setattr(models, "fit", both)
+    got = {r.feature_set: r for r in workflows.ablation_report(spark, _made(spark), "tree", ["a", "b"], "y", ["b"]).collect()}
+    assert got["all"].n == got["without_b"].n == 60 and got["all"].rmse < got["without_b"].rmse

@@ -141,3 +141,21 @@ def test_queries_leave_the_session_as_it_is(spark):
     assert (spark.conf.get("spark.sql.caseSensitive"), sorted(t.name for t in spark.catalog.listTables())) == before
     assert spark.table("market").columns == ["id"]
     spark.catalog.dropTempView("market")
+
+
+def test_one_level_is_no_sort_key_of_its_market(spark, monkeypatch, tmp_path):
+    from datetime import datetime
+
+    from marketml.sources import market
+
+    day = datetime(1995, 3, 4)
+    tables = {"lineitem": ([(o, k, 2.0, 100.0 * k + o, 0.1) for o in (1, 2, 3) for k in (1, 2)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"),
+              "orders": ([(1, 10, day), (2, 10, day), (3, 11, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+              "customer": ([(10, 4), (11, 5)], "c_custkey long, c_nationkey int")}
+    of = {name: spark.createDataFrame(*t) for name, t in tables.items()}
+    monkeypatch.setattr(market, "load", lambda spark, folder, name: of[name])
+    keys, median = [], market.exact_median
+    monkeypatch.setattr(market, "exact_median", lambda facts, by, *a, **k: keys.append(list(by)) or median(facts, by, *a, **k))
+    got = {r.region_id: r for r in market.build_market(spark, "", "month").collect()}
+    assert keys == [["region_id", "period_begin"]]
+    assert got[4].median_list_price == 151.5 and got[4].new_listings == 2 and got[5].median_list_price == 153.0 and got[5].homes_sold == 2
