@@ -123,16 +123,28 @@ def linear_cross_validate(est, param_maps, df: DataFrame, features: Sequence[str
     return FoldCV(folds, avg, [float(np.std(e)) for e in each], est.fit(df, param_maps[best_index(avg)]))
 
 
+def point_fits(est, param_maps, df: DataFrame):
+    """A function that fits a param map on ``df``.  The stages of a pipeline before its last, if no map changes
+    them, are fitted once for all maps."""
+    stages = est.getStages() if isinstance(est, Pipeline) else []
+    if len(stages) < 2 or {p.parent for m in param_maps for p in m} - {stages[-1].uid}:
+        return lambda m: est.fit(df, m)
+    before = Pipeline(stages=stages[:-1]).fit(df)
+    ready = before.transform(df)
+    return lambda m: PipelineModel([*before.stages, stages[-1].fit(ready, m)])
+
+
 def fold_cross_validate(est, param_maps, df: DataFrame, label: str, fold_col: str, num_folds: int, parallelism: int = 8) -> FoldCV:
     """k-fold CV whose (point, fold) fits all run side by side, where ``CrossValidator`` takes one fold after the
     other; the best point is fitted again on all rows (T2, T4, T5, T6)."""
 
     def one(at: tuple[int, int]) -> dict:
         i, f = at
-        fitted = est.fit(df.where(F.col(fold_col) != f), param_maps[i])
+        fitted = fits[f](param_maps[i])
         return {"point": i, "fold": f, **metrics_dict(fitted.transform(df.where(F.col(fold_col) == f)), label)}
 
     with ThreadPool(max(1, parallelism)) as pool:
+        fits = pool.map(lambda f: point_fits(est, param_maps, df.where(F.col(fold_col) != f)), range(num_folds), chunksize=1)
         folds = pool.map(one, [(i, f) for i in range(len(param_maps)) for f in range(num_folds)], chunksize=1)
     each = [[s["rmse"] for s in folds if s["point"] == i] for i in range(len(param_maps))]
     avg = [float(np.mean(e)) for e in each]
@@ -186,15 +198,10 @@ def train_validate(est, param_maps, df: DataFrame, label: str, valid_col: str,
     param_maps = list(param_maps)
     train = df.where(~F.col(valid_col))
     valid = df.where(F.col(valid_col))
-    tasks = est.fitMultiple(train, param_maps)
-
-    def run(_):
-        i, m = next(tasks)
-        return i, metrics_dict(m.transform(valid), label)
+    fit = point_fits(est, param_maps, train)
 
     with ThreadPool(max(1, parallelism)) as pool:
-        scored = dict(pool.imap_unordered(run, range(len(param_maps))))
-    metrics = [scored[i] for i in range(len(param_maps))]
+        metrics = pool.map(lambda m: metrics_dict(fit(m).transform(valid), label), param_maps, chunksize=1)
     best = best_index([m["rmse"] for m in metrics])
     model = est.fit(df, param_maps[best]) if refit else None
     return TrainValidationResult(best, metrics, model)

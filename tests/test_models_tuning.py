@@ -403,3 +403,24 @@ def test_ablation_fits_run_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(models, "fit", both)
     got = {r.feature_set: r for r in workflows.ablation_report(spark, _made(spark), "tree", ["a", "b"], "y", ["b"]).collect()}
     assert got["all"].n == got["without_b"].n == 60 and got["all"].rmse < got["without_b"].rmse
+
+
+def test_points_of_a_grid_share_the_stages_before_the_last(spark, monkeypatch):
+    from marketml.operators import binning
+
+    df, seen, edges = _made(spark), [], binning.quantile_edges
+    monkeypatch.setattr(binning, "quantile_edges", lambda *a: seen.append(1) or edges(*a))
+    pipe = models.pipeline("gbt", ["a", "b"], "y", binned=True, maxIter=2)
+    maps = tuning.grid(pipe.getStages()[-1], {"maxDepth": [1, 3], "maxIter": [2]})
+    cv = tuning.fold_cross_validate(pipe, maps, df, "y", "fold", 3)
+    assert len(seen) == 4  # three folds and the last fit
+    seen.clear()
+    tvs = tuning.train_validate(pipe, maps, df, "y", "is_validation")
+    assert len(seen) == 2
+    # The same scores as fits of whole pipelines.
+    for i, m in enumerate(maps):
+        for f in range(3):
+            alone = metrics_dict(pipe.fit(df.where(F.col("fold") != f), m).transform(df.where(F.col("fold") == f)), "y")
+            assert cv.folds[3 * i + f]["rmse"] == alone["rmse"]
+        alone = metrics_dict(pipe.fit(df.where(~F.col("is_validation")), m).transform(df.where("is_validation")), "y")
+        assert tvs.metrics[i]["rmse"] == alone["rmse"]
